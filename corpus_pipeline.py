@@ -1,32 +1,51 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, byte-level BPE."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, byte-level BPE.
+
+Each stage takes the documents that its predecessor kept and returns them with the columns of ``documents``; the last
+one returns a row of digests for each document. ``run`` writes every stage's result to the shared checkpoint folder and
+rereads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapsift.llm import decontaminate, quality
+from snapsift.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
 from snapsift.llm.common import cut, table
 from snapsift.llm.queries import _pattern, _tokenizer
-from snapsift.llm.byte_bpe import encode_decode
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or their group's thresholds go."""
     return quality.keep_good(docs)
 
 
+def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, but where they stand first; documents of nothing else go with them."""
+    return line_dedup.remove_boilerplate(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("cross_site_lines", cross_site_lines),
+    ("minhash_near_dedup", minhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
-    ("byte_bpe", byte_bpe),
+    ("byte_level_bpe", byte_level_bpe),
 ]
+#: SQL expresses neither the signatures' groups nor the merges; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -63,6 +63,12 @@ class TestBlock:
         self.places = np.array(places, dtype=np.int64)
         self.shortest = int(self.lengths.min()) if len(lengths) else width
 
+    @classmethod
+    def again(cls, fields: dict) -> TestBlock:
+        block = object.__new__(cls)
+        block.__dict__ = fields
+        return block
+
 
 def _keys(ids: np.ndarray) -> np.ndarray:
     """Rows of word ids as byte strings that sort as the rows do (an end mark of 0 sorts first)."""
@@ -125,10 +131,10 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     spark = docs.sparkSession
     carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), utf8(text_col).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        held = spark.sparkContext.broadcast(TestBlock(items, width))
+        held = spark.sparkContext.broadcast(vars(TestBlock(items, width)))
 
         def run(batches, held=held):
-            block = held.value
+            block = TestBlock.again(held.value)
             for whole in batches:
                 for batch in slices(whole, 1):
                     yield _judge(batch, block)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, html_extract, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -23,6 +23,14 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Key of the surrogates that the query draws; a production job gives its own.
+PII_KEY = "snapsift"
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -35,18 +43,48 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+    return done.select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_url_filters, op4_byte_bpe, op7_token_counts, op9_decontamination]
+    found = [
+        op1_minhash_near_dedup,
+        op2_quality_rules,
+        op3_url_filters,
+        op4_byte_bpe,
+        op5_substring_dedup,
+        op6_html_extraction,
+        op7_token_counts,
+        op8_line_dedup,
+        op9_decontamination,
+        op10_pii,
+    ]
     return {f.__name__: f for f in found}
 
 
