@@ -6,10 +6,11 @@ differ in Binomial(POSITIONS, 1 - s) positions; the threshold ``distance`` is th
 distance have a chunk with at most one error, and enumerating the allowed error (leaving out each position of the
 chunk in turn) makes them meet in a bucket: every pair under the distance is found.
 
-Equal sets are one representative (their smallest id), so exact copies never meet. In a bucket, all members are first tried
-against one leader; confirmed links make components, and later rounds look only at members of different components, in
-blocks of ``BLOCK`` members: one round proposes a spanning forest of the closest pairs, the last one every pair that is left. No bucket is
-ever held by one task, and no pair inside a component is emitted again, so a large group costs a row or two for each member.
+Equal sets are one representative (their smallest id), so exact copies never meet. In a bucket, all members are first measured
+against two leaders; confirmed links make components, and later rounds look only at members of different components, in
+blocks of ``BLOCK`` members: one round proposes a spanning forest of the closest pairs, the last one every pair that is left. The distances
+to the leaders rule out most of these by the triangle inequality. No bucket is ever held by one task, and no pair inside a
+component is emitted again, so a large group costs a few rows for each member.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing (component is the own id); a null
 id is never linked (component null, kept); repeated rows of one id are one document and are all kept or all dropped; other
@@ -107,39 +108,39 @@ def _keys(reps: DataFrame, distance: int) -> DataFrame:
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, POSITIONS)
                 keys = bucket_keys(sigs, distance).reshape(-1).view(np.int64)
                 ids = np.repeat(batch.column(0).to_numpy(), POSITIONS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "rep"])
+                slots = np.tile(np.arange(POSITIONS, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(slots), pa.array(ids)], names=["key", "slot", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(run, "key long, slot int, rep long")
 
 
-def _close(percent: int):
-    """Rows (a, b, an, bn, asig, bsig) -> the pairs (a, b) whose signatures and set sizes allow a link."""
-    distance = distance_for(percent)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, POSITIONS) for k in (4, 5))
-                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                fits = ((x != y).sum(1) <= distance) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                yield batch.select([0, 1]).filter(pa.array(fits))
-
-    return run
+def _cross(percent: int, forest: bool):
+    """Rows of members of a bucket's block pair -> candidate pairs of different components (closest spanning forest, or all).
 
+    1 - similarity is a metric, so the known distances of two members to a leader bound their own from below: pairs that the bound
+    rules out are not looked at. A pair that meets in several buckets is proposed in the first of them only.
+    """
+    distance, chunks, far = distance_for(percent), distance_for(percent) // 2 + 1, 1 - percent / 100 + 1e-9
+    bounds = np.linspace(0, POSITIONS, chunks + 1).round().astype(int)
 
-def _cross(percent: int, forest: bool):
-    """Rows of members of a bucket's block pair -> candidate pairs of different components (closest spanning forest, or all)."""
-    distance = distance_for(percent)
+    def first_slot(differ: np.ndarray) -> np.ndarray:
+        """The first slot in which each pair (a row of differing positions) meets."""
+        errors = np.add.reduceat(differ, bounds[:-1], axis=1, dtype=np.int64)
+        chunk = (errors <= 1).argmax(1)
+        own = differ & (np.searchsorted(bounds, np.arange(POSITIONS), "right") - 1 == chunk[:, None])
+        return np.where(own.any(1), own.argmax(1), bounds[chunk])
 
-    def pairs(kind: int, members: list[dict]) -> list[tuple[int, int]]:
+    def pairs(kind: int, slot: int, members: list[dict]) -> list[tuple[int, int]]:
         rep = np.array([m["rep"] for m in members])
-        label, n, side = (np.array([m[k] for m in members]) for k in ("label", "n", "side"))
+        label, n, side, d1, d2 = (np.array([m[k] for m in members]) for k in ("label", "n", "side", "d1", "d2"))
         sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, POSITIONS)
         found = []
         for i in range(len(rep)):
-            j = np.flatnonzero((rep > rep[i]) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((side != side[i]) if kind else (side == 0)))
+            j = np.flatnonzero((rep > rep[i]) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.abs(d1 - d1[i]) <= far) & (np.abs(d2 - d2[i]) <= far) & ((side != side[i]) if kind else (side == 0)))
             if len(j):
-                d = (sig[j] != sig[i]).sum(1)
+                differ = sig[j] != sig[i]
+                j, differ = j[(here := first_slot(differ) == slot)], differ[here]
+                d = differ.sum(1)
                 found += [(int(dd), i, int(jj)) for dd, jj in zip(d[d <= distance], j[d <= distance], strict=True)]
         if not forest:
             return [(int(rep[i]), int(rep[j])) for _, i, j in found]
@@ -161,16 +162,16 @@ def _cross(percent: int, forest: bool):
 
     def run(batches):
         for batch in batches:
-            cells = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            found = {p for kind, members in cells for p in pairs(kind, members)}
+            cells = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            found = {p for kind, slot, members in cells for p in pairs(kind, slot, members)}
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar."""
+def _measure(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with the distance of their full shingle sets and whether they link."""
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     picked = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
 
@@ -183,17 +184,20 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     def compare(batches):
         for batch in batches:
-            linked = []
+            far, linked = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                linked.append(similar(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                same = int((both[1:] == both[:-1]).sum())
+                far.append(1 - same / (len(both) - same))
+                linked.append(similar(len(x), len(y), same, percent))
+            columns = [batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "far", "linked"])
 
     sized = cut(picked.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]))
     joined = pairs.join(sized.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sized.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -206,17 +210,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     named = signed.where("id is not null and n > 0")
     reps = cut(named.groupBy("set1", "set2").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("set1", "set2", F.col("r.id").alias("rep"), "r.n", "r.sig"))
     keys = cut(_keys(reps, distance_for(percent)))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.max("rep").alias("second")).where("size > 1")
     members = cut(keys.join(cut(sizes), "key"))
-    about = reps.select("rep", "n", "sig")
 
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(about.withColumnsRenamed({"rep": "b", "n": "bn", "sig": "bsig"}), "b").join(about.withColumnsRenamed({"rep": "a", "n": "an", "sig": "asig"}), "a")
-    tried = cut(stars.select("a", "b", "an", "bn", "asig", "bsig").mapInArrow(_close(percent), "a long, b long"))
-    labels = components(_confirm(tried, rows, words, percent))
+    stars = members.select("rep", F.explode(F.array("leader", "second")).alias("to")).where("rep <> to")
+    stars = cut(stars.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
+    known = cut(_measure(stars, rows, words, percent))
+    labels = components(known.where("linked").select("a", "b"))
+    tried, open_members = known.select("a", "b"), cut(_with_distances(members.where("size > 2"), known))
     for forest in (True, False):
-        pairs = cut(_between(members.where("size > 2"), labels, about, percent, forest).join(tried, ["a", "b"], "left_anti"))
-        found = _confirm(pairs, rows, words, percent)
+        pairs = cut(_between(open_members, labels, reps.select("rep", "n", "sig"), percent, forest).join(tried, ["a", "b"], "left_anti"))
+        found = _measure(pairs, rows, words, percent).where("linked").select("a", "b")
         tried = tried.unionByName(pairs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
     classes = cut(reps.join(labels, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("label", "rep").alias("class")))
@@ -225,6 +229,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
+def _with_distances(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with their distances d1 and d2 to the two leaders of their bucket, all of which are known."""
+    for to, d in (("leader", "d1"), ("second", "d2")):
+        ends = [F.least("rep", to).alias("a"), F.greatest("rep", to).alias("b")]
+        members = members.select("*", *ends).join(known.select("a", "b", F.col("far").alias(d)), ["a", "b"], "left").drop("a", "b")
+    return members.withColumns({d: F.coalesce(d, F.lit(0.0)) for d in ("d1", "d2")})
+
+
 def _between(members: DataFrame, labels: DataFrame, about: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs of members of one bucket that belong to different components so far.
 
@@ -233,7 +245,7 @@ def _between(members: DataFrame, labels: DataFrame, about: DataFrame, percent: i
     """
     of = lambda c, to: labels.withColumnsRenamed({"node": c, "label": to})
     m = members.join(of("rep", "own"), "rep", "left").join(of("leader", "main"), "leader", "left")
-    m = m.select("key", "rep", F.coalesce("own", "rep").alias("label"), (F.coalesce("own", "rep") == F.coalesce("main", "leader")).cast("int").alias("side"))
+    m = m.select("key", "slot", "rep", "d1", "d2", F.coalesce("own", "rep").alias("label"), (F.coalesce("own", "rep") == F.coalesce("main", "leader")).cast("int").alias("side"))
     counts = cut(m.groupBy("key").agg(F.sum("side").alias("mains"), F.sum(1 - F.col("side")).alias("others")).where("others > 0"))
     m = m.join(counts, "key").join(about, "rep")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -243,8 +255,8 @@ def _between(members: DataFrame, labels: DataFrame, about: DataFrame, percent: i
     inner = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     outer = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(0), F.greatest(blocks("mains") - 1, F.lit(0))), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), F.col("block").alias("j")))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
     laid = m.withColumn("cell", F.explode(F.when(F.col("side") == 1, against).otherwise(F.concat(inner, outer))))
-    group = laid.groupBy("key", "cell").agg(F.collect_list(F.struct("rep", "label", "n", "side", "sig")).alias("members"))
-    return group.where(F.size("members") > 1).select("cell.kind", "members").mapInArrow(_cross(percent, forest), "a long, b long").distinct()
+    group = laid.groupBy("key", "slot", "cell").agg(F.collect_list(F.struct("rep", "label", "n", "side", "d1", "d2", "sig")).alias("members"))
+    return group.where(F.size("members") > 1).select("cell.kind", "slot", "members").mapInArrow(_cross(percent, forest), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
