@@ -198,11 +198,15 @@ def pseudonymised(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     named = mentions.join(cut(assign(mentions, key)), ["kind", "canon"])
     written = F.struct("place", _written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("text"), "kind")
     by_doc = cut(named.groupBy("key1", "key2").agg(F.sort_array(F.collect_list(written)).alias("new")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col))
-    joined = rows.join(by_doc, ["key1", "key2"], "left")
+    # only texts with a cue are shuffled, and so at every size
+    has_cue = F.coalesce(text.rlike(CUE), F.lit(False))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col), has_cue.alias("has_cue"))
+    joined = rows.where("has_cue").join(by_doc.hint("merge"), ["key1", "key2"], "left")
     gaps = F.split("text", ENTITY, -1)
     merged = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i)["text"], F.lit("")))), "")
-    return joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(merged).alias("text"), F.coalesce(F.col("new.kind"), F.array().cast("array<string>")).alias("kinds"))
+    none = F.array().cast("array<string>")
+    changed = joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(merged).alias("text"), F.coalesce(F.col("new.kind"), none).alias("kinds"))
+    return changed.unionByName(rows.where("not has_cue").select("row", "text", none.alias("kinds")))
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
