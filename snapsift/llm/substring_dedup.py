@@ -142,7 +142,7 @@ def _filter_bits(bits: int):
     return run
 
 
-def _candidates(ranges: int, bits: int, held):
+def _candidates(ranges: int, doc_ranges: int, bits: int, held):
     """Documents -> index entries by range of fingerprints (kind 0), and the hits that this task finds itself by range of documents (kind 1)."""
 
     def run(batches):
@@ -166,12 +166,12 @@ def _candidates(ranges: int, bits: int, held):
                         places.append(at.astype(np.int32))
         if prints:
             fp, doc, place = np.concatenate(prints), np.concatenate(docs), np.concatenate(places)
-            yield from _split_hits(fp, doc, place, ranges, keep_least=True)
+            yield from _split_hits(fp, doc, place, doc_ranges, ranges)
 
     return run
 
 
-def _split_hits(fp: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int, keep_least: bool):
+def _split_hits(fp: np.ndarray, doc: np.ndarray, place: np.ndarray, doc_ranges: int, ranges: int = 0):
     """Entries of which a smaller document has the same window are hits; the others go on to their range, if asked for."""
     order = np.lexsort((doc, fp))
     fp, doc, place = fp[order], doc[order], place[order]
@@ -180,33 +180,33 @@ def _split_hits(fp: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int,
     hit = doc > least
     names = ["kind", "part", "prints", "docs", "places"]
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    if keep_least:
+    if ranges:
         f, d, p = fp[~hit], doc[~hit], place[~hit]
         bounds = _range_of(f, ranges)
         rows = [(0, k, f[a:b].tobytes(), d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         yield _batch(rows, names, types)
     d, p = doc[hit], place[hit]
-    part = (mix(d.view(U)) % U(ranges)).astype(np.int64)
+    part = (mix(d.view(U)) % U(doc_ranges)).astype(np.int64)
     order = np.lexsort((d, part))
     d, p, part = d[order], p[order], part[order]
-    bounds = np.searchsorted(part, np.arange(ranges + 1))
+    bounds = np.searchsorted(part, np.arange(doc_ranges + 1))
     rows = [(1, k, b"", d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     yield _batch(rows, names, types)
 
 
-def _look_up(ranges: int):
+def _look_up(doc_ranges: int):
     """All entries of a range meet: those with a smaller document's window are hits. Hits found before pass through."""
 
     def run(batches):
-        entries: dict[int, list] = {}
+        entries = []
         for batch in batches:
             mask = np.asarray(batch.column(0)) == 1
             yield batch.filter(pa.array(mask))
-            for part, *arrays in zip(*(batch.filter(pa.array(~mask)).column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                entries.setdefault(part, []).append(arrays)
-        for rows in entries.values():
-            columns = [np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in enumerate((U, np.int64, np.int32))]
-            yield from _split_hits(*columns, ranges, keep_least=False)
+            rest = batch.filter(pa.array(~mask))
+            entries += zip(*(rest.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+        if entries:
+            columns = [np.concatenate([np.frombuffer(e[k], dtype=t) for e in entries]) for k, t in enumerate((U, np.int64, np.int32))]
+            yield from _split_hits(*columns, doc_ranges)
 
     return run
 
@@ -250,8 +250,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         field[row.part * (bits // 8) : (row.part + 1) * (bits // 8)] = row.bits
     held = spark.sparkContext.broadcast(bytes(field))
     schema = "kind int, part int, prints binary, docs binary, places binary"
-    entries = docs.mapInArrow(_candidates(ranges, bits, held), schema)
-    hits = entries.repartition(n, "kind", "part").mapInArrow(_look_up(ranges), schema)
+    entries = docs.mapInArrow(_candidates(ranges, n, bits, held), schema)
+    hits = entries.repartition(n, "kind", "part").mapInArrow(_look_up(n), schema)
     return hits.repartition(n, "part").mapInArrow(_by_document, "hit_id long, hits binary")
 
 
