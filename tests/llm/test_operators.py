@@ -1,0 +1,284 @@
+"""Every operator against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing names, empty tables."""
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from snapsift.llm import byte_bpe, decontaminate, html_extract, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, row long, hits string, key1 long"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [text(rng.randint(5, 120)) for _ in range(60)]
+    shared = text(40)
+    for k in range(20):
+        base = texts[rng.randrange(20)].split()
+        if k % 2:
+            base[rng.randrange(len(base))] = "changed"
+        texts.append(" ".join(base))
+    texts += [f"{text(20)} {shared} {text(15)}" for _ in range(8)]
+    texts += ["", "   ", "one", "One two", "one TWO", "x " * 3000, "same line\nsame line\nother\n\n same line ", None, None, "é\tü\x0bß  ö"]
+    lines = "\n".join([text(60), "Accept our cookies", text(60)])
+    texts += [lines.replace("w1 ", f"w{k} ") for k in range(8)]
+    rows = [(k, t, "en" if k % 3 else None, f"s{k % 7}" if k % 11 else None, len(t or ""), "x", 1, "y", 2) for k, t in enumerate(texts)]
+    rows.append(rows[3])  # a repeated row
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(df, *columns):
+    return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def shingles(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_near_dedup_links_like_all_pairs(docs, none, corpus, words, percent):
+    sets = {i: shingles(t, words) for i, t, *_ in corpus}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = near_dedup.link(docs, words=words, percent=percent)
+    assert by_id(found, "n_shingles", "component_id", "kept") == {i: (len(sets[i]), top(i), top(i) == i) for i in ids}
+    kept = near_dedup.keep_one(docs, words=words, percent=percent)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in ids if top(i) == i}
+    assert near_dedup.link(none).count() == 0
+
+
+def test_signature_distance_is_guaranteed():
+    rng = random.Random(1)
+    import numpy as np
+
+    distance = near_dedup.distance_for(85)
+    for _ in range(200):
+        a = np.array([rng.randrange(1 << 16) for _ in range(near_dedup.POSITIONS)], dtype=np.uint16)
+        b = a.copy()
+        for at in rng.sample(range(near_dedup.POSITIONS), distance):
+            b[at] ^= rng.randrange(1, 1 << 16)
+        keys = near_dedup.bucket_keys(np.array([a, b]), distance)
+        assert (keys[0] == keys[1]).any()
+
+
+def test_near_dedup_keeps_null_ids(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.link(d).collect()), key=str) == [(1, 1, True), (2, 1, False), (None, None, True)]
+
+
+def test_quality_counts_and_verdicts(docs, none, corpus):
+    got = by_id(quality.quality(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for i, text, *_ in corpus:
+        t = text or ""
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
+        windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        cover = {k + d for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if line.strip(" \t\n\r\x0b\x0c"):
+                dup += line in seen
+                seen.add(line)
+        assert got[i] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)), i
+    assert quality.quality(none).count() == 0
+    kept = quality.keep_good(docs)
+    good = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == good
+
+
+def test_quality_buckets_are_tight(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 5000).select("id", quality.bucket_floor(quality.bucket(F.col("id"))).alias("low"), quality.bucket_floor(quality.bucket(F.col("id")) + 1).alias("high")).collect()
+    assert all(r.low <= r.id < r.high and r.high - r.low <= max(1, r.id / 16) for r in rows)
+
+
+def test_url_rules(spark):
+    urls = [
+        "https://a.Example.com/en/1", "http://example.com/en/71?x", "https://example.net/de/8", "http://x.net/de/1#f", "http://org/es/", "http://x.org/es", "no url", None,
+        "https://www.cheap-pills.example.com/fr/1", "https://cheap-pills.example.com/en/7", "://", "http://notexample.com/en/7", "https://e.com?/en/",
+    ]
+    pages = spark.createDataFrame([(k, u, "h", "p") for k, u in enumerate(urls)] + [(3, urls[3], "h", "p")], "page_id long, url string, host string, path string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.entries(spark)).collect()}
+    rules = [(h, p, v) for h, p, v in url_filter.RULES]
+    for k, u in enumerate(urls):
+        m = re.match(r"[^:]*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        listed = any(host == h or host.endswith("." + h) for h in url_filter.LISTED_HOSTS)
+        best = max(fits, default=None)
+        assert got[k] == (host, path, best[1] if best else None, best[2] if best else "block" if listed else "allow"), u
+    assert url_filter.judge_urls(pages.limit(0), url_filter.entries(spark)).count() == 0
+    empty = url_filter.entries(spark, [], [])
+    assert {r.verdict for r in url_filter.judge_urls(pages, empty).collect()} == {"allow"}
+
+
+ODD = ["", " ", "x ", "a  b\nc", "don't  we'll", "<|endoftext|>", "日本語 テスト 👍🏽", "x" * 300, " " * 40, "a\x00b \x1c x\x85 y", "<s> hi</s>", "▁▁a", "١٢ ½ é́"]
+
+
+def test_byte_bpe_is_the_library(spark, docs, none, corpus):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
+    got = by_id(byte_bpe.encode_decode(docs.select("doc_id", "text").union(more), path, public_tokenizers.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256")
+    for i, text in [(r[0], r[1]) for r in corpus] + [(1000 + k, t) for k, t in enumerate(ODD)]:
+        ids = library.encode_ordinary(text or "")
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        assert got[i] == want, text
+    assert byte_bpe.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_counts_are_the_library(spark, docs, none, corpus):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    more = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
+    got = by_id(token_counts.token_counts(docs.select("doc_id", "text").union(more), path, limit=50), "n_bytes", "n_tokens", "over_limit")
+    for i, text in [(r[0], r[1]) for r in corpus] + [(1000 + k, t) for k, t in enumerate(ODD)]:
+        n = len(library.encode(text or ""))
+        assert got[i] == (len((text or "").encode()), n, n > 50), text
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+def test_substring_dedup_is_exact(docs, none, corpus):
+    first = {}
+    texts = sorted({(i, t) for i, t, *_ in corpus})
+    width = substring_dedup.WIDTH
+    windows = {i: [tuple(w[k : k + width]) for k in range(len(w) - width + 1)] for i, t in texts for w in [(t or "").encode().split()]}
+    for i, _ in texts:
+        for g in windows[i]:
+            first.setdefault(g, i)
+    got = by_id(substring_dedup.remove_repeats(docs), "n_words", "n_removed", "kept")
+    for i, t in texts:
+        w = (t or "").encode().split()
+        gone = {k + d for k, g in enumerate(windows[i]) if first[g] < i for d in range(width)}
+        assert got[i] == (len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()), i
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_decontamination(spark, docs, none, corpus):
+    clean = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    source = clean(corpus[85][1])
+    items = [(1, " ".join(source[5:30])), (2, "One"), (3, None), (4, ""), (5, "Never seen anywhere"), (1, " ".join(source[5:30])), (12, "ONE,two"), (None, "w1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for blocks in (8 << 20, 1):
+        got = by_id(decontaminate.contamination(docs, bench, block_bytes=blocks), "n_words", "n_hit", "items", "contaminated")
+        for i, t, *_ in corpus:
+            w, hit, found = clean(t), set(), set()
+            for item, text in items:
+                x = clean(text)
+                n = min(10, len(x))
+                for a in range(len(x) - n + 1 if x else 0):
+                    for k in range(len(w) - n + 1):
+                        if w[k : k + n] == x[a : a + n]:
+                            hit |= set(range(k, k + n))
+                            found |= {item}
+            assert got[i] == (len(w), len(hit), sorted(found - {None}), bool(hit)), (i, blocks)
+    left = decontaminate.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, g in got.items() if not g[3]}
+    assert decontaminate.contamination(none, bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+    longest = {r.doc_id: r.matches for r in decontaminate.contamination(docs, bench).collect()}
+    assert any(m.item == 1 and m.words == 25 and m.item_at == 0 for m in longest[85])
+
+
+def test_line_dedup(docs, none, corpus):
+    sites, first = defaultdict(set), {}
+    rows = sorted({(r[0], r[1], r[3]) for r in corpus}, key=lambda r: r[0])
+    plain = lambda x: x.strip(" \t\x0b\x0c\r")
+    for i, t, site in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if plain(line):
+                sites[plain(line)] |= {site} - {None}
+                first.setdefault(plain(line), (i, k))
+    got = by_id(line_dedup.line_report(docs), "kept_text")
+    gone = set()
+    for i, t, _ in rows:
+        kept = [x for k, x in enumerate((t or "").split("\n")) if len(sites[plain(x)]) < 5 or first[plain(x)] == (i, k)]
+        assert got[i] == ("\n".join(kept),), i
+        if t and len(kept) < len(t.split("\n")) and not any(map(plain, kept)):
+            gone.add(i)
+    done = line_dedup.remove_boilerplate(docs)
+    assert done.columns == docs.columns and {r.doc_id for r in done.collect()} == {r[0] for r in rows} - gone
+    assert any(sites["Accept our cookies"]) and sum("Accept our cookies" in g[0] for g in got.values()) == 1
+    assert line_dedup.line_report(none).count() == 0
+
+
+def test_html_main_text(spark):
+    page = (
+        '<!doctype html><html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">C</div><!-- x --><article><h1>A &amp; B</h1>'
+        "<p>one<b>two</b>\n three<br>four<p>five<script>var a='</p>'</script><div class=\"ad\">Buy</div><ul><li>x<li>y</ul></article><section id=comments>No</section><footer>F</footer>"
+    )
+    odd = [None, "", "plain text", "<p>open <b>bold", "<main><p>m</p><form>f</form></main><aside>s</aside>", "<div><!-- never closed", page]
+    rows = [(k, "http://h.example.com/1", h, "t") for k, h in enumerate(odd)]
+    frame = "".join
+    rows += [(100 + k, f"http://site.example.org/{k}", frame(["<div class=top>Always the same</div><div class=body><p>text number ", str(k), "</p></div>"]), "t") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages).collect()}
+    want = ["", "", "plain text", "open bold", "m", "", "A & B onetwo three four five x y"]
+    assert [got[k] for k in range(len(odd))] == [(w, len(w)) for w in want]
+    assert all(got[100 + k][0] == f"text number {k}" for k in range(40))  # the style tree knows what every page of the site repeats
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_pii_surrogates(spark, docs, none, corpus):
+    texts = [
+        "Call +1 (017) 555-7713 or +10175557713, mail Und.34@mail7.example.com, und.34@mail7.example.com; v4.0.",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 7536784127813050 4111 1111 1111 1111 97.51.17.173',
+        "Mr. John Smith met Mrs. Anna JONES; Mr John Smith left.", None, "", "nothing here",
+    ]
+    d = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)] + [(0, texts[0], "s")], "doc_id long, text string, surrogate string")
+    got = by_id(pii.surrogates(d, "k"), "n_entities", "text")
+    a, b, c = got[0][1], got[1][1], got[2][1]
+    phones = re.findall(r"\+\d[\d ()-]+\d", a)
+    assert got[0][0] == 4 and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) and phones[0][:4] == "+1 (" and "v4.0." in a
+    mails = re.findall(r"\S+@[\w.]+\w", a)
+    assert len({m.lower() for m in mails}) == 1 and mails[0][0].isupper() and "Und.34" not in a
+    assert all(x not in b for x in ("04dbebab", "7536784127813050", "4111 1111 1111", "97.51.17.173")) and re.search(r'"[0-9a-f]{40}"', b)
+    card = [int(x) for x in re.sub(" ", "", re.search(r"\d{4} \d{4} \d{4} \d{4}", b)[0])]
+    assert sum(x if k % 2 else (x * 2 - 9 if x > 4 else x * 2) for k, x in enumerate(card)) % 10 == 0
+    names = re.findall(r"Mr\.? (\w+ \w+)", c)
+    assert names[0] == names[1] != "John Smith" and got[3] == (0, None) and got[4] == (0, "") and got[5] == (0, "nothing here")
+    assert by_id(pii.surrogates(docs, "k"), "text") == {r[0]: (r[1],) for r in corpus}
+    assert pii.surrogates(none, "k").count() == 0 and pii.pseudonymise(docs, "k").columns == docs.columns
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%03d%02d%04d", F.col("id") % 7, F.col("id") % 3, "id").alias("canon"))
+    got = pii.assign(many, "k").collect()
+    assert len({r.surrogate for r in got}) == len({r.canon for r in got}) == 3000 and not {r.surrogate for r in got} & {r.canon for r in got}
