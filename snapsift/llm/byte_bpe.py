@@ -118,9 +118,12 @@ class Encoder:
             self.chunks.clear()
         split = [self.split(t) for t in texts]
         new = {c: self.pattern.findall(c) for c in {c for x in split for c in x if c not in self.chunks}}
-        words = self.merge(list({w for x in new.values() for w in x}))
+        # a pre-token is a chunk of its own, so what was merged in one place serves in all
+        self.chunks |= self.merge(list({w for x in new.values() for w in x if w not in self.chunks}))
         for c, x in new.items():
-            got = [words[w] for w in x]
+            if len(x) == 1:
+                continue
+            got = [self.chunks[w] for w in x]
             self.chunks[c] = (b" ".join(g[0] for g in got), sum(g[1] for g in got), b"".join(g[2] for g in got))
         out = []
         for x in split:
