@@ -23,31 +23,44 @@ def category(prop: Column) -> Column:
     return out
 
 
-def within_tolerance(prop: Column, a: Column, b: Column, mode: Mode) -> Column:
-    """Whether two different values count as equal; the first rule that fits the property decides."""
-    x, y = css.parse_rgba(a), css.parse_rgba(b)
+def with_parsed(rows: DataFrame) -> DataFrame:
+    """Adds what the rules read many times: colours x and y, px amounts px_a and px_b, numbers num_a and num_b.
+
+    A generator makes columns of them, which projections above cannot fold back into their own expressions.
+    """
+    a, b = F.col("base_value"), F.col("compare_value")
+    pairs = {"x": css.parse_rgba(a), "y": css.parse_rgba(b), "px_a": css.parse_px(a), "px_b": css.parse_px(b), "num_a": css.leading_number(a), "num_b": css.leading_number(b)}
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in pairs.items()]))))
+
+
+PARSED = ["x", "y", "px_a", "px_b", "num_a", "num_b"]
+
+
+def within_tolerance(prop: Column, mode: Mode) -> Column:
+    """Whether two different values (parsed) count as equal; the first rule that fits the property decides."""
+    x, y = F.col("x"), F.col("y")
     channels = (F.abs(x["r"] - y["r"]) <= mode.color) & (F.abs(x["g"] - y["g"]) <= mode.color) & (F.abs(x["b"] - y["b"]) <= mode.color)
     alpha = F.coalesce(F.abs(x["a"] - y["a"]) <= 0.01, F.lit(False))
-    px = F.abs(css.parse_px(a) - css.parse_px(b)) <= mode.size
-    number = F.abs(css.leading_number(a) - css.leading_number(b)) <= mode.opacity
+    px = F.abs(F.col("px_a") - F.col("px_b")) <= mode.size
+    number = F.abs(F.col("num_a") - F.col("num_b")) <= mode.opacity
     is_color = prop.isin(*CATEGORIES["visual"]) | prop.contains("color")
     is_size = prop.isin(*CATEGORIES["layout"], *CATEGORIES["spacing"], *CATEGORIES["position"]) | prop.rlike("width|height|size")
     return F.when(is_color, F.coalesce(channels & alpha, F.lit(False))).when(is_size, F.coalesce(px, F.lit(False))).when(prop == "opacity", F.coalesce(number, F.lit(False))).otherwise(False)
 
 
 def severity(prop: Column, a: Column, b: Column, cat: Column) -> Column:
-    """The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
+    """Severity of a diff with parsed values. The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
     blocky = lambda v: v.isin("block", "flex", "grid", "inline-block")
-    pa, pb = css.parse_px(a), css.parse_px(b)
+    pa, pb = F.col("px_a"), F.col("px_b")
     share = F.when((pa != 0) & (pb != 0), F.abs(pb - pa) / pa)
     breaks = (
         F.when(prop == "display", (a == "none") | (b == "none") | (blocky(a) != blocky(b)))
         .when(prop == "position", a.isin("absolute", "fixed") | b.isin("absolute", "fixed"))
         .when(prop.isin("width", "height"), share > 0.5)
     )
-    light = F.abs(css.luminance(css.parse_rgba(a)) - css.luminance(css.parse_rgba(b)))
+    light = F.abs(css.luminance(F.col("x")) - css.luminance(F.col("y")))
     impact = (
-        F.when(prop == "opacity", F.abs(css.leading_number(a) - css.leading_number(b)) > 0.3)
+        F.when(prop == "opacity", F.abs(F.col("num_a") - F.col("num_b")) > 0.3)
         .when(prop.contains("color"), light > 0.4)
         .when(prop == "font-size", share > 0.25)
     )
@@ -87,8 +100,9 @@ def property_diffs(pairs: DataFrame, mode: Mode) -> DataFrame:
     rows = rows.select("pair_id", "b_ord", "c_ord", "property", F.inline(F.array(normal)))
     a, b = F.col("base_value"), F.col("compare_value")
     kind = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("modified")
-    rows = rows.where(~a.eqNullSafe(b) & ~((kind == "modified") & within_tolerance(p, a, b, mode)))
-    rows = rows.select("*", kind.alias("type"), category(p).alias("category"))
+    rows = with_parsed(rows.where(~a.eqNullSafe(b)))
+    rows = rows.where(~((kind == "modified") & within_tolerance(p, mode)))
+    rows = rows.select("*", kind.alias("type"), category(p).alias("category")).drop(*PARSED)
     return drop_current_color(rows)
 
 
@@ -121,7 +135,8 @@ def compare(matches: DataFrame, base: DataFrame, comp: DataFrame, mode: Mode) ->
     diffs = property_diffs(pairs, mode).unionByName(attribute_diffs(pairs, mode))
     if mode.text:
         diffs = diffs.unionByName(text_diffs(pairs))
-    return diffs.withColumn("severity", severity(F.col("property"), F.col("base_value"), F.col("compare_value"), F.col("category")))
+    ranked = severity(F.col("property"), F.col("base_value"), F.col("compare_value"), F.col("category"))
+    return with_parsed(diffs).withColumn("severity", ranked).drop(*PARSED)
 
 
 def worst(severities: Column) -> Column:
