@@ -56,27 +56,40 @@ def key_verdicts(base: DataFrame, comp: DataFrame, key: Column) -> DataFrame:
 
 
 def cascade(base: DataFrame, comp: DataFrame, strategies: list[tuple[str, float]], config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(matches, ambiguous) of key strategies in falling confidence: each sees only what the ones before left over."""
-    matches, ambiguous = None, None
-    strategies = strategies or [("id", 0.0)]  # none: nothing matches
-    for name, confidence in sorted(strategies, key=lambda s: -s[1]):
-        if confidence < config.min_match:
-            if matches is None:
-                nothing = base.select("pair_id", F.col("ord").alias("b_ord")).where(F.lit(False))
-                marks = [F.lit(confidence).alias("confidence"), F.lit(name).alias("strategy")]
-                matches = nothing.select("*", F.lit(None).cast("long").alias("c_ord"), *marks)
-                ambiguous = nothing.select("*", F.lit(None).cast("array<long>").alias("candidates"), *marks)
-            continue
-        left_b, left_c = base, comp
-        if matches is not None:
-            left_b = base.join(matches.select("pair_id", F.col("b_ord").alias("ord")).unionByName(ambiguous.select("pair_id", F.col("b_ord").alias("ord"))), ["pair_id", "ord"], "left_anti")
-            left_c = comp.join(matches.select("pair_id", F.col("c_ord").alias("ord")), ["pair_id", "ord"], "left_anti")
-        found = key_verdicts(left_b, left_c, strategy_key(name, config))
-        m = found.where("verdict = 'definitive'").select("pair_id", "b_ord", "c_ord", F.lit(confidence).alias("confidence"), F.lit(name).alias("strategy"))
-        a = found.where("verdict = 'ambiguous'").select("pair_id", "b_ord", "candidates", F.lit(confidence).alias("confidence"), F.lit(name).alias("strategy"))
-        matches = m if matches is None else matches.unionByName(m)
-        ambiguous = a if ambiguous is None else ambiguous.unionByName(a)
-    return matches, ambiguous
+    """(matches, ambiguous) of key strategies in falling confidence: each sees only what the ones before left over.
+
+    Both sides are dealt by ``pair_id`` once; every strategy is then one window over the elements that share its key, so
+    the plan grows by one step a strategy and shuffles nothing more. An ambiguous element is settled; its candidates stay open.
+    """
+    used = [s for s in sorted(strategies, key=lambda s: -s[1]) if s[1] >= config.min_match]
+    keys = [strategy_key(name, config).alias(f"key{k}") for k, (name, _) in enumerate(used)]
+    ord_type = base.schema["ord"].dataType.simpleString()
+    rows = base.select("pair_id", "ord", F.lit("b").alias("side"), *keys).unionByName(comp.select("pair_id", "ord", F.lit("c").alias("side"), *keys))
+    empty = {"settled": "boolean", "c_ord": ord_type, "candidates": f"array<{ord_type}>", "confidence": "double", "strategy": "string"}
+    rows = rows.repartition("pair_id").withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
+    for k, (name, confidence) in enumerate(used):
+        keyed = F.col("settled").isNull() & F.col(f"key{k}").isNotNull()
+        # an element without a key, or settled, is alone in its slot
+        slot = F.when(keyed, F.concat(F.lit("="), f"key{k}")).otherwise(F.concat_ws("|", "side", "ord"))
+        rows = rows.withColumns({"keyed": keyed, "slot": slot})
+        same = Window.partitionBy("pair_id", "slot")
+        of = lambda side: F.when(F.col("keyed") & (F.col("side") == side), F.col("ord"))
+        rows = rows.withColumns({"found": F.sort_array(F.collect_list(of("c")).over(same)), "first": F.min(of("b")).over(same)})
+        n = F.size("found")
+        pair = F.col("keyed") & (n == 1) & ((F.col("ord") == F.col("first")) | (F.col("side") == "c")) & F.col("first").isNotNull()
+        doubt = F.col("keyed") & (n >= 2) & (F.col("side") == "b")
+        rows = rows.withColumns(
+            {
+                "settled": F.when(pair | doubt, True).otherwise(F.col("settled")),
+                "c_ord": F.when(pair, F.col("found")[0]).otherwise(F.col("c_ord")),
+                "candidates": F.when(doubt, F.col("found")).otherwise(F.col("candidates")),
+                "confidence": F.when(pair | doubt, F.lit(confidence)).otherwise(F.col("confidence")),
+                "strategy": F.when(pair | doubt, F.lit(name)).otherwise(F.col("strategy")),
+            }
+        ).drop("keyed", "slot", "found", "first", f"key{k}")
+    mine = rows.where("side = 'b'").withColumnRenamed("ord", "b_ord")
+    out = lambda c: mine.where(F.col(c).isNotNull()).select("pair_id", "b_ord", c, "confidence", "strategy")
+    return out("c_ord"), out("candidates")
 
 
 def nearest(base: DataFrame, comp: DataFrame, cell: int = DEFAULT.cell_px) -> DataFrame:
@@ -156,7 +169,8 @@ def align(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> D
     """
     cols = ["pair_id", "ord", "hpid", "tag_name"]
     schema = "pair_id long, event string, b_ord long, c_ord long, confidence double, strategy string"
-    return base.select(*cols).groupBy("pair_id").cogroup(comp.select(*cols).groupBy("pair_id")).applyInPandas(_align(config), schema)
+    own = [F.col(c).alias(c) for c in cols]  # a report can be aligned with itself
+    return base.select(*cols).groupBy("pair_id").cogroup(comp.select(*own).groupBy("pair_id")).applyInPandas(_align(config), schema)
 
 
 def match(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
