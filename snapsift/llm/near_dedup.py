@@ -9,7 +9,8 @@ chunk in turn) makes them meet in a bucket: every pair under the distance is fou
 Equal sets are one representative (their smallest id), so exact copies never meet. In a bucket, all members are first measured
 against two leaders; confirmed links make components, and later rounds look only at members of different components, in
 blocks of ``BLOCK`` members: one round proposes a spanning forest of the closest pairs, the last one every pair that is left. The distances
-to the leaders rule out most of these by the triangle inequality. No bucket is ever held by one task, and no pair inside a
+to the leaders rule out most of these by the triangle inequality, and a longer signature (``LONG`` minima of a byte, made only for
+members of open buckets, with a threshold of its own by the same rule) most of the others before a text is looked at. No bucket is ever held by one task, and no pair inside a
 component is emitted again, so a large group costs a few rows for each member.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing (component is the own id); a null
@@ -31,6 +32,8 @@ from .components import components
 
 POSITIONS = 64
 MISSED = 1e-5
+LONG = 512
+LONG_MISSED = 1e-6
 BLOCK = 512
 #: Most ids that are broadcast to pick documents (8 bytes each); beyond it the ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -38,14 +41,17 @@ BROADCAST_IDS = 1_000_000
 _ODD = (np.random.default_rng(20240501).integers(1, 2**63, POSITIONS, dtype=np.uint64) << U(1)) | U(1)
 
 
-def distance_for(percent: int) -> int:
-    """The signature distance that pairs of the least similarity stay within, but for a share of ``MISSED``."""
+_LONG_ODD = (np.random.default_rng(20240502).integers(1, 2**63, LONG, dtype=np.uint64) << U(1)) | U(1)
+
+
+def distance_for(percent: int, positions: int = POSITIONS, missed: float = MISSED) -> int:
+    """The signature distance that pairs of the least similarity stay within, but for a share of ``missed``."""
     p, tail = 1 - percent / 100, 1.0
-    for t in range(POSITIONS):
-        tail -= math.comb(POSITIONS, t) * p**t * (1 - p) ** (POSITIONS - t)
-        if tail < MISSED:
+    for t in range(positions):
+        tail -= math.comb(positions, t) * p**t * (1 - p) ** (positions - t)
+        if tail < missed:
             return t
-    return POSITIONS
+    return positions
 
 
 def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -55,13 +61,24 @@ def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(words, len(hashes))) + U(min(words, len(hashes))))
 
 
+def _minima(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Each position's minimum, finalised so that its bits are spread evenly."""
+    out = np.full(len(odd), np.iinfo(np.uint64).max, dtype=U)
+    step = (1 << 18) // len(odd)
+    for start in range(0, len(shingles), step):
+        part = mix(shingles[start : start + step])
+        out = np.minimum(out, (part[:, None] * odd).min(0))
+    return mix(out)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The 16 highest bits of each position's minimum, finalised so that they are spread evenly."""
-    out = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=U)
-    for start in range(0, len(shingles), 4096):
-        part = mix(shingles[start : start + 4096])
-        out = np.minimum(out, (part[:, None] * _ODD).min(0))
-    return (mix(out) >> U(48)).astype(np.uint16)
+    """The 16 highest bits of each position's minimum."""
+    return (_minima(shingles, _ODD) >> U(48)).astype(np.uint16)
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """The highest byte of each minimum of the longer signature."""
+    return (_minima(shingles, _LONG_ODD) >> U(56)).astype(np.uint8)
 
 
 def bucket_keys(signatures: np.ndarray, distance: int) -> np.ndarray:
@@ -122,6 +139,7 @@ def _cross(percent: int, forest: bool):
     """
     distance, chunks, far = distance_for(percent), distance_for(percent) // 2 + 1, 1 - percent / 100 + 1e-9
     bounds = np.linspace(0, POSITIONS, chunks + 1).round().astype(int)
+    long_distance = distance_for(percent, LONG, LONG_MISSED)
 
     def first_slot(differ: np.ndarray) -> np.ndarray:
         """The first slot in which each pair (a row of differing positions) meets."""
@@ -134,14 +152,16 @@ def _cross(percent: int, forest: bool):
         rep = np.array([m["rep"] for m in members])
         label, n, side, d1, d2 = (np.array([m[k] for m in members]) for k in ("label", "n", "side", "d1", "d2"))
         sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, POSITIONS)
+        long = np.frombuffer(b"".join(m["long"] for m in members), dtype=np.uint8).reshape(-1, LONG)
         found = []
         for i in range(len(rep)):
             j = np.flatnonzero((rep > rep[i]) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.abs(d1 - d1[i]) <= far) & (np.abs(d2 - d2[i]) <= far) & ((side != side[i]) if kind else (side == 0)))
             if len(j):
                 differ = sig[j] != sig[i]
                 j, differ = j[(here := first_slot(differ) == slot)], differ[here]
-                d = differ.sum(1)
-                found += [(int(dd), i, int(jj)) for dd, jj in zip(d[d <= distance], j[d <= distance], strict=True)]
+                j = j[differ.sum(1) <= distance]
+                d = (long[j] != long[i]).sum(1)
+                found += [(int(dd), i, int(jj)) for dd, jj in zip(d[d <= long_distance], j[d <= long_distance], strict=True)]
         if not forest:
             return [(int(rep[i]), int(rep[j])) for _, i, j in found]
         root = {x: x for x in label.tolist()}
@@ -170,10 +190,29 @@ def _cross(percent: int, forest: bool):
     return run
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (id, text) whose ids are listed; the list is broadcast only where its count bounds its size."""
+    needed = cut(ids.distinct())
+    return docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
+
+
+def _long_signatures(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """rep, long: the longer signature of each member of an open bucket."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for whole in batches:
+            for batch in slices(whole, 1):
+                made = [long_signature(shingle_set(hashes.of((t or b"").lower().split()), words)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rep", "long"])
+
+    picked = _with_ids(docs, members.select(F.col("rep").alias("id")))
+    return picked.mapInArrow(run, "rep long, long binary").dropDuplicates(["rep"])
+
+
 def _measure(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) with the distance of their full shingle sets and whether they link."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    picked = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
+    picked = _with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def sets(batches):
         hashes = WordHashes()
@@ -218,8 +257,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     known = cut(_measure(stars, rows, words, percent))
     labels = components(known.where("linked").select("a", "b"))
     tried, open_members = known.select("a", "b"), cut(_with_distances(members.where("size > 2"), known))
+    about = cut(reps.select("rep", "n", "sig").join(_long_signatures(open_members, rows, words), "rep"))
     for forest in (True, False):
-        pairs = cut(_between(open_members, labels, reps.select("rep", "n", "sig"), percent, forest).join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(_between(open_members, labels, about, percent, forest).join(tried, ["a", "b"], "left_anti"))
         found = _measure(pairs, rows, words, percent).where("linked").select("a", "b")
         tried = tried.unionByName(pairs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
@@ -255,7 +295,7 @@ def _between(members: DataFrame, labels: DataFrame, about: DataFrame, percent: i
     inner = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     outer = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(0), F.greatest(blocks("mains") - 1, F.lit(0))), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), F.col("block").alias("j")))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
     laid = m.withColumn("cell", F.explode(F.when(F.col("side") == 1, against).otherwise(F.concat(inner, outer))))
-    group = laid.groupBy("key", "slot", "cell").agg(F.collect_list(F.struct("rep", "label", "n", "side", "d1", "d2", "sig")).alias("members"))
+    group = laid.groupBy("key", "slot", "cell").agg(F.collect_list(F.struct("rep", "label", "n", "side", "d1", "d2", "sig", "long")).alias("members"))
     return group.where(F.size("members") > 1).select("cell.kind", "slot", "members").mapInArrow(_cross(percent, forest), "a long, b long").distinct()
 
 
