@@ -2,9 +2,10 @@
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, phone numbers, social security numbers, payment cards, IBANs, secrets
 (long hexadecimal strings, quoted values after = or :) and persons after a title. Mentions that differ only in writing (case,
-spaces, punctuation) have one canonical form, and one surrogate: a keyed SHA-256 of the canonical form shifts every letter and
+spaces, punctuation) have one canonical form, and one surrogate: a keyed SHA-256 of the canonical form moves every letter and
 digit inside its own alphabet, so script, case, length and punctuation stay; IPs get valid octets, cards keep a valid check digit, titled
-names get a name of the title's gender. All distinct entities are checked together: a surrogate that two entities share, or that is an
+names get a name of the title's gender in their own script. In e-mails, names and quoted secrets a
+character of any other alphabet is drawn from its script's (from the Latin one where the script has none here), and none stays itself. All distinct entities are checked together: a surrogate that two entities share, or that is an
 entity itself, is drawn again for all but the smallest, until all are distinct; every mention is then written in its own format.
 
 Defined results: null or empty texts stay as they are and have no entities; documents without entities are unchanged; repeated rows get the
@@ -19,25 +20,27 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
+MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "г-н", "Κύριος", "κύριος"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа", "г-жа", "Κυρία", "κυρία"]
 NEUTRAL = ["Dr"]
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: A name starts with a capital, or is of a script without case.
+_NAME = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]+"
 #: Of kinds that match a mention, the first counts.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])|(?<=[=:] ?\")[^\"\s]{16,}(?=\")",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])|(?<=[=:] ?\")[^\"\s]{16,}(?=\")",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity.
-CUE = rf"[0-9@]|[=:] ?\"|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
+CUE = rf"[0-9@]|[=:] ?\"|(?<!\p{{L}})(?:{_TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
 DIGITS_ONLY = ["phone", "ssn", "card"]
 ALPHABETS = [
     "0123456789",
@@ -50,9 +53,43 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
+#: What other characters become: the first class that fits gives the alphabet.
+SCRIPTS = [
+    (r"[\p{IsLatin}&&\p{Lu}]", ALPHABETS[4]),
+    (r"\p{IsLatin}", ALPHABETS[3]),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", ALPHABETS[6]),
+    (r"\p{IsCyrillic}", ALPHABETS[5]),
+    (r"[\p{IsGreek}&&\p{Lu}]", ALPHABETS[8]),
+    (r"\p{IsGreek}", ALPHABETS[7]),
+    (r"\p{IsHan}", "安白百北本长成城春大东方飞风高光国海和红华江金军开乐李力林龙马美明木南宁平青清泉日山石水天田王文西小新星雪阳永玉月云中竹子"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+    (r"\p{IsHangul}", "가강고구규근기김나남다도동라로리마명미민박보서석선성소수승신아영예오용우원유윤은이인재정주준지진창최태하한현혜호희"),
+    (r"[\u0660-\u0669]", "٠١٢٣٤٥٦٧٨٩"),
+    (r"[\u06F0-\u06F9]", "۰۱۲۳۴۵۶۷۸۹"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{IsThai}", "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอ"),
+    (r"[\u0966-\u096F]", "०१२३४५६७८९"),
+    (r"\p{IsDevanagari}", "अआइईउएओकखगघचछजझटठडढणतथदधनपफबभमयरलवशसह"),
+    (r"\p{IsBengali}", "অআইঈউএওকখগঘচছজঝটঠডঢণতথদধনপফবভমযরলশসহ"),
+    (r"\p{IsTamil}", "அஆஇஈஉஎஏஒகசஞடணதநபமயரலவழளறன"),
+    (r"[\p{IsArmenian}&&\p{Lu}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՓՔՕՖ"),
+    (r"\p{IsArmenian}", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"),
+    (r"\p{IsGeorgian}", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    (r"\p{N}", ALPHABETS[0]),
+    (r"\p{Lu}", ALPHABETS[2]),
+    (r"[^\p{P}\p{Z}]", ALPHABETS[1]),
+]
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 SYLLABLES = ["ba", "be", "da", "do", "fe", "ga", "ja", "ka", "ki", "la", "le", "li", "ma", "me", "mi", "na", "ne", "ni", "ra", "re", "ri", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vi", "wa", "zo"]
 ENDINGS = {"m": ["n", "s", "rd", "k"], "f": ["a", "lla", "na", "ssa"], "n": ["l", "r", "m", "x"]}
+CYRILLIC = ["ба", "бе", "ва", "ви", "га", "да", "до", "за", "зо", "ка", "ки", "ла", "ле", "ли", "ма", "ме", "ми", "на", "не", "ни", "па", "по", "ра", "ре", "ри", "са", "се", "та", "те", "то", "фе", "ша"]
+CYRILLIC_ENDINGS = {"m": ["н", "в", "р", "к"], "f": ["ва", "на", "ия", "ша"], "n": ["ко", "м", "х", "л"]}
+GREEK = ["βα", "βε", "γα", "δα", "δο", "ζα", "θα", "θε", "κα", "κι", "κο", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "νι", "πα", "πο", "ρα", "ρε", "ρι", "σα", "σο", "τα", "τε", "το", "φα", "χα"]
+GREEK_ENDINGS = {"m": ["ος", "ης", "ας", "ις"], "f": ["α", "η", "νια", "σα"], "n": ["ξ", "κι", "ν", "ρ"]}
+#: Scripts whose names are made of syllables; names of other scripts have their letters drawn.
+NAMES = [(r"\p{IsLatin}", SYLLABLES, ENDINGS), (r"\p{IsCyrillic}", CYRILLIC, CYRILLIC_ENDINGS), (r"\p{IsGreek}", GREEK, GREEK_ENDINGS)]
 DRAWS = 50
 
 
@@ -93,16 +130,34 @@ def _draw(h: Column, i: Column) -> Column:
 def _shift(c: Column, k: Column, alphabets: list[str]) -> Column:
     """A character moved inside its own alphabet; others stay."""
     moved = c
-    for a in alphabets:
+    for a in reversed(alphabets):
         at = F.call_function("instr", F.lit(a), c)
         moved = F.when(at > 0, F.substring(F.lit(a), F.pmod(at - 1 + k, F.lit(len(a))) + 1, F.lit(1))).otherwise(moved)
     return moved
 
 
-def _shifted(text: Column, h: Column, alphabets: list[str] = ALPHABETS) -> Column:
+def _other(c: Column, k: Column) -> Column:
+    """Another character of the character's alphabet, or one of its script's, never itself; punctuation and spaces stay."""
+    letter = lambda a, at: F.substring(F.lit(a), at + 1, F.lit(1))
+    at = lambda a: F.call_function("instr", F.lit(a), c) - 1
+    next_to = lambda a: letter(a, F.pmod(at(a) + 1 + F.pmod(k, F.lit(len(a) - 1)), F.lit(len(a))))
+    drawn = c
+    for script, a in reversed(SCRIPTS):
+        drawn = F.when(c.rlike(script), F.when(at(a) >= 0, next_to(a)).otherwise(letter(a, F.pmod(k, F.lit(len(a)))))).otherwise(drawn)
+    drawn = F.when(c.rlike(r"\p{ASCII}"), c).otherwise(drawn)
+    for a in reversed(ALPHABETS):
+        drawn = F.when(at(a) >= 0, next_to(a)).otherwise(drawn)
+    return drawn
+
+
+def _shifted(text: Column, h: Column, alphabets: list[str]) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: _shift(c, _draw(h, i), alphabets)), "")
 
 
+def _redrawn(text: Column, h: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: _other(c, _draw(h, i))), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The check sum of a number whose last digit is its check digit (0 if valid)."""
     value = lambda d, i: F.when(F.pmod(i, F.lit(2)) == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
@@ -111,33 +166,39 @@ def _luhn(digits: Column) -> Column:
 
 
 def _name(canon: Column, h: Column) -> Column:
-    """As many made-up names as the original has, with the ending of the gender."""
+    """As many made-up names as the original has, each in the original's script, with the ending of the gender."""
     pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(_draw(h, i), F.lit(len(words))))
     gender, names = F.substring(canon, 1, 1), F.split(F.substring(canon, 3, 1 << 20), " ")
-    end = lambda i: F.when(gender == "m", pick(ENDINGS["m"], i)).when(gender == "f", pick(ENDINGS["f"], i)).otherwise(pick(ENDINGS["n"], i))
-    made = F.transform(names, lambda _, i: F.concat(*[pick(SYLLABLES, i * 6 + k) for k in range(4)], end(i * 6 + 4)))
-    return F.concat(gender, F.lit("|"), F.array_join(made, " "))
+
+    def made(name, i):
+        found = _redrawn(name, h)
+        for script, syllables, endings in reversed(NAMES):
+            end = F.when(gender == "m", pick(endings["m"], i * 6 + 4)).when(gender == "f", pick(endings["f"], i * 6 + 4)).otherwise(pick(endings["n"], i * 6 + 4))
+            found = F.when(name.rlike(f"^{script}"), F.concat(*[pick(syllables, i * 6 + k) for k in range(4)], end)).otherwise(found)
+        return found
+
+    return F.concat(gender, F.lit("|"), F.array_join(F.transform(names, made), " "))
 
 
 def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate's canonical form."""
     h = F.sha2(F.concat_ws("\n", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    moved = F.concat(F.substring(canon, 1, 1), _shifted(F.substring(canon, 2, 1 << 20), h))
+    moved = F.concat(F.substring(canon, 1, 1), _shifted(F.substring(canon, 2, 1 << 20), h, ALPHABETS[:1]))
     body = F.substring(moved, F.lit(1), F.length(moved) - 1)
     checked = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     octets = [F.lit(1) + F.pmod(_draw(h, F.lit(0)), F.lit(223)), *[_draw(h, F.lit(k)) for k in (1, 2, 3)]]
-    local = _shifted(F.substring_index(canon, "@", 1), h)
+    local = _redrawn(F.substring_index(canon, "@", 1), h)
     domain = F.concat(F.lit("mail"), F.pmod(_draw(h, F.lit(30)), F.lit(10)).cast("string"), F.lit(".example."), F.get(F.array(F.lit("org"), F.lit("net"), F.lit("com")), F.pmod(_draw(h, F.lit(31)), F.lit(3))))
     return (
         F.when(kind == "email", F.concat(local, F.lit("@"), domain))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(moved))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _shifted(F.substring(canon, 3, 1 << 20), h)))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _shifted(F.substring(canon, 3, 1 << 20), h, ALPHABETS[:3])))
         .when(kind == "person", _name(canon, h))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _shifted(canon, h, HEX[:1]))
         .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), _shifted(canon, h, HEX[1:]))
         .when(kind.isin(*DIGITS_ONLY), moved)
-        .otherwise(_shifted(canon, h))
+        .otherwise(_redrawn(canon, h))
     )
 
 

@@ -282,3 +282,27 @@ def test_pii_surrogates_stay_distinct(spark):
     many = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%03d%02d%04d", F.col("id") % 7, F.col("id") % 3, "id").alias("canon"))
     got = pii.assign(many, "k").collect()
     assert len({r.surrogate for r in got}) == len({r.canon for r in got}) == 3000 and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
+FOREIGN = ["王小明", "やまだ", "ヤマダ", "김철수", "محمد", "דוד", "สมชายที่", "łukąsz", "čeněk", "şığ", "ţară", "їжак", "αλέξης", "राम", "աննա", "ანა", "ጸሀይ", "٣٤", "a", "7", "x²"]
+
+
+def test_pii_surrogates_keep_no_letter_of_any_script(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"write {x}@mail.example.com now" for x in FOREIGN] + ["Dr. Иван Петров left", "г-жа Анна Їжак left", "Mr Νίκος left", "Dr 王小明 left", f"key {'0a1b' * 60} end", 'k = "пароль王密碼їжакłódź-şifre"']
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.surrogates(d, "k"), "n_entities", "text")
+    for k, local in enumerate(FOREIGN):
+        new = re.fullmatch(r"write (.+)@mail\d\.example\.\w+ now", got[k][1])[1]
+        assert len(new) == len(local) and all(a != b for a, b in zip(new, local, strict=True)), (local, new)
+    at = len(FOREIGN)
+    assert re.fullmatch(r"Dr\. [А-Я][а-я]+ [А-Я][а-я]+ left", got[at][1]) and "Иван" not in got[at][1]
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+ left", got[at + 1][1]) and "Їжак" not in got[at + 1][1]
+    assert re.fullmatch(r"Mr [Α-Ω][α-ω]+ left", got[at + 2][1]) and re.fullmatch(r"Dr [一-龥]{3} left", got[at + 3][1]) and "王" not in got[at + 3][1][3]
+    assert got[at + 4][0] == 1 and re.fullmatch(r"key [0-9a-f]{240} end", got[at + 4][1]) and "0a1b0a1b" not in got[at + 4][1]
+    secret = got[at + 5][1][5:-1]
+    assert all(a != b or a == "-" for a, b in zip(secret, texts[at + 5][5:-1], strict=True))
+    chars = [chr(c) for c in range(0x80, 0x30000, 7)]
+    letters = spark.createDataFrame([(c,) for c in chars], "c string").where(F.col("c").rlike(r"[\p{L}\p{N}\p{M}]"))
+    assert letters.count() > 5000 and letters.where(pii._other(F.col("c"), F.lit(26)) == F.col("c")).count() == 0
