@@ -6,7 +6,8 @@ spaces, punctuation) have one canonical form, and one surrogate: a keyed SHA-256
 digit inside its own alphabet, so script, case, length and punctuation stay; IPs get valid octets, cards keep a valid check digit, titled
 names get a name of the title's gender in their own script. In e-mails, names and quoted secrets a
 character of any other alphabet is drawn from its script's (from the Latin one where the script has none here), and none stays itself. All distinct entities are checked together: a surrogate that two entities share, or that is an
-entity itself, is drawn again for all but the smallest, until all are distinct; every mention is then written in its own format.
+entity itself, is drawn again for all but the smallest, until all are distinct; from some draw on a surrogate grows by ``GROWTH`` characters
+a draw (in an e-mail's domain, a name's syllables, else at its end; IPs become IPv6 ones), so that there are always enough; every mention is then written in its own format.
 
 Defined results: null or empty texts stay as they are and have no entities; documents without entities are unchanged; repeated rows get the
 same surrogates; a null id is kept; other columns are ignored by ``surrogates`` and kept by ``pseudonymise``; an empty table
@@ -81,6 +82,12 @@ SCRIPTS = [
     (r"\p{Lu}", ALPHABETS[2]),
     (r"[^\p{P}\p{Z}]", ALPHABETS[1]),
 ]
+#: All alphabets in a row; of each its start and size, and of each letter its alphabet.
+TABLE = list(dict.fromkeys([*ALPHABETS, *[a for _, a in SCRIPTS]]))
+LETTERS = "".join(TABLE)
+SIZES = [len(a) for a in TABLE]
+STARTS = [sum(SIZES[:k]) for k in range(len(TABLE))]
+OWNER = [k for k, a in enumerate(TABLE) for _ in a]
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 SYLLABLES = ["ba", "be", "da", "do", "fe", "ga", "ja", "ka", "ki", "la", "le", "li", "ma", "me", "mi", "na", "ne", "ni", "ra", "re", "ri", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vi", "wa", "zo"]
 ENDINGS = {"m": ["n", "s", "rd", "k"], "f": ["a", "lla", "na", "ssa"], "n": ["l", "r", "m", "x"]}
@@ -90,7 +97,11 @@ GREEK = ["βα", "βε", "γα", "δα", "δο", "ζα", "θα", "θε", "κα",
 GREEK_ENDINGS = {"m": ["ος", "ης", "ας", "ις"], "f": ["α", "η", "νια", "σα"], "n": ["ξ", "κι", "ν", "ρ"]}
 #: Scripts whose names are made of syllables; names of other scripts have their letters drawn.
 NAMES = [(r"\p{IsLatin}", SYLLABLES, ENDINGS), (r"\p{IsCyrillic}", CYRILLIC, CYRILLIC_ENDINGS), (r"\p{IsGreek}", GREEK, GREEK_ENDINGS)]
-DRAWS = 50
+#: Draws of a surrogate's usual size: of e-mails and names, which may grow without losing their format, and of others.
+DRAWS = {"email": 2, "person": 2}
+DRAWS_OTHERS = 12
+#: Characters that every further draw adds.
+GROWTH = 2
 
 
 def _kind(mention: Column) -> Column:
@@ -136,26 +147,28 @@ def _shift(c: Column, k: Column, alphabets: list[str]) -> Column:
     return moved
 
 
-def _other(c: Column, k: Column) -> Column:
-    """Another character of the character's alphabet, or one of its script's, never itself; punctuation and spaces stay."""
-    letter = lambda a, at: F.substring(F.lit(a), at + 1, F.lit(1))
-    at = lambda a: F.call_function("instr", F.lit(a), c) - 1
-    next_to = lambda a: letter(a, F.pmod(at(a) + 1 + F.pmod(k, F.lit(len(a) - 1)), F.lit(len(a))))
-    drawn = c
-    for script, a in reversed(SCRIPTS):
-        drawn = F.when(c.rlike(script), F.when(at(a) >= 0, next_to(a)).otherwise(letter(a, F.pmod(k, F.lit(len(a)))))).otherwise(drawn)
-    drawn = F.when(c.rlike(r"\p{ASCII}"), c).otherwise(drawn)
-    for a in reversed(ALPHABETS):
-        drawn = F.when(at(a) >= 0, next_to(a)).otherwise(drawn)
-    return drawn
-
-
 def _shifted(text: Column, h: Column, alphabets: list[str]) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: _shift(c, _draw(h, i), alphabets)), "")
 
 
 def _redrawn(text: Column, h: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: _other(c, _draw(h, i))), "")
+    """Each character becomes another one of its alphabet, or one of its script's, never itself; punctuation and spaces stay."""
+    entry = lambda values, i: F.get(F.lit(values), i)
+    split = F.transform(F.split(text, ""), lambda c: F.struct(c.alias("c"), (F.call_function("instr", F.lit(LETTERS), c) - 1).alias("at")))
+
+    def known(x):
+        found = F.lit(-1)
+        for kind, a in reversed(SCRIPTS):
+            found = F.when(x["c"].rlike(kind), F.lit(TABLE.index(a))).otherwise(found)
+        found = F.when(x["at"] >= 0, entry(OWNER, x["at"])).when(x["c"].rlike(r"\p{ASCII}"), F.lit(-1)).otherwise(found)
+        return F.struct(x["c"].alias("c"), x["at"].alias("at"), found.alias("a"))
+
+    def drawn(x, i):
+        start, size, k = entry(STARTS, x["a"]), entry(SIZES, x["a"]), _draw(h, i)
+        to = F.when(x["at"] >= 0, F.pmod(x["at"] - start + 1 + F.pmod(k, size - 1), size)).otherwise(F.pmod(k, size))
+        return F.when(x["a"] < 0, x["c"]).otherwise(F.substring(F.lit(LETTERS), start + to + 1, F.lit(1)))
+
+    return F.array_join(F.transform(F.transform(split, known), drawn), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -165,7 +178,7 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def _name(canon: Column, h: Column) -> Column:
+def _name(canon: Column, h: Column, more: Column, further: Column) -> Column:
     """As many made-up names as the original has, each in the original's script, with the ending of the gender."""
     pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(_draw(h, i), F.lit(len(words))))
     gender, names = F.substring(canon, 1, 1), F.split(F.substring(canon, 3, 1 << 20), " ")
@@ -174,31 +187,48 @@ def _name(canon: Column, h: Column) -> Column:
         found = _redrawn(name, h)
         for script, syllables, endings in reversed(NAMES):
             end = F.when(gender == "m", pick(endings["m"], i * 6 + 4)).when(gender == "f", pick(endings["f"], i * 6 + 4)).otherwise(pick(endings["n"], i * 6 + 4))
-            found = F.when(name.rlike(f"^{script}"), F.concat(*[pick(syllables, i * 6 + k) for k in range(4)], end)).otherwise(found)
-        return found
+            extra = F.array_join(F.transform(F.slice(F.split(further, ""), 1, more), lambda c: F.get(F.array(*[F.lit(w) for w in syllables]), F.conv(c, 16, 10).cast("int"))), "")
+            extra = F.when(i == 0, extra).otherwise("")
+            found = F.when(name.rlike(f"^{script}"), F.concat(extra, *[pick(syllables, i * 6 + k) for k in range(4)], end)).otherwise(found)
+        grown = (i == 0) & ~name.rlike("^(?:" + "|".join(n for n, *_ in NAMES) + ")")
+        latin = F.array_join(F.transform(F.slice(F.split(further, ""), 1, more), lambda c: F.get(F.array(*[F.lit(w) for w in SYLLABLES]), F.conv(c, 16, 10).cast("int"))), "")
+        return F.concat(found, F.when(grown, latin).otherwise(""))
 
     return F.concat(gender, F.lit("|"), F.array_join(F.transform(names, made), " "))
 
 
-def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's canonical form."""
-    h = F.sha2(F.concat_ws("\n", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    moved = F.concat(F.substring(canon, 1, 1), _shifted(F.substring(canon, 2, 1 << 20), h, ALPHABETS[:1]))
+def _with_hashes(entities: DataFrame, key: str) -> DataFrame:
+    """Adds h, the keyed hash of a draw; further, one for the characters that a surrogate grows by; and more, how many these are."""
+    kind = F.col("kind")
+    usual = F.coalesce(F.create_map(*[F.lit(x) for kv in DRAWS.items() for x in kv])[kind], F.lit(DRAWS_OTHERS))
+    rows = entities.withColumn("h", F.sha2(F.concat_ws("\n", F.lit(key), kind, F.col("canon"), F.col("attempt").cast("string")), 256))
+    more = F.least(F.greatest(F.col("attempt") - usual + 1, F.lit(0)) * GROWTH, F.lit(56))
+    return rows.withColumn("further", F.sha2(F.concat("h", F.lit("further")), 256)).withColumn("more", more)
+
+
+def _surrogate(kind: Column, canon: Column) -> Column:
+    """The surrogate's canonical form, from the row's hashes."""
+    h, further, more = F.col("h"), F.col("further"), F.col("more")
+    hexes = F.substring(further, F.lit(1), more)
+    digits = F.translate(hexes, "abcdef", "012345")
+    moved = F.concat(F.substring(canon, 1, 1), _shifted(F.substring(canon, 2, 1 << 20), h, ALPHABETS[:1]), digits)
     body = F.substring(moved, F.lit(1), F.length(moved) - 1)
     checked = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     octets = [F.lit(1) + F.pmod(_draw(h, F.lit(0)), F.lit(223)), *[_draw(h, F.lit(k)) for k in (1, 2, 3)]]
-    local = _redrawn(F.substring_index(canon, "@", 1), h)
-    domain = F.concat(F.lit("mail"), F.pmod(_draw(h, F.lit(30)), F.lit(10)).cast("string"), F.lit(".example."), F.get(F.array(F.lit("org"), F.lit("net"), F.lit("com")), F.pmod(_draw(h, F.lit(31)), F.lit(3))))
+    redrawn = _redrawn(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon), h)
+    domain = F.concat(F.lit("mail"), F.pmod(_draw(h, F.lit(30)), F.lit(10)).cast("string"), hexes, F.lit(".example."), F.get(F.array(F.lit("org"), F.lit("net"), F.lit("com")), F.pmod(_draw(h, F.lit(31)), F.lit(3))))
     return (
-        F.when(kind == "email", F.concat(local, F.lit("@"), domain))
+        F.when(kind == "email", F.concat(redrawn, F.lit("@"), domain))
+        .when((kind == "ip") & (more > 0), F.concat(F.lit("2001:db8:"), F.array_join(F.regexp_extract_all(F.substring(further, 1, 24), F.lit("...."), F.lit(0)), ":")))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(moved))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _shifted(F.substring(canon, 3, 1 << 20), h, ALPHABETS[:3])))
-        .when(kind == "person", _name(canon, h))
-        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _shifted(canon, h, HEX[:1]))
-        .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), _shifted(canon, h, HEX[1:]))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _shifted(F.substring(canon, 3, 1 << 20), h, ALPHABETS[:3]), digits))
+        .when(kind == "person", _name(canon, h, more, further))
+        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.concat(_shifted(canon, h, HEX[:1]), hexes))
+        .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), F.concat(_shifted(canon, h, HEX[1:]), F.upper(hexes)))
+        .when((kind == "secret") & ~canon.rlike(r"[\p{L}\p{N}]"), F.concat(F.substring(F.repeat(h, (F.length(canon) / 64 + 1).cast("int")), F.lit(1), F.length(canon)), hexes))
         .when(kind.isin(*DIGITS_ONLY), moved)
-        .otherwise(_redrawn(canon, h))
+        .otherwise(F.concat(redrawn, hexes))
     )
 
 
@@ -210,7 +240,7 @@ def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
         F.regexp_like(c, significant),
         F.struct(F.concat(a["out"], F.substring(surrogate, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
     ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at")))
-    laid = F.aggregate(F.split(mention, ""), start, step)["out"]
+    laid = F.aggregate(F.split(mention, ""), start, step, lambda a: F.concat(a["out"], F.substring(surrogate, a["at"], F.length(surrogate))))
     local = F.substring_index(mention, "@", 1)
     cased = F.array_join(F.transform(F.split(F.substring_index(surrogate, "@", 1), ""), lambda c, i: F.when(F.get(F.split(local, ""), i) != F.lower(F.get(F.split(local, ""), i)), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
@@ -228,8 +258,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, surrogate: distinct entities with distinct surrogates, none of which is an entity itself."""
     entities = cut(entities.select("kind", "canon").distinct())
     drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(DRAWS):
-        drawn = cut(drawn.select("kind", "canon", "attempt", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")))
+    while True:  # ends, as the surrogates that are left grow with every draw
+        drawn = cut(_with_hashes(drawn, key).select("kind", "canon", "attempt", _surrogate(F.col("kind"), F.col("canon")).alias("surrogate")))
         winners = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"), F.count("*").alias("n"))
         taken = winners.join(entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real")), ["kind", "surrogate"], "left")
         clash = cut(taken.where("n > 1 or real").select("kind", "surrogate", F.when(F.col("real").isNull(), F.col("canon")).alias("winner")))
@@ -240,7 +270,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         in_clash = clash.select("kind", "surrogate", F.lit(True).alias("clashed"))
         again = again.join(in_clash, ["kind", "surrogate"], "left")
         drawn = again.select("kind", "canon", (F.col("attempt") + F.when(F.col("clashed") & lost, 1).otherwise(0)).alias("attempt"))
-    raise RuntimeError(f"surrogates still clash after {DRAWS} draws")
 
 
 def _key(docs: DataFrame, text_col: str) -> list[Column]:

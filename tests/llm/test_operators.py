@@ -305,4 +305,23 @@ def test_pii_surrogates_keep_no_letter_of_any_script(spark):
     assert all(a != b or a == "-" for a, b in zip(secret, texts[at + 5][5:-1], strict=True))
     chars = [chr(c) for c in range(0x80, 0x30000, 7)]
     letters = spark.createDataFrame([(c,) for c in chars], "c string").where(F.col("c").rlike(r"[\p{L}\p{N}\p{M}]"))
-    assert letters.count() > 5000 and letters.where(pii._other(F.col("c"), F.lit(26)) == F.col("c")).count() == 0
+    assert letters.count() > 5000 and letters.where(pii._redrawn(F.col("c"), F.sha2("c", 256)) == F.col("c")).count() == 0
+
+
+def test_pii_surrogates_never_run_out(spark):
+    from pyspark.sql import functions as F
+
+    locals_ = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]  # one Chinese character each: far more than surrogates of the usual size
+    rows = [("email", f"{x}@a.example") for x in locals_] + [("secret", "#" * 16), ("secret", "!" * 16)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    assert len(got) == len(rows) and len({r.surrogate for r in got}) == len(rows) and not {r.surrogate for r in got} & {c for _, c in rows}
+    assert all(re.fullmatch(r".@mail\d[0-9a-f]*\.example\.(org|net|com)", r.surrogate) and r.surrogate[0] != r.canon[0] for r in got if r.kind == "email")
+    assert all(re.fullmatch(r"[0-9a-f]{16}", r.surrogate) for r in got if r.kind == "secret")
+    kinds = [("ssn", "123456789", "123-45-6789"), ("ip", "1.2.3.4", "1.2.3.4"), ("person", "m|anna", "Mr ANNA"), ("person", "n|王明", "Dr 王明"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("iban", "DE00AAAA11112222", "DE00 AAAA 1111 2222")]
+    for first, later in ((10, 14), (12, 15)):
+        drawn = spark.createDataFrame([(*k, n) for k in kinds for n in (first, later)], "kind string, canon string, mention string, attempt int")
+        new = pii._with_hashes(drawn, "k").select("canon", "attempt", pii._written(F.col("kind"), F.col("mention"), pii._surrogate(F.col("kind"), F.col("canon"))).alias("new"))
+        size = {(r.canon, r.attempt): r.new for r in new.collect()}
+        for kind, canon, _ in kinds:
+            a, b = size[canon, first], size[canon, later]
+            assert len(b) > len(a) or (kind == "ip" and b.startswith("2001:db8:") and a != b), (a, b)
