@@ -2,16 +2,18 @@
 
 Every page is parsed into a DOM, and the DOMs of a host are merged: nodes with the same path of tags and classes are one node of the
 style tree. A tree node remembers how its pages present it (the tags of its children) and what they say in it (its text); the entropies
-of the two, relative to the number of pages, make its importance. Nodes that most pages of a host have, with the same
-look and the same words, are of low importance and are cut from each page with all that is below them; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts and comments are also known by their tags, roles and class names. Where a page marks its
-article, the article's own text blocks are never cut for being alike: copies of one article stay whole.
+of the two, relative to the number of pages, make its importance; ``PRIOR`` more pages count as wholly important, so a host needs no least
+size. Nodes that most pages of a host have, with the same look and the same words, are of low importance and are cut from each page with all
+that is below them. What differs from page to page (a menu of other links, an advert of other words) has high entropy and no tree can
+tell it from an article, so menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are also known by their tags, roles and class names. Where a page marks its
+article, the article's own text blocks are never cut for being alike: copies of one article stay whole. Class words make no noise of html, body, main and
+article, nor of the elements around the only article; a class that tells a state ("no-sidebar") is no name.
 
 Counts of the tree are plain aggregates by host and node, so a host with a third of all pages is counted in parts; only the low
 nodes of each host travel back to its pages.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (open elements end with their parents,
-an unclosed script or comment ends with the page); text outside any element counts as body text; a null url has the empty host; repeated
+an unclosed script or comment ends with the page); nesting of any depth and texts of any length are read whole; a node exactly at the least importance stays; text outside any element counts as body text; a null url has the empty host; repeated
 rows are extracted each and counted in the tree; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 from .url_filter import host_and_path
 
-#: Pages of a host before its tree is trusted, the share of them that must have a node, and the importance below which it goes.
-LEAST_PAGES = 20
+#: Pages without evidence that every node starts with (so that a node of few pages is important), the share of a host's pages that must
+#: have a node, and the importance below which it goes.
+PRIOR = 4
 SHARE = 0.5
 IMPORTANCE = 0.2
 #: Weight of the content's entropy against the presentation's.
@@ -42,13 +46,17 @@ BLOCK = frozenset(
     " legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 NOISE_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe noframes textarea title button select option menu dialog svg canvas object audio video map search".split()
+    "head header nav footer aside form script style noscript template iframe noframes textarea title button select option menu dialog svg canvas object audio video map search".split()
 )
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback footer gdpr login"
     " masthead menu menubar modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion recommended related replies reply respond rail"
     " share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: A class that starts with one of these tells a state ("no-sidebar", "has-comments"), not what the element is.
+STATES = frozenset("no not has with without is are hide hides hidden show shows".split())
+#: Elements that frame the article: no class word makes noise of them.
+FRAMES = frozenset("html body main article".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Blocks that carry an article's own text.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
@@ -63,7 +71,9 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "noise", "name")
+    """noise: by its tag, role or state; named: by a word of its classes or id."""
+
+    __slots__ = ("tag", "parts", "noise", "named", "name")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.parts = tag, []
@@ -73,30 +83,39 @@ class Node:
                 found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
         classes = found.get("class", "").split()
         self.name = ".".join([tag, *sorted(classes)])
-        words = {w.lower() for c in [*classes, found.get("id", "")] for w in _WORD.findall(c)}
+        words = set()
+        for token in [*classes, found.get("id", "")] if tag not in FRAMES else ():
+            own = [w.lower() for w in _WORD.findall(token)]
+            words.update(own if own and own[0] not in STATES else ())
         self.noise = (
             tag in NOISE_TAGS
-            or bool(words & NOISE_WORDS)
             or found.get("role", "").lower() in NOISE_ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
         )
+        self.named = bool(words & NOISE_WORDS)
 
 
 def parse(text: str) -> Node:
     """The DOM: nodes and strings in ``parts``. Raw elements keep no content."""
     root = Node("html", "")
     stack, at, end = [root], 0, len(text)
+    opened: Counter[str] = Counter()  # tags on the stack, so that ends of others need no search
+
+    def close_from(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while at < end:
         m = _TOKEN.match(text, at)
         at = m.end()
         if m[2]:
             tag = m[2].lower()
             ends = ENDS.get(tag)
-            if ends:
+            if ends and any(opened[t] > 0 for t in ends):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in ends:
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k].tag in _LIMITS:
                         break
@@ -109,11 +128,12 @@ def parse(text: str) -> Node:
                 at = close.end() if close else end
             elif tag not in VOID:
                 stack.append(node)
+                opened[tag] += 1
         elif m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close_from(k)
                     break
         elif (piece := m[0])[0] != "<" or piece == "<":
             stack[-1].parts.append(entities.unescape(piece) if "&" in piece else piece)
@@ -124,23 +144,35 @@ def _path(above: int, name: str) -> int:
     return xxhash.xxh3_64_intdigest(name, seed=above) >> 1
 
 
-def tree_nodes(root: Node) -> dict[int, tuple[int, int]]:
-    """path -> (presentation, content) of one page, nodes with the same path put together."""
-    looks: dict[int, list[str]] = {}
-    says: dict[int, list[str]] = {}
+#: Base of the rolling hash of a node's words: a node's follows from those of its parts, so nesting costs nothing.
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 
-    def walk(node: Node, path: int) -> str:
-        text = []
-        for part in node.parts:
-            text.append(part if isinstance(part, str) else walk(part, _path(path, part.name)))
-        whole = " ".join(" ".join(text).split())
-        looks.setdefault(path, []).append(" ".join(dict.fromkeys(p.name for p in node.parts if not isinstance(p, str))))
-        says.setdefault(path, []).append(whole)
-        return whole
 
-    walk(root, 0)
-    digest = lambda parts: xxhash.xxh3_64_intdigest("\n".join(parts)) >> 1
-    return {path: (digest(sorted(set(looks[path]))), digest(says[path])) for path in looks if any(says[path])}
+def tree_nodes(root: Node) -> dict[int, tuple[int, int]]:
+    """path -> (presentation, content) of one page, nodes with the same path put together. Nodes without words are left out."""
+    looks: dict[int, set[str]] = {}
+    says: dict[int, list[int]] = {}
+    stack = [[root, 0, iter(root.parts), 0, 0]]  # node, path, parts to come, hash of its words so far, their number
+    while stack:
+        top = stack[-1]
+        part = next(top[2], None)
+        if isinstance(part, str):
+            for word in part.split():
+                top[3] = (top[3] * _BASE + xxhash.xxh3_64_intdigest(word)) & _MASK
+                top[4] += 1
+        elif part is not None:
+            stack.append([part, _path(top[1], part.name), iter(part.parts), 0, 0])
+        else:
+            node, path, _, words, n = stack.pop()
+            if n:
+                looks.setdefault(path, set()).add(" ".join(dict.fromkeys(p.name for p in node.parts if not isinstance(p, str))))
+                says.setdefault(path, []).append(words)
+            if stack:
+                stack[-1][3] = (stack[-1][3] * pow(_BASE, n, 1 << 64) + words) & _MASK
+                stack[-1][4] += n
+    digest = lambda parts: xxhash.xxh3_64_intdigest("\n".join(map(str, parts))) >> 1
+    return {path: (digest(sorted(looks[path])), digest(says[path])) for path in says}
 
 
 def main_text(root: Node, low: frozenset[int]) -> str:
@@ -151,12 +183,26 @@ def main_text(root: Node, low: frozenset[int]) -> str:
     return " ".join(kept)
 
 
-def _has(node: Node, tag: str) -> bool:
-    return any(not isinstance(p, str) and not p.noise and (p.tag == tag or _has(p, tag)) for p in node.parts)
+def _frame(root: Node) -> tuple[str | None, set[int]]:
+    """The tag that marks the article, and the elements named like noise that have to be entered to reach it (none, if there is another way)."""
+    found: dict[tuple[str, bool], set[int]] = {}
+    stack: list[tuple[Node, tuple]] = [(root, ())]
+    while stack:
+        node, named = stack.pop()
+        for part in node.parts:
+            if isinstance(part, str) or part.noise:
+                continue
+            if part.tag in ("article", "main"):
+                found.setdefault((part.tag, bool(named)), set()).update(named)
+            stack.append((part, (*named, id(part)) if part.named else named))
+    for way in (("article", False), ("main", False), ("article", True), ("main", True)):
+        if way in found:
+            return way[0], found[way]
+    return None, set()
 
 
 def _blocks(root: Node, low: frozenset[int]) -> list[str]:
-    inside = next((t for t in ("article", "main") if _has(root, t)), None)
+    inside, entered = _frame(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -166,33 +212,28 @@ def _blocks(root: Node, low: frozenset[int]) -> list[str]:
             blocks.append(text)
         run.clear()
 
-    def walk(node: Node, path: int, within: bool) -> None:
-        for part in node.parts:
-            if isinstance(part, str):
-                if within:
-                    run.append(part)
-                continue
-            here = _path(path, part.name)
-            own = within or part.tag == inside
-            if part.noise or (part.tag == "header" and not (within and inside == "article")):
-                if part.tag in BLOCK:
-                    flush()
-                continue
-            if here in low and not (own and inside and (part.tag in TEXT_BLOCKS or part.tag == inside or part.tag not in BLOCK)):
+    stack = [(root, 0, iter(root.parts), inside is None)]
+    while stack:
+        node, path, parts, within = stack[-1]
+        part = next(parts, None)
+        if part is None:
+            stack.pop()
+            if node.tag in BLOCK:
                 flush()
-                continue
-            if part.tag in ("br", "wbr", "img", "input"):
-                if within and part.tag == "br":
-                    run.append(" ")
-                continue
-            block = part.tag in BLOCK
-            if block:
-                flush()
-            walk(part, here, own)
-            if block:
+        elif isinstance(part, str):
+            if within:
+                run.append(part)
+        elif part.tag in ("br", "wbr", "img", "input"):
+            if within and part.tag == "br":
+                run.append(" ")
+        else:
+            here, own = _path(path, part.name), within or part.tag == inside
+            noise = part.noise or (part.named and id(part) not in entered)
+            alike = here in low and not (own and inside and (part.tag in TEXT_BLOCKS or part.tag == inside or part.tag not in BLOCK))
+            if part.tag in BLOCK or alike:
                 flush()
-
-    walk(root, 0, inside is None)
+            if not noise and not alike:
+                stack.append((part, here, iter(part.parts), own))
     flush()
     return blocks
 
@@ -211,7 +252,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "look", "says"])
 
     nodes = cut(pages.select("host", "html").mapInArrow(run, "host string, path long, look long, says long").groupBy("host", "path", "look", "says").agg(F.count("*").alias("n")))
-    many = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    many = pages.groupBy("host").agg(F.count("*").alias("pages"))
 
     def entropy(of: str, to: str) -> DataFrame:
         """Entropy of a feature relative to that of as many different values as there are pages."""
@@ -220,9 +261,10 @@ def low_nodes(pages: DataFrame) -> DataFrame:
         return total.select("host", "path", F.col("m").alias(f"m_{to}"), F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0).alias(to))
 
     both = entropy("look", "presentation").join(entropy("says", "content"), ["host", "path"]).join(many, "host")
-    rare = F.col("m_content") < F.greatest(F.lit(LEAST_PAGES), SHARE * F.col("pages"))
-    weak = CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation") < IMPORTANCE
-    return both.where(weak & ~rare).groupBy("host").agg(F.collect_list("path").alias("low"))
+    importance = CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation")
+    # pages without evidence count as important ones, so a node of few pages is never weak
+    weak = (importance * F.col("m_content") + PRIOR) / (F.col("m_content") + PRIOR) < IMPORTANCE
+    return both.where(weak & (F.col("m_content") >= SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("path").alias("low"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
