@@ -1,16 +1,18 @@
 """PII (10) [native]: detected entities get keyed surrogates of their own type, format, script and gender.
 
-Entities are found by one pattern: e-mail addresses, IPv4 addresses, phone numbers, social security numbers, payment cards, IBANs, secrets
-(long hexadecimal strings, quoted values after = or :) and persons after a title. Mentions that differ only in writing (case,
-spaces, punctuation) have one canonical form, and one surrogate: a keyed SHA-256 of the canonical form moves every letter and
-digit inside its own alphabet, so script, case, length and punctuation stay; IPs get valid octets, cards keep a valid check digit, titled
-names get a name of the title's gender in their own script. In e-mails, names and quoted secrets a
+Entities are found by one pattern: e-mail, IPv4 and IPv6 addresses, phone numbers, social security numbers, payment cards, IBANs, secrets
+(long hexadecimal strings, keys with a known prefix, quoted values after = or :, values with a digit after a word such as password) and persons after a title; names
+without a title are not found. Mentions that differ only in writing (case, spaces, punctuation) have one canonical form, and one surrogate; a
+person's given and last names are entities of their own, so all mentions of a last name agree. A keyed SHA-256 of the canonical form moves every letter and
+digit inside its own alphabet, so script, case, length and punctuation stay; IPs get valid octets, cards and IBANs keep valid check digits, given
+names have the title's gender and all names their own script. In e-mails, names and secrets a
 character of any other alphabet is drawn from its script's (from the Latin one where the script has none here), and none stays itself. All distinct entities are checked together: a surrogate that two entities share, or that is an
 entity itself, is drawn again for all but the smallest, until all are distinct; from some draw on a surrogate grows by ``GROWTH`` characters
 a draw (in an e-mail's domain, a name's syllables, else at its end; IPs become IPv6 ones), so that there are always enough; every mention is then written in its own format.
 
 Defined results: null or empty texts stay as they are and have no entities; documents without entities are unchanged; repeated rows get the
-same surrogates; a null id is kept; other columns are ignored by ``surrogates`` and kept by ``pseudonymise``; an empty table
+same surrogates; texts of any length are searched whole, in time in proportion to their length (an address part of more characters than the
+standards allow is none, or is found by its last 64); where two kinds fit one mention the first of ``KINDS`` counts; a null id is kept; other columns are ignored by ``surrogates`` and kept by ``pseudonymise``; an empty table
 gives an empty table.
 """
 
@@ -30,18 +32,27 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]+"
 #: Of kinds that match a mention, the first counts.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@[\p{L}\p{N}-][\p{L}\p{N}.-]{0,252}\.\p{L}{2,63}",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])|(?<=[=:] ?\")[^\"\s]{16,}(?=\")",
+    "secret": "|".join(
+        [
+            r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])",
+            r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
+            r"(?<![0-9A-Za-z])(?:gh[pousr]_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}",
+            r"(?<=[=:] ?\")[^\"\s]{16,}(?=\")",
+            r"(?<=[=:] ?)(?<=(?i:password|passwd|pwd|secret|token|key)[=:] ?)(?=[^\s\"]*[0-9])[^\s\"'<>&;,]{8,}",
+        ]
+    ),
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity.
-CUE = rf"[0-9@]|[=:] ?\"|(?<!\p{{L}})(?:{_TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
+CUE = rf"[0-9@]|::|[=:] ?\"|(?<!\p{{L}})(?:{_TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
 DIGITS_ONLY = ["phone", "ssn", "card"]
 ALPHABETS = [
     "0123456789",
@@ -113,23 +124,32 @@ def _kind(mention: Column) -> Column:
 
 def _bare(pattern: str) -> str:
     """A pattern for a mention that stands alone: its surroundings were checked where it was found."""
-    return pattern.replace(r"(?<=[=:] ?\")", "").replace(r"(?=\")", "")
+    for around in (r"(?<=[=:] ?\")", r"(?=\")", r"(?<=[=:] ?)", r"(?<=(?i:password|passwd|pwd|secret|token|key)[=:] ?)"):
+        pattern = pattern.replace(around, "")
+    return pattern
 
 
 def _title(mention: Column) -> Column:
     return F.regexp_extract(mention, rf"^({_TITLES})\.? ", 1)
 
 
-def _canonical(kind: Column, mention: Column) -> Column:
+def _parts(kind: Column, mention: Column) -> Column:
+    """The canonical forms of what a mention is made of: one, or one for each name of a person.
+
+    A person's last name is an entity of its own, so "Mr. Smith", "Mr. John Smith" and "Dr. Smith" share its surrogate, and so do relatives.
+    Given names have the title's gender; last names have none, except where the script's language bends them.
+    """
     gender = F.when(_title(mention).isin(MALE), "m").when(_title(mention).isin(FEMALE), "f").otherwise("n")
-    name = F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""))
-    return (
+    names = F.split(F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")), " ")
+    bends = lambda x: x.rlike(r"^[\p{IsCyrillic}\p{IsGreek}]")
+    persons = F.transform(names, lambda x, i: F.concat(F.when((i < F.size(names) - 1) | bends(x), gender).otherwise("n"), F.lit("|"), x))
+    plain = (
         F.when(kind.isin(DIGITS_ONLY), F.regexp_replace(mention, r"\D", ""))
-        .when(kind == "email", F.lower(mention))
+        .when(kind.isin("email", "ip6"), F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "person", F.concat(gender, F.lit("|"), name))
         .otherwise(mention)
     )
+    return F.when(kind == "person", persons).otherwise(F.array(plain))
 
 
 def _draw(h: Column, i: Column) -> Column:
@@ -178,23 +198,31 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def _name(canon: Column, h: Column, more: Column, further: Column) -> Column:
-    """As many made-up names as the original has, each in the original's script, with the ending of the gender."""
-    pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(_draw(h, i), F.lit(len(words))))
-    gender, names = F.substring(canon, 1, 1), F.split(F.substring(canon, 3, 1 << 20), " ")
+def _mod97(text: Column) -> Column:
+    """The remainder of an IBAN-like text (letters count 10 to 35), four characters moved to the end already."""
+    value = lambda c: F.ascii(c) - F.when(c.between("0", "9"), 48).otherwise(55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
 
-    def made(name, i):
-        found = _redrawn(name, h)
-        for script, syllables, endings in reversed(NAMES):
-            end = F.when(gender == "m", pick(endings["m"], i * 6 + 4)).when(gender == "f", pick(endings["f"], i * 6 + 4)).otherwise(pick(endings["n"], i * 6 + 4))
-            extra = F.array_join(F.transform(F.slice(F.split(further, ""), 1, more), lambda c: F.get(F.array(*[F.lit(w) for w in syllables]), F.conv(c, 16, 10).cast("int"))), "")
-            extra = F.when(i == 0, extra).otherwise("")
-            found = F.when(name.rlike(f"^{script}"), F.concat(extra, *[pick(syllables, i * 6 + k) for k in range(4)], end)).otherwise(found)
-        grown = (i == 0) & ~name.rlike("^(?:" + "|".join(n for n, *_ in NAMES) + ")")
-        latin = F.array_join(F.transform(F.slice(F.split(further, ""), 1, more), lambda c: F.get(F.array(*[F.lit(w) for w in SYLLABLES]), F.conv(c, 16, 10).cast("int"))), "")
-        return F.concat(found, F.when(grown, latin).otherwise(""))
 
-    return F.concat(gender, F.lit("|"), F.array_join(F.transform(names, made), " "))
+def _iban(canon: Column, h: Column, digits: Column) -> Column:
+    """Country as it is, the rest redrawn; check digits that hold where the original's do."""
+    rest = F.concat(_shifted(F.substring(canon, 5, 1 << 20), h, ALPHABETS[:3]), digits)
+    country = F.substring(canon, 1, 2)
+    check = F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(canon, 5, 1 << 20), F.substring(canon, 1, 4))) == 1
+    return F.concat(country, F.when(valid, check).otherwise(_shifted(F.substring(canon, 3, 2), h, ALPHABETS[:1])), rest)
+
+
+def _name(canon: Column, h: Column, more: Column, further: Column) -> Column:
+    """A made-up name in the original's script, with the ending of the gender."""
+    pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(_draw(h, F.lit(i)), F.lit(len(words))))
+    gender, name = F.substring(canon, 1, 1), F.substring(canon, 3, 1 << 20)
+    extra = lambda syllables: F.array_join(F.transform(F.slice(F.split(further, ""), F.lit(1), more), lambda c: F.get(F.array(*[F.lit(w) for w in syllables]), F.conv(c, 16, 10).cast("int"))), "")
+    made = F.concat(_redrawn(name, h), extra(SYLLABLES))
+    for script, syllables, endings in reversed(NAMES):
+        end = F.when(gender == "m", pick(endings["m"], 4)).when(gender == "f", pick(endings["f"], 4)).otherwise(pick(endings["n"], 4))
+        made = F.when(name.rlike(f"^{script}"), F.concat(extra(syllables), *[pick(syllables, k) for k in range(4)], end)).otherwise(made)
+    return F.concat(gender, F.lit("|"), made)
 
 
 def _with_hashes(entities: DataFrame, key: str) -> DataFrame:
@@ -216,24 +244,28 @@ def _surrogate(kind: Column, canon: Column) -> Column:
     checked = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     octets = [F.lit(1) + F.pmod(_draw(h, F.lit(0)), F.lit(223)), *[_draw(h, F.lit(k)) for k in (1, 2, 3)]]
     redrawn = _redrawn(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon), h)
+    prefix = F.regexp_extract(canon, "^(AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-)", 1)  # tells the kind of a key, and nothing of the key
     domain = F.concat(F.lit("mail"), F.pmod(_draw(h, F.lit(30)), F.lit(10)).cast("string"), hexes, F.lit(".example."), F.get(F.array(F.lit("org"), F.lit("net"), F.lit("com")), F.pmod(_draw(h, F.lit(31)), F.lit(3))))
     return (
         F.when(kind == "email", F.concat(redrawn, F.lit("@"), domain))
         .when((kind == "ip") & (more > 0), F.concat(F.lit("2001:db8:"), F.array_join(F.regexp_extract_all(F.substring(further, 1, 24), F.lit("...."), F.lit(0)), ":")))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(moved))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _shifted(F.substring(canon, 3, 1 << 20), h, ALPHABETS[:3]), digits))
+        .when(kind == "ip6", F.concat(F.lit("2001:db8:"), F.array_join(F.regexp_extract_all(F.substring(h, 1, 24), F.lit("...."), F.lit(0)), ":")))
+        .when(kind == "iban", _iban(canon, h, digits))
         .when(kind == "person", _name(canon, h, more, further))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.concat(_shifted(canon, h, HEX[:1]), hexes))
         .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), F.concat(_shifted(canon, h, HEX[1:]), F.upper(hexes)))
         .when((kind == "secret") & ~canon.rlike(r"[\p{L}\p{N}]"), F.concat(F.substring(F.repeat(h, (F.length(canon) / 64 + 1).cast("int")), F.lit(1), F.length(canon)), hexes))
         .when(kind.isin(*DIGITS_ONLY), moved)
+        .when(kind == "secret", F.concat(prefix, _redrawn(F.substring(canon, F.length(prefix) + 1, F.length(canon)), h), hexes))
         .otherwise(F.concat(redrawn, hexes))
     )
 
 
-def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one mention."""
+def _written(kind: Column, mention: Column, surrogates: Column) -> Column:
+    """The surrogates of a mention's parts in its format."""
+    surrogate = F.get(surrogates, 0)
     significant = F.when(kind == "iban", F.lit("[A-Z0-9]")).otherwise(F.lit(r"\d"))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda a, c: F.when(
@@ -244,7 +276,7 @@ def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
     local = F.substring_index(mention, "@", 1)
     cased = F.array_join(F.transform(F.split(F.substring_index(surrogate, "@", 1), ""), lambda c, i: F.when(F.get(F.split(local, ""), i) != F.lower(F.get(F.split(local, ""), i)), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
-    name = F.substring(surrogate, 3, 1 << 20)
+    name = F.array_join(F.transform(surrogates, lambda x: F.substring(x, 3, 1 << 20)), " ")
     original = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
     return (
         F.when(kind.isin(*DIGITS_ONLY, "iban"), laid)
@@ -283,10 +315,11 @@ def pseudonymised(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     found = docs.where(text.rlike(CUE)).select(*_key(docs, text_col), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
     found = found.where(F.size("found") > 0).dropDuplicates(["key1", "key2"])
     mentions = found.select("key1", "key2", F.posexplode("found").alias("place", "mention"))
-    mentions = mentions.withColumn("kind", _kind(F.col("mention"))).withColumn("canon", _canonical(F.col("kind"), F.col("mention")))
-    mentions = cut(mentions)
+    mentions = mentions.withColumn("kind", _kind(F.col("mention")))
+    mentions = cut(mentions.select("*", F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("part", "canon")))
     named = mentions.join(cut(assign(mentions, key)), ["kind", "canon"])
-    written = F.struct("place", _written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("text"), "kind")
+    named = named.groupBy("key1", "key2", "place", "kind", "mention").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate")))["surrogate"].alias("surrogates"))
+    written = F.struct("place", _written(F.col("kind"), F.col("mention"), F.col("surrogates")).alias("text"), "kind")
     by_doc = cut(named.groupBy("key1", "key2").agg(F.sort_array(F.collect_list(written)).alias("new")))
     # only texts with a cue are shuffled, and so at every size
     has_cue = F.coalesce(text.rlike(CUE), F.lit(False))
