@@ -1,20 +1,20 @@
 """Quality rules (2) [native]: adaptive thresholds from mergeable quantile sketches, then a joined filter.
 
-Each document gets counts by array functions only. For three ratios (symbols, characters and repeated words per word) a
-quantile sketch is kept for every language and source: a histogram over logarithmic buckets with ``2 ** PRECISION`` steps to the
-octave, so a bucket is wrong by at most 1/16 of its value. Counts of buckets add up, so sketches merge by plain
-aggregation, in any order and on any number of executors, to the same result. A document fails where its value exceeds the median of
-its own group by more than ``SPREADS`` times the group's spread between the median and the upper quantile, and at least a
-floor that keeps even groups from rejecting ordinary rows. Groups with fewer than ``LEAST_ROWS`` rows use their
-language's sketch, the merged one of its sources (and small languages the sketch of all rows).
-
-Defined results: null or empty text has 0 words and fails the base rules; null languages and sources form groups of their own;
+Each document gets counts by array functions only. For four ratios (symbols, characters and repeated words per word, repeated lines per line; the
+first symbol and the first repeated line do not count) a quantile sketch is kept for every language and source: a histogram over logarithmic
+buckets with ``2 ** PRECISION`` steps to the octave, so a bucket is wrong by at most 1/16 of its value. Counts of buckets add up, so sketches merge by plain
+aggregation, in any order and on any number of executors, to the same result. A group's threshold is its median plus ``SPREADS`` times the spread
+between the median and the ``UPPER`` quantile; no fixed value bounds it. It is shrunk towards the threshold of the language (the merged sketch of
+its sources), and that towards the threshold of all rows, with the weight of ``PRIOR`` rows, so a group of few rows follows its
+language and one of many itself, without a switch between them. A document fails where its value lies beyond its group's threshold; at the threshold it passes.
+
+Defined results: null or empty text has 0 words and fails the base rules; texts of any length are counted whole; null languages and sources form groups of their own;
 repeated rows count each; other columns are ignored by ``quality`` and kept by ``keep_good``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -23,11 +23,10 @@ SPACE = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
 PRECISION = 4
 SCALE = 1_000
-UPPER = 0.75
+UPPER = 0.9
 SPREADS = 4
-LEAST_ROWS = 200
-#: metric -> the least value (times SCALE) at which a document can fail: no group's threshold lies below.
-FLOORS = {"symbol_ratio": 100, "word_length": 9_000, "repeat_ratio": 300, "dup_line_ratio": 500}
+PRIOR = 100
+METRICS = ["symbol_ratio", "word_length", "repeat_ratio", "dup_line_ratio"]
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -85,52 +84,54 @@ def bucket_floor(b: Column) -> Column:
 
 
 def thresholds(metrics: DataFrame) -> DataFrame:
-    """lang, source, metric, threshold: from the sketches of each group, or of the wider group while it is too small."""
-    stacked = metrics.select("lang", "source", F.explode(F.create_map(*[x for m in FLOORS for x in (F.lit(m), bucket(F.col(m)))])).alias("metric", "bucket"))
+    """lang, source, limits (metric -> threshold), from the sketches of each group, its language and all rows."""
+    stacked = metrics.select("lang", "source", F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), bucket(F.col(m)))])).alias("metric", "bucket"))
     sketch = stacked.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
     by_lang = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
 
-    def quantiles(s: DataFrame, keys: list[str], to: str) -> DataFrame:
-        from pyspark.sql import Window
-
+    def own(s: DataFrame, keys: list[str], rows: str, limit: str) -> DataFrame:
+        """The threshold that a sketch gives by itself: whole numbers only, so that every run and engine agrees."""
         w = Window.partitionBy(*keys, "metric").orderBy("bucket")
         ranked = s.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "metric")))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("bucket")))
-        found = ranked.groupBy(*keys, "metric").agg(at(0.5).alias("b"), at(UPPER).alias("c"), F.max("total").alias("rows"))
-        mid, up = bucket_floor(F.col("b")), bucket_floor(F.col("c") + 1)
-        return found.select(*keys, "metric", F.struct("rows", (mid + SPREADS * (up - mid)).alias("t")).alias(to))
+        at = lambda q: F.min(F.when(100 * F.col("upto") >= round(100 * q) * F.col("total"), F.col("bucket")))
+        found = ranked.groupBy(*keys, "metric").agg(at(0.5).alias("b"), at(UPPER).alias("c"), F.max("total").alias(rows))
+        mid = bucket_floor(F.col("b"))
+        up = F.when(F.col("c") > F.col("b"), bucket_floor(F.col("c") + 1) - 1).otherwise(mid)
+        return found.select(*keys, "metric", rows, (mid + SPREADS * (up - mid)).alias(limit))
+
+    def shrunk(rows: str, limit: str, wider: str) -> Column:
+        return F.expr(f"({rows} * {limit} + {PRIOR} * {wider}) div ({rows} + {PRIOR})")
 
-    own, lang, whole = quantiles(sketch, ["lang", "source"], "own"), quantiles(by_lang, ["lang"], "wider"), quantiles(overall, [], "widest")
-    joined = own.join(lang.withColumnsRenamed({"lang": "l", "metric": "m"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m")))
-    joined = joined.drop("l", "m").join(whole, "metric")
-    chosen = F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own.t")).when(F.col("wider.rows") >= LEAST_ROWS, F.col("wider.t")).otherwise(F.col("widest.t"))
-    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("metric")]
-    return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.greatest(chosen, floor)))).alias("limits"))
+    joined = own(by_lang, ["lang"], "lang_rows", "lang_limit").join(own(overall, [], "all_rows", "all_limit"), "metric")
+    wider = joined.select(F.col("lang").alias("l"), F.col("metric").alias("m"), shrunk("lang_rows", "lang_limit", "all_limit").alias("wider"))
+    both = own(sketch, ["lang", "source"], "n_rows", "own_limit").join(wider, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m")))
+    return both.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", shrunk("n_rows", "own_limit", "wider")))).alias("limits"))
 
 
 def judge(docs: DataFrame, id_cols: dict[str, Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    per_word = lambda c: F.floor(F.col(c) * SCALE / F.greatest(F.col("n_words"), F.lit(1))).cast("long")
+    share = lambda c, of: F.call_function("div", c * SCALE, F.greatest(F.col(of), F.lit(1)))
+    further = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
     rows = counts(docs, text_col, **id_cols, lang=docs[lang_col], source=docs[source_col])
     metrics = cut(
         rows.select(
             "*",
-            per_word("n_symbols").alias("symbol_ratio"),
-            per_word("word_chars").alias("word_length"),
-            per_word("n_repeat_words").alias("repeat_ratio"),
-            F.floor(F.col("n_dup_lines") * SCALE / F.greatest(F.col("n_lines"), F.lit(1))).cast("long").alias("dup_line_ratio"),
+            share(further("n_symbols"), "n_words").alias("symbol_ratio"),
+            share(F.col("word_chars"), "n_words").alias("word_length"),
+            share(F.col("n_repeat_words"), "n_words").alias("repeat_ratio"),
+            share(further("n_dup_lines"), "n_lines").alias("dup_line_ratio"),
             ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         )
     )
     limits = thresholds(metrics).withColumnsRenamed({"lang": "l", "source": "s"})
     judged = metrics.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(m) > F.col("limits")[m], F.lit(m)) for m in FLOORS]))
+    failed = F.array_compact(F.array(*[F.when(F.col(m) > F.col("limits")[m], F.lit(m)) for m in METRICS]))
     return judged.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, the counts, base_failed, kept, and the rules it failed."""
-    return judge(docs, {"id": docs[id_col]}, text_col, lang_col, source_col).select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "kept", "failed")
+    return judge(docs, {"id": docs[id_col]}, text_col, lang_col, source_col).select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
