@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, html_extract, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts, url_filter
 from .common import table
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def _tokenizer(name: str) -> str:
@@ -86,7 +89,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_pii,
     ]
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

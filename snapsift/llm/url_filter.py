@@ -6,9 +6,10 @@ found by equality. Its keys are first tested against the filter: the key's hash
 bit in each of them, so a test reads a single block. Keys that pass join the entries exactly, which removes false
 positives; of several matching entries the longest wins, and a page without any gets the default verdict.
 
-The filter has ``BITS`` bits for each entry and is broadcast only while it is under ``FILTER_BYTES``; a larger list joins without it.
+The filter has ``BITS`` bits for each entry, and a row for each block: keys find their block by an equality join, which is a broadcast while the
+filter is under ``FILTER_BYTES`` and a shuffle by block beyond that, with the same test either way.
 
-Defined results: a null url, or one without ``://``, has an empty host and path and the default verdict; repeated rows are judged each;
+Defined results: a null url, or one without ``://``, has an empty host and path and the default verdict; urls of any length are judged whole; repeated rows are judged each; of matching entries of one length the one with the longer host wins;
 null entries are ignored, and of entries that are listed twice with both verdicts allow wins; other columns are ignored;
 an empty list gives every page the default verdict.
 """
@@ -28,8 +29,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Hosts known for spam; entries of the method's own list, which come after every rule.
-LISTED_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org"]
+#: The method's own list comes after every rule: site names of kinds that such lists hold (invented ones, as there is no public list at hand), each
+#: under every ending. A job with a list of its own gives it as the table ``listed``.
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "payday-loan", "replica-watch", "spam-farm"]
+ENDINGS = ["com", "net", "org", "info", "example.com", "example.net", "example.org"]
 BITS = 16
 FILTER_BYTES = 64 << 20
 WORDS = 8
@@ -42,9 +45,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def entries(spark, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame:
+def listed_hosts() -> list[str]:
+    return [f"{name}.{ending}" for name in LISTED_NAMES for ending in ENDINGS]
+
+
+def entries(spark, rules=RULES, hosts: list[str] | None = None) -> DataFrame:
     """The list as a table: host, path, verdict, is_rule."""
-    rows = [(h, p, v, True) for h, p, v in rules] + [(h, "", "block", False) for h in listed_hosts]
+    rows = [(h, p, v, True) for h, p, v in rules] + [(h, "", "block", False) for h in (listed_hosts() if hosts is None else hosts)]
     return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
 
 
@@ -94,12 +101,13 @@ def _decide(asked: DataFrame, listed: DataFrame, shape) -> DataFrame:
     starts = F.array_compact(F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in sorted(lengths)]))
     asked = asked.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts))
     blocks = max(1, -(-count * BITS // (64 * WORDS)))
-    if blocks * WORDS * 8 <= FILTER_BYTES:
-        own = F.xxhash64("suffix", "start")
-        passes = F.lit(True)
-        for k, bit in enumerate(_bits(own)):
-            passes = passes & (F.col(f"w{k}").bitwiseAND(bit) != 0)
-        asked = asked.withColumn("block", F.pmod(own, F.lit(blocks))).join(F.broadcast(bloom_blocks(listed, blocks)), "block").where(passes)
+    own = F.xxhash64("suffix", "start")
+    passes = F.lit(True)
+    for k, bit in enumerate(_bits(own)):
+        passes = passes & (F.col(f"w{k}").bitwiseAND(bit) != 0)
+    filters = bloom_blocks(listed, blocks)
+    filters = F.broadcast(filters) if blocks * WORDS * 8 <= FILTER_BYTES else filters.hint("merge")
+    asked = asked.withColumn("block", F.pmod(own, F.lit(blocks))).join(filters, "block").where(passes)
     hits = asked.join(listed.withColumnsRenamed({"host": "suffix", "path": "start"}), ["suffix", "start"])
     entry = F.struct(F.concat("suffix", "start").alias("entry"), "listed", "is_rule")
     order = F.struct("is_rule", F.length(F.concat("suffix", "start")), F.length("suffix"))
