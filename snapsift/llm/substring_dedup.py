@@ -1,10 +1,12 @@
 """Substring dedup (5): relative Lempel-Ziv parsing against indexed blocks of reference windows.
 
 The reference of a document is every document with a smaller id. It is indexed by windows of ``WIDTH`` words in blocks, one for each
-range of window fingerprints, and a document is parsed against all the blocks that can hold one of its windows. The parse is
-greedy: a factor starts at a window that the reference holds and grows word by word while the next window is held too; at each
-factor's boundary the windows across it have been looked up themselves, so a factor ends exactly where no held window
-goes on. Factors are at least ``WIDTH`` words long and are the duplicate spans.
+range of window fingerprints: a document meets exactly the blocks that can hold one of its windows, which keeps the work in proportion to the
+corpus where parsing every document against every run of documents would be quadratic. A look-up gives the window's place in the reference: a document with
+a smaller id, and the word there. The parse is greedy: a factor starts at a window that the reference holds and grows word by word while the
+next window goes on at the next word of the same document; where it does not, the factor ends. The windows across that boundary have been looked up
+themselves, so the next factor starts there if another document (or another place) goes on, and no repeated word between two factors is missed. Factors
+are at least ``WIDTH`` words long, each stands verbatim at one place of one document, and they are the duplicate spans.
 
 Three steps keep the volume near that of the repeats:
 1. Every window has an anchor, the least hash of its ``GRAM``-word runs; equal windows have equal anchors. Anchors that two documents
@@ -15,7 +17,9 @@ Three steps keep the volume near that of the repeats:
    A window that a third of all documents hold costs one row for each task.
 3. Hits are gathered by ranges of documents and joined to the texts, which are parsed and cut.
 
-Fingerprints have 64 bits over 13 words. Defined results: null or empty text has no words; a document of fewer words than a window loses none;
+Blocks and ranges are sorted by Spark and handled one at a time, so a task holds one of them. Windows are equal if 128 bits of two independent
+fingerprints are (10^13 windows would meet by chance once in about 10^13 corpora). Defined results: null or empty text has no words; a document of fewer words than
+a window loses none; texts of any length are parsed whole; where several smaller documents have a window, the smallest that the task or the block holds is the reference;
 a null id is no reference and loses nothing; repeated rows of one id are one document, no smaller than itself; other columns
 are ignored; an empty table gives an empty table.
 """
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +56,17 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return mix(mix(g[:n] * U(0x9E3779B97F4A7C15) + g[GRAM : GRAM + n]) + h[2 * GRAM : 2 * GRAM + n])
 
 
+def second_hashes(words: list[bytes]) -> np.ndarray:
+    """Word hashes that have nothing to do with those of ``WordHashes``."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 77) for w in words), dtype=U, count=len(words))
+
+
 def _windows(batch, hashes: WordHashes):
-    """(anchors, fingerprints' source hashes, row, place) of all windows in a batch, documents without a window left out."""
+    """(row, word hashes, words) of a batch's documents that have a window."""
     for row, text in enumerate(batch.column(1).to_pylist()):
         words = (text or b"").split()
         if len(words) >= WIDTH:
-            h = hashes.of(words)
-            yield row, h
+            yield row, hashes.of(words), words
 
 
 def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
@@ -81,7 +90,7 @@ def _anchors_by_range(ranges: int):
         kept, flags = np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
         for whole in batches:
             for batch in slices(whole, 1):
-                each = [np.unique(anchors(h)) for _, h in _windows(batch, hashes)]
+                each = [np.unique(anchors(h)) for _, h, _ in _windows(batch, hashes)]
                 if each:
                     mine = np.concatenate(each)
                     mine.sort()
@@ -106,19 +115,27 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _grouped(batches, names: list[str]):
-    """All rows of one partition by their part: {part: [tuple of the other columns, ...]}."""
-    found: dict[int, list[tuple]] = {}
+    """(part, [tuple of the named columns, ...]) of one part after the other, from rows sorted by ``part``."""
+    part, rows = None, []
     for batch in batches:
-        for part, *rest in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ["part", *names]), strict=True):
-            found.setdefault(part, []).append(tuple(rest))
-    return found
+        for own, *rest in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ["part", *names]), strict=True):
+            if own != part:
+                if rows:
+                    yield part, rows
+                part, rows = own, []
+            rows.append(tuple(rest))
+    if rows:
+        yield part, rows
+
+
+def _joined(rows: list[tuple], types: list) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in enumerate(types)]
 
 
 def _shared(batches):
     """Anchors of a range that two documents share, in this task or in different ones."""
-    for part, rows in _grouped(batches, ["anchors", "flags"]).items():
-        values = np.concatenate([np.frombuffer(a, dtype=U) for a, _ in rows])
-        flags = np.concatenate([np.frombuffer(f, dtype=bool) for _, f in rows])
+    for part, rows in _grouped(batches, ["anchors", "flags"]):
+        values, flags = _joined(rows, [U, bool])
         order = np.argsort(values, kind="stable")
         values, flags = values[order], flags[order].copy()
         flags[:-1] |= values[1:] == values[:-1]
@@ -142,6 +159,17 @@ def _filter_bits(bits: int):
     return run
 
 
+#: What a window carries: two fingerprints, its document and place, and (once found) its reference's document and place.
+_ENTRY = ["print1", "print2", "docs", "places", "refs", "ref_places"]
+_SCHEMA = "kind int, part int, " + ", ".join(f"{n} binary" for n in _ENTRY)
+
+
+def _rows(kind: int, bounds: np.ndarray, columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each part that has entries."""
+    rows = [(kind, k, *(b"" if c is None else c[a:b].tobytes() for c in columns)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    return _batch(rows, ["kind", "part", *_ENTRY], [pa.int32(), pa.int32(), *[pa.binary()] * len(_ENTRY)])
+
+
 def _candidates(ranges: int, doc_ranges: int, bits: int, held):
     """Documents -> index entries by range of fingerprints (kind 0), and the hits that this task finds itself by range of documents (kind 1)."""
 
@@ -149,11 +177,11 @@ def _candidates(ranges: int, doc_ranges: int, bits: int, held):
         field = np.frombuffer(held.value, dtype=np.uint8)
         width = -(-bits // 8)
         hashes = WordHashes()
-        prints, docs, places = [], [], []
+        found = []
         for whole in batches:
             for batch in slices(whole, 1):
                 ids = batch.column(0).to_numpy()
-                for row, h in _windows(batch, hashes):
+                for row, h, words in _windows(batch, hashes):
                     a = anchors(h)
                     part = ((a >> U(32)) * U(ranges) >> U(32)).astype(np.int64)  # as _range_of() cuts
                     passes = np.ones(len(a), dtype=bool)
@@ -161,98 +189,94 @@ def _candidates(ranges: int, doc_ranges: int, bits: int, held):
                         passes &= (field[part * width + (bit >> 3)] >> (7 - (bit & 7)) & 1).astype(bool)
                     at = np.flatnonzero(passes)
                     if len(at):
-                        prints.append(fingerprints(h)[at])
-                        docs.append(np.full(len(at), ids[row], dtype=np.int64))
-                        places.append(at.astype(np.int32))
-        if prints:
-            fp, doc, place = np.concatenate(prints), np.concatenate(docs), np.concatenate(places)
-            yield from _split_hits(fp, doc, place, doc_ranges, ranges)
+                        found.append((fingerprints(h)[at], fingerprints(second_hashes(words))[at], np.full(len(at), ids[row], dtype=np.int64), at.astype(np.int32)))
+        if found:
+            yield from _split_hits(*(np.concatenate(c) for c in zip(*found, strict=True)), doc_ranges, ranges)
 
     return run
 
 
-def _split_hits(fp: np.ndarray, doc: np.ndarray, place: np.ndarray, doc_ranges: int, ranges: int = 0):
+def _split_hits(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray, doc_ranges: int, ranges: int = 0):
     """Entries of which a smaller document has the same window are hits; the others go on to their range, if asked for."""
-    order = np.lexsort((doc, fp))
-    fp, doc, place = fp[order], doc[order], place[order]
-    start = np.r_[True, fp[1:] != fp[:-1]]
-    least = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
-    hit = doc > least
-    names = ["kind", "part", "prints", "docs", "places"]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    order = np.lexsort((place, doc, two, one))
+    one, two, doc, place = one[order], two[order], doc[order], place[order]
+    start = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+    first = np.flatnonzero(start)[np.cumsum(start) - 1]
+    hit = doc > doc[first]
     if ranges:
-        f, d, p = fp[~hit], doc[~hit], place[~hit]
-        bounds = _range_of(f, ranges)
-        rows = [(0, k, f[a:b].tobytes(), d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        yield _batch(rows, names, types)
-    d, p = doc[hit], place[hit]
+        yield _rows(0, _range_of(one[~hit], ranges), [one[~hit], two[~hit], doc[~hit], place[~hit], None, None])
+    d, p, first = doc[hit], place[hit], first[hit]
     part = (mix(d.view(U)) % U(doc_ranges)).astype(np.int64)
-    order = np.lexsort((d, part))
-    d, p, part = d[order], p[order], part[order]
-    bounds = np.searchsorted(part, np.arange(doc_ranges + 1))
-    rows = [(1, k, b"", d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-    yield _batch(rows, names, types)
+    order = np.lexsort((p, d, part))
+    d, p, first = d[order], p[order], first[order]
+    yield _rows(1, np.searchsorted(part[order], np.arange(doc_ranges + 1)), [None, None, d, p, doc[first], place[first]])
 
 
 def _look_up(doc_ranges: int):
     """All entries of a range meet: those with a smaller document's window are hits. Hits found before pass through."""
 
     def run(batches):
-        entries = []
-        for batch in batches:
-            mask = np.asarray(batch.column(0)) == 1
-            yield batch.filter(pa.array(mask))
-            rest = batch.filter(pa.array(~mask))
-            entries += zip(*(rest.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-        if entries:
-            columns = [np.concatenate([np.frombuffer(e[k], dtype=t) for e in entries]) for k, t in enumerate((U, np.int64, np.int32))]
-            yield from _split_hits(*columns, doc_ranges)
+        def entries():
+            for batch in batches:
+                mask = np.asarray(batch.column(0)) == 1
+                if mask.any():
+                    passed.append(batch.filter(pa.array(mask)))
+                yield batch.filter(pa.array(~mask))
+
+        passed: list[pa.RecordBatch] = []
+        for _, rows in _grouped(entries(), _ENTRY[:4]):
+            yield from _split_hits(*_joined(rows, [U, U, np.int64, np.int32]), doc_ranges)
+            yield from passed
+            passed.clear()
+        yield from passed
 
     return run
 
 
 def _by_document(batches):
-    """(document, its hit places) for each document of the ranges of this partition."""
-    for rows in _grouped(batches, ["docs", "places"]).values():
-        doc = np.concatenate([np.frombuffer(d, dtype=np.int64) for d, _ in rows])
-        place = np.concatenate([np.frombuffer(p, dtype=np.int32) for _, p in rows])
+    """(document, places of its hits, documents and places of their references) for each document."""
+    for _, rows in _grouped(batches, _ENTRY[2:]):
+        doc, place, ref, at = _joined(rows, [np.int64, np.int32, np.int64, np.int32])
         order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
+        doc, place, ref, at = doc[order], place[order], ref[order], at[order]
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         ends = np.r_[first[1:], len(doc)]
-        yield _batch([(int(doc[a]), place[a:b].tobytes()) for a, b in zip(first, ends, strict=True)], ["hit_id", "hits"], [pa.int64(), pa.binary()])
+        out = [(int(doc[a]), place[a:b].tobytes(), ref[a:b].tobytes(), at[a:b].tobytes()) for a, b in zip(first, ends, strict=True)]
+        yield _batch(out, ["hit_id", "hits", "refs", "ref_places"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
 
-def factors(hits: np.ndarray, n_words: int) -> list[tuple[int, int]]:
-    """Greedy parse: (start, end) of each factor, from the sorted places of windows that the reference holds."""
+def factors(hits: np.ndarray, refs: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy parse: (start, end, reference document, start there) of each factor, from the sorted places of windows that the reference holds."""
     if not len(hits):
         return []
-    cover = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(cover, hits, 1)
-    np.add.at(cover, hits + WIDTH, -1)
-    inside = np.r_[False, np.cumsum(cover)[:-1] > 0, False]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    once = np.r_[True, hits[1:] != hits[:-1]]  # repeated rows of one document
+    hits, refs, places = hits[once], refs[once], places[once]
+    new = np.r_[True, (hits[1:] != hits[:-1] + 1) | (refs[1:] != refs[:-1]) | (places[1:] != places[:-1] + 1)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(hits)] - 1
+    return list(zip(hits[first].tolist(), (hits[last] + WIDTH).tolist(), refs[first].tolist(), places[first].tolist(), strict=True))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(hit_id, hits): for documents (id, text) the places of windows that a document with a smaller id has."""
+    """(hit_id, hits, refs, ref_places): for documents (id, text) the places of windows that a document with a smaller id has, and where it has them."""
     spark = docs.sparkSession
     docs = docs.where("id is not null")
     n = partitions_for(spark)
     ranges = 4 * n
     mine = docs.mapInArrow(_anchors_by_range(ranges), "part int, anchors binary, flags binary")
-    shared = cut(mine.repartition(n, "part").mapInArrow(_shared, "part int, n long, anchors binary"))
+    shared = cut(mine.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared, "part int, n long, anchors binary"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     bits = min(FILTER_BITS, max(1024, BITS_FOR_EACH * total)) // ranges // 8 * 8 + 8
     field = bytearray(ranges * (bits // 8))
     for row in shared.select("part", "anchors").mapInArrow(_filter_bits(bits), "part int, bits binary").toLocalIterator():
         field[row.part * (bits // 8) : (row.part + 1) * (bits // 8)] = row.bits
     held = spark.sparkContext.broadcast(bytes(field))
-    schema = "kind int, part int, prints binary, docs binary, places binary"
-    entries = docs.mapInArrow(_candidates(ranges, n, bits, held), schema)
-    hits = entries.repartition(n, "kind", "part").mapInArrow(_look_up(n), schema)
-    return hits.repartition(n, "part").mapInArrow(_by_document, "hit_id long, hits binary")
+    entries = docs.mapInArrow(_candidates(ranges, ranges, bits, held), _SCHEMA)
+    hits = entries.repartition(n, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_look_up(ranges), _SCHEMA)
+    return hits.drop("print1", "print2").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_by_document, "hit_id long, hits binary, refs binary, ref_places binary")
+
+
+_SPANS = "array<struct<start:int,end:int,reference:long,reference_start:int>>"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,19 +288,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for batch in slices(whole, 1):
                 out = []
-                for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for text, hits, refs, at in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                     words = (text or b"").split()
-                    places = np.frombuffer(hits or b"", dtype=np.int32).astype(np.int64)
-                    spans = factors(places[places <= len(words) - WIDTH], len(words))
-                    left, at = [], 0
-                    for a, b in spans:
-                        left += words[at:a]
-                        at = b
-                    left += words[at:]
-                    out.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8"), [{"start": a, "end": b} for a, b in spans]))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+                    parsed = factors(*(np.frombuffer(x or b"", dtype=t) for x, t in ((hits, np.int32), (refs, np.int64), (at, np.int32))))
+                    left, end = [], 0
+                    for a, b, *_ in parsed:  # factors may share words at their boundaries
+                        left += words[end:a]
+                        end = max(end, b)
+                    left += words[end:]
+                    spans = [dict(zip(("start", "end", "reference", "reference_start"), f, strict=True)) for f in parsed]
+                    out.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8"), spans))
+                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("reference", pa.int64()), ("reference_start", pa.int32())]))]
                 made = _batch(out, ["n_words", "n_removed", "kept", "spans"], types)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["id", *made.schema.names])
 
-    done = joined.select("id", "text", "hits").mapInArrow(run, "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+    done = joined.select("id", "text", "hits", "refs", "ref_places").mapInArrow(run, f"id long, n_words long, n_removed long, kept string, spans {_SPANS}")
     return done.withColumnRenamed("id", id_col)
