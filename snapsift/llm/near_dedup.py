@@ -6,12 +6,11 @@ differ in Binomial(POSITIONS, 1 - s) positions; the threshold ``distance`` is th
 distance have a chunk with at most one error, and enumerating the allowed error (leaving out each position of the
 chunk in turn) makes them meet in a bucket: every pair under the distance is found.
 
-Equal sets are one representative (their smallest id), so exact copies never meet. In a bucket, all members are first measured
-against two leaders; confirmed links make components, and later rounds look only at members of different components, in
-blocks of ``BLOCK`` members: one round proposes a spanning forest of the closest pairs, the last one every pair that is left. The distances
-to the leaders rule out most of these by the triangle inequality, and a longer signature (``LONG`` minima of a byte, made only for
-members of open buckets, with a threshold of its own by the same rule) most of the others before a text is looked at. No bucket is ever held by one task, and no pair inside a
-component is emitted again, so a large group costs a few rows for each member.
+Equal sets (by 128 bits of hash sums) are one representative (their smallest id), so exact copies never meet. In a bucket, all members are first
+measured against its leader; confirmed links make components, and one more round looks only at members of different components, in
+cells of two blocks of ``BLOCK`` shingles: signatures meet there first, the members of pairs within the distance meet again with their full sets, pairs
+are measured there, and only links that join two components leave it. So a group of any size costs rows in
+proportion to its members, whether its pairs link or not, and no bucket is ever held by one task.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing (component is the own id); a null
 id is never linked (component null, kept); repeated rows of one id are one document and are all kept or all dropped; other
@@ -31,19 +30,14 @@ from .common import U, WordHashes, cut, mix, ngrams, slices, utf8
 from .components import components
 
 POSITIONS = 64
-MISSED = 1e-5
-LONG = 512
-LONG_MISSED = 1e-6
-BLOCK = 512
-#: Most ids that are broadcast to pick documents (8 bytes each); beyond it the ids are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+MISSED = 1e-6
+#: Shingles of a block of a bucket's members, and those measured at once (they bound a task's memory).
+BLOCK = 1 << 18
+PART = 1 << 20
 
 _ODD = (np.random.default_rng(20240501).integers(1, 2**63, POSITIONS, dtype=np.uint64) << U(1)) | U(1)
 
 
-_LONG_ODD = (np.random.default_rng(20240502).integers(1, 2**63, LONG, dtype=np.uint64) << U(1)) | U(1)
-
-
 def distance_for(percent: int, positions: int = POSITIONS, missed: float = MISSED) -> int:
     """The signature distance that pairs of the least similarity stay within, but for a share of ``missed``."""
     p, tail = 1 - percent / 100, 1.0
@@ -61,24 +55,14 @@ def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(words, len(hashes))) + U(min(words, len(hashes))))
 
 
-def _minima(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """Each position's minimum, finalised so that its bits are spread evenly."""
-    out = np.full(len(odd), np.iinfo(np.uint64).max, dtype=U)
-    step = (1 << 18) // len(odd)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """16 bits of each position's minimum, finalised so that they are spread evenly."""
+    out = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=U)
+    step = (1 << 18) // POSITIONS
     for start in range(0, len(shingles), step):
         part = mix(shingles[start : start + step])
-        out = np.minimum(out, (part[:, None] * odd).min(0))
-    return mix(out)
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The 16 highest bits of each position's minimum."""
-    return (_minima(shingles, _ODD) >> U(48)).astype(np.uint16)
-
-
-def long_signature(shingles: np.ndarray) -> np.ndarray:
-    """The highest byte of each minimum of the longer signature."""
-    return (_minima(shingles, _LONG_ODD) >> U(56)).astype(np.uint8)
+        out = np.minimum(out, (part[:, None] * _ODD).min(0))
+    return (mix(out) >> U(48)).astype(np.uint16)
 
 
 def bucket_keys(signatures: np.ndarray, distance: int) -> np.ndarray:
@@ -131,112 +115,136 @@ def _keys(reps: DataFrame, distance: int) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, slot int, rep long")
 
 
-def _cross(percent: int, forest: bool):
-    """Rows of members of a bucket's block pair -> candidate pairs of different components (closest spanning forest, or all).
+CELL = ["key", "slot", "kind", "i", "j"]
 
-    1 - similarity is a metric, so the known distances of two members to a leader bound their own from below: pairs that the bound
-    rules out are not looked at. A pair that meets in several buckets is proposed in the first of them only.
+
+def _near(percent: int):
+    """The pairs of a cell that have to be measured: a function of its columns that yields (member, array of later members).
+
+    These are pairs of different components, of sizes that can link, within the signature distance, in the first bucket in which they
+    meet. ``label`` is read anew for every member, so links found meanwhile rule out what they connect.
     """
-    distance, chunks, far = distance_for(percent), distance_for(percent) // 2 + 1, 1 - percent / 100 + 1e-9
+    distance, chunks = distance_for(percent), distance_for(percent) // 2 + 1
     bounds = np.linspace(0, POSITIONS, chunks + 1).round().astype(int)
-    long_distance = distance_for(percent, LONG, LONG_MISSED)
+    chunk_of = np.searchsorted(bounds, np.arange(POSITIONS), "right") - 1
 
     def first_slot(differ: np.ndarray) -> np.ndarray:
         """The first slot in which each pair (a row of differing positions) meets."""
         errors = np.add.reduceat(differ, bounds[:-1], axis=1, dtype=np.int64)
         chunk = (errors <= 1).argmax(1)
-        own = differ & (np.searchsorted(bounds, np.arange(POSITIONS), "right") - 1 == chunk[:, None])
+        own = differ & (chunk_of == chunk[:, None])
         return np.where(own.any(1), own.argmax(1), bounds[chunk])
 
-    def pairs(kind: int, slot: int, members: list[dict]) -> list[tuple[int, int]]:
-        rep = np.array([m["rep"] for m in members])
-        label, n, side, d1, d2 = (np.array([m[k] for m in members]) for k in ("label", "n", "side", "d1", "d2"))
-        sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, POSITIONS)
-        long = np.frombuffer(b"".join(m["long"] for m in members), dtype=np.uint8).reshape(-1, LONG)
-        found = []
+    def pairs(kind: int, slot: int, rep: np.ndarray, label: np.ndarray, side: np.ndarray, n: np.ndarray, sig: np.ndarray):
         for i in range(len(rep)):
-            j = np.flatnonzero((rep > rep[i]) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.abs(d1 - d1[i]) <= far) & (np.abs(d2 - d2[i]) <= far) & ((side != side[i]) if kind else (side == 0)))
+            j = np.flatnonzero((rep > rep[i]) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((side != side[i]) if kind else (side == 0)))
             if len(j):
                 differ = sig[j] != sig[i]
-                j, differ = j[(here := first_slot(differ) == slot)], differ[here]
-                j = j[differ.sum(1) <= distance]
-                d = (long[j] != long[i]).sum(1)
-                found += [(int(dd), i, int(jj)) for dd, jj in zip(d[d <= long_distance], j[d <= long_distance], strict=True)]
-        if not forest:
-            return [(int(rep[i]), int(rep[j])) for _, i, j in found]
-        root = {x: x for x in label.tolist()}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+                j = j[(differ.sum(1) <= distance) & (first_slot(differ) == slot)]
+                if len(j):
+                    yield i, j
 
-        out = []
-        for _, i, j in sorted(found):
-            x, y = top(int(label[i])), top(int(label[j]))
-            if x != y:
-                root[x] = y
-                out.append((int(rep[i]), int(rep[j])))
-        return out
+    return pairs
+
+
+def _by_cell(handle, schema: pa.Schema):
+    """Rows sorted by cell (key, slot, kind, i, j, then the members' columns) -> what ``handle`` makes of each cell of two members or more."""
 
     def run(batches):
+        cell, members = None, []
         for batch in batches:
-            cells = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            found = {p for kind, slot, members in cells for p in pairs(kind, slot, members)}
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: len(CELL)] != cell:
+                    if len(members) > 1 and (out := handle(cell, members)):
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                    cell, members = row[: len(CELL)], []
+                members.append(row[len(CELL) :])
+        if len(members) > 1 and (out := handle(cell, members)):
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (id, text) whose ids are listed; the list is broadcast only where its count bounds its size."""
-    needed = cut(ids.distinct())
-    return docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
+def _columns(members: list[tuple]) -> list[np.ndarray]:
+    """rep, label, side, n and the signatures of a cell's members."""
+    numbers = [np.array([m[k] for m in members], dtype=np.int64) for k in range(4)]
+    return [*numbers, np.frombuffer(b"".join(m[4] for m in members), dtype=np.uint16).reshape(-1, POSITIONS)]
 
 
-def _long_signatures(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """rep, long: the longer signature of each member of an open bucket."""
+def _open_members(percent: int):
+    """Cells -> their members that are in any pair to be measured."""
+    near = _near(percent)
+    names = [*CELL, "rep", "label", "side", "n", "sig"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def handle(cell, members):
+        need = np.zeros(len(members), dtype=bool)
+        for i, j in near(cell[2], cell[1], *_columns(members)):
+            need[i] = need[j] = True
+        return [dict(zip(names, cell + members[k], strict=True)) for k in np.flatnonzero(need)]
+
+    return _by_cell(handle, pa.schema(list(zip(names, types, strict=True))))
 
-    def run(batches):
-        hashes = WordHashes()
-        for whole in batches:
-            for batch in slices(whole, 1):
-                made = [long_signature(shingle_set(hashes.of((t or b"").lower().split()), words)).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rep", "long"])
 
-    picked = _with_ids(docs, members.select(F.col("rep").alias("id")))
-    return picked.mapInArrow(run, "rep long, long binary").dropDuplicates(["rep"])
+def _confirm(percent: int):
+    """Cells whose members carry their full sets -> the confirmed links of a spanning forest of each cell.
+
+    Pairs are measured on full sets right here, so a pair that does not link never becomes a row, and of those that
+    link only the ones that join two components do.
+    """
+    near = _near(percent)
+
+    def handle(cell, members):
+        rep, label, side, n, sig = _columns(members)
+        sets = [np.frombuffer(m[5], dtype=U) for m in members]
+        starts = np.r_[0, np.cumsum(n)]
+        values, number = np.unique(np.concatenate(sets), return_inverse=True)  # shingles by number, so that a set can be marked in an array
+        mark = np.zeros(len(values), dtype=bool)
+        out = []
+        for i, j in near(cell[2], cell[1], rep, label, side, n, sig):
+            mark[number[starts[i] : starts[i + 1]]] = True
+            for part in np.array_split(j, -(-int(n[j].sum()) // PART)):
+                same = np.concatenate([mark[number[starts[k] : starts[k + 1]]] for k in part])
+                both = np.add.reduceat(same, np.r_[0, np.cumsum(n[part])[:-1]], dtype=np.int64)
+                for k in part[100 * both >= percent * (n[part] + n[i] - both)].tolist():
+                    if label[k] != label[i]:
+                        label[label == label[k]] = label[i]
+                        out.append({"a": int(rep[i]), "b": int(rep[k])})
+            mark[number[starts[i] : starts[i + 1]]] = False
+        return out
 
+    return _by_cell(handle, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-def _measure(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with the distance of their full shingle sets and whether they link."""
-    picked = _with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
-    def sets(batches):
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rep, shingles: the full sets of the listed documents."""
+
+    def run(batches):
         hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, 1):
                 found = [shingle_set(hashes.of((t or b"").lower().split()), words).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
+
+    picked = docs.join(ids.distinct(), "id", "left_semi").select("id", "text")
+    return picked.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+
+
+def _linked(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members and leaders that link, measured on full sets."""
 
     def compare(batches):
         for batch in batches:
-            far, linked = [], []
+            linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                far.append(1 - same / (len(both) - same))
-                linked.append(similar(len(x), len(y), same, percent))
-            columns = [batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "far", "linked"])
+                linked.append(similar(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    sized = cut(picked.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]))
-    joined = pairs.join(sized.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sized.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
+    joined = stars.join(sets.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a")
+    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -249,54 +257,50 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     named = signed.where("id is not null and n > 0")
     reps = cut(named.groupBy("set1", "set2").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("set1", "set2", F.col("r.id").alias("rep"), "r.n", "r.sig"))
     keys = cut(_keys(reps, distance_for(percent)))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.max("rep").alias("second")).where("size > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
     members = cut(keys.join(cut(sizes), "key"))
+    sets = cut(_sets(rows, members.select(F.col("rep").alias("id")), words))
 
-    stars = members.select("rep", F.explode(F.array("leader", "second")).alias("to")).where("rep <> to")
-    stars = cut(stars.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
-    known = cut(_measure(stars, rows, words, percent))
-    labels = components(known.where("linked").select("a", "b"))
-    tried, open_members = known.select("a", "b"), cut(_with_distances(members.where("size > 2"), known))
-    about = cut(reps.select("rep", "n", "sig").join(_long_signatures(open_members, rows, words), "rep"))
-    for forest in (True, False):
-        pairs = cut(_between(open_members, labels, about, percent, forest).join(tried, ["a", "b"], "left_anti"))
-        found = _measure(pairs, rows, words, percent).where("linked").select("a", "b")
-        tried = tried.unionByName(pairs)
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    labels = components(_linked(stars, sets, percent))
+    about = reps.select("rep", "sig", "n").join(sets, "rep")
+    found = _across(members.where("size > 2"), labels, about, percent)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
     classes = cut(reps.join(labels, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("label", "rep").alias("class")))
     joined = signed.join(classes, ["set1", "set2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def _with_distances(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Members with their distances d1 and d2 to the two leaders of their bucket, all of which are known."""
-    for to, d in (("leader", "d1"), ("second", "d2")):
-        ends = [F.least("rep", to).alias("a"), F.greatest("rep", to).alias("b")]
-        members = members.select("*", *ends).join(known.select("a", "b", F.col("far").alias(d)), ["a", "b"], "left").drop("a", "b")
-    return members.withColumns({d: F.coalesce(d, F.lit(0.0)) for d in ("d1", "d2")})
-
-
-def _between(members: DataFrame, labels: DataFrame, about: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs of members of one bucket that belong to different components so far.
+def _across(members: DataFrame, labels: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket that belong to different components so far.
 
     A bucket's members in the leader's component (side 1) need no pairs among themselves: they are laid out in blocks against
-    the blocks of the others (side 0), which also meet each other.
+    the blocks of the others (side 0), which also meet each other. A block holds ``BLOCK`` shingles, however many members these are.
     """
     of = lambda c, to: labels.withColumnsRenamed({"node": c, "label": to})
     m = members.join(of("rep", "own"), "rep", "left").join(of("leader", "main"), "leader", "left")
-    m = m.select("key", "slot", "rep", "d1", "d2", F.coalesce("own", "rep").alias("label"), (F.coalesce("own", "rep") == F.coalesce("main", "leader")).cast("int").alias("side"))
-    counts = cut(m.groupBy("key").agg(F.sum("side").alias("mains"), F.sum(1 - F.col("side")).alias("others")).where("others > 0"))
-    m = m.join(counts, "key").join(about, "rep")
+    m = m.select("key", "slot", "rep", F.coalesce("own", "rep").alias("label"), (F.coalesce("own", "rep") == F.coalesce("main", "leader")).cast("int").alias("side"))
+    m = m.join(about.select("rep", "n"), "rep")
+    weigh = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    counts = m.groupBy("key").agg(weigh(1).alias("mains"), weigh(0).alias("others")).where("others > 0")
+    m = m.drop("n").join(cut(counts), "key")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     spread: Column = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 1, blocks("mains")).otherwise(blocks("others")))
     m = m.withColumn("block", spread.cast("int"))
     against = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda o: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), o.alias("j")))
     inner = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     outer = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(0), F.greatest(blocks("mains") - 1, F.lit(0))), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), F.col("block").alias("j")))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
-    laid = m.withColumn("cell", F.explode(F.when(F.col("side") == 1, against).otherwise(F.concat(inner, outer))))
-    group = laid.groupBy("key", "slot", "cell").agg(F.collect_list(F.struct("rep", "label", "n", "side", "d1", "d2", "sig", "long")).alias("members"))
-    return group.where(F.size("members") > 1).select("cell.kind", "slot", "members").mapInArrow(_cross(percent, forest), "a long, b long").distinct()
+    laid = m.withColumn("cell", F.explode(F.when(F.col("side") == 1, against).otherwise(F.concat(inner, outer)))).select("key", "slot", "rep", "label", "side", "cell.*")
+    # a cell of one component has nothing to confirm
+    mixed = laid.groupBy(*CELL).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*CELL)
+    laid = laid.join(mixed, CELL, "left_semi").join(about.select("rep", "n", "sig"), "rep")
+    dealt = lambda rows: rows.repartition(*CELL).sortWithinPartitions(*CELL)
+    columns = [*CELL, "rep", "label", "side", "n", "sig"]
+    schema = "key long, slot int, kind int, i int, j int, rep long, label long, side int, n long, sig binary"
+    # signatures meet first; full sets travel only for members, and to the cells, that have a pair to measure
+    need = cut(dealt(laid.select(*columns)).mapInArrow(_open_members(percent), schema))
+    return dealt(need.join(about.select("rep", "shingles"), "rep").select(*columns, "shingles")).mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
