@@ -61,19 +61,17 @@ def rgba(r: Column, g: Column, b: Column, a: Column) -> Column:
     return F.concat(F.lit("rgba("), F.concat_ws(", ", r.cast("string"), g.cast("string"), b.cast("string"), number(a)), F.lit(")"))
 
 
-def _hex(v: Column, at: int, width: int) -> Column:
-    digits = F.substring(v, at, width)
-    return F.conv(digits if width == 2 else F.concat(digits, digits), 16, 10).cast("int")
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a key in a constant table (null: none). The table is one literal of the plan, however long it is."""
+    return F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in table.items())), F.lit(";"), F.lit("="))[key]
 
 
 def hex_color(v: Column) -> Column:
     """#rgb, #rgba, #rrggbb and #rrggbbaa."""
-    out = F.lit(None).cast("string")
-    for size, width in ((3, 1), (4, 1), (6, 2), (8, 2)):
-        parts = [_hex(v, 2 + k * width, width) for k in range(size // width)]
-        alpha = F.floor(parts[3] / 255 * 100 + 0.5) / 100 if len(parts) == 4 else F.lit(1.0)
-        out = F.when(v.rlike(f"^#[0-9a-f]{{{size}}}$"), rgba(*parts[:3], alpha)).otherwise(out)
-    return out
+    full = F.regexp_replace(v, "^#(.)(.)(.)(.?)$", "#$1$1$2$2$3$3$4$4")
+    part = F.transform(F.array(F.lit(2), F.lit(4), F.lit(6), F.lit(8)), lambda at: F.conv(F.substring(full, at, F.lit(2)), 16, 10).cast("int"))
+    alpha = F.when(F.length(full) == 9, F.floor(part[3] / 255 * 100 + 0.5) / 100).otherwise(1.0)
+    return F.when(v.rlike("^#([0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})$"), rgba(part[0], part[1], part[2], alpha))
 
 
 def _arguments(v: Column) -> Column:
@@ -94,16 +92,17 @@ def hsl_color(v: Column) -> Column:
     q = F.when(light < 0.5, light * (1 + s)).otherwise(light + s - light * s)
     base = 2 * light - q
 
-    def channel(shift: float) -> Column:
+    def channel(shift: Column) -> Column:
         t = F.pmod(h + shift, F.lit(1.0))
         mixed = F.when(t < 1 / 6, base + (q - base) * 6 * t).when(t < 1 / 2, q).when(t < 2 / 3, base + (q - base) * (2 / 3 - t) * 6).otherwise(base)
         return rounded(F.when(s == 0, light).otherwise(mixed) * 255)
 
-    return rgba(channel(1 / 3), channel(0.0), channel(-1 / 3), F.coalesce(F.get(p, F.lit(3)).try_cast("double"), F.lit(1.0)))
+    c = F.transform(F.array(F.lit(1 / 3), F.lit(0.0), F.lit(-1 / 3)), channel)
+    return rgba(c[0], c[1], c[2], F.coalesce(F.get(p, F.lit(3)).try_cast("double"), F.lit(1.0)))
 
 
 def named_color(v: Column) -> Column:
-    return hex_color(F.concat(F.lit("#"), F.create_map(*[F.lit(x) for x in NAMED])[v]))
+    return hex_color(F.concat(F.lit("#"), lookup(dict(zip(NAMED[::2], NAMED[1::2], strict=True)), v)))
 
 
 def normalize_color(value: Column) -> Column:
@@ -128,7 +127,7 @@ def normalize_unit(value: Column, prop: Column, context: dict[str, Column] | Non
     v = F.lower(F.trim(value))
     amount = F.regexp_extract(v, r"^([-+]?\d*\.?\d+)([a-z%]*)$", 1).try_cast("double")
     unit = F.regexp_extract(v, r"^([-+]?\d*\.?\d+)([a-z%]*)$", 2)
-    factor = F.create_map(*[F.lit(x) for kv in PX_OF.items() for x in kv])[F.when(unit == "", "px").otherwise(unit)]
+    factor = lookup({k: str(f) for k, f in PX_OF.items()}, F.when(unit == "", "px").otherwise(unit)).cast("double")
     percent = F.concat(two_places(amount), F.lit("%"))
     if context:
         has = lambda *words: reduce(lambda a, b: a | b, [prop.contains(w) for w in words])
@@ -150,24 +149,19 @@ def context_dependent(value: Column) -> Column:
 
 def normalize_font(value: Column) -> Column:
     """Family names without quotes, each in its usual spelling."""
-    spelled = F.create_map(*[F.lit(x) for kv in SPELLED_FONTS.items() for x in kv])
 
     def one(font: Column) -> Column:
         bare = F.trim(F.regexp_replace(F.lower(font), "^['\"]|['\"]$", ""))
         capital = F.array_join(F.transform(F.split(bare, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
-        return F.when(bare.isin(*GENERIC_FONTS), bare).otherwise(F.coalesce(spelled[bare], capital))
+        return F.when(bare.isin(*GENERIC_FONTS), bare).otherwise(F.coalesce(lookup(SPELLED_FONTS, bare), capital))
 
     fonts = F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.coalesce(value, F.lit("")) == "", value).otherwise(F.array_join(F.transform(fonts, one), ", "))
 
 
 def normalize(prop: Column, value: Column, context: dict[str, Column] | None = None) -> Column:
-    return (
-        F.when(prop.isin(*COLOR_PROPERTIES), normalize_color(value))
-        .when(prop.isin(*SIZE_PROPERTIES), normalize_unit(value, prop, context))
-        .when(prop == "font-family", normalize_font(value))
-        .otherwise(value)
-    )
+    kind = lookup({p: "color" for p in COLOR_PROPERTIES} | {p: "size" for p in SIZE_PROPERTIES if p not in COLOR_PROPERTIES} | {"font-family": "font"}, prop)
+    return F.when(kind == "color", normalize_color(value)).when(kind == "size", normalize_unit(value, prop, context)).when(kind == "font", normalize_font(value)).otherwise(value)
 
 
 def box_values(value: Column) -> Column:
@@ -216,7 +210,10 @@ def background_parts(value: Column) -> Column:
 
 
 def expand_shorthands(styles: Column) -> Column:
-    """A style map whose shorthands have become longhands, where those were absent or empty."""
+    """A style map whose shorthands have become longhands, where those were absent or empty.
+
+    Names are data, so the plan holds one expression for a kind of shorthand and not one for every longhand.
+    """
     boxes = {
         "padding": [f"padding-{s}" for s in SIDES],
         "margin": [f"margin-{s}" for s in SIDES],
@@ -225,18 +222,20 @@ def expand_shorthands(styles: Column) -> Column:
         "border-color": [f"border-{s}-color" for s in SIDES],
         "border-radius": [f"border-{c}-radius" for c in _CORNERS],
     }
+    texts = lambda names: F.array(*[F.lit(n) for n in names])
+    entry = lambda k, v: F.struct(k.alias("key"), F.nullif(v, F.lit("")).alias("value"))
+    as_map = lambda entries: F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    given = F.filter(F.array(*[F.struct(F.lit(short).alias("short"), texts(names).alias("names")) for short, names in boxes.items()]), lambda x: styles[x["short"]].isNotNull())
+    from_boxes = F.flatten(F.transform(given, lambda x: F.transform(F.arrays_zip(x["names"].alias("n"), box_values(styles[x["short"]]).alias("v")), lambda e: entry(e["n"], e["v"]))))
+
     border, font, ground = border_parts(styles["border"]), font_parts(styles["font"]), background_parts(styles["background"])
-    offers: dict[str, list[Column]] = {}
-    for short, names in boxes.items():
-        for k, name in enumerate(names):
-            offers.setdefault(name, []).append(box_values(styles[short])[k])
-    for part in ("width", "style", "color"):
-        for side in SIDES:
-            offers.setdefault(f"border-{side}-{part}", []).append(border[part])
-    offers |= {f"background-{part}": [ground[part]] for part in ("color", "image")}
-    offers |= {name: [font[part]] for part, name in {"style": "font-style", "weight": "font-weight", "size": "font-size", "line_height": "line-height", "family": "font-family"}.items()}
-    entries = [F.struct(F.lit(name).alias("key"), F.coalesce(*[F.nullif(o, F.lit("")) for o in given]).alias("value")) for name, given in offers.items()]
-    news = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull() & (F.coalesce(styles[e["key"]], F.lit("")) == "")))
+    parts = F.array(*[F.struct(F.lit(part).alias("part"), border[part].alias("v")) for part in ("width", "style", "color")])
+    from_border = F.flatten(F.transform(parts, lambda x: F.transform(texts(SIDES), lambda side: entry(F.concat(F.lit("border-"), side, F.lit("-"), x["part"]), x["v"]))))
+    single = [entry(F.lit(f"background-{part}"), ground[part]) for part in ("color", "image")]
+    single += [entry(F.lit(name), font[part]) for part, name in {"style": "font-style", "weight": "font-weight", "size": "font-size", "line_height": "line-height", "family": "font-family"}.items()]
+
+    offered = F.map_zip_with(as_map(from_boxes), as_map(F.concat(from_border, F.array(*single))), lambda _, x, y: F.coalesce(x, y))
+    news = F.map_filter(offered, lambda k, _: F.coalesce(styles[k], F.lit("")) == "")
     kept = F.map_filter(styles, lambda k, _: ~k.isin(*SHORTHANDS))
     expanded = F.map_zip_with(kept, news, lambda _, old, new: F.coalesce(new, old))
     return F.when(F.exists(F.map_keys(styles), lambda k: k.isin(*SHORTHANDS)), expanded).otherwise(styles)

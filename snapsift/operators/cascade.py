@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import css
@@ -39,18 +39,26 @@ def nearest_ancestor(nodes: DataFrame, marked: DataFrame) -> DataFrame:
 def inherited(diffs: DataFrame, paths: DataFrame) -> DataFrame:
     """The diffs with ``inherited`` and ``derived_from``: whether the first ancestor (in result order) with a diff of the property changed alike.
 
-    ``paths`` gives pair_id, b_ord and hpid; result order is that of b_ord. Border colours also follow an ancestor's text colour.
+    ``paths`` gives pair_id, b_ord and hpid; result order is that of b_ord. Border colours also follow an ancestor's text colour. Every diff
+    stands once under its own path and asks under each ancestor's, so one window over (path, property) answers all of them.
     """
     d = diffs.join(paths.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"])
-    follows = F.col("property").isin(*DERIVED)
-    asks = F.when(F.col("property").isin(*INHERITED), F.array(F.col("property"))).when(follows, F.array(F.col("property"), F.lit("color")))
-    up = d.where(asks.isNotNull()).select("pair_id", "b_ord", "property", "hpid", F.explode(asks).alias("asked"))
-    up = up.withColumn("anc", F.explode(ancestors(F.col("hpid"))))
-    own = d.select("pair_id", F.col("hpid").alias("anc"), F.col("property").alias("asked"), F.struct(F.col("b_ord").alias("at"), F.col("hpid").alias("path"), F.col("base_value").alias("a"), F.col("compare_value").alias("b")).alias("theirs"))
-    first = up.join(own, ["pair_id", "anc", "asked"]).groupBy("pair_id", "b_ord", "property", "asked").agg(F.min("theirs").alias("theirs"))
-    joined = d.join(first, ["pair_id", "b_ord", "property"], "left")
-    alike = F.col("theirs.a").eqNullSafe(F.col("base_value")) & F.col("theirs.b").eqNullSafe(F.col("compare_value")) & F.col("theirs").isNotNull()
-    return joined.groupBy(*d.columns).agg(F.max(F.coalesce(alike, F.lit(False))).alias("inherited"), F.min(F.when(alike, F.col("theirs.path"))).alias("derived_from"))
+    asks = F.when(F.col("property").isin(*INHERITED), F.array("property")).when(F.col("property").isin(*DERIVED), F.array(F.col("property"), F.lit("color"))).otherwise(F.array().cast("array<string>"))
+    spot = lambda path, asked, asking: F.struct(path.alias("path"), asked.alias("asked"), F.lit(asking).alias("asking"))
+    stands = F.array(spot(F.col("hpid"), F.col("property"), False), spot(F.lit(""), F.lit(""), True))  # the second keeps diffs that ask nobody
+    asked = F.flatten(F.transform(asks, lambda p: F.transform(ancestors(F.col("hpid")), lambda up: spot(up, p, True))))
+    row = F.struct(*[F.col(c) for c in d.columns]).alias("row")
+    rows = d.select("pair_id", row, F.inline(F.concat(stands, asked)))
+    own = F.when(~F.col("asking"), F.struct(F.col("row.b_ord").alias("at"), F.col("row.hpid").alias("path"), F.col("row.base_value").alias("a"), F.col("row.compare_value").alias("b")))
+    theirs = F.when(F.col("asked") != "", F.min(own).over(Window.partitionBy("pair_id", "path", "asked")))
+    rows = rows.withColumn("theirs", theirs).where("asking")
+    same = F.col("asked") == F.col("row.property")
+    first = rows.groupBy("pair_id", F.col("row.b_ord").alias("b_ord"), F.col("row.property").alias("property")).agg(
+        F.first("row").alias("row"), F.min(F.when(same, F.col("theirs"))).alias("x"), F.min(F.when(~same, F.col("theirs"))).alias("y")
+    )
+    alike = lambda t: F.coalesce(F.col(f"{t}.a").eqNullSafe(F.col("row.base_value")) & F.col(f"{t}.b").eqNullSafe(F.col("row.compare_value")) & F.col(t).isNotNull(), F.lit(False))
+    source = F.least(F.when(alike("x"), F.col("x.path")), F.when(alike("y"), F.col("y.path")))
+    return first.select("row.*", (alike("x") | alike("y")).alias("inherited"), source.alias("derived_from"))
 
 
 def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,61 +17,59 @@ DERIVED = [f"border-{s}-color" for s in ("top", "right", "bottom", "left")]
 
 
 def category(prop: Column) -> Column:
-    out = F.lit("other")
-    for name, members in reversed(CATEGORIES.items()):
-        out = F.when(prop.isin(*members), name).otherwise(out)
-    return out
+    return F.coalesce(css.lookup({p: name for name, members in reversed(CATEGORIES.items()) for p in members}, prop), F.lit("other"))
 
 
 def with_parsed(rows: DataFrame) -> DataFrame:
-    """Adds what the rules read many times: colours x and y, px amounts px_a and px_b, numbers num_a and num_b.
+    """Adds what the rules read many times, of both values in a row (x and y): colours, px amounts and numbers.
 
     A generator makes columns of them, which projections above cannot fold back into their own expressions.
     """
-    a, b = F.col("base_value"), F.col("compare_value")
-    pairs = {"x": css.parse_rgba(a), "y": css.parse_rgba(b), "px_a": css.parse_px(a), "px_b": css.parse_px(b), "num_a": css.leading_number(a), "num_b": css.leading_number(b)}
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in pairs.items()]))))
+    parsed = F.transform(F.array("base_value", "compare_value"), lambda v: F.struct(css.parse_rgba(v).alias("color"), css.parse_px(v).alias("px"), css.leading_number(v).alias("num")))
+    return rows.select("*", F.inline(F.array(F.struct(parsed.alias("parsed")))))
 
 
-PARSED = ["x", "y", "px_a", "px_b", "num_a", "num_b"]
+PARSED = ["parsed"]
+
+
+def _both(part: str) -> tuple[Column, Column]:
+    return F.col("parsed")[0][part], F.col("parsed")[1][part]
 
 
 def within_tolerance(prop: Column, mode: Mode) -> Column:
     """Whether two different values (parsed) count as equal; the first rule that fits the property decides."""
-    x, y = F.col("x"), F.col("y")
+    x, y = _both("color")
     channels = (F.abs(x["r"] - y["r"]) <= mode.color) & (F.abs(x["g"] - y["g"]) <= mode.color) & (F.abs(x["b"] - y["b"]) <= mode.color)
     alpha = F.coalesce(F.abs(x["a"] - y["a"]) <= 0.01, F.lit(False))
-    px = F.abs(F.col("px_a") - F.col("px_b")) <= mode.size
-    number = F.abs(F.col("num_a") - F.col("num_b")) <= mode.opacity
-    is_color = prop.isin(*CATEGORIES["visual"]) | prop.contains("color")
-    is_size = prop.isin(*CATEGORIES["layout"], *CATEGORIES["spacing"], *CATEGORIES["position"]) | prop.rlike("width|height|size")
-    return F.when(is_color, F.coalesce(channels & alpha, F.lit(False))).when(is_size, F.coalesce(px, F.lit(False))).when(prop == "opacity", F.coalesce(number, F.lit(False))).otherwise(False)
+    apart = lambda part: F.abs(_both(part)[0] - _both(part)[1])
+    cat = category(prop)
+    is_color, is_size = (cat == "visual") | prop.contains("color"), cat.isin("layout", "spacing", "position") | prop.rlike("width|height|size")
+    within = F.when(is_color, channels & alpha).when(is_size, apart("px") <= mode.size).when(prop == "opacity", apart("num") <= mode.opacity)
+    return F.coalesce(within, F.lit(False))
 
 
 def severity(prop: Column, a: Column, b: Column, cat: Column) -> Column:
     """Severity of a diff with parsed values. The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
     blocky = lambda v: v.isin("block", "flex", "grid", "inline-block")
-    pa, pb = F.col("px_a"), F.col("px_b")
+    (pa, pb), (na, nb), (ca, cb) = _both("px"), _both("num"), _both("color")
     share = F.when((pa != 0) & (pb != 0), F.abs(pb - pa) / pa)
     breaks = (
         F.when(prop == "display", (a == "none") | (b == "none") | (blocky(a) != blocky(b)))
         .when(prop == "position", a.isin("absolute", "fixed") | b.isin("absolute", "fixed"))
         .when(prop.isin("width", "height"), share > 0.5)
     )
-    light = F.abs(css.luminance(F.col("x")) - css.luminance(F.col("y")))
     impact = (
-        F.when(prop == "opacity", F.abs(F.col("num_a") - F.col("num_b")) > 0.3)
-        .when(prop.contains("color"), light > 0.4)
+        F.when(prop == "opacity", F.abs(na - nb) > 0.3)
+        .when(prop.contains("color"), F.abs(css.luminance(ca) - css.luminance(cb)) > 0.4)
         .when(prop == "font-size", share > 0.25)
     )
-    yes = lambda c: F.coalesce(c, F.lit(False))
+    listed = css.lookup({p: "medium" for p in MEDIUM} | {p: "high" for p in HIGH} | {p: "critical" for p in CRITICAL}, prop)
     return (
-        F.when(prop.isin(*CRITICAL), "critical")
-        .when(yes(breaks), "critical")
-        .when(prop.isin(*HIGH), "high")
-        .when(yes(impact), "high")
-        .when(prop.isin(*MEDIUM), "medium")
-        .when(cat == "layout", "medium")
+        F.when(listed == "critical", "critical")
+        .when(breaks, "critical")
+        .when(listed == "high", "high")
+        .when(impact, "high")
+        .when((listed == "medium") | (cat == "layout"), "medium")
         .otherwise("low")
     )
 
@@ -87,56 +85,61 @@ def _zipped(a: Column, b: Column) -> Column:
     return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
-def property_diffs(pairs: DataFrame, mode: Mode) -> DataFrame:
-    pairs = pairs.select("pair_id", "b_ord", "c_ord", F.col("b.styles").alias("bs"), F.col("c.styles").alias("cs"))
-    styles = {s: css.expand_shorthands(F.col(f"{s}s")) for s in ("b", "c")}
-    rows = pairs.select("pair_id", "b_ord", "c_ord", F.explode(_zipped(styles["b"], styles["c"])).alias("property", "v"))
-    if mode.properties is not None:
-        rows = rows.where(F.col("property").isin(*mode.properties))
-    p = F.col("property")
-    # equal raw values are equal anyway; the generator keeps the filters below from pulling the long expressions into themselves
-    rows = rows.where(~F.col("v.a").eqNullSafe(F.col("v.b")))
-    normal = F.struct(css.normalize(p, F.col("v.a")).alias("base_value"), css.normalize(p, F.col("v.b")).alias("compare_value"))
-    rows = rows.select("pair_id", "b_ord", "c_ord", "property", F.inline(F.array(normal)))
-    a, b = F.col("base_value"), F.col("compare_value")
-    kind = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("modified")
+def paired(base: DataFrame, comp: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (b_ord, c_ord, b, c) of elements with equal keys: a match and its elements in one join."""
+    side = lambda d, o, n: d.select(*on, F.col("ord").alias(o), F.struct(*d.columns).alias(n))
+    return side(base, "b_ord", "b").join(side(comp, "c_ord", "c"), on)
+
+
+def _text(side: str) -> Column:
+    return F.trim(F.coalesce(F.col(f"{side}.text_content"), F.lit("")))
+
+
+def entries(pairs: DataFrame, mode: Mode) -> DataFrame:
+    """pair_id, b_ord, c_ord, kind, property, a, b: the raw values of a pair that differ, of all kinds, out of one generator."""
+    of = lambda kind, m: F.transform(F.map_entries(m), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("property"), e["value"]["a"].alias("a"), e["value"]["b"].alias("b")))
+    styles = F.transform(F.array("b.styles", "c.styles"), css.expand_shorthands)
+    found = [of("style", _zipped(styles[0], styles[1])), of("attribute", _zipped(F.col("b.attributes"), F.col("c.attributes")))]
+    if mode.text:
+        found.append(F.array(F.struct(F.lit("text").alias("kind"), F.lit("textContent").alias("property"), _text("b").alias("a"), _text("c").alias("b"))))
+    def wanted(e: Column) -> Column:
+        keep = ~e["a"].eqNullSafe(e["b"])
+        for kind, names in (("style", mode.properties), ("attribute", mode.attributes)):
+            if names is not None:
+                keep = keep & ((e["kind"] != kind) | css.lookup(dict.fromkeys(names, ""), e["property"]).isNotNull())
+        return keep
+
+    return pairs.select("pair_id", "b_ord", "c_ord", F.inline(F.filter(F.concat(*found), wanted)))
+
+
+def compare_pairs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> DataFrame:
+    """All diffs of all pairs, each with its severity, in one pass; ``three_state`` tells added and removed attributes from modified ones."""
+    kind, p, a, b = F.col("kind"), F.col("property"), F.col("base_value"), F.col("compare_value")
+    style = kind == "style"
+    # generators make columns of long expressions, which projections above cannot fold back into their own
+    plain = F.transform(F.array("a", "b"), lambda v: F.when(style, css.normalize(p, v)).otherwise(v))
+    rows = entries(pairs, mode).select("pair_id", "b_ord", "c_ord", "kind", "property", F.inline(F.array(F.struct(plain.alias("v")))))
+    rows = rows.select("pair_id", "b_ord", "c_ord", "kind", "property", F.col("v")[0].alias("base_value"), F.col("v")[1].alias("compare_value"))
+    state = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("modified")
     rows = with_parsed(rows.where(~a.eqNullSafe(b)))
-    rows = rows.where(~((kind == "modified") & within_tolerance(p, mode)))
-    rows = rows.select("*", kind.alias("type"), category(p).alias("category")).drop(*PARSED)
-    return drop_current_color(rows)
+    rows = rows.where(~(style & a.isNotNull() & b.isNotNull() & within_tolerance(p, mode)))
+    cat = F.when(style, category(p)).when(kind == "attribute", "attribute").otherwise("content")
+    rows = rows.withColumns({"type": F.when(style | (F.lit(three_state) & (kind == "attribute")), state).otherwise("modified"), "category": cat, "property": F.when(kind == "attribute", F.concat(F.lit("attr:"), p)).otherwise(p)})
+    ranked = rows.withColumn("severity", severity(p, a, b, F.col("category"))).drop("kind", *PARSED)
+    return drop_current_color(ranked)
 
 
 def drop_current_color(diffs: DataFrame) -> DataFrame:
     """Without border-colour diffs that repeat the text colour's own change."""
     w = Window.partitionBy("pair_id", "b_ord", "c_ord")
-    own = F.max(F.when(F.col("property") == "color", F.struct("base_value", "compare_value"))).over(w)
+    own = F.max(F.when(F.col("property") == "color", F.struct("base_value", "compare_value"))).over(w)  # the pair's rows lie together since its join
     repeats = F.col("property").isin(*DERIVED) & F.col("base_value").eqNullSafe(F.col("own.base_value")) & F.col("compare_value").eqNullSafe(F.col("own.compare_value"))
     return diffs.withColumn("own", own).where(~(F.col("own").isNotNull() & repeats)).drop("own")
 
 
-def text_diffs(pairs: DataFrame) -> DataFrame:
-    a, b = (F.trim(F.coalesce(F.col(f"{s}.text_content"), F.lit(""))) for s in ("b", "c"))
-    return pairs.where(a != b).select("pair_id", "b_ord", "c_ord", F.lit("textContent").alias("property"), a.alias("base_value"), b.alias("compare_value"), F.lit("modified").alias("type"), F.lit("content").alias("category"))
-
-
-def attribute_diffs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> DataFrame:
-    """Attribute changes; ``three_state`` tells added and removed from modified."""
-    rows = pairs.select("pair_id", "b_ord", "c_ord", F.explode(_zipped(F.col("b.attributes"), F.col("c.attributes"))).alias("name", "v"))
-    if mode.attributes is not None:
-        rows = rows.where(F.col("name").isin(*mode.attributes))
-    kind = F.when(F.col("v.a").isNull(), "added").when(F.col("v.b").isNull(), "removed").otherwise("modified") if three_state else F.lit("modified")
-    rows = rows.where(~F.col("v.a").eqNullSafe(F.col("v.b")))
-    return rows.select("pair_id", "b_ord", "c_ord", F.concat(F.lit("attr:"), "name").alias("property"), F.col("v.a").alias("base_value"), F.col("v.b").alias("compare_value"), kind.alias("type"), F.lit("attribute").alias("category"))
-
-
 def compare(matches: DataFrame, base: DataFrame, comp: DataFrame, mode: Mode) -> DataFrame:
     """All diffs of all matches, each with its severity."""
-    pairs = pair_up(matches, base, comp)
-    diffs = property_diffs(pairs, mode).unionByName(attribute_diffs(pairs, mode))
-    if mode.text:
-        diffs = diffs.unionByName(text_diffs(pairs))
-    ranked = severity(F.col("property"), F.col("base_value"), F.col("compare_value"), F.col("category"))
-    return with_parsed(diffs).withColumn("severity", ranked).drop(*PARSED)
+    return compare_pairs(pair_up(matches, base, comp), mode)
 
 
 def worst(severities: Column) -> Column:

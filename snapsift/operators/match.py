@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ANCHOR_ATTRIBUTES, DEFAULT, EngineConfig
+from .filters import first_elements
 
+#: Strategies that leave an element open where several others have its key.
+UNDOUBTING = ("suffix-realign",)
 MATCH = "pair_id long, b_ord long, c_ord long, confidence double, strategy string"
 
 
@@ -38,14 +41,17 @@ def strategy_key(strategy: str, config: EngineConfig = DEFAULT) -> Column:
     return F.when(F.col(plain[strategy]) != "", F.col(plain[strategy]))
 
 
-def key_verdicts(base: DataFrame, comp: DataFrame, key: Column) -> DataFrame:
-    """pair_id, b_ord, verdict (definitive, ambiguous or orphan), c_ord, candidates (of an ambiguous key, in order)."""
+def key_verdicts(base: DataFrame, comp: DataFrame, key: Column, doubts: bool = True) -> DataFrame:
+    """pair_id, b_ord, verdict (definitive, ambiguous or orphan), c_ord, candidates (of an ambiguous key, in order).
+
+    Without ``doubts`` an element whose key several others have is an orphan, open for the next strategy.
+    """
     keyed_c = comp.select("pair_id", "ord", key.alias("key")).where("key is not null")
     per_key = keyed_c.groupBy("pair_id", "key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("ord")).alias("found"))
     first = F.row_number().over(Window.partitionBy("pair_id", "key").orderBy("ord"))
     keyed_b = base.select("pair_id", F.col("ord").alias("b_ord"), key.alias("key"), "ord").withColumn("rn", first).drop("ord")
     joined = keyed_b.join(per_key, ["pair_id", "key"], "left")
-    verdict = F.when((F.col("n") == 1) & (F.col("rn") == 1), "definitive").when(F.col("n") >= 2, "ambiguous").otherwise("orphan")
+    verdict = F.when((F.col("n") == 1) & (F.col("rn") == 1), "definitive").when(F.lit(doubts) & (F.col("n") >= 2), "ambiguous").otherwise("orphan")
     return joined.select(
         "pair_id",
         "b_ord",
@@ -77,7 +83,7 @@ def cascade(base: DataFrame, comp: DataFrame, strategies: list[tuple[str, float]
         rows = rows.withColumns({"found": F.sort_array(F.collect_list(of("c")).over(same)), "first": F.min(of("b")).over(same)})
         n = F.size("found")
         pair = F.col("keyed") & (n == 1) & ((F.col("ord") == F.col("first")) | (F.col("side") == "c")) & F.col("first").isNotNull()
-        doubt = F.col("keyed") & (n >= 2) & (F.col("side") == "b")
+        doubt = F.lit(name not in UNDOUBTING) & F.col("keyed") & (n >= 2) & (F.col("side") == "b")
         rows = rows.withColumns(
             {
                 "settled": F.when(pair | doubt, True).otherwise(F.col("settled")),
@@ -113,48 +119,52 @@ def position_matches(base: DataFrame, comp: DataFrame, config: EngineConfig = DE
 
 
 def _align(config: EngineConfig):
-    """A merge of two element lists in document order, with a look-ahead on either side."""
+    """The in-order pass over two element lists: pairs of equal path and tag, found in step or at most ``look_ahead`` elements further on either side.
+
+    Elements that are used already pair with nothing and are no news, but the look-ahead counts them.
+    """
     sure, resync, ahead = config.in_sequence, config.in_sequence - 0.05, config.look_ahead
 
     def steps(b: list[tuple], c: list[tuple]):
-        """Yields (event, baseline ord, compare ord, confidence, strategy); elements are (ord, path, tag)."""
-        i = j = 0
-
-        def same(x, y):
-            return x[1] == y[1] and x[2] == y[2]
-
-        while i < len(b) and j < len(c):
-            if b[i][1] == c[j][1]:
-                if b[i][2] == c[j][2]:
-                    yield "pair", b[i][0], c[j][0], sure, "sequence-hpid"
-                else:
-                    yield "removed", b[i][0], None, None, None
-                    yield "added", None, c[j][0], None, None
-                i, j = i + 1, j + 1
+        """Yields (event, baseline ord, compare ord, confidence, strategy); elements are (ord, (path, tag), used)."""
+        at = {"removed": 0, "added": 0}
+        sides = {"removed": b, "added": c}
+
+        def news(side: str, upto: int):
+            """What lies before ``upto`` on one side stays without a partner."""
+            free = [x[0] for x in sides[side][at[side] : upto] if not x[2]]
+            at[side] = upto
+            return [("removed", o, None, None, None) if side == "removed" else ("added", None, o, None, None) for o in free]
+
+        def further(side: str, wanted: tuple) -> int | None:
+            first = at[side] + 1
+            return next((k for k, x in enumerate(sides[side][first : first + ahead], first) if not x[2] and x[1] == wanted), None)
+
+        while at["removed"] < len(b) and at["added"] < len(c):
+            x, y = b[at["removed"]], c[at["added"]]
+            if x[2] or y[2]:
+                at["removed" if x[2] else "added"] += 1
                 continue
-            skip = next((n for n in range(1, ahead + 1) if j + n < len(c) and same(b[i], c[j + n])), None)
-            if skip:
-                for x in c[j : j + skip]:
-                    yield "added", None, x[0], None, None
-                yield "pair", b[i][0], c[j + skip][0], resync, "sequence-resync-add"
-                i, j = i + 1, j + skip + 1
+            event = ("orphan", x[0], y[0], None, None)
+            if x[1] == y[1]:
+                event = ("pair", x[0], y[0], sure, "sequence-hpid")
+            elif x[1][0] == y[1][0]:  # another tag in the same place
+                yield from news("removed", at["removed"] + 1)
+                yield from news("added", at["added"] + 1)
                 continue
-            skip = next((n for n in range(1, ahead + 1) if i + n < len(b) and same(b[i + n], c[j])), None)
-            if skip:
-                for x in b[i : i + skip]:
-                    yield "removed", x[0], None, None, None
-                yield "pair", b[i + skip][0], c[j][0], resync, "sequence-resync-remove"
-                i, j = i + skip + 1, j + 1
-                continue
-            yield "orphan", b[i][0], c[j][0], None, None
-            i, j = i + 1, j + 1
-        for x in b[i:]:
-            yield "removed", x[0], None, None, None
-        for y in c[j:]:
-            yield "added", None, y[0], None, None
+            elif (k := further("added", x[1])) is not None:
+                yield from news("added", k)
+                event = ("pair", x[0], c[k][0], resync, "sequence-resync-add")
+            elif (k := further("removed", y[1])) is not None:
+                yield from news("removed", k)
+                event = ("pair", b[k][0], y[0], resync, "sequence-resync-remove")
+            yield event
+            at["removed"], at["added"] = at["removed"] + 1, at["added"] + 1
+        yield from news("removed", len(b))
+        yield from news("added", len(c))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sides = [[(int(o), h or "", t) for o, h, t in d.sort_values("ord")[["ord", "hpid", "tag_name"]].itertuples(index=False)] for d in (left, right)]
+        sides = [[(int(o), (h or "", t), bool(u)) for o, h, t, u in d.sort_values("ord")[["ord", "hpid", "tag_name", "used"]].itertuples(index=False)] for d in (left, right)]
         rows = [(key[0], *s) for s in steps(*sides)]
         out = pd.DataFrame(rows, columns=["pair_id", "event", "b_ord", "c_ord", "confidence", "strategy"])
         return out.astype({"b_ord": "Int64", "c_ord": "Int64", "confidence": "float64"})
@@ -162,15 +172,22 @@ def _align(config: EngineConfig):
     return run
 
 
-def align(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """pair_id, event (pair, removed, added, orphan), b_ord, c_ord, confidence, strategy of the in-order pass.
+def align(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT, used: DataFrame | None = None) -> DataFrame:
+    """pair_id, event (pair, removed, added, orphan), b_ord, c_ord, confidence, strategy of the in-order pass; ``used`` are matches made before.
 
-    One group is one pair of reports, whose size ``config.max_elements`` bounds at extraction.
+    One group is one pair of reports, of ``config.max_elements`` on a side at most: more are not compared (the same limit that extraction has).
     """
-    cols = ["pair_id", "ord", "hpid", "tag_name"]
     schema = "pair_id long, event string, b_ord long, c_ord long, confidence double, strategy string"
-    own = [F.col(c).alias(c) for c in cols]  # a report can be aligned with itself
-    return base.select(*cols).groupBy("pair_id").cogroup(comp.select(*own).groupBy("pair_id")).applyInPandas(_align(config), schema)
+
+    def side(d: DataFrame, o: str) -> DataFrame:
+        rows = d.select("pair_id", "ord", F.col("hpid").alias("hpid"), F.col("tag_name").alias("tag_name"))  # a report can be aligned with itself
+        if used is None:
+            return rows.withColumn("used", F.lit(False))
+        taken = used.select("pair_id", F.col(o).alias("ord"), F.lit(True).alias("used"))
+        return rows.join(taken, ["pair_id", "ord"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+
+    left, right = (side(first_elements(d, config.max_elements), o) for d, o in ((base, "b_ord"), (comp, "c_ord")))
+    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInPandas(_align(config), schema)
 
 
 def match(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
@@ -180,7 +197,7 @@ def match(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> d
     left_b, left_c = strip(base, anchored, "b_ord"), strip(comp, anchored, "c_ord")
     later = [s for s in config.strategies if s[0] not in ("test-attribute", "position")]
     if config.alignment:
-        steps = align(left_b, left_c, config)
+        steps = align(base, comp, config, anchored)
         found = steps.where("event = 'pair'").select("pair_id", "b_ord", "c_ord", "confidence", "strategy")
         removed = steps.where("event = 'removed'").select("pair_id", F.col("b_ord").alias("ord"))
         added = steps.where("event = 'added'").select("pair_id", F.col("c_ord").alias("ord"))

@@ -81,12 +81,12 @@ def normalize_color_hsl(spark, sf_dir):
 _UNITS = [("px", "1"), ("em", "16"), ("rem", "16"), ("pc", "16"), ("in", "96"), ("", "1")]
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.2fpx', l_partkey % 100 * CASE l_suppkey % 6 {' '.join(f'WHEN {k} THEN {f}' for k, (_, f) in enumerate(_UNITS))} END * 1.0) AS length FROM lineitem WHERE l_partkey % 100 > 0")
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 100 = 0 AND l_suppkey % {len(_UNITS)} IN (0, {len(_UNITS) - 1}) THEN '0px'
+  ELSE printf('%.2fpx', l_partkey % 100 * CASE l_suppkey % {len(_UNITS)} {' '.join(f'WHEN {k} THEN {f}' for k, (_, f) in enumerate(_UNITS))} END * 1.0) END AS length FROM lineitem""")
 def normalize_unit(spark, sf_dir):
-    unit = F.get(F.array(*[F.lit(u) for u, _ in _UNITS]), (F.col("l_suppkey") % 6).cast("int"))
+    unit = F.get(F.array(*[F.lit(u) for u, _ in _UNITS]), (F.col("l_suppkey") % len(_UNITS)).cast("int"))
     raw = F.concat((F.col("l_partkey") % 100).cast("string"), unit)
-    rows = read(spark, sf_dir, "lineitem").where("l_partkey % 100 > 0")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", css.normalize_unit(raw, F.lit("width")).alias("length"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", css.normalize_unit(raw, F.lit("width")).alias("length"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Times New Roman, serif' WHEN 1 THEN 'Comic Sans MS' WHEN 2 THEN 'My Own Face, sans-serif' ELSE 'Arial, monospace' END AS font FROM part""")
@@ -186,17 +186,17 @@ def css_selectors(spark, sf_dir):
 # --- matching ---
 
 
-def _verdict_sql(key: str, columns: str = "") -> str:
+def _verdict_sql(key: str, doubts: bool = True) -> str:
     return f"""WITH {SIDES}, kb AS (SELECT report_id, ord, {key} AS key FROM b), kc AS (SELECT report_id, ord, {key} AS key FROM c),
 n AS (SELECT report_id, key, count(*) AS n, min(ord) AS c_ord FROM kc WHERE key IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY report_id, key ORDER BY ord) AS rn FROM kb)
-SELECT r.report_id AS pair_id, r.ord AS b_ord, CASE WHEN n = 1 AND rn = 1 THEN 'definitive' WHEN n >= 2 THEN 'ambiguous' ELSE 'orphan' END AS verdict, CASE WHEN n = 1 AND rn = 1 THEN c_ord END AS c_ord
+SELECT r.report_id AS pair_id, r.ord AS b_ord, CASE WHEN n = 1 AND rn = 1 THEN 'definitive' WHEN n >= 2 AND {doubts} THEN 'ambiguous' ELSE 'orphan' END AS verdict, CASE WHEN n = 1 AND rn = 1 THEN c_ord END AS c_ord
 FROM r LEFT JOIN n ON n.report_id = r.report_id AND n.key = r.key"""
 
 
 def _verdicts(strategy: str):
     def run(spark, sf_dir):
-        return match.key_verdicts(base(spark, sf_dir), comp(spark, sf_dir), match.strategy_key(strategy)).select("pair_id", "b_ord", "verdict", "c_ord")
+        return match.key_verdicts(base(spark, sf_dir), comp(spark, sf_dir), match.strategy_key(strategy), strategy not in match.UNDOUBTING).select("pair_id", "b_ord", "verdict", "c_ord")
 
     return run
 
@@ -209,7 +209,7 @@ for _name, _strategy, _key in [
     ("match_xpath", "xpath", "'//' || tag || '[@title=''' || title || ''']'"),
     ("match_suffix", "suffix-realign", "CASE WHEN len(string_split(hpid, '.')) >= 2 THEN tag || '|' || hpid END"),
 ]:
-    QUERIES[_name], SQL[_name] = _verdicts(_strategy), _verdict_sql(_key)
+    QUERIES[_name], SQL[_name] = _verdicts(_strategy), _verdict_sql(_key, _strategy not in match.UNDOUBTING)
 
 
 def _keyed(key: str, b: str, c: str, to: str) -> str:
@@ -297,7 +297,7 @@ COLUMNS = "pair_id, b_ord, c_ord, property, base_value, compare_value, type, cat
 
 
 def static_diffs(spark, sf_dir) -> DataFrame:
-    return diff.compare(by_path(spark, sf_dir), base(spark, sf_dir), comp(spark, sf_dir), STATIC)
+    return diff.compare_pairs(diff.paired(base(spark, sf_dir), comp(spark, sf_dir), ["pair_id", "hpid"]), STATIC)
 
 
 @query(f"WITH {STATIC_SQL} SELECT {COLUMNS} FROM d")
@@ -307,7 +307,7 @@ def diff_static(spark, sf_dir):
 
 @query(f"WITH {_diffs_sql(8, 5, False)} SELECT {COLUMNS} FROM d")
 def diff_dynamic(spark, sf_dir):
-    return diff.compare(by_path(spark, sf_dir), base(spark, sf_dir), comp(spark, sf_dir), DYNAMIC).select(*COLUMNS.split(", "))
+    return diff.compare_pairs(diff.paired(base(spark, sf_dir), comp(spark, sf_dir), ["pair_id", "hpid"]), DYNAMIC).select(*COLUMNS.split(", "))
 
 
 _PER_ELEMENT = "e AS (SELECT pair_id, b_ord, c_ord, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM d GROUP BY ALL)"
@@ -327,11 +327,11 @@ def severity_summary(spark, sf_dir):
     return diff.summary(by_path(spark, sf_dir), static_diffs(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY ALL)
-SELECT l_orderkey AS pair_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS b_ord, 'color' AS property FROM v WHERE copies = 1
-UNION ALL SELECT l_orderkey, l_partkey * 100000 + l_suppkey * 10 + l_linenumber, 'border-top-color' FROM v WHERE copies = 1 AND l_partkey % 3 = 0""")
+@query("""WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
+SELECT l_orderkey AS pair_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS b_ord, 'color' AS property FROM v
+UNION ALL SELECT l_orderkey, l_partkey * 100000 + l_suppkey * 10 + l_linenumber, 'border-top-color' FROM v WHERE l_partkey % 3 = 0""")
 def diff_current_color(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("copies")).where("copies = 1")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     b_ord = F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
     other = F.when(F.col("l_partkey") % 3 == 0, "blue").otherwise("red")
     both = F.explode(F.array(F.struct(F.lit("color").alias("property"), F.lit("red").alias("v")), F.struct(F.lit("border-top-color").alias("property"), other.alias("v")))).alias("e")
@@ -471,11 +471,12 @@ def rect_clip(spark, sf_dir):
     return visual.clip(rects, 100).drop("viewport_y", "height", "found")
 
 
-@query(f"WITH {SIDES}, r AS (SELECT report_id, hpid, 'baseline' AS role, width FROM b UNION ALL SELECT report_id, hpid, 'compare', width FROM c) SELECT report_id AS pair_id, hpid, max(width) FILTER (role = 'baseline') AS baseline, max(width) FILTER (role = 'compare') AS compare FROM r GROUP BY 1, 2")
+@query(f"""WITH {SIDES}, r AS (SELECT report_id, tag, 'baseline' AS role, width, ord FROM b UNION ALL SELECT report_id, tag, 'compare', width, ord FROM c)
+SELECT report_id AS pair_id, tag AS tag_name, arg_max(width, ord) FILTER (role = 'baseline') AS baseline, arg_max(width, ord) FILTER (role = 'compare') AS compare FROM r GROUP BY 1, 2""")
 def rect_pivot(spark, sf_dir):
-    side = lambda d, role: d.select("pair_id", "hpid", F.lit(role).alias("role"), F.col("rect.width").alias("width"))
+    side = lambda d, role: d.select("pair_id", "tag_name", F.lit(role).alias("role"), F.col("rect.width").alias("width"), "ord")
     both = side(base(spark, sf_dir), "baseline").unionByName(side(comp(spark, sf_dir), "compare"))
-    return tables.role_pivot(both, ["pair_id", "hpid"], "role", "width")
+    return tables.role_pivot(both, ["pair_id", "tag_name"], "role", "width", "ord")
 
 
 @query(f"WITH {SIDES} SELECT coalesce(b.report_id, c.report_id) AS pair_id, coalesce(b.hpid, c.hpid) AS hpid, b.x AS base_x, b.y AS base_y, c.x AS compare_x, c.y AS compare_y FROM b FULL JOIN c ON b.report_id = c.report_id AND b.hpid = c.hpid")
@@ -533,8 +534,8 @@ def error_rollup(spark, sf_dir):
     return stats.errors(read(spark, sf_dir, "events"), "event_type", "user_id", "ts")
 
 
-@query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS at, event_type NOT IN ('view', 'error') AS visual, min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1000000.0 AS started FROM events),
-w AS (SELECT *, at - started AS since FROM e WHERE at - started <= 200000), m AS (SELECT user_id, since FROM w WHERE visual UNION ALL SELECT DISTINCT user_id, 0.0 FROM w),
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, event_type NOT IN ('view', 'error') AS visual, min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1000000.0 AS started FROM events),
+w AS (SELECT *, t - started AS since FROM e WHERE t - started <= 200000), m AS (SELECT user_id, since FROM w WHERE visual UNION ALL SELECT DISTINCT user_id, 0.0 FROM w),
 g AS (SELECT user_id, since, lead(since) OVER (PARTITION BY user_id ORDER BY since) - since AS gap FROM m), q AS (SELECT user_id, min(since + 50000) AS quiet FROM g WHERE coalesce(gap >= 50000, true) AND since + 50000 <= 200000 GROUP BY 1),
 n AS (SELECT w.user_id, max(coalesce(quiet, 200000)) AS settled, count(*) FILTER (NOT visual AND since < coalesce(quiet, 200000)) AS noise, max(quiet) AS quiet FROM w LEFT JOIN q USING (user_id) GROUP BY 1)
 SELECT user_id, CAST(floor(settled + 0.5) AS BIGINT) AS settled, noise, CASE WHEN quiet IS NULL THEN 'DEGRADED' WHEN noise > 0 THEN 'STABLE' ELSE 'OPTIMAL' END AS quality FROM n""")
@@ -544,9 +545,12 @@ def readiness_sessions(spark, sf_dir):
     return done.select("user_id", F.floor(F.col("settled") + 0.5).alias("settled"), "noise", "quality")
 
 
-@query()
+@query("""WITH v AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type NOT IN ('view', 'error')),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM v)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS events FROM g GROUP BY user_id, burst""")
 def readiness_stream(spark, sf_dir):
-    return readiness.run_sessions(spark, f"{sf_dir}/events.parquet", "user_id", "ts", ~F.col("event_type").isin("view", "error"), "30 minutes", "1 hour", "readiness_stream")
+    done = readiness.run_sessions(spark, f"{sf_dir}/events.parquet", "user_id", "ts", ~F.col("event_type").isin("view", "error"), "30 minutes", "1 hour")
+    return done.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
 @query()

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; without one a folder of our own, which only a local master shares with its tasks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="snapsift-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """A table from parquet, JSON lines or CSV with a header."""
     reader = spark.read.format(kind)
@@ -33,9 +49,9 @@ def without_reports(comparisons: DataFrame, gone: DataFrame, base: str, comp: st
     return comparisons.join(ids, F.col(base) == F.col("gone"), "left_anti").join(ids, F.col(comp) == F.col("gone"), "left_anti")
 
 
-def role_pivot(rects: DataFrame, keys: list[str], role: str, value: str) -> DataFrame:
-    """One row per element with a column for each role; the last value of a role counts."""
-    return rects.groupBy(*keys).pivot(role, ["baseline", "compare"]).agg(F.max(value))
+def role_pivot(rects: DataFrame, keys: list[str], role: str, value: str, order: str) -> DataFrame:
+    """One row per element with a column for each role; of several values of a role the one with the greatest ``order`` counts."""
+    return rects.groupBy(*keys).pivot(role, ["baseline", "compare"]).agg(F.max_by(value, order))
 
 
 def style_columns(elements: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:

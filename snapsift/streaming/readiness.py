@@ -5,9 +5,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def replay(log: DataFrame, page: str, at: str, visual: Column, window: float, limit: float) -> DataFrame:
     """page, started, settled (seconds after the start), noise, quality: OPTIMAL, STABLE (noise before it settled) or DEGRADED (at the limit).
@@ -34,10 +38,29 @@ def sessions(stream: DataFrame, page: str, time: str, visual: Column, gap: str,
     return counted.select(page, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def run_sessions(spark: SparkSession, path: str, page: str, time: str, visual: Column, gap: str, late: str, name: str) -> DataFrame:
-    """The sessions of all files under ``path``, read as a stream to its end into an in-memory table."""
+def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table, be it a folder of files or one file, as a stream of its files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
+def run_sessions(spark: SparkSession, path: str, page: str, time: str, visual: Column, gap: str, late: str) -> DataFrame:
+    """The sessions of all files under ``path``, read as a stream to its end.
+
+    The stream appends each burst to a table in the shared checkpoint folder once the watermark is past it, so its state stays as small as the
+    lateness that is allowed. Bursts that are open when the files end are closed by one far event of no page, which is taken out again.
+    """
+    folder = f"{scratch(spark)}/sessions-{uuid.uuid4()}"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
-    query = sessions(stream, page, time, visual, gap, late).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    events = spark.read.parquet(path).select(F.col(page), F.col(time).cast("timestamp").alias(time), visual.alias("visual"))
+    last = events.agg(F.max(time).alias(time)).select(F.lit(None).cast(schema[page].dataType).alias(page), (F.col(time) + F.expr("INTERVAL 400 DAYS")).alias(time), F.lit(True).alias("visual"))
+    last.write.parquet(f"{folder}/last")
+    stream = stream_of(spark, path, schema).select(F.col(page), F.col(time).cast("timestamp").alias(time), visual.alias("visual"))
+    tail = spark.readStream.schema(events.schema).parquet(f"{folder}/last")
+    both = sessions(stream.unionByName(tail), page, time, F.col("visual"), gap, late)
+    query = both.writeStream.format("parquet").option("path", f"{folder}/bursts").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(both.schema).parquet(f"{folder}/bursts").where(F.col(page).isNotNull())
