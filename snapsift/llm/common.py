@@ -6,7 +6,11 @@ touches exactly A-Z, so no operator needs a regular expression to find its words
 
 from __future__ import annotations
 
+import heapq
+import sys
 import tempfile
+import types
+from collections.abc import Callable, Hashable
 
 import numpy as np
 import pyarrow.compute as pc
@@ -76,6 +80,44 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=U, count=len(words))
 
 
+def held(name: Hashable, make: Callable):
+    """What ``make`` gives, made once for each Python worker: later tasks of the worker find it again."""
+    found = sys.modules.setdefault("snapsift_held", types.ModuleType("snapsift_held")).__dict__.setdefault("objects", {})
+    if name not in found:
+        found[name] = make()
+    return found[name]
+
+
+def merge_long(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+    """The symbols that are left of one long sequence when its leftmost pair of least rank is merged until no pair is left.
+
+    ``pairs``: left symbol << 32 | right symbol -> (rank, merged symbol). A heap of the pairs makes it n log n steps for n symbols.
+    """
+    symbols = list(symbols)
+    end = len(symbols)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    heap = []
+
+    def offer(at: int) -> None:
+        if at >= 0 and after[at] < end and (got := pairs.get(key := symbols[at] << 32 | symbols[after[at]])):
+            heapq.heappush(heap, (got[0], at, key, got[1]))
+
+    for at in range(end):
+        offer(at)
+    while heap:
+        _, at, key, merged = heapq.heappop(heap)
+        gone = after[at]
+        if symbols[at] < 0 or gone >= end or symbols[at] << 32 | symbols[gone] != key:
+            continue  # one of the two has been merged meanwhile
+        symbols[at], symbols[gone] = merged, -1
+        after[at] = after[gone]
+        if after[gone] < end:
+            before[after[gone]] = at
+        offer(before[at])
+        offer(at)
+    return [s for s in symbols if s >= 0]
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` consecutive word hashes (order matters)."""
     out = np.zeros(max(0, len(h) - n + 1), dtype=U)
