@@ -4,11 +4,12 @@ A text is cut into chunks before every space that a non-space follows (always a
 cut by the pattern into pre-tokens, and the distinct new pre-tokens of a batch go to DuckDB in one call: a
 recursive query holds (word, position, symbol) rows, joins adjacent rows to the merge table and contracts each word's
 leftmost pair of minimum rank until no pair is left; an ordered aggregation renders the ids and decodes them to bytes.
-Results are remembered by chunk, so a frequent chunk is merged once for each worker, and every document is assembled from
-its own chunks.
+Results are remembered by chunk as long as the Python worker lives, so a frequent chunk is merged once for each worker, and every document is
+assembled from its own chunks. Pre-tokens of more than ``LONG_BYTES`` bytes are merged by a heap to the same result, so that a text without spaces takes
+n log n steps.
 
 Defined results: null or empty text has no ids (hash of the empty string for both digests); special-token strings inside a text are
-ordinary text; repeated rows are encoded like any row; other columns are ignored; an empty table gives an empty table.
+ordinary text; of equal ranks the leftmost pair is merged; texts and pre-tokens of any length are encoded whole; repeated rows are encoded like any row; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, merge_long, slices
 
-#: Distinct chunks that one worker remembers before it starts over (bounds its memory).
-CACHE_CHUNKS = 800_000
+#: Distinct chunks and distinct pre-tokens of one generation that a worker remembers (bounds its memory); there are two, so that what is in use stays.
+CACHE_CHUNKS = 400_000
+#: Longer pre-tokens (lumps of letters without a space) are merged by a heap: rows and rounds of a recursion both grow with a word's length.
+LONG_BYTES = 256
 #: Pre-tokens merged by one recursive query (bounds DuckDB's memory).
 QUERY_WORDS = 50_000
 #: Contractions of one recursive query; words that need more go on in the next one (bounds the rows it piles up).
@@ -52,11 +56,29 @@ WITH RECURSIVE step(word, pos, sym, n) AS (
 SELECT s.word, s.pos, s.sym, s.n FROM step s JOIN last USING (word, n)
 """
 _RENDER = """
-SELECT word, string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n, string_agg(t.hex, '' ORDER BY pos) AS hex
-FROM done JOIN tokens t ON t.id = done.sym GROUP BY word ORDER BY word
+SELECT word, encode(string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY pos)) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS text
+FROM done JOIN tokens t ON t.id = done.sym GROUP BY word
 """
 
 
+class Remembered:
+    """Values of ``width`` kinds by key. At ``CACHE_CHUNKS`` keys a new generation begins, and takes over what is asked for of the one before."""
+
+    def __init__(self, width: int):
+        self.new: list[dict[str, bytes]] = [{} for _ in range(width)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(width)]
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that have no values; those that have are in ``new`` then."""
+        if len(self.new[0]) > CACHE_CHUNKS:
+            self.old, self.new = self.new, [{} for _ in self.new]
+        keys = keys.difference(self.new[0])
+        again = keys.intersection(self.old[0])
+        for new, old in zip(self.new, self.old, strict=True):
+            new.update((k, old[k]) for k in again)
+        return keys - again
+
+
 class Encoder:
     """One worker's merge table and what it has merged so far."""
 
@@ -65,33 +87,42 @@ class Encoder:
         import regex
 
         with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = self.ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        merges = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
-        a, b, r = (pa.array(x, pa.int64()) for x in zip(*merges, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.merges = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+        self.pairs: dict[int, tuple[int, int]] = {}
+        a, b, r = (pa.array(x, pa.int64()) for x in zip(*self.merges, strict=True))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", pa.table({"a": a, "b": b, "rank": r, "merged": r}))
         self._load("tokens", pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]}))
         self.pattern = regex.compile(pattern)
         self.space = regex.compile(r" (?=\S)")
         self.uneven = re.compile(r" (?:\s|$)")  # re's \s holds all of regex's: a needless slow path at worst
-        self.chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        #: Of each chunk, the ids as text and the decoded bytes. The space that every chunk but a text's first begins with is left out of the key.
+        self.chunks = Remembered(2)
+        #: The same of each pre-token, which may stand in many chunks.
+        self.words = Remembered(2)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def merge(self, words: list[str]) -> dict[str, tuple[bytes, int, bytes]]:
-        """(ids, tokens, decoded bytes) of distinct pre-tokens, by recursive queries."""
+    def merge(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of distinct pre-tokens, by recursive queries; those beyond ``LONG_BYTES`` by a heap."""
         out = {}
-        for start in range(0, len(words), QUERY_WORDS):
-            part = words[start : start + QUERY_WORDS]
-            raw = [w.encode("utf-8") for w in part]
-            sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-            word = np.repeat(np.arange(len(raw)), sizes)
+        raw = [(w, w.encode("utf-8")) for w in words]
+        for w, text in raw:
+            if len(text) > LONG_BYTES:
+                out[w] = self._merge_long(text)
+        raw = [x for x in raw if len(x[1]) <= LONG_BYTES]
+        for start in range(0, len(raw), QUERY_WORDS):
+            part = raw[start : start + QUERY_WORDS]
+            sizes = np.fromiter((len(x) for _, x in part), dtype=np.int64, count=len(part))
+            word = np.repeat(np.arange(len(part)), sizes)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.table({"word": word, "pos": pos, "sym": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]})
+            rows = pa.table({"word": word, "pos": pos, "sym": self.byte_ids[np.frombuffer(b"".join([x for _, x in part]), dtype=np.uint8)]})
             done = []
             while rows.num_rows:
                 self._load("symbols", rows)
@@ -100,36 +131,47 @@ class Encoder:
                 done.append(rows.filter(pc.invert(going_on)))
                 rows = rows.filter(going_on).select(["word", "pos", "sym"])
             self._load("done", pa.concat_tables(done))
-            for w, ids, n, text in self.db.execute(_RENDER).fetchall():
-                out[part[w]] = (ids.encode(), n, bytes.fromhex(text))
+            found = self.db.execute(_RENDER).to_arrow_table()
+            keys = (part[w][0] for w in found["word"].to_pylist())
+            out.update(zip(keys, zip(found["ids"].to_pylist(), found["text"].to_pylist(), strict=True), strict=True))
         return out
 
+    def _merge_long(self, text: bytes) -> tuple[bytes, bytes]:
+        if not self.pairs:
+            self.pairs = {a << 32 | b: (r, r) for a, b, r in self.merges}
+            self.tokens = {r: t for t, r in self.ranks.items()}
+        ids = merge_long(self.byte_ids[np.frombuffer(text, dtype=np.uint8)].tolist(), self.pairs)
+        return " ".join(map(str, ids)).encode(), b"".join([self.tokens[i] for i in ids])
+
     def split(self, text: str) -> list[str]:
-        """Cut before each space that a non-space follows; such a cut is always a boundary of the pattern."""
-        if not self.uneven.search(text):
-            first, *rest = text.split(" ")
-            return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-        first, *rest = self.space.split(text)
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        """Cut before each space that a non-space follows; such a cut is always a boundary of the pattern. The spaces at the cuts go."""
+        return self.space.split(text) if self.uneven.search(text) else text.split(" ")
+
+    def _learn(self, chunks: set[str], before: str, ids: dict[str, bytes], decoded: dict[str, bytes]) -> None:
+        cut = {c: self.pattern.findall(before + c) for c in chunks}
+        missing = self.words.missing(set(chain.from_iterable(cut.values())))
+        id_of, bytes_of = self.words.new
+        for w, (i, t) in self.merge(list(missing)).items():
+            id_of[w], bytes_of[w] = i, t
+        for c, x in cut.items():
+            if len(x) == 1:
+                ids[c], decoded[c] = id_of[x[0]], bytes_of[x[0]]
+            else:
+                ids[c], decoded[c] = b" ".join([id_of[w] for w in x]), b"".join([bytes_of[w] for w in x])
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(tokens, digest of the ids, digest of the decoded bytes) of each text."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
         split = [self.split(t) for t in texts]
-        new = {c: self.pattern.findall(c) for c in {c for x in split for c in x if c not in self.chunks}}
-        # a pre-token is a chunk of its own, so what was merged in one place serves in all
-        self.chunks |= self.merge(list({w for x in new.values() for w in x if w not in self.chunks}))
-        for c, x in new.items():
-            if len(x) == 1:
-                continue
-            got = [self.chunks[w] for w in x]
-            self.chunks[c] = (b" ".join(g[0] for g in got), sum(g[1] for g in got), b"".join(g[2] for g in got))
+        head_ids, head_decoded = {}, {}
+        self._learn({x[0] for x in split if x[0]}, "", head_ids, head_decoded)
+        missing = self.chunks.missing(set(chain.from_iterable(x[1:] for x in split)))
+        id_of, bytes_of = self.chunks.new
+        self._learn(missing, " ", id_of, bytes_of)
         out = []
-        for x in split:
-            got = list(map(self.chunks.__getitem__, x))
-            ids = hashlib.sha256(b" ".join([g[0] for g in got if g[1]])).hexdigest()
-            out.append((sum([g[1] for g in got]), ids, hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()))
+        for first, *rest in split:
+            ids = b" ".join([*([head_ids[first]] if first else []), *map(id_of.__getitem__, rest)])
+            text = (head_decoded[first] if first else b"") + b"".join(map(bytes_of.__getitem__, rest))
+            out.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
         return out
 
 
@@ -137,7 +179,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256. ``ranks_file`` must be readable on every executor."""
 
     def run(batches):
-        encoder = Encoder(ranks_file, pattern)
+        encoder = held(("byte_bpe", ranks_file, pattern), lambda: Encoder(ranks_file, pattern))
         for whole in batches:
             for batch in slices(whole, 1):
                 got = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
