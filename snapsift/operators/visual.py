@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD = 40
@@ -71,3 +71,83 @@ def manifest(base: DataFrame, comp: DataFrame, keys: list[str], fields: list[str
     """One row per element that either side has: base_* and compare_* columns."""
     side = lambda d, p: d.select(*keys, *[F.col(f).alias(f"{p}_{f}") for f in fields])
     return side(base, "base").join(side(comp, "compare"), keys, "full")
+
+
+#: The gap that open DevTools leave, the browser's own bars, the least height of a capture, thumbnails.
+DEVTOOLS_GAP, BROWSER_BARS, LEAST_HEIGHT = 200, 88, 400
+THUMB_SHARE, THUMB_HEIGHT, LEAST_SCALE, MARGIN, MOST_MARGIN = 0.78, 140, 0.25, 30, 28
+# End of fixed values.
+
+
+def devtools(outer_height: Column, height: Column, outer_width: Column, width: Column) -> Column:
+    """struct(detected, bypass_height): whether DevTools take part of a window, and the height of the viewport that is used instead."""
+    gap = lambda outer, inner: F.coalesce(outer, F.lit(0)) - inner > DEVTOOLS_GAP
+    detected = gap(outer_height, height) | gap(outer_width, width)
+    bypass = F.greatest(F.lit(LEAST_HEIGHT), F.coalesce(F.nullif(outer_height, F.lit(0)), height) - BROWSER_BARS)
+    return F.struct(detected.alias("detected"), F.when(detected, bypass).alias("bypass_height"))
+
+
+def keyframe_id(session: Column, role: Column, frame: Column) -> Column:
+    return F.concat_ws("_", session, role, frame)
+
+
+def frames_differ(base_id: Column, compare_id: Column) -> Column:
+    """Whether the keyframes of the two roles have different numbers (the kf_<n> at the end)."""
+    number = lambda c: F.regexp_extract(c, r"kf_(\d+)$", 1)
+    return F.coalesce(number(base_id) != number(compare_id), F.lit(False))
+
+
+def rail_position(document_y: Column, document_height: Column) -> Column:
+    """Percent of the page's height, kept between 3 and 97; null without a height."""
+    return F.when(document_height > 0, F.least(F.lit(97), F.greatest(F.lit(3), F.floor(document_y / document_height * 100 + 0.5)))).cast("long")
+
+
+def crop(rect: Column, image_width: Column, image_height: Column, container: Column, dpr: Column) -> Column:
+    """struct of the padded rectangle around an element and its scale in a thumbnail."""
+    ratio = F.coalesce(F.nullif(dpr, F.lit(0)), F.lit(2))
+    wide, high = image_width / ratio, image_height / ratio
+    w = F.coalesce(F.nullif(rect["width"], F.lit(0)), F.lit(1))
+    h = F.least(F.coalesce(F.nullif(rect["height"], F.lit(0)), F.lit(1)), F.greatest(F.lit(1), high - F.greatest(F.lit(0), rect["y"])))
+    scale = F.greatest(F.least(container * THUMB_SHARE / w, THUMB_HEIGHT / F.greatest(h, F.lit(1))), F.lit(LEAST_SCALE))
+    margin = F.least(MARGIN / scale, F.lit(MOST_MARGIN))
+    start = lambda at, size, of: F.greatest(F.lit(0), F.least(at - margin, of - size - 1))
+    x, y = start(rect["x"], w, wide), start(rect["y"], h, high)
+    size = lambda at, extent, of, begin: F.greatest(F.least(of, at + extent + margin) - begin, F.lit(1))
+    return F.struct(x.alias("x"), y.alias("y"), size(rect["x"], w, wide, x).alias("width"), size(rect["y"], h, high, y).alias("height"), scale.alias("scale"))
+
+
+def remeasured(planned: DataFrame, measured: DataFrame, positions: DataFrame, viewport: int) -> DataFrame:
+    """One row per planned element (frame, id): its clipped rectangle as measured again, its place in the document, and why it is misaligned.
+
+    ``measured`` has frame, id, found, in_viewport, viewport_x, viewport_y, width, height, matches and reason; ``positions`` has id and document_y.
+    """
+    m = planned.join(measured, ["pair_id", "frame", "id"], "left").join(positions, ["pair_id", "id"], "left")
+    m = clip(m.withColumn("found", F.coalesce("found", F.lit(False))), viewport)
+    usable = F.col("found") & F.col("clipped_y").isNotNull()
+    why = F.when(usable & ~F.col("in_viewport"), F.col("reason")).when(usable, None).when(F.col("found"), "clipped-below-fold").otherwise(F.coalesce("reason", F.lit("element-not-found")))
+    return m.select(
+        "pair_id", "frame", "id", "document_y", F.when(usable, F.col("viewport_x")).alias("x"), F.col("clipped_y").alias("y"), F.when(usable, F.col("width")).alias("width"), F.col("clipped_height").alias("height"),
+        F.when(usable, F.col("viewport_y")).alias("raw_y"), F.when(usable, F.col("height")).alias("raw_height"), (~usable | ~F.col("in_viewport")).alias("misaligned"), why.alias("misalign_reason"),
+        F.col("clipped").alias("rect_clipped"), (usable & (F.coalesce("matches", F.lit(1)) > 1)).alias("selector_ambiguous"),
+    )
+
+
+def with_pseudo(manifest_rows: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """Styles of ::before and ::after (pair_id, id, before, after) on the manifest rows that exist."""
+    return manifest_rows.join(pseudo.select("pair_id", "id", F.col("before").alias("pseudo_before"), F.col("after").alias("pseudo_after")), ["pair_id", "id"], "left")
+
+
+def selectors_of(ids: DataFrame, elements: DataFrame) -> DataFrame:
+    """css_selector and xpath of the listed elements (pair_id, id); ids without an element, or without any selector, are left out."""
+    known = elements.select("pair_id", F.col("hpid").alias("id"), "css_selector", "xpath")
+    return ids.join(known, ["pair_id", "id"]).where(F.col("css_selector").isNotNull() | F.col("xpath").isNotNull())
+
+
+#: The fields of a manifest row, for each side.
+FIELDS = ["keyframe_id", "dpr", "scroll_y", "document_y", "document_height", "x", "y", "width", "height", "raw_y", "misaligned", "misalign_reason", "selector_ambiguous", "rect_clipped"]
+
+
+def flat_manifest(base: DataFrame, comp: DataFrame, keys: list[str], dpr: int = 2) -> DataFrame:
+    """One row per element that either side has, with all ``FIELDS`` as baseline_* and compare_*; an unknown pixel ratio is ``dpr``."""
+    side = lambda d, p: d.select(*keys, *[(F.coalesce(f, F.lit(dpr)) if f == "dpr" else F.col(f)).alias(f"{p}_{f}") for f in FIELDS])
+    return side(base, "baseline").join(side(comp, "compare"), keys, "full")
