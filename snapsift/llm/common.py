@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import heapq
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Hashable
 
@@ -18,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 #: Distinct words that one Python worker remembers before it starts over (bounds its memory).
 CACHE_WORDS = 400_000
 #: Rows of a batch that are handled together inside a task (bounds the task's arrays).
@@ -31,18 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="snapsift-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
 
@@ -50,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     partitioning, so that later joins exchange both sides and stay open to skew splitting.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/snapsift-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    path = f"{scratch(spark)}/snapsift-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,28 +7,32 @@ the shard's array; the range it finds gives all verbatim occurrences of its wind
 occurrences on one diagonal give the longest matches.
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. A window is ``width`` consecutive words of an item; an
-item with fewer words, but at least one, is one window. Test items travel to the shards in blocks of bounded size, one pass of the
-plan for each block; no set of documents is ever collected.
+item with fewer words, but at least one, is one window. A Spark job deals the benchmark into blocks of bounded size and builds each one's vocabulary and
+windows in a task; blocks travel to the shards one by one, ``HELD_BLOCKS`` of them in one pass over the documents, whose findings are written before the
+next blocks come. So neither the driver nor a task ever holds more than these, and no set of documents is collected.
 
 Defined results: null or empty texts, and texts without words, have 0 words and 0 hits; items without words never match; items with
-null ids match words but are left out of the item list; repeated documents are judged one by one, repeated items once;
+null ids match words but are left out of the item list; texts of any length are searched whole; repeated documents are judged one by one, repeated items once;
 other columns are ignored by ``contamination`` and kept by ``remove_contaminated``; empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import cut, slices, utf8
 
 WIDTH = 10
-#: Bytes of benchmark text that one broadcast block holds.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text of one block (an item of more is a block of its own), and blocks that are held at once (they bound a task's memory).
+BLOCK_BYTES = 2 << 20
+HELD_BLOCKS = 8
 
 _WORDS = bytes((b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 
@@ -63,19 +67,13 @@ class TestBlock:
         self.places = np.array(places, dtype=np.int64)
         self.shortest = int(self.lengths.min()) if len(lengths) else width
 
-    @classmethod
-    def again(cls, fields: dict) -> TestBlock:
-        block = object.__new__(cls)
-        block.__dict__ = fields
-        return block
-
 
 def _keys(ids: np.ndarray) -> np.ndarray:
     """Rows of word ids as byte strings that sort as the rows do (an end mark of 0 sorts first)."""
     return np.ascontiguousarray(ids.astype(">u4")).view(f"S{4 * ids.shape[1]}").reshape(-1)
 
 
-def search_shard(texts: list[bytes | None], block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(texts: list[bytes | None], block: TestBlock | SimpleNamespace) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of the block's windows in a shard: (document's row, word position, window, words of each document)."""
     width, known = block.width, block.vocabulary
     per_doc = [words_of(t) for t in texts]
@@ -108,18 +106,27 @@ def search_shard(texts: list[bytes | None], block: TestBlock) -> tuple[np.ndarra
     return doc, places - starts[doc], window, counts
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's distinct items in lists of at most ``block_bytes`` of text (or one longer item)."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> Iterator[bytes]:
+    """The benchmark's blocks, each built by a task from its distinct items and handed on one by one."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).dropDuplicates()
-    part, size, empty = [], 0, True
-    for row in rows.toLocalIterator():
-        part.append((row.id, bytes(row.text) if row.text is not None else None))
-        size += len(row.text or b"")
-        if size >= block_bytes:
-            yield part
-            part, size, empty = [], 0, False
-    if part or empty:
-        yield part
+    size, items = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(1, min(items, -(-(size or 0) // block_bytes)))
+
+    def build(batches):
+        block, held = None, []
+        for batch in batches:
+            for own, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block and held:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(TestBlock(held, width)))], pa.binary())], names=["body"])
+                    held = []
+                block = own
+                held.append((item, text))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(TestBlock(held, width)))], pa.binary())], names=["body"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition(n, "block").sortWithinPartitions("block")
+    for row in cut(dealt.select("block", "id", "text").mapInArrow(build, "body binary")).toLocalIterator():
+        yield bytes(row.body)
 
 
 _FOUND = "struct<n_words:long,n_hit:long,hit:binary,items:array<long>,matches:array<struct<item:long,item_at:int,doc_at:int,words:int>>>"
@@ -130,20 +137,29 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """Columns ``row`` (the document) and ``found``: n_words, n_hit, hit (a bit for each word), items and longest verbatim matches."""
     spark = docs.sparkSession
     carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), utf8(text_col).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        held = spark.sparkContext.broadcast(vars(TestBlock(items, width)))
-
-        def run(batches, held=held):
-            block = TestBlock.again(held.value)
+    held = []
+    for body in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
+        if len(held) == HELD_BLOCKS:  # what these blocks found is written, so that they can go
+            carried = cut(carried)
+            for old in held:
+                old.destroy()
+            held = []
+        held.append(spark.sparkContext.broadcast(body))
+
+        def run(batches, body=held[-1]):
+            block = SimpleNamespace(**pickle.loads(body.value))
             for whole in batches:
                 for batch in slices(whole, 1):
                     yield _judge(batch, block)
 
         carried = carried.mapInArrow(run, carried.schema)
+    if not held:
+        none = TestBlock([], width)
+        carried = carried.mapInArrow(lambda batches: (_judge(b, none) for whole in batches for b in slices(whole, 1)), carried.schema)
     return carried.select("row", "found")
 
 
-def _judge(batch: pa.RecordBatch, block: TestBlock) -> pa.RecordBatch:
+def _judge(batch: pa.RecordBatch, block: TestBlock | SimpleNamespace) -> pa.RecordBatch:
     doc, place, window, counts = search_shard(batch.column(1).to_pylist(), block)
     before = batch.column(2).to_pylist()
     order = np.argsort(doc, kind="stable")
@@ -166,7 +182,7 @@ def _judge(batch: pa.RecordBatch, block: TestBlock) -> pa.RecordBatch:
     return batch.set_column(2, batch.schema.field(2), pa.array(out, type=batch.schema.field(2).type))
 
 
-def _longest(place: np.ndarray, window: np.ndarray, block: TestBlock) -> list[dict]:
+def _longest(place: np.ndarray, window: np.ndarray, block: TestBlock | SimpleNamespace) -> list[dict]:
     """The longest verbatim match of each item in one document: consecutive windows on one diagonal join up."""
     best: dict[int | None, dict] = {}
     runs: dict[tuple, tuple[int, int]] = {}

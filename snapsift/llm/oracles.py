@@ -18,13 +18,14 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 def _quality() -> str:
     low = 1 << quality.PRECISION
-    floor = lambda b: f"CASE WHEN {b} < {low} THEN {b} ELSE ({b} - ({b} // {low} - 1) * {low}) << ({b} // {low} - 1) END"
+    top = lambda b: f"({floor(f'({b} + 1)')} - 1)"
+    floor = lambda b: f"(CASE WHEN {b} < {low} THEN {b} ELSE ({b} - ({b} // {low} - 1) * {low}) << ({b} // {low} - 1) END)"
 
     def own(name: str, table: str, keys: str) -> str:
         part = ", ".join(x for x in (keys, "metric") if x)
         return f"""{name}r AS (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS total FROM {table}),
 {name}q AS (SELECT {part}, min(bucket) FILTER (100 * upto >= 50 * total) AS b, min(bucket) FILTER (100 * upto >= {round(100 * quality.UPPER)} * total) AS c, max(total) AS total FROM {name}r GROUP BY {part}),
-{name} AS (SELECT {part}, CAST(total AS BIGINT) AS total, {floor('b')} + CASE WHEN c > b THEN {quality.SPREADS} * ({floor('(c + 1)')} - 1 - ({floor('b')})) ELSE 0 END AS t FROM {name}q)"""
+{name} AS (SELECT {part}, CAST(total AS BIGINT) AS total, {top('b')} + {quality.SPREADS} * ({top('c')} - {top('b')}) AS t FROM {name}q)"""
 
     shrink = lambda rows, t, wider: f"({rows} * {t} + {quality.PRIOR} * {wider}) // ({rows} + {quality.PRIOR})"
     bucket = f"CASE WHEN v < {low} THEN v ELSE (length(bin(v)) - {1 + quality.PRECISION}) * {low} + (v >> (length(bin(v)) - {1 + quality.PRECISION})) END"

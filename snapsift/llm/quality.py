@@ -96,8 +96,7 @@ def thresholds(metrics: DataFrame) -> DataFrame:
         ranked = s.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "metric")))
         at = lambda q: F.min(F.when(100 * F.col("upto") >= round(100 * q) * F.col("total"), F.col("bucket")))
         found = ranked.groupBy(*keys, "metric").agg(at(0.5).alias("b"), at(UPPER).alias("c"), F.max("total").alias(rows))
-        mid = bucket_floor(F.col("b"))
-        up = F.when(F.col("c") > F.col("b"), bucket_floor(F.col("c") + 1) - 1).otherwise(mid)
+        mid, up = (bucket_floor(F.col(b) + 1) - 1 for b in ("b", "c"))  # the greatest values of the two buckets
         return found.select(*keys, "metric", rows, (mid + SPREADS * (up - mid)).alias(limit))
 
     def shrunk(rows: str, limit: str, wider: str) -> Column:
