@@ -120,10 +120,8 @@ def python_limits(rows: list[tuple], metric: str) -> dict:
 
     def own(values):
         at = lambda q: sorted(values)[-(-q * len(values) // 100) - 1]
-        floor = lambda v: v if v < 16 else v >> (v.bit_length() - 5) << (v.bit_length() - 5)
-        above = lambda v: v + 1 if v < 16 else floor(v) + (1 << (v.bit_length() - 5))
-        mid, up = at(50), at(90)
-        return floor(mid) + (4 * (above(up) - 1 - floor(mid)) if floor(up) > floor(mid) else 0)
+        top = lambda v: v if v < 16 else (v >> (v.bit_length() - 5) << (v.bit_length() - 5)) + (1 << (v.bit_length() - 5)) - 1
+        return top(at(50)) + 4 * (top(at(90)) - top(at(50)))
 
     shrunk = lambda n, t, wider: (n * t + 100 * wider) // (n + 100)
     by_lang, by_group = defaultdict(list), defaultdict(list)
@@ -143,7 +141,7 @@ def test_quality_thresholds_decide(spark):
         source = ("code", "prose", "few")[min(k // 700, 2)]
         symbols = rng.randrange(20, 90) if source == "code" else rng.randrange(0, 4)
         rows.append((k, " ".join([f"w{rng.randrange(10**6)}" for _ in range(100)] + ["#" * (symbols + 1)]), "en" if k % 2 else "de", source))
-    same = " ".join([f"u{k}" for k in range(100)] + ["#" * 60])
+    same = " ".join([f"u{k}" for k in range(100)] + ["#" * 86])
     rows += [(9000, same, "en", "code"), (9001, same, "en", "prose"), (9002, same, "en", None)]
     got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)), "n_words", "n_symbols", "base_failed", "kept", "failed")
     limits = python_limits([(lang, source, 1000 * max(t.count("#") - 1, 0) // 101) for _, t, lang, source in rows], "symbol_ratio")
