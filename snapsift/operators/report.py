@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import css
 from .diff import RANKS, worst
 
-#: Penalty of an item by severity, out of 100.
+#: Penalty of an item by severity, out of 100; patterns of properties that change the layout, sizes and places.
 WEIGHTS = {"critical": 10.0, "high": 4.0, "medium": 1.5, "low": 0.3}
 LAYOUT = "position|display|flex|grid|float|overflow|visibility|z-index"
 SIZE = "^width$|^height$|max-width|min-width|^margin|^padding"
 PLACE = "^top$|^left$|^right$|^bottom$|transform"
+# End of fixed values.
 
 
 def label(tag: Column, element_id: Column, class_name: Column, classes: int = 2) -> Column:
@@ -63,6 +64,24 @@ def top(report: DataFrame, n: int = 3) -> DataFrame:
     return report.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def distribution(items: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """pair_id, layout, style, content, dom: items by kind of change (``content`` marks those that a text explains), and elements without a match."""
+    of = badge(F.col("properties"), F.col("content"))
+    kinds = items.groupBy("pair_id").agg(
+        F.count_if(of == "LAYOUT SHIFT").alias("layout"), F.count_if(of.isin("POSITION DRIFT", "STYLE REGRESSION")).alias("style"), F.count_if(of == "CONTENT DIVERGENCE").alias("content")
+    )
+    return kinds.join(unmatched.groupBy("pair_id").agg(F.count("*").alias("dom")), "pair_id", "full").na.fill(0)
+
+
+def top_apexes(items: DataFrame, n: int = 3) -> DataFrame:
+    """The apexes (``is_apex``) that stand for most suppressed diffs of each pair; a pair without any gives the items with most diffs."""
+    any_apex = F.max("is_apex").over(Window.partitionBy("pair_id"))
+    weight = F.when(F.col("any_apex"), F.col("suppressed")).otherwise(F.col("total"))
+    rows = items.withColumn("any_apex", any_apex).where(F.col("is_apex") | ~F.col("any_apex"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(weight), "b_ord")))
+    return ranked.where(F.col("rank") <= n).drop("any_apex")
+
+
 def text_divergence(a: Column, b: Column) -> Column:
     """0 for equal texts to 1; numbers and very short texts weigh less."""
     x, y = (F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, 500) for c in (a, b))

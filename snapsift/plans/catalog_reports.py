@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import diff, enrich, grouped, match, report, selectors, visual
+from ..operators import diff, enrich, grouped, match, report, selectors, urls, visual
 from ..sources import exports, store
 from .catalog import _CASCADE, _ITEMS, _LABEL, _OVERALL, _PER_ELEMENT, _SEVERITY, SIDES, STATIC_SQL, base, by_path, comp, merged_items, query, read, static_diffs
 
@@ -274,6 +274,39 @@ def node_classes(spark, sf_dir):
     return grouped.node_classes(b.unionByName(added), changed, added, removed, changed.where("severity = 'critical'"))
 
 
+_CONTENT = f"""{STATIC_SQL}, {_ITEMS}, {_VERDICT}, n AS (SELECT pair_id, b_ord, min(CASE severity_now WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END) AS now, bool_and(action <> 'RETAIN') FILTER (property = 'width') AS content FROM j GROUP BY 1, 2),
+r AS (SELECT g.*, now > g.rank AND coalesce(n.content, false) AS content, regexp_matches(properties, 'display|width|margin') AS layout FROM g JOIN n USING (pair_id, b_ord)),
+dom AS (SELECT report_id AS pair_id FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.report_id = b.report_id AND c.hpid = b.hpid) UNION ALL SELECT report_id FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE c.report_id = b.report_id AND c.hpid = b.hpid))"""
+
+
+@query(f"""WITH {_CONTENT}, k AS (SELECT pair_id, count(*) FILTER (layout AND NOT content) AS layout, count(*) FILTER (NOT layout AND NOT content) AS style, count(*) FILTER (content) AS content FROM r GROUP BY 1), o AS (SELECT pair_id, count(*) AS dom FROM dom GROUP BY 1)
+SELECT pair_id, coalesce(layout, 0) AS layout, coalesce(style, 0) AS style, coalesce(content, 0) AS content, coalesce(dom, 0) AS dom FROM k FULL JOIN o USING (pair_id)""")
+def change_distribution(spark, sf_dir):
+    items = grouped.rebucketed(merged_items(spark, sf_dir), judged_diffs(spark, sf_dir))
+    b, c = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid")
+    alone = lambda x, y: x.join(y.distinct(), ["pair_id", "hpid"], "left_anti")
+    return report.distribution(items, alone(b, c).unionByName(alone(c, b)))
+
+
+@query(f"""WITH {STATIC_SQL}, {_ITEMS}, a AS (SELECT *, rank = 1 AS is_apex, bool_or(rank = 1) OVER (PARTITION BY pair_id) AS any_apex FROM g),
+t AS (SELECT pair_id, b_ord, total, is_apex, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN any_apex THEN total * 2 + recurrence ELSE total END DESC, b_ord) AS rank FROM a WHERE is_apex OR NOT any_apex) SELECT * FROM t WHERE rank <= 3""")
+def top_apex_nodes(spark, sf_dir):
+    items = merged_items(spark, sf_dir).withColumns({"is_apex": F.col("severity") == "critical", "suppressed": F.col("total") * 2 + F.col("recurrence")})
+    return report.top_apexes(items).select("pair_id", "b_ord", "total", "is_apex", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH v AS (SELECT p_partkey, p_size AS x, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE p_size END AS y FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'INCOMPATIBLE' ELSE 'CAUTION' END AS classification, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN x <> y THEN 'a:' || x || '>' || y || ' ' ELSE '' END || 'b:2>- a:3>- c:->5 d' END AS query, CASE WHEN p_partkey % 5 = 0 THEN '/p>/q' END AS path, CASE WHEN p_partkey % 5 <> 0 THEN '#h>' END AS hash FROM v""")
+def url_delta(spark, sf_dir):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    a = F.concat(F.lit("https://h.example.com/P/?a="), size, F.lit("&b=2&a=3&utm_x=1#h"))
+    b = F.concat(F.lit("http://other.example.com/"), F.when(k % 5 == 0, "q").otherwise("p"), F.lit("?a=0&c=5+d&gclid=7&a="), F.when(k % 2 == 0, "3").otherwise(size))
+    found = urls.compatibility(read(spark, sf_dir, "part").select("p_partkey", a.alias("x"), b.alias("y")), "x", "y")
+    text = F.array_join(F.transform("query_delta", lambda d: F.concat(d["key"], F.lit(":"), F.coalesce(d["baseline"], F.lit("-")), F.lit(">"), F.coalesce(d["compare"], F.lit("-")))), " ")
+    both = lambda c: F.concat(F.col(c)["baseline"], F.lit(">"), F.col(c)["compare"])
+    return found.select("p_partkey", "classification", text.alias("query"), both("path_delta").alias("path"), both("hash_delta").alias("hash"))
+
+
 @query("""WITH v AS (SELECT p_partkey, p_size * 2 AS score, p_partkey % 5 AS l, p_size % 4 AS s, p_size % 3 AS c, p_partkey % 2 AS d FROM part), t AS (SELECT *, greatest(l + s + c + d, 1) AS n FROM v),
 q AS (SELECT *, CAST(floor(l * 1.0 / n * 100 + 0.5) AS BIGINT) AS layout, CAST(floor(s * 1.0 / n * 100 + 0.5) AS BIGINT) AS style, CAST(floor(c * 1.0 / n * 100 + 0.5) AS BIGINT) AS content FROM t)
 SELECT p_partkey, CASE WHEN score >= 90 THEN 'score-great' WHEN score >= 70 THEN 'score-good' WHEN score >= 50 THEN 'score-warn' ELSE 'score-bad' END AS class, layout, style, content, greatest(0, 100 - layout - style - content) AS dom FROM q""")
