@@ -508,3 +508,20 @@ def stable_attributes(spark, sf_dir):
     value = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("123456789")
     attributes = F.create_map(F.lit("data-z"), F.lit("z"), F.lit("data-a"), value, F.lit("data-testid"), F.lit("t"), F.lit("title"), F.lit("x"), F.lit("data-long"), F.repeat(F.lit("y"), F.lit(150)))
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(selectors.stable_attributes(attributes), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ").alias("kept"))
+
+
+@query()
+def css_tiers(spark, sf_dir):
+    return selectors.tiers(base(spark, sf_dir), "css")
+
+
+@query()
+def xpath_tiers(spark, sf_dir):
+    return selectors.tiers(base(spark, sf_dir), "xpath")
+
+
+@query(f"""WITH {SIDES}, t AS (SELECT *, CASE WHEN contains(hpid, '.') THEN replace(hpid, '1.', '1.0.') ELSE hpid END AS path FROM b), h AS (SELECT report_id, path, coalesce('[data-testid="' || test_attr || '"]', '#' || replace(element_id, '-', '-'), tag) AS sel FROM t)
+SELECT t.report_id AS pair_id, t.ord, string_agg(h.sel, ' ' ORDER BY length(h.path)) AS hosts FROM t JOIN h ON h.report_id = t.report_id AND starts_with(t.path, h.path || '.0.') GROUP BY 1, 2""")
+def shadow_paths(spark, sf_dir):
+    deep = base(spark, sf_dir).withColumn("hpid", F.when(F.col("hpid").contains("."), F.replace("hpid", F.lit("1."), F.lit("1.0."))).otherwise(F.col("hpid")))
+    return selectors.shadow_path(deep).withColumn("hosts", F.array_join("hosts", " "))
