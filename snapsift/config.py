@@ -7,28 +7,52 @@ from types import MappingProxyType
 
 # Orders and spellings are part of the results.
 ANCHOR_ATTRIBUTES = ("data-testid", "data-test", "data-qa", "data-cy", "data-automation-id", "data-key", "data-record-id", "data-component-id", "data-row-key-value")
-CRITICAL = ("display", "visibility", "position", "z-index")
-HIGH = ("width", "height", "max-width", "max-height", "min-width", "min-height", "color", "background-color", "opacity", "font-size", "font-family", "font-weight")
-SIDES = ("top", "right", "bottom", "left")
-MEDIUM = tuple(f"{p}-{s}" for p in ("margin", "padding") for s in SIDES) + tuple(f"border-{s}-{w}" for w in ("width", "color") for s in SIDES) + ("line-height", "text-align", "font-style")
+CRITICAL = (
+    "display", "visibility", "position", "z-index"
+)
+HIGH = (
+    "width", "height", "max-width", "max-height", "min-width", "min-height", "color", "background-color", "opacity", "font-size", "font-family",
+    "font-weight"
+)
+SIDES = (
+    "top", "right", "bottom", "left"
+)
+MEDIUM = (
+    "margin-top", "margin-right", "margin-bottom", "margin-left", "padding-top", "padding-right", "padding-bottom", "padding-left", "border-top-width",
+    "border-right-width", "border-bottom-width", "border-left-width", "border-top-color", "border-right-color", "border-bottom-color",
+    "border-left-color", "line-height", "text-align", "font-style"
+)
 CATEGORIES = MappingProxyType(
     {
-        "layout": ("display", "position", "float", "clear", "width", "height", "min-width", "max-width", "min-height", "max-height"),
-        "visual": ("color", "background-color", *(f"border-{s}-color" for s in SIDES), "opacity", "visibility", "box-shadow", "text-shadow"),
-        "typography": ("font-family", "font-size", "font-weight", "font-style", "line-height", "text-align", "text-decoration", "letter-spacing", "word-spacing"),
-        "spacing": tuple(f"{p}-{s}" for p in ("margin", "padding") for s in SIDES),
-        "position": (*SIDES, "z-index"),
+        "layout": (
+            "display", "position", "float", "clear", "width", "height", "min-width", "max-width", "min-height", "max-height"
+        ),
+        "visual": (
+            "color", "background-color", "border-top-color", "border-right-color", "border-bottom-color", "border-left-color", "opacity", "visibility",
+            "box-shadow", "text-shadow"
+        ),
+        "typography": (
+            "font-family", "font-size", "font-weight", "font-style", "line-height", "text-align", "text-decoration", "letter-spacing", "word-spacing"
+        ),
+        "spacing": (
+            "margin-top", "margin-right", "margin-bottom", "margin-left", "padding-top", "padding-right", "padding-bottom", "padding-left"
+        ),
+        "position": (
+            "top", "right", "bottom", "left", "z-index"
+        ),
     }
 )
 DYNAMIC_PROPERTIES = (
-    ("font-family", "font-size", "font-weight", "font-style", "line-height", "letter-spacing", "text-align", "text-decoration", "text-transform")
-    + ("color", "background-color", "opacity", "visibility", "display", "position", "float")
-    + ("width", "height", "max-width", "max-height", "min-width", "min-height", *SIDES, "z-index")
-    + ("padding", *(f"padding-{s}" for s in SIDES), "margin", *(f"margin-{s}" for s in SIDES), "gap")
-    + ("flex-direction", "flex-wrap", "flex-grow", "flex-shrink", "flex-basis", "justify-content", "align-items", "align-self")
-    + ("grid-template-columns", "grid-template-rows", "border-width", "border-style", "border-color", "border-radius", "box-shadow")
+    "font-family", "font-size", "font-weight", "font-style", "line-height", "letter-spacing", "text-align", "text-decoration", "text-transform", "color",
+    "background-color", "opacity", "visibility", "display", "position", "float", "width", "height", "max-width", "max-height", "min-width", "min-height",
+    "top", "right", "bottom", "left", "z-index", "padding", "padding-top", "padding-right", "padding-bottom", "padding-left", "margin", "margin-top",
+    "margin-right", "margin-bottom", "margin-left", "gap", "flex-direction", "flex-wrap", "flex-grow", "flex-shrink", "flex-basis", "justify-content",
+    "align-items", "align-self", "grid-template-columns", "grid-template-rows", "border-width", "border-style", "border-color", "border-radius",
+    "box-shadow"
+)
+STRUCTURAL_ATTRIBUTES = (
+    "role", "aria-label", "aria-labelledby", "aria-describedby", "type", "name", "data-testid", "data-test", "data-qa", "data-cy"
 )
-STRUCTURAL_ATTRIBUTES = ("role", "aria-label", "aria-labelledby", "aria-describedby", "type", "name", "data-testid", "data-test", "data-qa", "data-cy")
 IRRELEVANT_TAGS = tuple("script style meta link noscript br hr head title base template slot wbr param track source area col colgroup".split())
 # End of fixed values.
 

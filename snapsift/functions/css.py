@@ -34,17 +34,25 @@ GENERIC_FONTS = ("serif", "sans-serif", "monospace", "cursive", "fantasy", "syst
 SPELLED_FONTS = {"comic sans ms": "Comic Sans MS", "trebuchet ms": "Trebuchet MS"}
 BORDER_STYLES = ("none", "hidden", "dotted", "dashed", "solid", "double", "groove", "ridge", "inset", "outset")
 PX_OF = {"px": 1.0, "em": 16.0, "rem": 16.0, "vw": 10.24, "vh": 7.68, "vmin": 7.68, "vmax": 10.24, "pt": 1.333333, "pc": 16.0, "in": 96.0, "cm": 37.7952755906, "mm": 3.77952755906, "q": 0.94488188976}
-# End of fixed values.
-COLOR_PROPERTIES = ("color", "background-color", "border-color", *(f"border-{s}-color" for s in SIDES), "outline-color", "text-decoration-color", "column-rule-color", "caret-color")
-_CORNERS = ("top-left", "top-right", "bottom-right", "bottom-left")
+COLOR_PROPERTIES = (
+    "color", "background-color", "border-color", "border-top-color", "border-right-color", "border-bottom-color", "border-left-color", "outline-color",
+    "text-decoration-color", "column-rule-color", "caret-color"
+)
+_CORNERS = (
+    "top-left", "top-right", "bottom-right", "bottom-left"
+)
 SIZE_PROPERTIES = (
-    ("width", "height", "min-width", "max-width", "min-height", "max-height", *SIDES, "margin", "padding", "border-width", "border-radius", "font-size", "line-height")
-    + tuple(f"{p}-{s}" for p in ("margin", "padding") for s in SIDES)
-    + tuple(f"border-{s}-width" for s in SIDES)
-    + tuple(f"border-{c}-radius" for c in _CORNERS)
-    + ("letter-spacing", "word-spacing", "gap", "row-gap", "column-gap", "grid-gap", "outline-width", "outline-offset", "text-indent")
+    "width", "height", "min-width", "max-width", "min-height", "max-height", "top", "right", "bottom", "left", "margin", "padding", "border-width",
+    "border-radius", "font-size", "line-height", "margin-top", "margin-right", "margin-bottom", "margin-left", "padding-top", "padding-right",
+    "padding-bottom", "padding-left", "border-top-width", "border-right-width", "border-bottom-width", "border-left-width", "border-top-left-radius",
+    "border-top-right-radius", "border-bottom-right-radius", "border-bottom-left-radius", "letter-spacing", "word-spacing", "gap", "row-gap",
+    "column-gap", "grid-gap", "outline-width", "outline-offset", "text-indent"
 )
-SHORTHANDS = ("margin", "padding", "border-width", "border-style", "border-color", "border-radius", "border", *(f"border-{s}" for s in SIDES), "background", "font")
+SHORTHANDS = (
+    "margin", "padding", "border-width", "border-style", "border-color", "border-radius", "border", "border-top", "border-right", "border-bottom",
+    "border-left", "background", "font"
+)
+# End of fixed values.
 
 
 def number(value: Column) -> Column:

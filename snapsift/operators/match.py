@@ -227,3 +227,12 @@ def rate(matches: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     joined = one(matches, "matched").join(one(removed, "removed"), "pair_id", "full").join(one(added, "added"), "pair_id", "full").na.fill(0)
     total = F.col("matched") + F.col("removed") + F.col("added")
     return joined.withColumn("rate", F.when(total == 0, 0).otherwise(F.floor(100 * F.col("matched") / total + 0.5)).cast("long"))
+
+
+def metadata(matches: DataFrame, ambiguous: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """``rate`` with the number of ambiguous elements and ``by_strategy``: strategy -> matches."""
+    per = matches.groupBy("pair_id", "strategy").agg(F.count("*").alias("n"))
+    named = per.groupBy("pair_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "n")))).alias("by_strategy"))
+    doubtful = ambiguous.groupBy("pair_id").agg(F.count("*").alias("ambiguous"))
+    joined = rate(matches, removed, added).join(doubtful, "pair_id", "left").join(named, "pair_id", "left")
+    return joined.na.fill(0, ["ambiguous"]).withColumn("by_strategy", F.coalesce("by_strategy", F.create_map().cast("map<string,bigint>")))

@@ -525,3 +525,29 @@ SELECT t.report_id AS pair_id, t.ord, string_agg(h.sel, ' ' ORDER BY length(h.pa
 def shadow_paths(spark, sf_dir):
     deep = base(spark, sf_dir).withColumn("hpid", F.when(F.col("hpid").contains("."), F.replace("hpid", F.lit("1."), F.lit("1.0."))).otherwise(F.col("hpid")))
     return selectors.shadow_path(deep).withColumn("hosts", F.array_join("hosts", " "))
+
+
+@query(f"""{_CASCADE}, f AS (SELECT report_id AS pair_id, 'test-attribute' AS strategy FROM m1 WHERE n = 1 AND rn = 1 UNION ALL SELECT report_id, 'id' FROM m2 WHERE n = 1 AND rn = 1),
+k AS (SELECT pair_id, strategy, count(*) AS n FROM f GROUP BY 1, 2), s AS (SELECT pair_id, CAST(sum(n) AS BIGINT) AS matched, string_agg(strategy || '=' || n, ' ' ORDER BY strategy) AS strategies FROM k GROUP BY 1),
+d AS (SELECT pair_id, count(*) AS ambiguous FROM (SELECT DISTINCT report_id AS pair_id, b_ord FROM m1 WHERE n >= 2 UNION ALL SELECT DISTINCT report_id, b_ord FROM m2 WHERE n >= 2) z GROUP BY 1)
+SELECT pair_id, matched, coalesce(ambiguous, 0) AS ambiguous, strategies FROM s LEFT JOIN d USING (pair_id)""")
+def match_metadata(spark, sf_dir):
+    found, doubtful = match.cascade(base(spark, sf_dir), comp(spark, sf_dir), [("test-attribute", 1.0), ("id", 0.9)])
+    none = found.select("pair_id").limit(0)
+    done = match.metadata(found, doubtful, none, none)
+    text = F.array_join(F.transform(F.map_entries("by_strategy"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return done.select("pair_id", "matched", "ambiguous", text.alias("strategies"))
+
+
+@query(f"""WITH {SIDES} SELECT DISTINCT report_id AS pair_id, 0 AS ord, 'HPID,Absolute HPID,Tag Name,Element ID,Class Name,Text Content,CSS Selector,XPath,x,y,width,height,display,opacity' AS line FROM b
+UNION ALL SELECT report_id, ord, {_line('hpid', 'hpid', 'tag', 'element_id', 'class_name', 'words', "tag || '.' || split_part(class_name, ' ', 1)", "'//' || tag || '[@title=' || chr(39) || title || chr(39) || ']'", 'x', 'y', 'width', 'height', 'display', 'opacity')} FROM b""")
+def extraction_lines(spark, sf_dir):
+    return exports.element_lines(base(spark, sf_dir), ["display", "opacity"])
+
+
+@query()
+def page_payload(spark, sf_dir):
+    b, changed = base(spark, sf_dir).select("pair_id", "hpid"), _changed(spark, sf_dir)
+    none = b.limit(0)
+    nodes = grouped.node_classes(b, changed, none, none, changed.where("severity = 'critical'"))
+    return exports.page_payload(merged_items(spark, sf_dir), nodes)
