@@ -17,8 +17,8 @@ Three steps keep the volume near that of the repeats:
    A window that a third of all documents hold costs one row for each task.
 3. Hits are gathered by ranges of documents and joined to the texts, which are parsed and cut.
 
-Blocks and ranges are sorted by Spark and handled one at a time, so a task holds one of them. Windows are equal if 128 bits of two independent
-fingerprints are (10^13 windows would meet by chance once in about 10^13 corpora). Defined results: null or empty text has no words; a document of fewer words than
+Blocks and ranges are sorted by Spark and handled one at a time, so a task holds one of them. Windows are equal if 96 bits of two independent
+fingerprints are (among 10^13 windows two meet by chance in less than one corpus of a thousand). Defined results: null or empty text has no words; a document of fewer words than
 a window loses none; texts of any length are parsed whole; where several smaller documents have a window, the smallest that the task or the block holds is the reference;
 a null id is no reference and loses nothing; repeated rows of one id are one document, no smaller than itself; other columns
 are ignored; an empty table gives an empty table.
@@ -38,6 +38,8 @@ WIDTH = 13
 GRAM = 6
 FILTER_BITS = 1 << 28
 BITS_FOR_EACH = 16
+#: Bytes of hits that a task holds before it hands them on.
+HELD_BYTES = 64 << 20
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def _candidates(ranges: int, doc_ranges: int, bits: int, held):
                         passes &= (field[part * width + (bit >> 3)] >> (7 - (bit & 7)) & 1).astype(bool)
                     at = np.flatnonzero(passes)
                     if len(at):
-                        found.append((fingerprints(h)[at], fingerprints(second_hashes(words))[at], np.full(len(at), ids[row], dtype=np.int64), at.astype(np.int32)))
+                        found.append((fingerprints(h)[at], (fingerprints(second_hashes(words))[at] >> U(32)).astype(np.uint32), np.full(len(at), ids[row], dtype=np.int64), at.astype(np.int32)))
         if found:
             yield from _split_hits(*(np.concatenate(c) for c in zip(*found, strict=True)), doc_ranges, ranges)
 
@@ -212,6 +214,16 @@ def _split_hits(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.nda
     yield _rows(1, np.searchsorted(part[order], np.arange(doc_ranges + 1)), [None, None, d, p, doc[first], place[first]])
 
 
+def _put_together(hits: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each range of documents, from rows of hits."""
+    found: dict[int, list[dict]] = {}
+    for batch in hits:
+        for row in batch.to_pylist():
+            found.setdefault(row["part"], []).append(row)
+    rows = [(1, part, *(b"".join([r[n] for r in mine]) for n in _ENTRY)) for part, mine in sorted(found.items())]
+    return _batch(rows, ["kind", "part", *_ENTRY], [pa.int32(), pa.int32(), *[pa.binary()] * len(_ENTRY)])
+
+
 def _look_up(doc_ranges: int):
     """All entries of a range meet: those with a smaller document's window are hits. Hits found before pass through."""
 
@@ -225,10 +237,11 @@ def _look_up(doc_ranges: int):
 
         passed: list[pa.RecordBatch] = []
         for _, rows in _grouped(entries(), _ENTRY[:4]):
-            yield from _split_hits(*_joined(rows, [U, U, np.int64, np.int32]), doc_ranges)
-            yield from passed
-            passed.clear()
-        yield from passed
+            passed += _split_hits(*_joined(rows, [U, np.uint32, np.int64, np.int32]), doc_ranges)
+            if sum(b.nbytes for b in passed) > HELD_BYTES:  # so the hits of many blocks leave in one row for each range of documents
+                yield _put_together(passed)
+                passed.clear()
+        yield _put_together(passed)
 
     return run
 
@@ -271,8 +284,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     for row in shared.select("part", "anchors").mapInArrow(_filter_bits(bits), "part int, bits binary").toLocalIterator():
         field[row.part * (bits // 8) : (row.part + 1) * (bits // 8)] = row.bits
     held = spark.sparkContext.broadcast(bytes(field))
-    entries = docs.mapInArrow(_candidates(ranges, ranges, bits, held), _SCHEMA)
-    hits = entries.repartition(n, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_look_up(ranges), _SCHEMA)
+    entries = docs.mapInArrow(_candidates(ranges, n, bits, held), _SCHEMA)
+    hits = entries.repartition(n, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_look_up(n), _SCHEMA)
     return hits.drop("print1", "print2").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_by_document, "hit_id long, hits binary, refs binary, ref_places binary")
 
 
