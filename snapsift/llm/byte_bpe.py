@@ -36,24 +36,24 @@ QUERY_WORDS = 50_000
 #: Contractions of one recursive query; words that need more go on in the next one (bounds the rows it piles up).
 ROUNDS = 64
 
+#: A word's number and a symbol's position are one key (position in the lower 16 bits, which ``LONG_BYTES`` leaves room for), so that one sort serves the window.
 _MERGE = """
-WITH RECURSIVE step(word, pos, sym, n) AS (
-    SELECT word, pos, sym, 0 FROM symbols
+WITH RECURSIVE step(k, sym, n) AS (
+    SELECT word * 65536 + pos, sym, 0 FROM symbols
   UNION ALL
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.hit THEN b.merged ELSE s.sym END, s.n + 1
+    SELECT s.k, CASE WHEN s.k = b.hit THEN b.merged ELSE s.sym END, s.n + 1
     FROM step s JOIN (
-        SELECT word, min_by(pos, ord) AS hit, min_by(gone, ord) AS gone, min_by(merged, ord) AS merged
+        SELECT word, min_by(k, ord) AS hit, min_by(gone, ord) AS gone, min_by(merged, ord) AS merged
         FROM (
-            SELECT p.word, p.pos, p.gone, m.merged, m.rank * 4294967296 + p.pos AS ord
-            FROM (
-                SELECT word, pos, sym, lead(sym) OVER w AS nxt, lead(pos) OVER w AS gone
-                FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) p JOIN merges m ON m.a = p.sym AND m.b = p.nxt
+            SELECT p.word, p.k, p.gone, m.merged, m.rank * 65536 + (p.k & 65535) AS ord
+            FROM (SELECT k >> 16 AS word, k, sym, lead(sym) OVER w AS nxt, lead(k) OVER w AS gone FROM step WINDOW w AS (ORDER BY k)) p
+            JOIN merges m ON m.a = p.sym AND m.b = p.nxt
+            WHERE p.gone >> 16 = p.word
         ) GROUP BY word
-    ) b ON b.word = s.word AND s.pos <> b.gone
+    ) b ON b.word = s.k >> 16 AND s.k <> b.gone
     WHERE s.n < {rounds}
-), last AS (SELECT word, max(n) AS n FROM step GROUP BY word)
-SELECT s.word, s.pos, s.sym, s.n FROM step s JOIN last USING (word, n)
+), last AS (SELECT k >> 16 AS word, max(n) AS n FROM step GROUP BY 1)
+SELECT s.k >> 16 AS word, s.k & 65535 AS pos, s.sym, s.n FROM step s JOIN last ON last.word = s.k >> 16 AND last.n = s.n
 """
 _RENDER = """
 SELECT word, encode(string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY pos)) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS text
