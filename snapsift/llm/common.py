@@ -41,6 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/snapsift-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # lazy results read it till the session ends
     return spark.read.schema(df.schema).parquet(path)
 
 
