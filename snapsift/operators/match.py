@@ -180,11 +180,11 @@ def align(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT, used
     schema = "pair_id long, event string, b_ord long, c_ord long, confidence double, strategy string"
 
     def side(d: DataFrame, o: str) -> DataFrame:
-        rows = d.select("pair_id", "ord", F.col("hpid").alias("hpid"), F.col("tag_name").alias("tag_name"))  # a report can be aligned with itself
-        if used is None:
-            return rows.withColumn("used", F.lit(False))
-        taken = used.select("pair_id", F.col(o).alias("ord"), F.lit(True).alias("used"))
-        return rows.join(taken, ["pair_id", "ord"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+        rows = d.select("pair_id", "ord", "hpid", "tag_name")
+        if used is not None:
+            rows = rows.join(used.select("pair_id", F.col(o).alias("ord"), F.lit(True).alias("used")), ["pair_id", "ord"], "left")
+        taken = F.lit(False) if used is None else F.coalesce("used", F.lit(False))
+        return rows.select(*[F.col(c).alias(c) for c in ("pair_id", "ord", "hpid", "tag_name")], taken.alias("used"))  # new columns: a report can be aligned with itself
 
     left, right = (side(first_elements(d, config.max_elements), o) for d, o in ((base, "b_ord"), (comp, "c_ord")))
     return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInPandas(_align(config), schema)
