@@ -13,7 +13,7 @@ def scratch(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
