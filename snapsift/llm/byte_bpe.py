@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import held, merge_long, slices
 
 #: Distinct chunks and distinct pre-tokens of one generation that a worker remembers (bounds its memory); there are two, so that what is in use stays.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 100_000
 #: Longer pre-tokens (lumps of letters without a space) are merged by a heap: rows and rounds of a recursion both grow with a word's length.
 LONG_BYTES = 256
-#: Pre-tokens merged by one recursive query (bounds DuckDB's memory).
-QUERY_WORDS = 50_000
+#: Rows that the recursive query of one batch of pre-tokens piles up at most (bounds DuckDB's memory, which has nowhere to spill to).
+QUERY_ROWS = 2_000_000
 #: Contractions of one recursive query; words that need more go on in the next one (bounds the rows it piles up).
 ROUNDS = 64
 
@@ -90,10 +90,10 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         ranks = self.ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.merges = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+        self.merges = np.array([(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks], dtype=np.int64)
         self.pairs: dict[int, tuple[int, int]] = {}
-        a, b, r = (pa.array(x, pa.int64()) for x in zip(*self.merges, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        a, b, r = (pa.array(self.merges[:, k]) for k in range(3))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._load("merges", pa.table({"a": a, "b": b, "rank": r, "merged": r}))
         self._load("tokens", pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]}))
         self.pattern = regex.compile(pattern)
@@ -117,8 +117,11 @@ class Encoder:
             if len(text) > LONG_BYTES:
                 out[w] = self._merge_long(text)
         raw = [x for x in raw if len(x[1]) <= LONG_BYTES]
-        for start in range(0, len(raw), QUERY_WORDS):
-            part = raw[start : start + QUERY_WORDS]
+        rows_of = [len(x) * min(len(x), ROUNDS) for _, x in raw]
+        batches = np.cumsum(rows_of) // QUERY_ROWS if raw else np.zeros(0, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, batches[1:] != batches[:-1]]).tolist() if raw else []
+        for start, end in zip(starts, [*starts[1:], len(raw)], strict=True):
+            part = raw[start:end]
             sizes = np.fromiter((len(x) for _, x in part), dtype=np.int64, count=len(part))
             word = np.repeat(np.arange(len(part)), sizes)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -131,14 +134,14 @@ class Encoder:
                 done.append(rows.filter(pc.invert(going_on)))
                 rows = rows.filter(going_on).select(["word", "pos", "sym"])
             self._load("done", pa.concat_tables(done))
-            found = self.db.execute(_RENDER).to_arrow_table()
+            found = self.db.sql(_RENDER).to_arrow_table()
             keys = (part[w][0] for w in found["word"].to_pylist())
             out.update(zip(keys, zip(found["ids"].to_pylist(), found["text"].to_pylist(), strict=True), strict=True))
         return out
 
     def _merge_long(self, text: bytes) -> tuple[bytes, bytes]:
         if not self.pairs:
-            self.pairs = {a << 32 | b: (r, r) for a, b, r in self.merges}
+            self.pairs = {a << 32 | b: (r, r) for a, b, r in self.merges.tolist()}
             self.tokens = {r: t for t, r in self.ranks.items()}
         ids = merge_long(self.byte_ids[np.frombuffer(text, dtype=np.uint8)].tolist(), self.pairs)
         return " ".join(map(str, ids)).encode(), b"".join([self.tokens[i] for i in ids])
