@@ -117,10 +117,9 @@ class Encoder:
             if len(text) > LONG_BYTES:
                 out[w] = self._merge_long(text)
         raw = [x for x in raw if len(x[1]) <= LONG_BYTES]
-        rows_of = [len(x) * min(len(x), ROUNDS) for _, x in raw]
-        batches = np.cumsum(rows_of) // QUERY_ROWS if raw else np.zeros(0, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, batches[1:] != batches[:-1]]).tolist() if raw else []
-        for start, end in zip(starts, [*starts[1:], len(raw)], strict=True):
+        batch = np.cumsum([len(x) * min(len(x), ROUNDS) for _, x in raw], dtype=np.int64) // QUERY_ROWS
+        bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(raw)] if raw else []
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             part = raw[start:end]
             sizes = np.fromiter((len(x) for _, x in part), dtype=np.int64, count=len(part))
             word = np.repeat(np.arange(len(part)), sizes)
