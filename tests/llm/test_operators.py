@@ -229,6 +229,9 @@ def test_a_megabyte_without_spaces_takes_seconds():
     (n, ids, text), = byte_bpe.Encoder(path, public_tokenizers.PATTERN).encode([lump_of_letters])
     want = library.encode_ordinary(lump_of_letters)
     assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()) and text == hashlib.sha256(lump_of_letters.encode()).hexdigest()
+    encoder = byte_bpe.Encoder(path, public_tokenizers.PATTERN)
+    for texts in ([], [""], ["one two"], ["one two"], ["y" * 500], ["q" * 250 + f" {'z' * 250}{k}" for k in range(300)]):  # nothing, nothing new, only long ones, more than one query
+        assert [g[0] for g in encoder.encode(texts)] == [len(library.encode_ordinary(t)) for t in texts]
     model = public_tokenizers.path("piece_bpe_32k.model")
     assert token_counts.PieceTable(model).count([lump]) == [len(sentencepiece.SentencePieceProcessor(model_file=model).encode(lump))]
 
