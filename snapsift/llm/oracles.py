@@ -77,6 +77,9 @@ hit AS (SELECT dw.doc_id, dw.place, dw.size, iw.item_id FROM dw JOIN iw USING (s
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) z GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM t LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+EXACT = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -86,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": SUBSTRINGS,
         "op8_line_dedup": LINES,
         "op9_decontamination": DECONTAMINATION,
+        "op13_exact_dedup": EXACT,
     }
