@@ -77,6 +77,19 @@ hit AS (SELECT dw.doc_id, dw.place, dw.size, iw.item_id FROM dw JOIN iw USING (s
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) z GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM t LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+#: CRC-32 by its table of 256 remainders, byte by byte.
+SPELLING = f"""WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM crc WHERE k = 8), r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w) AS x FROM r WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM d, tab),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1), voc AS (SELECT * FROM v WHERE length(word) >= 7 AND n >= 2),
+g AS (SELECT word, n, unnest(range(length(word))) AS i FROM voc), g2 AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM g),
+p AS (SELECT a.word AS a, b.word AS b, b.n FROM g2 a JOIN g2 b USING (i, rest) WHERE a.word <> b.word UNION SELECT a.word, b.word, b.n FROM g2 a JOIN voc b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM g2 a JOIN voc b ON a.rest = b.word),
+s AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, encode(b))) AS form, max(n) AS form_n FROM p GROUP BY 1),
+f AS (SELECT voc.word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * voc.n THEN form END AS form, CASE WHEN form_n >= 10 * voc.n THEN form_n END AS form_n FROM voc LEFT JOIN s USING (word)),
+w AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT w.word, f.form, k + 1 FROM w JOIN f ON w.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM w GROUP BY 1) z ON z.word = f.word"""
+
 EXACT = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
@@ -89,5 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": SUBSTRINGS,
         "op8_line_dedup": LINES,
         "op9_decontamination": DECONTAMINATION,
+        "op11_spelling_variants": SPELLING,
         "op13_exact_dedup": EXACT,
     }

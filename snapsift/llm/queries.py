@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, spelling, substring_dedup, token_counts, url_filter
 from .common import table
 from .oracles import oracle_sql
 
@@ -75,6 +75,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), "text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"), least=7)  # shorter ones do not grow
+    h = F.crc32(F.concat_ws(":", "id", "word").cast("binary"))
+    at = (h % F.length("word")).cast("int")
+    misspelt = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.length("word")))
+    words = runs.select(F.when(h % 31 == 0, misspelt).otherwise(F.col("word")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup.groups_of_copies(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -92,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_decontamination,
         op10_pii,
+        op11_spelling_variants,
         op13_exact_dedup,
     ]
     return {f.__name__: f for f in found}
