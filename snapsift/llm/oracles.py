@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, url_filter
+from . import quality, url_filter, vector_codes
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -90,6 +90,27 @@ f AS (SELECT voc.word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >=
 w AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT w.word, f.form, k + 1 FROM w JOIN f ON w.here = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM w GROUP BY 1) z ON z.word = f.word"""
 
+
+def _vector_codes() -> str:
+    square = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))"
+    nearest = lambda books: f"SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, part, entry, {square} AS d FROM p JOIN {books} USING (part)) z GROUP BY r, part"
+    rounds = [
+        f"""a{k} AS MATERIALIZED ({nearest(f'c{k}')}),
+s{k} AS (SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k} JOIN p USING (r, part)) z GROUP BY part, entry, i),
+m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{k} GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.e, c{k}.e) AS e FROM c{k} LEFT JOIN m{k} USING (part, entry))"""
+        for k in range(vector_codes.ROUNDS)
+    ]
+    last = f"c{vector_codes.ROUNDS}"
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS x FROM k, range(8) t(part)), c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= {vector_codes.ENTRIES}),
+{', '.join(rounds)},
+f AS ({nearest(last)}), o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), b"""
+
+
 EXACT = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
@@ -103,5 +124,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": LINES,
         "op9_decontamination": DECONTAMINATION,
         "op11_spelling_variants": SPELLING,
+        "op12_vector_codes": _vector_codes(),
         "op13_exact_dedup": EXACT,
     }

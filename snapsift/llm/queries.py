@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, spelling, substring_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, spelling, substring_dedup, token_counts, url_filter, vector_codes
 from .common import table
 from .oracles import oracle_sql
 
@@ -84,6 +84,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(words))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup.groups_of_copies(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_decontamination,
         op10_pii,
         op11_spelling_variants,
+        op12_vector_codes,
         op13_exact_dedup,
     ]
     return {f.__name__: f for f in found}
