@@ -32,7 +32,7 @@ ENTRIES = 16
 ROUNDS = 6
 BOUND = 1 << 26
 #: Width of the grid's cells, and cells that a worker remembers for each part position.
-CELL = 1024
+CELL = 512
 HELD_CELLS = 100_000
 #: Rows that a task handles together.
 ROWS = 4_096
