@@ -60,5 +60,6 @@ def groups_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns (repeated rows of a kept id all stay)."""
-    gone = groups_of_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone")), "left_anti")
+    gone = groups_of_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone"), F.col("digest").alias("of")).distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone")) & (sha256(text) == F.col("of")), "left_anti")
