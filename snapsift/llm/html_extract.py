@@ -7,7 +7,8 @@ size. Nodes that most pages of a host have, with the same look and the same word
 that is below them. What differs from page to page (a menu of other links, an advert of other words) has high entropy and no tree can
 tell it from an article, so menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are also known by their tags, roles and class names. Where a page marks its
 article, the article's own text blocks are never cut for being alike: copies of one article stay whole. Class words make no noise of html, body, main and
-article, nor of the elements around the only article; a class that tells a state ("no-sidebar") is no name.
+article, nor of the elements around the only article; a class that tells a state ("no-sidebar") is no name; of several words the last telling one names
+the element ("feedback-article" is an article); a page on which names leave nothing is read without them.
 
 Counts of the tree are plain aggregates by host and node, so a host with a third of all pages is counted in parts; only the low
 nodes of each host travel back to its pages.
@@ -53,7 +54,10 @@ NOISE_WORDS = frozenset(
     " masthead menu menubar modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion recommended related replies reply respond rail"
     " share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: A class that starts with one of these tells a state ("no-sidebar", "has-comments"), not what the element is.
+#: Words of what an article is called, and of what may hold one where no other word says what it holds ("main-content", but not "footer-content").
+TEXT_WORDS = frozenset("article post story".split())
+WIDE_WORDS = frozenset("body content entry main".split())
+#: From one of these words on a class tells a state ("no-sidebar", "has-comments"), not what the element is.
 STATES = frozenset("no not has with without is are hide hides hidden show shows".split())
 #: Elements that frame the article: no class word makes noise of them.
 FRAMES = frozenset("html body main article".split())
@@ -65,11 +69,23 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS |= {t: {"p"} for t in BLOCK - set(ENDS) - {"html", "body", "td", "th", "option"}}
 _LIMITS = frozenset("ul ol dl table select article section div body html main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'>/]+)")
+#: What stands between < and > of a tag; a quote opens a value after = only, and one that is never closed is a letter like others. Nothing is read twice.
+_REST = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*+)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*+)" + _REST + r"|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _kind(token: str) -> str:
+    """What a class or id says of its element: "noise", "text" or nothing. Its last telling word counts, before any word of state ("content-with-sidebar")."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    words = words[: next((k for k, w in enumerate(words) if w in STATES), len(words))]
+    telling = [w for w in words if w in NOISE_WORDS or w in TEXT_WORDS]
+    if telling:
+        return "noise" if telling[-1] in NOISE_WORDS else "text"
+    return "text" if set(words) & WIDE_WORDS else ""
+
+
 class Node:
     """noise: by its tag, role or state; named: by a word of its classes or id."""
 
@@ -80,20 +96,17 @@ class Node:
         found = {}
         if attributes and attributes.strip("/ "):
             for m in _ATTRIBUTE.finditer(attributes):
-                found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         classes = found.get("class", "").split()
         self.name = ".".join([tag, *sorted(classes)])
-        words = set()
-        for token in [*classes, found.get("id", "")] if tag not in FRAMES else ():
-            own = [w.lower() for w in _WORD.findall(token)]
-            words.update(own if own and own[0] not in STATES else ())
         self.noise = (
             tag in NOISE_TAGS
             or found.get("role", "").lower() in NOISE_ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
         )
-        self.named = bool(words & NOISE_WORDS)
+        kinds = {_kind(token) for token in [*classes, found.get("id", "")]} if tag not in FRAMES else set()
+        self.named = "noise" in kinds and "text" not in kinds
 
 
 def parse(text: str) -> Node:
@@ -180,28 +193,31 @@ def main_text(root: Node, low: frozenset[int]) -> str:
     kept = _blocks(root, low)
     if not kept and low:
         kept = _blocks(root, frozenset())
-    return " ".join(kept)
+    return " ".join(kept or _blocks(root, frozenset(), by_name=False))  # names alone never empty a page
 
 
 def _frame(root: Node) -> tuple[str | None, set[int]]:
     """The tag that marks the article, and the elements named like noise that have to be entered to reach it (none, if there is another way)."""
     found: dict[tuple[str, bool], set[int]] = {}
-    stack: list[tuple[Node, tuple]] = [(root, ())]
+    stack: list[tuple[Node, tuple | None]] = [(root, None)]  # with the chain of named elements around it
     while stack:
         node, named = stack.pop()
         for part in node.parts:
             if isinstance(part, str) or part.noise:
                 continue
             if part.tag in ("article", "main"):
-                found.setdefault((part.tag, bool(named)), set()).update(named)
-            stack.append((part, (*named, id(part)) if part.named else named))
+                around, chain = found.setdefault((part.tag, named is not None), set()), named
+                while chain and chain[0] not in around:
+                    around.add(chain[0])
+                    chain = chain[1]
+            stack.append((part, (id(part), named) if part.named else named))
     for way in (("article", False), ("main", False), ("article", True), ("main", True)):
         if way in found:
             return way[0], found[way]
     return None, set()
 
 
-def _blocks(root: Node, low: frozenset[int]) -> list[str]:
+def _blocks(root: Node, low: frozenset[int], by_name: bool = True) -> list[str]:
     inside, entered = _frame(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -228,7 +244,7 @@ def _blocks(root: Node, low: frozenset[int]) -> list[str]:
                 run.append(" ")
         else:
             here, own = _path(path, part.name), within or part.tag == inside
-            noise = part.noise or (part.named and id(part) not in entered)
+            noise = part.noise or (by_name and part.named and id(part) not in entered)
             alike = here in low and not (own and inside and (part.tag in TEXT_BLOCKS or part.tag == inside or part.tag not in BLOCK))
             if part.tag in BLOCK or alike:
                 flush()
