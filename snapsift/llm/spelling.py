@@ -248,7 +248,9 @@ def routed(vocab: DataFrame) -> DataFrame:
     spark = vocab.sparkSession
     short = vocab.where(F.length("word") <= LONGEST)
     totals = dict(tuple(r) for r in short.groupBy(F.length("word")).count().collect())  # LONGEST rows at most
-    sample = [bytes(r[0]) for r in short.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    share = SAMPLE / max(SAMPLE, sum(totals.values()))
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(share * (1 << 40))  # about SAMPLE words, the same ones on every run
+    sample = [bytes(r[0]) for r in short.where(drawn).select("word").collect()]
     trees = {}
     for size in totals:
         of_size = [w for w in sample if len(w) == size]
