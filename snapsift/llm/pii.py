@@ -1,8 +1,9 @@
 """PII (10) [native]: detected entities get keyed surrogates of their own type, format, script and gender.
 
 Entities are found by one pattern: e-mail, IPv4 and IPv6 addresses, phone numbers, social security numbers, payment cards, IBANs, secrets
-(long hexadecimal strings, keys with a known prefix, quoted values after = or :, values with a digit after a word such as password) and persons after a title; names
-without a title are not found. Mentions that differ only in writing (case, spaces, punctuation) have one canonical form, and one surrogate; a
+(long hexadecimal strings, keys with a known prefix, quoted values after = or :, values with a digit after a word such as password) and persons after a title, double
+names and names in capitals included. A person's names are also replaced where they stand alone in the same text, written alike (these are not counted as entities); names of
+persons who have no title anywhere in the text are not found. Mentions that differ only in writing (case, spaces, punctuation) have one canonical form, and one surrogate; a
 person's given and last names are entities of their own, so all mentions of a last name agree. A keyed SHA-256 of the canonical form moves every letter and
 digit inside its own alphabet, so script, case, length and punctuation stay; IPs get valid octets, cards and IBANs keep valid check digits, given
 names have the title's gender and all names their own script. In e-mails, names and secrets a
@@ -26,10 +27,12 @@ from .common import cut
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "г-н", "Κύριος", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа", "г-жа", "Κυρία", "κυρία"]
 NEUTRAL = ["Dr"]
+MALE, FEMALE, NEUTRAL = ([*titles, *(t.upper() for t in titles)] for titles in (MALE, FEMALE, NEUTRAL))
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: A name starts with a capital, or is of a script without case.
-_NAME = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]+"
+#: A name starts with a capital, or is of a script without case; it may be double or have a particle ("Smith-Jones", "O'Brien"). Its parts have two letters at least.
+_NAME = r"(?:\p{Lu}['’])?[\p{Lu}\p{Lo}][\p{L}\p{M}]+(?:-\p{L}[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
+_PART = r"\p{L}[\p{L}\p{M}]+"
 #: Of kinds that match a mention, the first counts.
 KINDS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@[\p{L}\p{N}-][\p{L}\p{N}.-]{0,252}\.\p{L}{2,63}",
@@ -51,8 +54,6 @@ KINDS = {
     ),
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without any of these holds no entity.
-CUE = rf"[0-9@]|::|[=:] ?\"|(?<!\p{{L}})(?:{_TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
 DIGITS_ONLY = ["phone", "ssn", "card"]
 ALPHABETS = [
     "0123456789",
@@ -118,11 +119,11 @@ GROWTH = 2
 def _kind(mention: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(KINDS.items()):
-        kind = F.when(mention.rlike(f"^(?:{_bare(pattern)})$"), F.lit(name)).otherwise(kind)
+        kind = F.when(mention.rlike(f"^(?:{_alone(pattern)})$"), F.lit(name)).otherwise(kind)
     return kind
 
 
-def _bare(pattern: str) -> str:
+def _alone(pattern: str) -> str:
     """A pattern for a mention that stands alone: its surroundings were checked where it was found."""
     for around in (r"(?<=[=:] ?\")", r"(?=\")", r"(?<=[=:] ?)", r"(?<=(?i:password|passwd|pwd|secret|token|key)[=:] ?)"):
         pattern = pattern.replace(around, "")
@@ -140,9 +141,11 @@ def _parts(kind: Column, mention: Column) -> Column:
     Given names have the title's gender; last names have none, except where the script's language bends them.
     """
     gender = F.when(_title(mention).isin(MALE), "m").when(_title(mention).isin(FEMALE), "f").otherwise("n")
-    names = F.split(F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")), " ")
+    whole = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
+    names = F.regexp_extract_all(F.lower(whole), F.lit(_PART), F.lit(0))
+    given = F.size(names) - F.size(F.regexp_extract_all(F.substring_index(whole, " ", -1), F.lit(_PART), F.lit(0)))
     bends = lambda x: x.rlike(r"^[\p{IsCyrillic}\p{IsGreek}]")
-    persons = F.transform(names, lambda x, i: F.concat(F.when((i < F.size(names) - 1) | bends(x), gender).otherwise("n"), F.lit("|"), x))
+    persons = F.transform(names, lambda x, i: F.concat(F.when((i < given) | bends(x), gender).otherwise("n"), F.lit("|"), x))
     plain = (
         F.when(kind.isin(DIGITS_ONLY), F.regexp_replace(mention, r"\D", ""))
         .when(kind.isin("email", "ip6"), F.lower(mention))
@@ -263,6 +266,22 @@ def _surrogate(kind: Column, canon: Column) -> Column:
     )
 
 
+def _old_names(mention: Column) -> Column:
+    """The parts of a person's name, as they are written."""
+    return F.regexp_extract_all(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""), F.lit(_PART), F.lit(0))
+
+
+def _new_names(mention: Column, surrogates: Column) -> Column:
+    """What stands for each of them, in capitals where it is in capitals."""
+    return F.zip_with(_old_names(mention), F.transform(surrogates, lambda x: F.substring(x, 3, 1 << 20)), lambda old, new: F.when(old == F.upper(old), F.upper(new)).otherwise(F.initcap(new)))
+
+
+def _bare(gap: Column, names: Column) -> Column:
+    """A stretch between entities, with the names of the text's persons replaced where they stand without a title."""
+    words = F.regexp_extract_all(gap, F.lit(_PART), F.lit(0))
+    return F.array_join(F.transform(F.split(gap, _PART, -1), lambda g, i: F.concat(g, F.coalesce(names[F.get(words, i)], F.get(words, i), F.lit("")))), "")
+
+
 def _written(kind: Column, mention: Column, surrogates: Column) -> Column:
     """The surrogates of a mention's parts in its format."""
     surrogate = F.get(surrogates, 0)
@@ -276,12 +295,13 @@ def _written(kind: Column, mention: Column, surrogates: Column) -> Column:
     local = F.substring_index(mention, "@", 1)
     cased = F.array_join(F.transform(F.split(F.substring_index(surrogate, "@", 1), ""), lambda c, i: F.when(F.get(F.split(local, ""), i) != F.lower(F.get(F.split(local, ""), i)), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
-    name = F.array_join(F.transform(surrogates, lambda x: F.substring(x, 3, 1 << 20)), " ")
-    original = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
+    gaps = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), _PART, -1)
+    new = _new_names(mention, surrogates)
+    person = F.concat(title, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), ""))
     return (
         F.when(kind.isin(*DIGITS_ONLY, "iban"), laid)
         .when(kind == "email", F.concat(cased, F.lit("@"), F.substring_index(surrogate, "@", -1)))
-        .when(kind == "person", F.concat(title, F.when((original == F.upper(original)) & (F.length(original) > 1), F.upper(name)).otherwise(F.initcap(name))))
+        .when(kind == "person", person)
         .otherwise(surrogate)
     )
 
@@ -312,24 +332,28 @@ def _key(docs: DataFrame, text_col: str) -> list[Column]:
 def pseudonymised(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """Columns ``row`` (the document), ``text`` with surrogates, and ``kinds`` (of the entities, in order)."""
     text = docs[text_col].cast("string")
-    found = docs.where(text.rlike(CUE)).select(*_key(docs, text_col), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
-    found = found.where(F.size("found") > 0).dropDuplicates(["key1", "key2"])
+    has_entity = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    found = docs.where(has_entity).select(*_key(docs, text_col), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
+    found = found.dropDuplicates(["key1", "key2"])
     mentions = found.select("key1", "key2", F.posexplode("found").alias("place", "mention"))
     mentions = mentions.withColumn("kind", _kind(F.col("mention")))
     mentions = cut(mentions.select("*", F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("part", "canon")))
     named = mentions.join(cut(assign(mentions, key)), ["kind", "canon"])
     named = named.groupBy("key1", "key2", "place", "kind", "mention").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate")))["surrogate"].alias("surrogates"))
-    written = F.struct("place", _written(F.col("kind"), F.col("mention"), F.col("surrogates")).alias("text"), "kind")
+    names = F.when(F.col("kind") == "person", F.arrays_zip(_old_names(F.col("mention")).alias("old"), _new_names(F.col("mention"), F.col("surrogates")).alias("new")))
+    written = F.struct("place", _written(F.col("kind"), F.col("mention"), F.col("surrogates")).alias("text"), "kind", names.alias("names"))
     by_doc = cut(named.groupBy("key1", "key2").agg(F.sort_array(F.collect_list(written)).alias("new")))
-    # only texts with a cue are shuffled, and so at every size
-    has_cue = F.coalesce(text.rlike(CUE), F.lit(False))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col), has_cue.alias("has_cue"))
-    joined = rows.where("has_cue").join(by_doc.hint("merge"), ["key1", "key2"], "left")
-    gaps = F.split("text", ENTITY, -1)
+    # of the two names that a part gets from mentions of two genders or in capitals, the first in order counts where it stands alone
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.filter(F.col("new.names"), lambda x: x.isNotNull()))))
+    firsts = F.filter(pairs, lambda x, i: (i == 0) | (F.get(pairs, i - 1)["old"] != x["old"]))
+    by_doc = by_doc.select("key1", "key2", "new", F.map_from_entries(firsts).alias("names"))
+    # only texts with entities are shuffled, and so at every size
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col), has_entity.alias("has_entity"))
+    joined = rows.where("has_entity").join(by_doc.hint("merge"), ["key1", "key2"])
+    gaps = F.transform(F.split("text", ENTITY, -1), lambda g: F.when(F.size("names") > 0, _bare(g, F.col("names"))).otherwise(g))
     merged = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i)["text"], F.lit("")))), "")
-    none = F.array().cast("array<string>")
-    changed = joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(merged).alias("text"), F.coalesce(F.col("new.kind"), none).alias("kinds"))
-    return changed.unionByName(rows.where("not has_cue").select("row", "text", none.alias("kinds")))
+    changed = joined.select("row", merged.alias("text"), F.col("new.kind").alias("kinds"))
+    return changed.unionByName(rows.where("not has_entity").select("row", "text", F.array().cast("array<string>").alias("kinds")))
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -455,3 +455,32 @@ def test_pii_surrogates_never_run_out(spark):
         for kind, canon, _ in kinds:
             a, b = size[canon, first], size[canon, later]
             assert len(b) > len(a) or (kind == "ip" and b.startswith("2001:db8:") and a != b), (a, b)
+
+
+def test_pii_finds_every_kind_and_names_however_they_stand(spark):
+    whole = {
+        "secret": ["a" * 64, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuv", "xoxb-" + "abcdefghijklmnopqrst", 'pass = "correcthorsebattery"', "token: abcdefg1hij"],
+        "ip6": ["fe:ab:cd:ef:ab:cd:ef:ab", "fe::ab"],
+        "email": ["é@x.org", "a.b+c@mail.example.com"],
+        "person": ["Mr Ann", "MRS. ANN LEE", "Dr. O'Brien", "Herr Müller-Lüdenscheidt", "г-жа Анна", "Monsieur D’Angelo Saint-Just"],
+        "ip": ["10.0.0.1"],
+        "phone": ["(555) 123-4567", "+49 30 1234 5678"],
+        "ssn": ["123-45-6789"],
+        "card": ["4111 1111 1111 1111", "4111111111111111"],
+        "iban": ["DE89 3704 0044 0532 0130 00"],
+    }
+    assert set(whole) == set(pii.KINDS)
+    texts = [f"see {m} here" for ms in whole.values() for m in ms] + [m for ms in whole.values() for m in ms]
+    kinds = [k for k, ms in whole.items() for _ in ms] * 2
+    got = by_id(pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"), "n_entities", "kinds", "text")
+    for k, (text, kind) in enumerate(zip(texts, kinds, strict=True)):
+        assert got[k][:2] == (1, [kind]) and got[k][2] != text, (text, got[k])
+    for k, text in enumerate(texts):
+        for name in re.findall(r"Ann|ANN|LEE|Brien|Müller|Lüdenscheidt|Анна|Angelo|Saint|Just", text):
+            assert name not in got[k][2], (text, got[k])
+    names = ["Smith came. Mr. Smith left, Smith's dog and John Smith too; Smithers stayed, SMITH not.", "MR. JOHN SMITH-JONES and Mrs. Smith-Jones and O'Brien and Dr. O'Brien", "Smith alone"]
+    got = by_id(pii.surrogates(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string"), "k"), "n_entities", "text")
+    a, b, c, d = re.fullmatch(r"(\w+) came\. Mr\. (\w+) left, (\w+)'s dog and John (\w+) too; Smithers stayed, SMITH not\.", got[0][1]).groups()
+    assert a == b == c == d != "Smith" and got[0][0] == 1 and got[2] == (0, "Smith alone")
+    one, two = re.fullmatch(r"MR\. ([A-Z]+ [A-Z]+-[A-Z]+) and Mrs\. (\w+-\w+) and O'\w+ and Dr\. O'\w+", got[1][1]).groups()
+    assert one.split()[1] == two.upper() and "Brien" not in got[1][1] and got[1][0] == 3
