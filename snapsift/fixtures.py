@@ -47,6 +47,16 @@ FROM (
 ) kept
 """
 
+#: Elements that many selectors fit: repeated and unstable ids, unstable test attributes, attributes and texts that several share.
+SELECTOR_SQL = """
+SELECT report_id, ord, hpid, tag, class_name, title,
+  CASE WHEN element_id IS NOT NULL THEN CASE WHEN ord % 5 = 4 THEN 'uid-' || CAST(ord AS {text}) ELSE 'id-' || CAST(ord % 4 AS {text}) END END AS element_id,
+  CASE WHEN test_attr IS NOT NULL THEN CASE WHEN s % 5 = 0 THEN '12345678' ELSE test_attr END END AS test_attr,
+  CASE WHEN s % 2 = 0 THEN 'v' || CAST(k % 3 AS {text}) END AS data_k,
+  CASE WHEN k % 3 = 0 THEN '12:30' ELSE 'item ' || CAST(k % 5 AS {text}) END AS words
+FROM ({base}) b
+"""
+
 
 def _fill(sql: str, lineitem: str, text: str, **more: str) -> str:
     hpids = " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(HPIDS, 1))
@@ -61,6 +71,18 @@ def compare_sql(lineitem: str = "lineitem", text: str = "VARCHAR") -> str:
     return _fill(COMPARE_SQL, lineitem, text, base=base_sql(lineitem, text))
 
 
+def selector_sql(lineitem: str = "lineitem", text: str = "VARCHAR") -> str:
+    return _fill(SELECTOR_SQL, lineitem, text, base=base_sql(lineitem, text))
+
+
+def selector_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of ``SELECTOR_SQL`` as an element table."""
+    r = spark.sql(selector_sql("{lineitem}", "STRING"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    given = F.create_map(F.lit("data-testid"), F.col("test_attr"), F.lit("data-k"), F.col("data_k"), F.lit("title"), F.col("title"))
+    attributes = F.map_filter(given, lambda _, v: v.isNotNull())
+    return r.select(F.col("report_id").alias("pair_id"), "ord", "hpid", F.col("tag").alias("tag_name"), "element_id", "class_name", F.col("words").alias("text_content"), attributes.alias("attributes"))
+
+
 def raw(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     make = base_sql if side == "base" else compare_sql
     return spark.sql(make("{lineitem}", "STRING"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))

@@ -111,24 +111,36 @@ def siblings(elements: DataFrame) -> DataFrame:
     )
 
 
-def unique_selectors(elements: DataFrame, candidates: list[tuple[str, int, Column]]) -> DataFrame:
+def unique_selectors(elements: DataFrame, candidates: list[tuple[str, int, Column, Column]]) -> DataFrame:
     """pair_id, ord, strategy, robustness, selector: each element's best candidate that selects it alone.
 
-    A candidate is a name, its robustness and the selector it would give; selectors are grouped, and those of one element are good.
+    A candidate is a name, its robustness, the selector it would give (or null) and the traits that the selector asks for; elements are selected
+    by their traits, whether they offer the same selector or not.
     """
-    offers = F.filter(F.array(*[F.struct(F.lit(r).alias("robustness"), F.lit(n).alias("strategy"), c.alias("selector")) for n, r, c in candidates]), lambda o: o["selector"].isNotNull())
-    rows = elements.select("pair_id", "ord", F.inline(offers))
-    alone = rows.groupBy("pair_id", "strategy", "selector").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min("robustness").alias("robustness")).where("n = 1")
+    from ..config import ANCHOR_ATTRIBUTES
+    from .uniqueness import own_traits, selected
+
+    listed = F.filter(F.array(*[F.struct(F.lit(r).alias("robustness"), F.lit(n).alias("strategy"), c.alias("selector"), F.array_sort(asks).alias("asks")) for n, r, c, asks in candidates]), lambda o: o["selector"].isNotNull())
+    offers = elements.select("pair_id", "ord", F.inline(listed))
+    matches = selected(elements.select("pair_id", "ord", own_traits(ANCHOR_ATTRIBUTES).alias("has")), offers)
+    alone = offers.join(matches.where("n = 1"), ["pair_id", "ord", "asks"])
     best = alone.groupBy("pair_id", "ord").agg(F.max(F.struct("robustness", "strategy", "selector")).alias("best"))
     return best.select("pair_id", "ord", "best.strategy", "best.robustness", "best.selector")
 
 
-def css_candidates() -> list[tuple[str, int, Column]]:
+def css_candidates() -> list[tuple[str, int, Column, Column]]:
     """Identifier, test attribute, two classes, one class."""
     from ..config import ANCHOR_ATTRIBUTES
 
-    classes = F.filter(F.split(F.coalesce("class_name", F.lit("")), r"\s+"), stable_class)
-    attr = lambda a: F.col("attributes")[a]
-    tests = F.coalesce(*[F.when(F.coalesce(attr(a), F.lit("")) != "", F.concat(F.lit(f'[{a}="'), attr(a), F.lit('"]'))) for a in ANCHOR_ATTRIBUTES])
+    classes = F.array_distinct(F.filter(F.split(F.coalesce("class_name", F.lit("")), r"\s+"), stable_class))
+    ident = F.concat(F.lit("#"), "element_id")
+    first = lambda make: F.coalesce(*[F.when(F.coalesce(F.col("attributes")[a], F.lit("")) != "", make(a, F.col("attributes")[a])) for a in ANCHOR_ATTRIBUTES])
+    tests = first(lambda a, v: F.concat(F.lit(f'[{a}="'), v, F.lit('"]')))
     dotted = lambda n: F.when(F.size(classes) >= n, F.concat("tag_name", F.lit("."), F.array_join(F.slice(classes, 1, n), ".")))
-    return [("id", 100, F.when(stable_id(F.col("element_id")), F.concat(F.lit("#"), "element_id"))), ("test-attribute", 91, tests), ("two-classes", 72, dotted(2)), ("one-class", 68, dotted(1))]
+    asks = lambda n: F.transform(F.slice(classes, 1, n), lambda c: F.concat("tag_name", F.lit("."), c))
+    return [
+        ("id", 100, F.when(stable_id(F.col("element_id")), ident), F.array(ident)),
+        ("test-attribute", 91, tests, F.array(first(lambda a, v: F.concat(F.lit(f"@{a}="), v)))),
+        ("two-classes", 72, dotted(2), asks(2)),
+        ("one-class", 68, dotted(1), asks(1)),
+    ]

