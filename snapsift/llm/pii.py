@@ -29,20 +29,22 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 NEUTRAL = ["Dr"]
 MALE, FEMALE, NEUTRAL = ([*titles, *(t.upper() for t in titles)] for titles in (MALE, FEMALE, NEUTRAL))
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+#: A title where a word starts; most places are told by their first letter.
+_TITLED = rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?<!\p{{L}})(?:{_TITLES})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: A name starts with a capital, or is of a script without case; it may be double or have a particle ("Smith-Jones", "O'Brien"). Its parts have two letters at least.
 _NAME = r"(?:\p{Lu}['’])?[\p{Lu}\p{Lo}][\p{L}\p{M}]+(?:-\p{L}[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
 _PART = r"\p{L}[\p{L}\p{M}]+"
 #: Of kinds that match a mention, the first counts.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@[\p{L}\p{N}-][\p{L}\p{N}.-]{0,252}\.\p{L}{2,63}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-][\p{L}\p{N}.-]{0,252}\.\p{L}{2,63}",
     "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"{_TITLED}\.? {_NAME}(?: {_NAME})?",
     "secret": "|".join(
         [
             r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])",
@@ -54,6 +56,15 @@ KINDS = {
     ),
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every mention of a kind has, so that a text without it needs no search for the kind.
+CUES = {
+    "email": "@",
+    "ip6": "::|[0-9A-Fa-f]:[0-9A-Fa-f]",
+    **dict.fromkeys(["ip", "phone", "ssn", "card", "iban"], "[0-9]"),
+    "person": rf"{_TITLED}\.? [\p{{Lu}}\p{{Lo}}]",
+    "secret": r"[0-9]|[=:] ?\"|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|[a-fA-F]{32}",
+}
+CUE = "|".join(dict.fromkeys(CUES[kind] for kind in KINDS))
 DIGITS_ONLY = ["phone", "ssn", "card"]
 ALPHABETS = [
     "0123456789",
@@ -332,9 +343,9 @@ def _key(docs: DataFrame, text_col: str) -> list[Column]:
 def pseudonymised(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """Columns ``row`` (the document), ``text`` with surrogates, and ``kinds`` (of the entities, in order)."""
     text = docs[text_col].cast("string")
-    has_entity = F.coalesce(text.rlike(ENTITY), F.lit(False))
-    found = docs.where(has_entity).select(*_key(docs, text_col), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
-    found = found.dropDuplicates(["key1", "key2"])
+    has_cue = F.coalesce(text.rlike(CUE), F.lit(False))
+    found = docs.where(has_cue).select(*_key(docs, text_col), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
+    found = found.where(F.size("found") > 0).dropDuplicates(["key1", "key2"])
     mentions = found.select("key1", "key2", F.posexplode("found").alias("place", "mention"))
     mentions = mentions.withColumn("kind", _kind(F.col("mention")))
     mentions = cut(mentions.select("*", F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("part", "canon")))
@@ -347,13 +358,14 @@ def pseudonymised(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     pairs = F.array_sort(F.array_distinct(F.flatten(F.filter(F.col("new.names"), lambda x: x.isNotNull()))))
     firsts = F.filter(pairs, lambda x, i: (i == 0) | (F.get(pairs, i - 1)["old"] != x["old"]))
     by_doc = by_doc.select("key1", "key2", "new", F.map_from_entries(firsts).alias("names"))
-    # only texts with entities are shuffled, and so at every size
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col), has_entity.alias("has_entity"))
-    joined = rows.where("has_entity").join(by_doc.hint("merge"), ["key1", "key2"])
+    # only texts with a cue are shuffled, and so at every size
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), *_key(docs, text_col), has_cue.alias("has_cue"))
+    joined = rows.where("has_cue").join(by_doc.hint("merge"), ["key1", "key2"], "left")
     gaps = F.transform(F.split("text", ENTITY, -1), lambda g: F.when(F.size("names") > 0, _bare(g, F.col("names"))).otherwise(g))
     merged = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i)["text"], F.lit("")))), "")
-    changed = joined.select("row", merged.alias("text"), F.col("new.kind").alias("kinds"))
-    return changed.unionByName(rows.where("not has_entity").select("row", "text", F.array().cast("array<string>").alias("kinds")))
+    none = F.array().cast("array<string>")
+    changed = joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(merged).alias("text"), F.coalesce(F.col("new.kind"), none).alias("kinds"))
+    return changed.unionByName(rows.where("not has_cue").select("row", "text", none.alias("kinds")))
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

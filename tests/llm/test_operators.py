@@ -458,6 +458,8 @@ def test_pii_surrogates_never_run_out(spark):
 
 
 def test_pii_finds_every_kind_and_names_however_they_stand(spark):
+    from pyspark.sql import functions as F
+
     whole = {
         "secret": ["a" * 64, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuv", "xoxb-" + "abcdefghijklmnopqrst", 'pass = "correcthorsebattery"', "token: abcdefg1hij"],
         "ip6": ["fe:ab:cd:ef:ab:cd:ef:ab", "fe::ab"],
@@ -469,7 +471,10 @@ def test_pii_finds_every_kind_and_names_however_they_stand(spark):
         "card": ["4111 1111 1111 1111", "4111111111111111"],
         "iban": ["DE89 3704 0044 0532 0130 00"],
     }
-    assert set(whole) == set(pii.KINDS)
+    assert set(whole) == set(pii.KINDS) == set(pii.CUES)
+    mentions = spark.createDataFrame([(k, m) for k, ms in whole.items() for m in ms], "kind string, m string")
+    for kind, cue in pii.CUES.items():  # a mention of a kind has the kind's cue
+        assert mentions.where(F.col("kind") == kind).where(~F.col("m").rlike(cue)).count() == 0, kind
     texts = [f"see {m} here" for ms in whole.values() for m in ms] + [m for ms in whole.values() for m in ms]
     kinds = [k for k, ms in whole.items() for _ in ms] * 2
     got = by_id(pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"), "n_entities", "kinds", "text")
