@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import css
+from ..sources.tables import written
 from .diff import DERIVED
 
 # Properties that children inherit in the two passes, and boxes whose change moves their children.
@@ -61,46 +61,38 @@ def inherited(diffs: DataFrame, paths: DataFrame) -> DataFrame:
     return first.select("row.*", (alike("x") | alike("y")).alias("inherited"), source.alias("derived_from"))
 
 
-def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pair, top down: a diff that repeats its apex's change is suppressed there.
+def _repeated(change: Column, apex: Column) -> Column:
+    """Whether an apex's changes hold one that this change repeats: the same inherited property changed alike, or a box by about as much."""
+    inherits = change["property"].isin(*INHERITED_AT_APEX)
 
-    The parent's own outcome decides who a child's apex is, so elements are taken by depth.
-    """
-    depth = pdf["hpid"].str.count(r"\.")
-    pdf = pdf.assign(depth=depth).sort_values(["depth", "b_ord", "property"])
-    changes = {h: {r.property: r for r in g.itertuples(index=False)} for h, g in pdf.groupby("hpid", sort=False)}
-    apex_of: dict[str, str] = {}
-    rows = []
-    for path in dict.fromkeys(pdf["hpid"]):
-        up = path
-        parent = None
-        while "." in up and parent is None:
-            up = up.rpartition(".")[0]
-            parent = up if up in changes else None
-        apex = apex_of.get(parent, parent)
-        mine = changes[path]
-        taken = set()
-        for name, change in mine.items():
-            theirs = changes[apex].get(name) if apex else None
-            if theirs is None:
-                continue
-            if name in INHERITED_AT_APEX:
-                alike = change.base_value == theirs.base_value and change.compare_value == theirs.compare_value
-            else:
-                alike = name in PROPAGATED and abs(change.delta - theirs.delta) <= PROPAGATED_PX
-            if alike:
-                taken.add(name)
-        if taken and len(taken) == len(mine):
-            apex_of[path] = apex
-        rows += [(c.pair_id, c.b_ord, path, name, name in taken, apex if name in taken else None) for name, c in mine.items()]
-    return pd.DataFrame(rows, columns=["pair_id", "b_ord", "hpid", "property", "suppressed", "apex"])
+    def repeats(theirs: Column) -> Column:
+        alike = theirs["a"].eqNullSafe(change["a"]) & theirs["b"].eqNullSafe(change["b"])
+        moved = change["property"].isin(*PROPAGATED) & (F.abs(theirs["delta"] - change["delta"]) <= PROPAGATED_PX)
+        return (theirs["property"] == change["property"]) & F.coalesce(F.when(inherits, alike).otherwise(moved), F.lit(False))
+
+    return F.exists(apex, repeats)
 
 
 def apex_suppression(diffs: DataFrame, paths: DataFrame) -> DataFrame:
-    """pair_id, b_ord, hpid, property, suppressed, apex. One group is one pair of reports, whose size extraction bounds."""
+    """pair_id, b_ord, hpid, property, suppressed, apex: a diff that repeats its apex's change is suppressed there.
+
+    An element's apex is its nearest ancestor with diffs, or that one's own apex if all of its diffs are suppressed there. So an apex follows from the
+    changes of the ancestors alone, from the root down: every element folds the changes of its ancestors into the one that is left, and no element
+    waits for another. Of changes of one property under one path the first element's counts.
+    """
     delta = css.leading_number(F.col("compare_value")) - css.leading_number(F.col("base_value"))
-    d = diffs.join(paths.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"]).select("pair_id", "b_ord", "hpid", "property", "base_value", "compare_value", delta.alias("delta"))
-    return d.groupBy("pair_id").applyInPandas(_suppress, "pair_id long, b_ord long, hpid string, property string, suppressed boolean, apex string")
+    d = diffs.join(paths.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"])
+    d = written(d.select("pair_id", "b_ord", "hpid", F.struct("property", F.col("base_value").alias("a"), F.col("compare_value").alias("b"), delta.alias("delta")).alias("change")))
+    firsts = d.groupBy("pair_id", "hpid", "change.property").agg(F.min_by("change", "b_ord").alias("change"))
+    nodes = written(firsts.groupBy("pair_id", "hpid").agg(F.sort_array(F.collect_list("change")).alias("changes")))
+    above = nodes.select("pair_id", "hpid", F.posexplode(ancestors(F.col("hpid"))).alias("level", "up")).join(nodes.select("pair_id", F.col("hpid").alias("up"), "changes"), ["pair_id", "up"])
+    chains = above.groupBy("pair_id", "hpid").agg(F.sort_array(F.collect_list(F.struct("level", "up", "changes"))).alias("chain"))
+    inherits = lambda x, apex: F.forall(x["changes"], lambda c: _repeated(c, apex["changes"]))
+    apex = F.aggregate(F.slice("chain", F.lit(2), F.size("chain")), F.get("chain", 0), lambda apex, x: F.when(inherits(x, apex), apex).otherwise(x))
+    apexes = chains.select("pair_id", "hpid", apex.alias("apex"))
+    suppressed = F.coalesce(F.col("apex").isNotNull() & _repeated(F.col("change"), F.col("apex.changes")), F.lit(False))
+    done = d.join(apexes, ["pair_id", "hpid"], "left").withColumn("suppressed", suppressed)
+    return done.select("pair_id", "b_ord", "hpid", F.col("change.property").alias("property"), "suppressed", F.when(F.col("suppressed"), F.col("apex.up")).alias("apex"))
 
 
 def apex_report(suppressed: DataFrame) -> DataFrame:

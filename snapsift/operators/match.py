@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ANCHOR_ATTRIBUTES, DEFAULT, EngineConfig
+from ..sources.tables import written
 from .filters import first_elements
 
 #: Strategies that leave an element open where several others have its key.
@@ -110,12 +111,41 @@ def nearest(base: DataFrame, comp: DataFrame, cell: int = DEFAULT.cell_px) -> Da
     return near.groupBy("pair_id", "b_ord").agg(F.min(F.struct("distance", "c_ord")).alias("best")).select("pair_id", "b_ord", "best.c_ord", "best.distance")
 
 
+#: Confidence of a match in the same place; it falls with the distance.
+POSITION = 0.30
+
+
 def position_matches(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """One-to-one matches by distance: the first baseline element takes a shared nearest neighbour."""
-    near = nearest(base, comp, config.cell_px)
-    confidence = F.greatest(F.lit(0.1), 1 - F.col("distance") / config.cell_px) * 0.30
-    first = F.row_number().over(Window.partitionBy("pair_id", "c_ord").orderBy("b_ord"))
-    return near.withColumn("rn", first).withColumn("confidence", confidence).where((F.col("rn") == 1) & (F.col("confidence") >= config.min_position)).select("pair_id", "b_ord", "c_ord", "confidence", F.lit("position").alias("strategy"))
+    """pair_id, b_ord, c_ord, confidence, strategy: in document order each baseline element takes the nearest compare element that is still free.
+
+    That is what proposals come to: every element asks its nearest place, a place keeps the earliest elements up to the number of compare elements that lie there
+    and turns the others and all later ones away, who ask their next place, until nobody is turned away. Places that coincide are one with several elements, so
+    a heap of elements in one spot is dealt with in one round. Of equal distances the cell to the left, then above, then the first element counts.
+    """
+    cell = config.cell_px
+    known = "rect.x is not null and rect.y is not null"
+    at = lambda c: F.floor(F.col(c) / cell)
+    spread = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    b = base.where(known).select("pair_id", F.col("ord").alias("b_ord"), "tag_name", F.col("rect.x").alias("bx"), F.col("rect.y").alias("by"), spread.alias("d"))
+    b = b.select("pair_id", "b_ord", "tag_name", "bx", "by", F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"), (at("bx") + F.col("d.dx")).alias("gx"), (at("by") + F.col("d.dy")).alias("gy"))
+    spots = comp.where(known).groupBy("pair_id", "tag_name", F.col("rect.x").alias("cx"), F.col("rect.y").alias("cy")).agg(F.sort_array(F.collect_list("ord")).alias("ords"))
+    spots = written(spots.select("pair_id", "tag_name", "cx", "cy", "ords", F.get("ords", 0).alias("spot"), F.size("ords").alias("room"), at("cx").alias("gx"), at("cy").alias("gy")))
+    distance = F.sqrt(F.pow(F.col("bx") - F.col("cx"), 2) + F.pow(F.col("by") - F.col("cy"), 2))
+    near = b.join(spots, ["pair_id", "tag_name", "gx", "gy"]).withColumn("distance", distance).where(F.col("distance") < cell)
+    near = near.withColumn("confidence", F.greatest(F.lit(0.1), 1 - F.col("distance") / cell) * POSITION).where(F.col("confidence") >= config.min_position)
+    asks = written(near.select("pair_id", "b_ord", F.struct("distance", "dx", "dy", "spot", "room", "confidence").alias("place")))
+    left = asks.count()
+    while True:
+        first = asks.groupBy("pair_id", "b_ord").agg(F.min("place").alias("place"))
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "place.spot").orderBy("b_ord")))
+        last = ranked.where(F.col("rank") == F.col("place.room")).select("pair_id", F.col("place.spot").alias("spot"), F.col("b_ord").alias("last"))
+        stay = asks.withColumn("spot", F.col("place.spot")).join(last, ["pair_id", "spot"], "left").where("last is null or b_ord <= last")
+        asks, before = written(stay.select("pair_id", "b_ord", "place")), left
+        left = asks.count()
+        if left == before:
+            break
+    taken = ranked.withColumn("spot", F.col("place.spot")).join(spots.select("pair_id", "spot", "ords"), ["pair_id", "spot"])
+    return taken.select("pair_id", "b_ord", F.get("ords", F.col("rank") - 1).alias("c_ord"), F.col("place.confidence").alias("confidence"), F.lit("position").alias("strategy"))
 
 
 def _align(config: EngineConfig):
@@ -211,8 +241,11 @@ def match(base: DataFrame, comp: DataFrame, config: EngineConfig = DEFAULT) -> d
         found, removed, added = anchored.limit(0), base.select("pair_id", "ord").limit(0), comp.select("pair_id", "ord").limit(0)
     more, doubtful = cascade(left_b, left_c, later, config)
     reserved = doubtful.select("pair_id", F.explode("candidates").alias("c_ord"))
-    rest_b = strip(strip(left_b, more, "b_ord"), doubtful, "b_ord").select("pair_id", "ord")
-    rest_c = strip(strip(left_c, more, "c_ord"), reserved, "c_ord").select("pair_id", "ord")
+    rest_b, rest_c = strip(strip(left_b, more, "b_ord"), doubtful, "b_ord"), strip(strip(left_c, more, "c_ord"), reserved, "c_ord")
+    if config.min_position <= POSITION and any(s == "position" for s, _ in config.strategies):  # else no distance is small enough
+        placed = written(position_matches(rest_b, rest_c, config))
+        more, rest_b, rest_c = more.unionByName(placed), strip(rest_b, placed, "b_ord"), strip(rest_c, placed, "c_ord")
+    rest_b, rest_c = rest_b.select("pair_id", "ord"), rest_c.select("pair_id", "ord")
     return {
         "matches": reduce(DataFrame.unionByName, [anchored, found, more]),
         "ambiguous": ambiguous.unionByName(doubtful),

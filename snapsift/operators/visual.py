@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 PAD = 40
 
 
@@ -17,40 +16,48 @@ def clusters(elements: DataFrame) -> DataFrame:
     return elements.groupBy("pair_id", root.alias("root")).agg(F.min("document_y").alias("top"), F.max(F.col("document_y") + F.col("height")).alias("bottom"), F.count("*").alias("n"))
 
 
-def _pack(viewport: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["document_height"].max())
-        clamp = lambda y: 0 if total <= viewport else math.floor(max(0, min(y, total - viewport)))
-        bottom = pdf["document_y"] + pdf["height"]
-        pdf = pdf.assign(bottom=bottom, root=pdf["hpid"].str.partition(".")[0]).sort_values(["document_y", "ord"])
-        rows, frame = [], 0
-        tops = pdf.groupby("root", sort=False)["document_y"].min().sort_values(kind="stable")
-        for root in tops.index:
-            members = pdf[pdf["root"] == root]
-            top, low = members["document_y"].min(), members["bottom"].max()
-            if low - top <= viewport:
-                scroll = clamp((top + low) / 2 - viewport / 2)
-                rows += [(m.pair_id, m.ord, frame, scroll) for m in members.itertuples()]
-                frame += 1
-                continue
-            queue = list(members.itertuples())
-            while queue:
-                scroll = clamp(queue[0].document_y - PAD)
-                # at least one element goes into every frame, so that packing ends wherever an element lies
-                n = max(1, next((k for k, m in enumerate(queue) if m.document_y >= scroll + viewport), len(queue)))
-                rows += [(m.pair_id, m.ord, frame, scroll) for m in queue[:n]]
-                queue, frame = queue[n:], frame + 1
-        return pd.DataFrame(rows, columns=["pair_id", "ord", "frame", "scroll_y"])
-
-    return run
+def _reached(jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, i: the places that are reached from place 1 by following ``next`` again and again (keys, i, next > i), with steps that double in length."""
+    reached = jumps.where("i = 1").select(*keys, "i")
+    while True:
+        ahead = written(reached.join(jumps, [*keys, "i"]).select(*keys, F.col("next").alias("i")))
+        if ahead.isEmpty():
+            return reached
+        reached = written(reached.unionByName(ahead))
+        further = jumps.select(*keys, F.col("i").alias("next"), F.col("next").alias("after"))
+        jumps = written(jumps.join(further, [*keys, "next"]).select(*keys, "i", F.col("after").alias("next")))
 
 
 def keyframes(elements: DataFrame, viewport: int) -> DataFrame:
     """pair_id, ord, frame, scroll_y: a frame for each cluster that fits the viewport, frames packed greedily along those that don't.
 
-    ``elements`` has pair_id, ord, hpid, document_y, height and document_height. One group is one report.
+    ``elements`` has pair_id, ord, hpid, document_y, height and document_height. Along a cluster that does not fit, elements stand by their tops; a frame
+    ends before the first element that starts below it, so every element knows the element that the next frame would start with, had it started one itself. The
+    frames are those reached from the first element. At least one element goes into every frame, so that packing ends wherever an element lies.
     """
-    return elements.groupBy("pair_id").applyInPandas(_pack(viewport), "pair_id long, ord long, frame long, scroll_y long")
+    keys = ["pair_id", "root"]
+    rows = written(elements.select("pair_id", "ord", F.substring_index("hpid", ".", 1).alias("root"), F.col("document_y").alias("y"), "height", "document_height"))
+    boxes = rows.groupBy(*keys).agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("low"), F.min("ord").alias("first"), F.max("document_height").alias("total"))
+    boxes = boxes.withColumns({"total": F.max("total").over(Window.partitionBy("pair_id")), "fits": F.col("low") - F.col("top") <= viewport})
+    clamp = lambda y: F.when(F.col("total") <= viewport, 0).otherwise(F.floor(F.greatest(F.lit(0), F.least(y, F.col("total") - viewport)))).cast("long")
+    along = Window.partitionBy(*keys).orderBy("i")
+    long = rows.join(boxes.where("not fits").select(*keys, "total"), keys)
+    long = written(long.select("pair_id", "root", "ord", "y", clamp(F.col("y") - PAD).alias("scroll_y"), F.row_number().over(Window.partitionBy(*keys).orderBy("y", "ord")).alias("i")))
+    # elements and frames' ends in one order: the next frame starts with the first element at or below the end
+    ends = long.select(*keys, "i", (F.col("scroll_y") + viewport).alias("at"), F.lit(0).alias("is_element"))
+    order = Window.partitionBy(*keys).orderBy("at", "is_element").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    marks = ends.unionByName(long.select(*keys, "i", F.col("y").alias("at"), F.lit(1).alias("is_element")))
+    following = marks.withColumn("next", F.min(F.when(F.col("is_element") == 1, F.col("i"))).over(order)).where("is_element = 0 and next is not null")
+    starts = _reached(written(following.select(*keys, "i", F.greatest("next", F.col("i") + 1).alias("next"))), keys)
+    starts = starts.unionByName(long.where("i = 1").select(*keys, "i")).distinct().withColumn("starts", F.lit(True))  # a cluster of one frame has no next
+    packed = long.join(starts, [*keys, "i"], "left")
+    packed = packed.select(*keys, "ord", F.count("starts").over(along).alias("within"), F.last(F.when(F.col("starts"), F.col("scroll_y")), ignorenulls=True).over(along).alias("scroll_y"))
+    one = boxes.where("fits").select(*keys, F.lit(1).cast("long").alias("within"), clamp((F.col("top") + F.col("low")) / 2 - viewport / 2).alias("scroll_y"))
+    packed = written(packed.unionByName(rows.select(*keys, "ord").join(one, keys).select(*keys, "ord", "within", "scroll_y")))
+    frames = packed.groupBy(*keys).agg(F.max("within").alias("frames")).join(boxes.select(*keys, "top", "first"), keys)
+    before = F.coalesce(F.sum("frames").over(Window.partitionBy("pair_id").orderBy("top", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    done = packed.join(frames.select(*keys, before.alias("before")), keys)
+    return done.select("pair_id", "ord", (F.col("before") + F.col("within") - 1).alias("frame"), "scroll_y")
 
 
 def clip(rects: DataFrame, viewport: int) -> DataFrame:

@@ -246,6 +246,17 @@ def match_position(spark, sf_dir):
     return match.nearest(base(spark, sf_dir), comp(spark, sf_dir)).select("pair_id", "b_ord", "c_ord", F.floor(F.pow("distance", F.lit(2)) + 0.5).alias("square"))
 
 
+@query(f"""WITH RECURSIVE {SIDES}, e AS (SELECT b.report_id, b.ord AS b_ord, c.ord AS c_ord, sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2) AS d, floor(c.x / 50.0) - floor(b.x / 50.0) AS dx, floor(c.y / 50.0) - floor(b.y / 50.0) AS dy FROM b JOIN c ON b.report_id = c.report_id AND b.tag = c.tag),
+n AS (SELECT *, greatest(0.1, 1 - d / 50) * 0.3 AS confidence FROM e WHERE abs(dx) <= 1 AND abs(dy) <= 1 AND d < 50 AND greatest(0.1, 1 - d / 50) * 0.3 >= 0.05),
+l AS (SELECT report_id, b_ord, list(struct_pack(c := c_ord, v := confidence) ORDER BY d, dx, dy, c_ord) AS l, row_number() OVER (PARTITION BY report_id ORDER BY b_ord) AS k FROM n GROUP BY 1, 2),
+r AS (SELECT DISTINCT report_id, 0::BIGINT AS k, NULL::BIGINT AS b_ord, NULL::STRUCT(c BIGINT, v DOUBLE) AS pick, []::BIGINT[] AS used FROM l
+  UNION ALL SELECT l.report_id, l.k, l.b_ord, list_filter(l.l, lambda p: NOT list_contains(r.used, p.c))[1], list_concat(r.used, list_transform(list_filter(l.l, lambda p: NOT list_contains(r.used, p.c))[:1], lambda p: p.c)) FROM r JOIN l ON l.report_id = r.report_id AND l.k = r.k + 1)
+SELECT report_id AS pair_id, b_ord, pick.c AS c_ord, CAST(round(1000 * pick.v) AS BIGINT) AS confidence FROM r WHERE pick IS NOT NULL""")
+def match_nearest_free(spark, sf_dir):
+    found = match.position_matches(base(spark, sf_dir), comp(spark, sf_dir), DEFAULT.merge(min_position=0.05))
+    return found.select("pair_id", "b_ord", "c_ord", F.round(F.col("confidence") * 1000).cast("long").alias("confidence"))
+
+
 @query()
 def match_alignment(spark, sf_dir):
     return match.align(base(spark, sf_dir), comp(spark, sf_dir)).select("pair_id", "event", "b_ord", "c_ord", "strategy")
@@ -353,13 +364,29 @@ def cascade_inherited(spark, sf_dir):
     return cascade.inherited(static_diffs(spark, sf_dir), paths).select("pair_id", "b_ord", "property", "inherited")
 
 
-@query()
+#: Apexes level by level, over a table of which element repeats all changes of which ancestor.
+_APEX = f"""WITH RECURSIVE {STATIC_SQL}, x AS (SELECT d.pair_id, b_ord, b.hpid, property, base_value AS a, compare_value AS z, TRY_CAST(regexp_extract(compare_value, '^[-+]?[0-9.]+') AS DOUBLE) - TRY_CAST(regexp_extract(base_value, '^[-+]?[0-9.]+') AS DOUBLE) AS delta FROM d JOIN b ON b.report_id = d.pair_id AND b.ord = d.b_ord),
+n AS (SELECT DISTINCT pair_id, hpid FROM x), up AS (SELECT n.pair_id, n.hpid, m.hpid AS above FROM n JOIN n m ON m.pair_id = n.pair_id AND starts_with(n.hpid, m.hpid || '.')), near AS (SELECT pair_id, hpid, arg_max(above, length(above)) AS above FROM up GROUP BY 1, 2),
+rep AS (SELECT x.pair_id, x.hpid, up.above, x.property, coalesce(bool_or(CASE WHEN x.property IN ({', '.join(f"'{p}'" for p in cascade.INHERITED_AT_APEX)}) THEN x.a IS NOT DISTINCT FROM t.a AND x.z IS NOT DISTINCT FROM t.z ELSE x.property IN ({', '.join(f"'{p}'" for p in cascade.PROPAGATED)}) AND abs(x.delta - t.delta) <= {cascade.PROPAGATED_PX} END), false) AS alike
+  FROM x JOIN up ON up.pair_id = x.pair_id AND up.hpid = x.hpid LEFT JOIN x t ON t.pair_id = x.pair_id AND t.hpid = up.above AND t.property = x.property GROUP BY ALL),
+whole AS (SELECT pair_id, hpid, above, bool_and(alike) AS every FROM rep GROUP BY 1, 2, 3),
+r(pair_id, hpid, apex, gone) AS (SELECT pair_id, hpid, NULL::VARCHAR, false FROM n ANTI JOIN near USING (pair_id, hpid)
+  UNION ALL SELECT near.pair_id, near.hpid, CASE WHEN r.gone THEN r.apex ELSE r.hpid END, whole.every FROM r JOIN near ON near.pair_id = r.pair_id AND near.above = r.hpid JOIN whole ON whole.pair_id = near.pair_id AND whole.hpid = near.hpid AND whole.above = CASE WHEN r.gone THEN r.apex ELSE r.hpid END),
+s AS (SELECT x.pair_id, x.b_ord, x.hpid, x.property, coalesce(rep.alike, false) AS suppressed, CASE WHEN rep.alike THEN r.apex END AS apex FROM x JOIN r ON r.pair_id = x.pair_id AND r.hpid = x.hpid LEFT JOIN rep ON rep.pair_id = x.pair_id AND rep.hpid = x.hpid AND rep.above = r.apex AND rep.property = x.property)"""
+
+
+@query(f"{_APEX} SELECT * FROM s")
 def apex_suppression(spark, sf_dir):
     paths = base(spark, sf_dir).select("pair_id", F.col("ord").alias("b_ord"), "hpid")
     return cascade.apex_suppression(static_diffs(spark, sf_dir), paths)
 
 
-@query()
+_IS_INHERITED = f"property IN ({', '.join(f"'{p}'" for p in cascade.INHERITED_AT_APEX)})"
+
+
+@query(f"""{_APEX}, g AS (SELECT pair_id, apex, count(DISTINCT hpid) AS children, count(*) AS suppressed_diffs, count(*) FILTER ({_IS_INHERITED}) AS css, count(*) FILTER (NOT {_IS_INHERITED}) AS box FROM s WHERE suppressed GROUP BY 1, 2)
+SELECT pair_id, apex, children, suppressed_diffs, CASE WHEN css > 0 AND box > 0 THEN 'MIXED' WHEN css > 0 THEN 'CSS_INHERIT' ELSE 'LAYOUT_FLOW' END AS kind,
+  children || ' child element' || CASE WHEN children = 1 THEN '' ELSE 's' END || ' suppressed (' || css || ' CSS inherited ' || chr(183) || ' ' || box || ' layout reflow)' AS summary FROM g""")
 def apex_report(spark, sf_dir):
     return cascade.apex_report(apex_suppression(spark, sf_dir))
 
@@ -457,9 +484,22 @@ def keyframe_clusters(spark, sf_dir):
     return visual.clusters(placed(spark, sf_dir))
 
 
-@query()
+_CLAMP = "CASE WHEN total <= 120 THEN 0 ELSE floor(greatest(0, least({}, total - 120))) END"
+
+
+@query(f"""WITH RECURSIVE {SIDES}, e AS (SELECT report_id, ord, (ord - 1) // 4 AS root, y, height, max(y + height) OVER (PARTITION BY report_id) AS total FROM b),
+k AS (SELECT report_id, root, min(y) AS top, max(y + height) AS low, min(ord) AS first, max(total) AS total FROM e GROUP BY 1, 2),
+p AS (SELECT e.*, row_number() OVER (PARTITION BY e.report_id, e.root ORDER BY y, ord) AS i, {_CLAMP.format("y - 40")} AS scroll FROM e JOIN (SELECT report_id, root FROM k WHERE low - top > 120) z USING (report_id, root)),
+nx AS (SELECT p.report_id, p.root, p.i, min(q.i) AS next FROM p JOIN p q ON q.report_id = p.report_id AND q.root = p.root AND q.i > p.i AND q.y >= p.scroll + 120 GROUP BY 1, 2, 3),
+s AS (SELECT report_id, root, 1::BIGINT AS i, 0 AS f FROM p WHERE i = 1 UNION ALL SELECT nx.report_id, nx.root, nx.next, f + 1 FROM s JOIN nx ON nx.report_id = s.report_id AND nx.root = s.root AND nx.i = s.i),
+m AS (SELECT p.report_id, p.root, p.ord, max(s.f) AS f, arg_max(q.scroll, s.f) AS scroll FROM p JOIN s ON s.report_id = p.report_id AND s.root = p.root AND s.i <= p.i JOIN p q ON q.report_id = s.report_id AND q.root = s.root AND q.i = s.i GROUP BY 1, 2, 3
+  UNION ALL SELECT e.report_id, e.root, e.ord, 0, {_CLAMP.format("(k.top + k.low) / 2 - 60").replace("total", "k.total")} FROM e JOIN k ON k.report_id = e.report_id AND k.root = e.root WHERE low - top <= 120),
+o AS (SELECT m.report_id, m.root, max(f) + 1 AS n, min(top) AS top, min(first) AS first FROM m JOIN k ON k.report_id = m.report_id AND k.root = m.root GROUP BY 1, 2), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY report_id ORDER BY top, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT m.report_id AS pair_id, m.ord, CAST(before + f AS BIGINT) AS frame, CAST(scroll AS BIGINT) AS scroll_y FROM m JOIN w ON w.report_id = m.report_id AND w.root = m.root""")
 def keyframe_pack(spark, sf_dir):
-    return visual.keyframes(placed(spark, sf_dir), 120)
+    """Four elements each to a cluster: some fit the viewport, some do not."""
+    root = F.floor((F.col("ord") - 1) / 4).cast("string")
+    return visual.keyframes(placed(spark, sf_dir).withColumn("hpid", F.concat_ws(".", root, "hpid")), 120)
 
 
 @query(f"""WITH {SIDES}, r AS (SELECT report_id AS pair_id, ord, y - 60 AS viewport_y, height, k % 10 <> 0 AS found FROM b), q AS (SELECT *, greatest(0, viewport_y) AS top, least(viewport_y + height, 100) AS bottom FROM r)

@@ -22,6 +22,16 @@ def scratch(spark: SparkSession) -> str:
     return current.get()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back: what is used several times, or again and again in a loop, is neither planned nor run anew, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/snapsift-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """A table from parquet, JSON lines or CSV with a header."""
     reader = spark.read.format(kind)
