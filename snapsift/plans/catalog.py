@@ -257,7 +257,26 @@ def match_nearest_free(spark, sf_dir):
     return found.select("pair_id", "b_ord", "c_ord", F.round(F.col("confidence") * 1000).cast("long").alias("confidence"))
 
 
-@query()
+#: The in-order pass step by step: r holds where both sides stand after each step, and what the step says.
+_EVENT = "STRUCT(event VARCHAR, b_ord BIGINT, c_ord BIGINT, strategy VARCHAR)"
+_ALIGN = f"""WITH RECURSIVE {SIDES}, bl AS (SELECT report_id, list(struct_pack(o := ord, p := hpid, t := tag) ORDER BY ord) AS l FROM b GROUP BY 1), cl AS (SELECT report_id, list(struct_pack(o := ord, p := hpid, t := tag) ORDER BY ord) AS l FROM c GROUP BY 1),
+s AS (SELECT report_id, coalesce(bl.l, []) AS b, coalesce(cl.l, []) AS c FROM bl FULL JOIN cl USING (report_id)),
+r(report_id, i, j, ev) AS (SELECT report_id, 1::BIGINT, 1::BIGINT, []::{_EVENT}[] FROM s
+  UNION ALL SELECT report_id, CASE WHEN NOT same AND k1 IS NULL AND k2 IS NOT NULL THEN i + k2 + 1 ELSE i + 1 END, CASE WHEN NOT same AND k1 IS NOT NULL THEN j + k1 + 1 ELSE j + 1 END,
+    CASE WHEN same AND x.t = y.t THEN [{{'event': 'pair', 'b_ord': x.o, 'c_ord': y.o, 'strategy': 'sequence-hpid'}}]
+      WHEN same THEN [{{'event': 'removed', 'b_ord': x.o, 'c_ord': NULL, 'strategy': NULL}}, {{'event': 'added', 'b_ord': NULL, 'c_ord': y.o, 'strategy': NULL}}]
+      WHEN k1 IS NOT NULL THEN list_concat(list_transform(c[j:j + k1 - 1], lambda e: {{'event': 'added', 'b_ord': NULL, 'c_ord': e.o, 'strategy': NULL}}), [{{'event': 'pair', 'b_ord': x.o, 'c_ord': c[j + k1].o, 'strategy': 'sequence-resync-add'}}])
+      WHEN k2 IS NOT NULL THEN list_concat(list_transform(b[i:i + k2 - 1], lambda e: {{'event': 'removed', 'b_ord': e.o, 'c_ord': NULL, 'strategy': NULL}}), [{{'event': 'pair', 'b_ord': b[i + k2].o, 'c_ord': y.o, 'strategy': 'sequence-resync-remove'}}])
+      ELSE [{{'event': 'orphan', 'b_ord': x.o, 'c_ord': y.o, 'strategy': NULL}}] END::{_EVENT}[]
+  FROM (SELECT r.report_id, r.i, r.j, s.b, s.c, s.b[r.i] AS x, s.c[r.j] AS y, s.b[r.i].p = s.c[r.j].p AS same, nullif(list_position(list_transform(s.c[r.j + 1:r.j + {DEFAULT.look_ahead}], lambda e: e.p = s.b[r.i].p AND e.t = s.b[r.i].t), true), 0) AS k1,
+      nullif(list_position(list_transform(s.b[r.i + 1:r.i + {DEFAULT.look_ahead}], lambda e: e.p = s.c[r.j].p AND e.t = s.c[r.j].t), true), 0) AS k2
+    FROM r JOIN s ON s.report_id = r.report_id WHERE r.i <= len(s.b) AND r.j <= len(s.c)) z),
+z AS (SELECT report_id, max(i) AS i, max(j) AS j FROM r GROUP BY 1),
+events AS (SELECT report_id AS pair_id, unnest(ev) AS e FROM r UNION ALL SELECT s.report_id, unnest(list_transform(s.b[z.i:], lambda e: {{'event': 'removed', 'b_ord': e.o, 'c_ord': NULL, 'strategy': NULL}})::{_EVENT}[]) FROM s JOIN z ON z.report_id = s.report_id
+  UNION ALL SELECT s.report_id, unnest(list_transform(s.c[z.j:], lambda e: {{'event': 'added', 'b_ord': NULL, 'c_ord': e.o, 'strategy': NULL}})::{_EVENT}[]) FROM s JOIN z ON z.report_id = s.report_id)"""
+
+
+@query(f"{_ALIGN} SELECT pair_id, e.event AS event, e.b_ord AS b_ord, e.c_ord AS c_ord, e.strategy AS strategy FROM events")
 def match_alignment(spark, sf_dir):
     return match.align(base(spark, sf_dir), comp(spark, sf_dir)).select("pair_id", "event", "b_ord", "c_ord", "strategy")
 
