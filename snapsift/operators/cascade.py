@@ -113,3 +113,15 @@ def tree(nodes: DataFrame) -> DataFrame:
     both = own.withColumn("synthetic", F.lit(False)).unionByName(made.withColumn("synthetic", F.lit(True)))
     parent = F.when(F.col("hpid").contains("."), F.regexp_replace("hpid", r"\.[^.]*$", ""))
     return both.select("pair_id", "hpid", parent.alias("parent"), "synthetic")
+
+
+def expanded(nodes: DataFrame, urgent: tuple[str, ...] = ("critical", "high")) -> DataFrame:
+    """pair_id, hpid, synthetic, children, expand: the tree of ``nodes`` (pair_id, hpid, severity), where a node with children opens if anything in its subtree, itself included, is urgent.
+
+    Urgency rolls up from the urgent nodes to all their prefixes at once, whatever the depth.
+    """
+    whole = tree(nodes)
+    children = whole.where("parent is not null").groupBy("pair_id", F.col("parent").alias("hpid")).agg(F.count("*").alias("children"))
+    up = nodes.where(F.col("severity").isin(*urgent)).select("pair_id", F.explode(F.array_append(ancestors(F.col("hpid")), F.col("hpid"))).alias("hpid")).distinct().withColumn("urgent", F.lit(True))
+    joined = whole.join(children, ["pair_id", "hpid"], "left").join(up, ["pair_id", "hpid"], "left")
+    return joined.select("pair_id", "hpid", "synthetic", F.coalesce("children", F.lit(0)).alias("children"), (F.col("children").isNotNull() & F.col("urgent").isNotNull()).alias("expand"))

@@ -79,6 +79,23 @@ def top_roots(candidates: DataFrame) -> DataFrame:
     return candidates.join(inside, ["pair_id", "hpid"], "left_anti")
 
 
+def rerooted(elements: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The elements of a filtered extraction: those at or below a top root among ``candidates`` (pair_id, ord, hpid), with ``hpid`` counted from it.
+
+    Roots are numbered in document order and are the first part of the paths below them; ``absolute_hpid`` keeps the path in the document; ``depth`` is 0 at each
+    root and does not count the borders of shadow roots (parts 0). An element's root is the one among its own path's prefixes.
+    """
+    from .cascade import ancestors
+
+    number = F.row_number().over(Window.partitionBy("pair_id").orderBy("ord"))
+    roots = top_roots(candidates).select("pair_id", F.col("hpid").alias("root"), number.alias("number"))
+    kept = [c for c in elements.columns if c not in ("pair_id", "hpid", "absolute_hpid", "depth")]
+    asks = elements.select("pair_id", *kept, F.col("hpid").alias("absolute_hpid"), F.explode(F.array_append(ancestors(F.col("hpid")), F.col("hpid"))).alias("root"))
+    below = F.expr("substring(absolute_hpid, length(root) + 1)")
+    levels = F.filter(F.split(below, r"\."), lambda p: (p != "") & (p != "0"))
+    return asks.join(roots, ["pair_id", "root"]).select("pair_id", *kept, F.concat(F.col("number").cast("string"), below).alias("hpid"), "absolute_hpid", F.size(levels).alias("depth"))
+
+
 def tier(tag: Column, role: Column | None = None) -> Column:
     by_role = F.coalesce(role.isin(*TIER3_ROLES), F.lit(False)) if role is not None else F.lit(False)
     return F.when(tag.isin(*IRRELEVANT_TAGS), "T0").when(tag.isin(*TIER3_TAGS) | by_role, "T3").when(tag.isin(*TIER2_TAGS), "T2").otherwise("T1")

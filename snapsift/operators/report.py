@@ -49,6 +49,13 @@ def badge(properties: Column, content: Column | None = None) -> Column:
     return out if content is None else F.when(content, "CONTENT DIVERGENCE").otherwise(out)
 
 
+def narrative_badge(hpid: Column, severity: Column, properties: Column, content: Column) -> Column:
+    """The badge of a tree node: of a pseudo-element, of a change of content, of an inserted or deleted element, else of its properties."""
+    pseudo = hpid.contains("::before") | hpid.contains("::after")
+    whole = F.when(severity == "added", "DOM INSERTION").when(severity == "removed", "DOM DELETION").otherwise(badge(F.coalesce(properties, F.array().cast("array<string>"))))
+    return F.when(pseudo, "PSEUDO").when(F.coalesce(content, F.lit(False)), "CONTENT DIVERGENCE").otherwise(whole)
+
+
 def score(report: DataFrame) -> DataFrame:
     """pair_id, items by severity, penalty, impact_score (100 for no change), and items by kind of change."""
     counts = [F.count_if(F.col("severity") == r).alias(r) for r in RANKS]

@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from snapsift.plans import catalog, catalog_reports  # noqa: F401  the second registers its queries with the first
+from snapsift.plans import catalog, catalog_pages, catalog_reports  # noqa: F401  the others register their queries with the first
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
