@@ -167,8 +167,13 @@ def normalize_font(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", value).otherwise(F.array_join(F.transform(fonts, one), ", "))
 
 
-def normalize(prop: Column, value: Column, context: dict[str, Column] | None = None) -> Column:
-    kind = lookup({p: "color" for p in COLOR_PROPERTIES} | {p: "size" for p in SIZE_PROPERTIES if p not in COLOR_PROPERTIES} | {"font-family": "font"}, prop)
+#: How the values of a property are normalised.
+KINDS = {p: "color" for p in COLOR_PROPERTIES} | {p: "size" for p in SIZE_PROPERTIES if p not in COLOR_PROPERTIES} | {"font-family": "font"}
+
+
+def normalize(prop: Column, value: Column, context: dict[str, Column] | None = None, kind: Column | None = None) -> Column:
+    """A value in its normal form; ``kind`` is that of the property, if it is known already."""
+    kind = lookup(KINDS, prop) if kind is None else kind
     return F.when(kind == "color", normalize_color(value)).when(kind == "size", normalize_unit(value, prop, context)).when(kind == "font", normalize_font(value)).otherwise(value)
 
 

@@ -20,16 +20,36 @@ def category(prop: Column) -> Column:
     return F.coalesce(css.lookup({p: name for name, members in reversed(CATEGORIES.items()) for p in members}, prop), F.lit("other"))
 
 
+def with_facts(rows: DataFrame) -> DataFrame:
+    """Adds what is known of a property: how its values are normalised (kind_of), its category and the severity it is listed with.
+
+    The properties are a constant table of a few hundred rows, which every task looks up once for each row.
+    """
+    categories = {p: name for name, members in reversed(CATEGORIES.items()) for p in members}
+    listed = {p: "medium" for p in MEDIUM} | {p: "high" for p in HIGH} | {p: "critical" for p in CRITICAL}
+    names = sorted({*css.KINDS, *categories, *listed})
+    table = rows.sparkSession.createDataFrame([(n, css.KINDS.get(n), categories.get(n), listed.get(n)) for n in names], "property string, kind_of string, group string, listed string")
+    return rows.join(F.broadcast(table), "property", "left").withColumn("group", F.coalesce("group", F.lit("other")))
+
+
+def _is_color() -> Column:
+    return (F.col("group") == "visual") | F.col("property").contains("color")
+
+
+def _is_size() -> Column:
+    return F.col("group").isin("layout", "spacing", "position") | F.col("property").rlike("width|height|size")
+
+
 def with_parsed(rows: DataFrame) -> DataFrame:
-    """Adds what the rules read many times, of both values in a row (x and y): colours, px amounts and numbers.
+    """Adds what the rules read many times, of both values in a row (x and y), as far as the property asks for it: colours, px amounts and numbers.
 
     A generator makes columns of them, which projections above cannot fold back into their own expressions.
     """
-    parsed = F.transform(F.array("base_value", "compare_value"), lambda v: F.struct(css.parse_rgba(v).alias("color"), css.parse_px(v).alias("px"), css.leading_number(v).alias("num")))
-    return rows.select("*", F.inline(F.array(F.struct(parsed.alias("parsed")))))
+    one = lambda v: F.struct(F.when(_is_color(), css.parse_rgba(v)).alias("color"), F.when(_is_size(), css.parse_px(v)).alias("px"), F.when(F.col("property") == "opacity", css.leading_number(v)).alias("num"))
+    return rows.select("*", F.inline(F.array(F.struct(F.transform(F.array("base_value", "compare_value"), one).alias("parsed")))))
 
 
-PARSED = ["parsed"]
+PARSED = ["parsed", "kind_of", "group", "listed"]
 
 
 def _both(part: str) -> tuple[Column, Column]:
@@ -37,19 +57,17 @@ def _both(part: str) -> tuple[Column, Column]:
 
 
 def within_tolerance(prop: Column, mode: Mode) -> Column:
-    """Whether two different values (parsed) count as equal; the first rule that fits the property decides."""
+    """Whether two different values (with facts and parsed) count as equal; the first rule that fits the property decides."""
     x, y = _both("color")
     channels = (F.abs(x["r"] - y["r"]) <= mode.color) & (F.abs(x["g"] - y["g"]) <= mode.color) & (F.abs(x["b"] - y["b"]) <= mode.color)
     alpha = F.coalesce(F.abs(x["a"] - y["a"]) <= 0.01, F.lit(False))
     apart = lambda part: F.abs(_both(part)[0] - _both(part)[1])
-    cat = category(prop)
-    is_color, is_size = (cat == "visual") | prop.contains("color"), cat.isin("layout", "spacing", "position") | prop.rlike("width|height|size")
-    within = F.when(is_color, channels & alpha).when(is_size, apart("px") <= mode.size).when(prop == "opacity", apart("num") <= mode.opacity)
+    within = F.when(_is_color(), channels & alpha).when(_is_size(), apart("px") <= mode.size).when(prop == "opacity", apart("num") <= mode.opacity)
     return F.coalesce(within, F.lit(False))
 
 
 def severity(prop: Column, a: Column, b: Column, cat: Column) -> Column:
-    """Severity of a diff with parsed values. The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
+    """Severity of a diff with facts and parsed values. The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
     blocky = lambda v: v.isin("block", "flex", "grid", "inline-block")
     (pa, pb), (na, nb), (ca, cb) = _both("px"), _both("num"), _both("color")
     share = F.when((pa != 0) & (pb != 0), F.abs(pb - pa) / pa)
@@ -63,7 +81,7 @@ def severity(prop: Column, a: Column, b: Column, cat: Column) -> Column:
         .when(prop.contains("color"), F.abs(css.luminance(ca) - css.luminance(cb)) > 0.4)
         .when(prop == "font-size", share > 0.25)
     )
-    listed = css.lookup({p: "medium" for p in MEDIUM} | {p: "high" for p in HIGH} | {p: "critical" for p in CRITICAL}, prop)
+    listed = F.col("listed")
     return (
         F.when(listed == "critical", "critical")
         .when(breaks, "critical")
@@ -117,14 +135,15 @@ def compare_pairs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> Da
     kind, p, a, b = F.col("kind"), F.col("property"), F.col("base_value"), F.col("compare_value")
     style = kind == "style"
     # generators make columns of long expressions, which projections above cannot fold back into their own
-    plain = F.transform(F.array("a", "b"), lambda v: F.when(style, css.normalize(p, v)).otherwise(v))
-    rows = entries(pairs, mode).select("pair_id", "b_ord", "c_ord", "kind", "property", F.inline(F.array(F.struct(plain.alias("v")))))
-    rows = rows.select("pair_id", "b_ord", "c_ord", "kind", "property", F.col("v")[0].alias("base_value"), F.col("v")[1].alias("compare_value"))
+    plain = F.transform(F.array("a", "b"), lambda v: F.when(style, css.normalize(p, v, kind=F.col("kind_of"))).otherwise(v))
+    facts = ["kind", "property", "kind_of", "group", "listed"]
+    rows = with_facts(entries(pairs, mode)).select("pair_id", "b_ord", "c_ord", *facts, F.inline(F.array(F.struct(plain.alias("v")))))
+    rows = rows.select("pair_id", "b_ord", "c_ord", *facts, F.col("v")[0].alias("base_value"), F.col("v")[1].alias("compare_value"))
     state = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("modified")
     rows = with_parsed(rows.where(~a.eqNullSafe(b)))
     rows = rows.where(~(style & a.isNotNull() & b.isNotNull() & within_tolerance(p, mode)))
-    cat = F.when(style, category(p)).when(kind == "attribute", "attribute").otherwise("content")
-    rows = rows.withColumns({"type": F.when(style | (F.lit(three_state) & (kind == "attribute")), state).otherwise("modified"), "category": cat, "property": F.when(kind == "attribute", F.concat(F.lit("attr:"), p)).otherwise(p)})
+    cat = F.when(style, F.col("group")).when(kind == "attribute", "attribute").otherwise("content")
+    rows = rows.withColumns({"type": F.when(style | (F.lit(three_state) & (kind == "attribute")), state).otherwise("modified"), "category": cat, "property": F.when(kind == "attribute", F.concat(F.lit("attr:"), p)).otherwise(p), "listed": F.when(style, F.col("listed"))})
     ranked = rows.withColumn("severity", severity(p, a, b, F.col("category"))).drop("kind", *PARSED)
     return drop_current_color(ranked)
 

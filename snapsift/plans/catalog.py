@@ -427,8 +427,8 @@ g AS (SELECT pair_id, rank, label, sig, min(b_ord) AS b_ord, count(*) AS recurre
 _SEVERITY = "CASE rank WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END"
 
 
-def merged_items(spark, sf_dir) -> DataFrame:
-    return report.merged(report.items(static_diffs(spark, sf_dir), base(spark, sf_dir)))
+def merged_items(spark, sf_dir, diffs: DataFrame | None = None) -> DataFrame:
+    return report.merged(report.items(static_diffs(spark, sf_dir) if diffs is None else diffs, base(spark, sf_dir)))
 
 
 @query(f"WITH {STATIC_SQL}, {_ITEMS} SELECT pair_id, {_SEVERITY} AS severity, label, b_ord, recurrence, hpids, total FROM g")

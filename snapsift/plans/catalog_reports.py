@@ -9,6 +9,7 @@ from .. import fixtures
 from ..functions import texts
 from ..operators import diff, enrich, grouped, match, report, selectors, urls, visual
 from ..sources import exports, store
+from ..sources.tables import written
 from .catalog import _CASCADE, _ITEMS, _LABEL, _OVERALL, _PER_ELEMENT, _SEVERITY, SIDES, STATIC_SQL, base, by_path, comp, merged_items, query, read, static_diffs
 
 Q = "chr(39)"
@@ -195,8 +196,16 @@ def _texts(spark, sf_dir) -> DataFrame:
     return pairs.select("pair_id", "b_ord", F.col("b.text_content").alias("base_text"), F.col("c.text_content").alias("compare_text"))
 
 
-def judged_diffs(spark, sf_dir) -> DataFrame:
-    return grouped.apply_content(static_diffs(spark, sf_dir), _texts(spark, sf_dir), merged_items(spark, sf_dir))
+def judged_diffs(spark, sf_dir, diffs: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    diffs = written(static_diffs(spark, sf_dir)) if diffs is None else diffs
+    return grouped.apply_content(diffs, _texts(spark, sf_dir), merged_items(spark, sf_dir, diffs) if items is None else items)
+
+
+def _items_and_judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The items of the diffs, and the diffs with their content verdicts; the diffs and the items are made once."""
+    diffs = written(static_diffs(spark, sf_dir))
+    items = written(merged_items(spark, sf_dir, diffs))
+    return items, judged_diffs(spark, sf_dir, diffs, items)
 
 
 @query(f"WITH {STATIC_SQL}, {_ITEMS}, {_VERDICT} SELECT pair_id, b_ord, property, severity_now AS severity, action FROM j")
@@ -208,7 +217,7 @@ def content_applied(spark, sf_dir):
 r AS (SELECT g.pair_id, g.b_ord, g.total, CASE WHEN now > g.rank THEN now ELSE g.rank END AS rank, now > g.rank AND coalesce(n.content, false) AS content FROM g JOIN n USING (pair_id, b_ord))
 SELECT pair_id, b_ord, {_SEVERITY} AS severity, content, row_number() OVER (PARTITION BY pair_id, rank ORDER BY total DESC, b_ord) AS place FROM r""")
 def rebucketed_groups(spark, sf_dir):
-    return grouped.rebucketed(merged_items(spark, sf_dir), judged_diffs(spark, sf_dir)).select("pair_id", "b_ord", "severity", "content", "place")
+    return grouped.rebucketed(*_items_and_judged(spark, sf_dir)).select("pair_id", "b_ord", "severity", "content", "place")
 
 
 @query(f"""WITH {STATIC_SQL}, r AS (SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS level FROM d)
@@ -283,7 +292,7 @@ dom AS (SELECT report_id AS pair_id FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHE
 @query(f"""WITH {_CONTENT}, k AS (SELECT pair_id, count(*) FILTER (layout AND NOT content) AS layout, count(*) FILTER (NOT layout AND NOT content) AS style, count(*) FILTER (content) AS content FROM r GROUP BY 1), o AS (SELECT pair_id, count(*) AS dom FROM dom GROUP BY 1)
 SELECT pair_id, coalesce(layout, 0) AS layout, coalesce(style, 0) AS style, coalesce(content, 0) AS content, coalesce(dom, 0) AS dom FROM k FULL JOIN o USING (pair_id)""")
 def change_distribution(spark, sf_dir):
-    items = grouped.rebucketed(merged_items(spark, sf_dir), judged_diffs(spark, sf_dir))
+    items = grouped.rebucketed(*_items_and_judged(spark, sf_dir))
     b, c = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid")
     alone = lambda x, y: x.join(y.distinct(), ["pair_id", "hpid"], "left_anti")
     return report.distribution(items, alone(b, c).unionByName(alone(c, b)))
@@ -447,8 +456,8 @@ UNION ALL {alone} UNION ALL SELECT d.pair_id, 5, 2, {_line('b.hpid', 'b.tag', 'd
 @query(_sections_sql())
 def csv_sections(spark, sf_dir):
     b, c = base(spark, sf_dir), comp(spark, sf_dir)
-    matches, diffs = by_path(spark, sf_dir), static_diffs(spark, sf_dir)
-    summary = diff.summary(matches, diffs)
+    matches, diffs = by_path(spark, sf_dir), written(static_diffs(spark, sf_dir))
+    summary = written(diff.summary(matches, diffs))
     named = b.withColumnRenamed("ord", "b_ord")
     per = diff.per_element(diffs).select("pair_id", "b_ord", "total", "overall")
     matched = matches.join(named, ["pair_id", "b_ord"]).join(per, ["pair_id", "b_ord"], "left").na.fill(0, ["total"]).withColumns({"strategy": F.lit("absolute-hpid"), "confidence": F.lit(0.95)})
