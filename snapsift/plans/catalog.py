@@ -604,6 +604,13 @@ def readiness_sessions(spark, sf_dir):
     return done.select("user_id", F.floor(F.col("settled") + 0.5).alias("settled"), "noise", "quality")
 
 
+@query(SQL["readiness_sessions"])
+def readiness_live(spark, sf_dir):
+    """The verdicts of ``readiness_sessions``, from a stream with timers."""
+    done = readiness.run_live(spark, f"{sf_dir}/events.parquet", "user_id", "ts", ~F.col("event_type").isin("view", "error"), 50000, 200000, "1 hour")
+    return done.select("user_id", F.floor(F.col("settled") + 0.5).alias("settled"), "noise", "quality")
+
+
 @query("""WITH v AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type NOT IN ('view', 'error')),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM v)
 SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS events FROM g GROUP BY user_id, burst""")
