@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import cascade, diff, filters, pseudo, report, selectors
+from ..operators import cascade, diff, filters, grouped, match, pseudo, report, selectors
 from ..sources import exports, html
 from ..sources.tables import written
-from .catalog import _OVERALL, _PER_ELEMENT, SIDES, STATIC_SQL, base, by_path, comp, query, read, static_diffs
-from .catalog_reports import _CHANGED, _changed
+from .catalog import _APEX, _ITEMS, _OVERALL, _PER_ELEMENT, SIDES, SQL, STATIC_SQL, base, by_path, comp, merged_items, query, read, static_diffs
+from .catalog_reports import _CHANGED, _changed, _items_and_judged
 
 
 @query(f"""WITH {SIDES}, m AS (SELECT * FROM b WHERE list_contains(string_split(class_name, ' '), 'c1') OR tag = 'p'), t AS (SELECT report_id, hpid, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.report_id = m.report_id AND starts_with(m.hpid, o.hpid || '.')))
@@ -129,3 +129,68 @@ def shadow_elements(spark, sf_dir):
     rows = written(html.elements(read(spark, sf_dir, "pages").select("page_id", shadowed.alias("html"))))
     hosts = selectors.shadow_path(rows.withColumnRenamed("page_id", "pair_id"))
     return rows.join(hosts.select(F.col("pair_id").alias("page_id"), "ord", F.array_join("hosts", " ").alias("hosts")), ["page_id", "ord"], "left").select("page_id", "ord", "hpid", "depth", "tag_name", "text_content", "hosts")
+
+
+@query(f"""WITH s AS ({SQL['impact_score']}), k AS ({SQL['change_distribution']}), n AS (SELECT *, greatest(layout + style + content + dom, 1) AS total FROM k),
+p AS (SELECT pair_id, CAST(floor(layout * 1.0 / total * 100 + 0.5) AS BIGINT) AS layout, CAST(floor(style * 1.0 / total * 100 + 0.5) AS BIGINT) AS style, CAST(floor(content * 1.0 / total * 100 + 0.5) AS BIGINT) AS content FROM n)
+SELECT pair_id, coalesce(impact_score, 100) AS score, CASE WHEN coalesce(impact_score, 100) >= 90 THEN 'score-great' WHEN coalesce(impact_score, 100) >= 70 THEN 'score-good' WHEN coalesce(impact_score, 100) >= 50 THEN 'score-warn' ELSE 'score-bad' END AS class,
+  p.layout, p.style, p.content, greatest(0, 100 - p.layout - p.style - p.content) AS dom FROM p LEFT JOIN s USING (pair_id)""")
+def executive_report(spark, sf_dir):
+    """Score and shares of the kinds of change of every report; elements without a partner alone leave the score whole."""
+    items, judged = _items_and_judged(spark, sf_dir)
+    b, c = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid")
+    alone = b.join(c, ["pair_id", "hpid"], "left_anti").unionByName(c.join(b, ["pair_id", "hpid"], "left_anti"))
+    kinds = written(report.distribution(grouped.rebucketed(items, judged), alone))
+    score = F.coalesce("impact_score", F.lit(100))
+    joined = kinds.join(report.score(items).select("pair_id", "impact_score"), "pair_id", "left")
+    return joined.select("pair_id", score.alias("score"), grouped.score_class(score).alias("class"), F.inline(F.array(grouped.shares(F.col("layout"), F.col("style"), F.col("content"), F.col("dom")))))
+
+
+@query(f"""{_APEX}, {_ITEMS}, ap AS (SELECT pair_id, apex, count(*) AS suppressed FROM s WHERE suppressed GROUP BY 1, 2), own AS (SELECT g.pair_id, g.b_ord, g.total, ap.suppressed, ap.apex IS NOT NULL AS is_apex FROM g JOIN b ON b.report_id = g.pair_id AND b.ord = g.b_ord LEFT JOIN ap ON ap.pair_id = g.pair_id AND ap.apex = b.hpid),
+had AS (SELECT *, bool_or(is_apex) OVER (PARTITION BY pair_id) AS any_apex FROM own), ranked AS (SELECT pair_id, b_ord, total, is_apex, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN any_apex THEN suppressed ELSE total END DESC, b_ord) AS rank FROM had WHERE is_apex OR NOT any_apex) SELECT * FROM ranked WHERE rank <= 3""")
+def top_apexes_of_reports(spark, sf_dir):
+    """The apexes that took over most diffs of the elements below them, by the suppression of the same report."""
+    diffs, elements = written(static_diffs(spark, sf_dir)), base(spark, sf_dir)
+    paths = elements.select("pair_id", F.col("ord").alias("b_ord"), "hpid")
+    apexes = cascade.apex_report(cascade.apex_suppression(diffs, paths)).select("pair_id", F.col("apex").alias("hpid"), F.col("suppressed_diffs").alias("suppressed"))
+    items = merged_items(spark, sf_dir, diffs).join(paths, ["pair_id", "b_ord"]).join(apexes, ["pair_id", "hpid"], "left").withColumn("is_apex", F.col("suppressed").isNotNull())
+    return report.top_apexes(items).select("pair_id", "b_ord", "total", "is_apex", F.col("rank").cast("long").alias("rank"))
+
+
+def _workbook_sql() -> str:
+    cells = lambda *x: "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in x) + ")"
+    names = lambda x: "'" + "|".join(x) + "'"
+    element = ["b.hpid", "b.tag", "b.element_id", "b.class_name"]
+    joined = "d JOIN b ON b.report_id = d.pair_id AND b.ord = d.b_ord"
+    facts = ["'Field|Value'", "'|'", "'Total Matched|' || matched", "'Match Rate|' || rate || '%'", "'Unmatched (Baseline)|' || removed", "'Unmatched (Compare)|' || added", "'|'", "'Total Elements|' || matched", "'Unchanged Elements|' || unchanged", "'Modified Elements (apex only)|' || roots", "'Modified Elements (pre-filter)|' || modified", "'CSS Property Changes (propertyDiffCount)|' || diffs", "'|'", "'Critical|' || critical", "'High|' || high", "'Medium|' || medium", "'Low|' || low"]
+    level = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
+    return f"""WITH {STATIC_SQL}, {_PER_ELEMENT}, o AS (SELECT *, {_OVERALL} AS overall FROM e), m AS (SELECT pair_id, count(*) AS matched FROM p GROUP BY 1),
+gs AS (SELECT pair_id, count(*) AS modified, CAST(sum(total) AS BIGINT) AS diffs, count(*) FILTER (overall = 'critical') AS critical, count(*) FILTER (overall = 'high') AS high, count(*) FILTER (overall = 'medium') AS medium, count(*) FILTER (overall = 'low') AS low FROM o GROUP BY 1),
+ra AS (SELECT report_id, ord, 'removed' AS status, hpid, tag, element_id, class_name FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.report_id = b.report_id AND c.hpid = b.hpid) UNION ALL SELECT report_id, ord, 'added', hpid, tag, element_id, class_name FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE c.report_id = b.report_id AND c.hpid = b.hpid)),
+rn AS (SELECT report_id, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'added') AS added FROM ra GROUP BY 1),
+ch AS (SELECT DISTINCT o.pair_id, b.hpid FROM o JOIN b ON b.report_id = o.pair_id AND b.ord = o.b_ord), rt AS (SELECT pair_id, count(*) AS roots FROM ch WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.pair_id = ch.pair_id AND starts_with(ch.hpid, x.hpid || '.')) GROUP BY 1),
+s AS (SELECT m.pair_id, matched, matched - coalesce(modified, 0) AS unchanged, coalesce(modified, 0) AS modified, coalesce(diffs, 0) AS diffs, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(removed, 0) AS removed, coalesce(added, 0) AS added, coalesce(roots, 0) AS roots,
+  CAST(floor(100.0 * matched / (matched + coalesce(removed, 0) + coalesce(added, 0)) + 0.5) AS BIGINT) AS rate FROM m LEFT JOIN gs USING (pair_id) LEFT JOIN rn ON rn.report_id = m.pair_id LEFT JOIN rt USING (pair_id)),
+ev AS (SELECT s.pair_id, v.severity, v.l, (SELECT count(*) FROM d WHERE d.pair_id = s.pair_id AND d.severity = v.severity) AS n FROM s, (VALUES ('critical', 1), ('high', 2), ('medium', 3), ('low', 4)) v(severity, l))
+SELECT pair_id, 0 AS sheet, 1 AS part, unnest([{', '.join(facts)}]) AS cells FROM s UNION ALL SELECT pair_id, 1, 0, {names(exports.SHEET_DIFFERENCES)} FROM s UNION ALL SELECT d.pair_id, 1, 1, {cells(*element, 'd.property', 'd.base_value', 'd.compare_value', 'd.type', 'd.category', 'd.severity')} FROM {joined}
+UNION ALL SELECT pair_id, 2, 0, {names(exports.SHEET_MATCHED)} FROM s UNION ALL SELECT p.pair_id, 2, 1, {cells(*element)} || '|absolute-hpid|0.95|' || coalesce(total, 0) || '|' || coalesce(overall, 'none') FROM p JOIN b ON b.report_id = p.pair_id AND b.ord = p.b_ord LEFT JOIN o ON o.pair_id = p.pair_id AND o.b_ord = p.b_ord
+UNION ALL SELECT pair_id, 3, 0, {names(exports.SHEET_UNMATCHED)} FROM s UNION ALL SELECT report_id, 3, CASE WHEN status = 'removed' THEN 1 ELSE 2 END, CASE WHEN status = 'removed' THEN 'Only in Baseline (removed)' ELSE 'Only in Compare (added)' END || '|' || {cells('hpid', 'tag', 'element_id', 'class_name')} FROM ra WHERE report_id IN (SELECT pair_id FROM s)
+UNION ALL SELECT pair_id, 4, l * 4, upper(severity) || ' ' || chr(8212) || ' ' || n || ' property change' || CASE WHEN n = 1 THEN '' ELSE 's' END || '||||' FROM ev UNION ALL SELECT pair_id, 4, l * 4 + 1, {names(exports.SEVERITY_COLUMNS)} FROM ev WHERE n > 0
+UNION ALL SELECT d.pair_id, 4, {level} * 4 + 2, {cells('b.hpid', 'b.tag', 'd.property', 'd.base_value', 'd.compare_value')} FROM {joined} UNION ALL SELECT pair_id, 4, l * 4 + 3, '||||' FROM ev"""
+
+
+@query(_workbook_sql())
+def workbook_rows(spark, sf_dir):
+    b, c = base(spark, sf_dir), comp(spark, sf_dir)
+    matches, diffs = by_path(spark, sf_dir), written(static_diffs(spark, sf_dir))
+    named = b.withColumnRenamed("ord", "b_ord")
+    per = diff.per_element(diffs).select("pair_id", "b_ord", "total", "overall")
+    alone = lambda x, y, status: x.join(y.select("pair_id", "hpid").distinct(), ["pair_id", "hpid"], "left_anti").withColumn("status", F.lit(status))
+    removed, added = alone(b, c, "removed"), alone(c, b, "added")
+    changed = per.join(named.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"]).select("pair_id", "hpid")
+    roots = filters.top_roots(changed).distinct().groupBy("pair_id").agg(F.count("*").alias("roots"))
+    summary = diff.summary(matches, diffs).join(match.rate(matches, removed, added).select("pair_id", "removed", "added", "rate"), "pair_id", "left").join(roots, "pair_id", "left").na.fill(0)
+    matched = matches.join(named, ["pair_id", "b_ord"]).join(per, ["pair_id", "b_ord"], "left").na.fill(0, ["total"]).withColumns({"strategy": F.lit("absolute-hpid"), "confidence": F.lit(0.95)})
+    unmatched = removed.unionByName(added).join(summary.select("pair_id"), "pair_id", "left_semi")
+    rows = exports.workbook(written(summary), diffs.join(named, ["pair_id", "b_ord"]), matched, unmatched)
+    return rows.select("pair_id", "sheet", "part", F.array_join("cells", "|").alias("cells"))
