@@ -19,6 +19,7 @@ FOR_ALL = [
     "normalize_color_hex", "normalize_unit", "expand_border_and_font", "classify_tier_and_section", "css_selectors", "match_suffix", "match_cascade", "match_position", "unmatched_removed",
     "diff_dynamic", "cascade_inherited", "severity_summary", "diff_tree", "url_delta", "rect_pivot", "visual_manifest", "upsert_comparisons", "perf_stats", "readiness_sessions", "readiness_stream",
     "escaped_texts", "section_semantics", "class_hierarchies", "remeasured_manifest", "rebucketed_groups", "node_classes", "breadcrumbs", "cached_comparisons", "put_and_delete", "comparable_reports", "csv_sections", "xpath_ladder",
+    "css_ladder", "apex_suppression", "keyframe_pack", "match_nearest_free", "match_alignment", "filtered_roots", "tree_expanded", "semantic_ancestors", "tree_badges", "comparison_json_lines", "workbook_rows", "top_apexes_of_reports", "readiness_live",
 ]
 
 
