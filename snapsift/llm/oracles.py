@@ -30,6 +30,7 @@ def _quality() -> str:
     shrink = lambda rows, t, wider: f"({rows} * {t} + {quality.PRIOR} * {wider}) // ({rows} + {quality.PRIOR})"
     bucket = f"CASE WHEN v < {low} THEN v ELSE (length(bin(v)) - {1 + quality.PRECISION}) * {low} + (v >> (length(bin(v)) - {1 + quality.PRECISION})) END"
     names = ", ".join(f"'{m}'" for m in quality.METRICS)
+    ratios = ", ".join(f"({c} + {one}) * {quality.SCALE} // greatest({of} + {more}, 1) AS {m}" for m, (c, of, one, more) in quality.SEEN.items())
     return f"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS lines FROM documents),
 k AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t),
 three AS (SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS s FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
@@ -37,8 +38,7 @@ twice AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id,
 r AS (SELECT doc_id, count(DISTINCT pos + d) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) d(d) GROUP BY 1),
 c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^{quality.SYMBOLS}]+', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN r USING (doc_id)),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_symbols - 1, 0) * {quality.SCALE} // greatest(n_words, 1) AS symbol_ratio, word_chars * {quality.SCALE} // greatest(n_words, 1) AS word_length,
-  n_repeat_words * {quality.SCALE} // greatest(n_words, 1) AS repeat_ratio, greatest(n_dup_lines - 1, 0) * {quality.SCALE} // greatest(n_lines, 1) AS dup_line_ratio FROM c),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratios} FROM c),
 v AS (SELECT doc_id, lang, source, unnest([{names}]) AS metric, unnest([{', '.join(quality.METRICS)}]) AS v FROM m),
 s AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM v GROUP BY ALL), sl AS (SELECT lang, metric, bucket, sum(n) AS n FROM s GROUP BY ALL), sa AS (SELECT metric, bucket, sum(n) AS n FROM sl GROUP BY ALL),
 {own('og', 's', 'lang, source')}, {own('ol', 'sl', 'lang')}, {own('oa', 'sa', '')},

@@ -1,12 +1,14 @@
 """Quality rules (2) [native]: adaptive thresholds from mergeable quantile sketches, then a joined filter.
 
-Each document gets counts by array functions only. For four ratios (symbols, characters and repeated words per word, repeated lines per line; the
-first symbol and the first repeated line do not count) a quantile sketch is kept for every language and source: a histogram over logarithmic
-buckets with ``2 ** PRECISION`` steps to the octave, so a bucket is wrong by at most 1/16 of its value. Counts of buckets add up, so sketches merge by plain
+Each document gets counts by array functions only. For four ratios (symbols, characters and repeated words per word, repeated lines per line) a
+quantile sketch is kept for every language and source: a histogram over logarithmic buckets with ``2 ** PRECISION`` steps to the octave, so a bucket is wrong by at most 1/16 of its value. Things that most documents have none of
+are counted as one more than were seen, in a text that is a little longer (``SEEN``), so that their median is what a text of usual length could have and not 0: a
+group's spread then comes from its lengths where it has no such things, and from their number where it has. Counts of buckets add up, so sketches merge by plain
 aggregation, in any order and on any number of executors, to the same result. A group's threshold is its median plus ``SPREADS`` times the spread
 between the median and the ``UPPER`` quantile; no fixed value bounds it. It is shrunk towards the threshold of the language (the merged sketch of
 its sources), and that towards the threshold of all rows, with the weight of ``PRIOR`` rows, so a group of few rows follows its
-language and one of many itself, without a switch between them. A document fails where its value lies beyond its group's threshold; at the threshold it passes.
+language and one of many itself, without a switch between them. A document fails where its value lies beyond its group's threshold; at the threshold it passes. A group of
+documents that are all alike has no spread, so its threshold is their value, but for what it shares with its language.
 
 Defined results: null or empty text has 0 words and fails the base rules; texts of any length are counted whole; null languages and sources form groups of their own;
 repeated rows count each; other columns are ignored by ``quality`` and kept by ``keep_good``; an empty table gives an empty table.
@@ -26,7 +28,14 @@ SCALE = 1_000
 UPPER = 0.9
 SPREADS = 4
 PRIOR = 100
-METRICS = ["symbol_ratio", "word_length", "repeat_ratio", "dup_line_ratio"]
+#: metric -> (count, what it is a share of, added to the count, added to the whole). A repeated window is three words.
+SEEN = {
+    "symbol_ratio": ("n_symbols", "n_words", 1, 50),
+    "word_length": ("word_chars", "n_words", 0, 0),
+    "repeat_ratio": ("n_repeat_words", "n_words", 3, 50),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1, 10),
+}
+METRICS = list(SEEN)
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -109,16 +118,12 @@ def thresholds(metrics: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_cols: dict[str, Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    share = lambda c, of: F.call_function("div", c * SCALE, F.greatest(F.col(of), F.lit(1)))
-    further = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
+    share = lambda count, of, one, more: F.call_function("div", (F.col(count) + one) * SCALE, F.greatest(F.col(of) + more, F.lit(1)))
     rows = counts(docs, text_col, **id_cols, lang=docs[lang_col], source=docs[source_col])
     metrics = cut(
         rows.select(
             "*",
-            share(further("n_symbols"), "n_words").alias("symbol_ratio"),
-            share(F.col("word_chars"), "n_words").alias("word_length"),
-            share(F.col("n_repeat_words"), "n_words").alias("repeat_ratio"),
-            share(further("n_dup_lines"), "n_lines").alias("dup_line_ratio"),
+            *[share(*SEEN[m]).alias(m) for m in METRICS],
             ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         )
     )

@@ -144,14 +144,24 @@ def test_quality_thresholds_decide(spark):
     same = " ".join([f"u{k}" for k in range(100)] + ["#" * 86])
     rows += [(9000, same, "en", "code"), (9001, same, "en", "prose"), (9002, same, "en", None)]
     got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)), "n_words", "n_symbols", "base_failed", "kept", "failed")
-    limits = python_limits([(lang, source, 1000 * max(t.count("#") - 1, 0) // 101) for _, t, lang, source in rows], "symbol_ratio")
+    limits = python_limits([(lang, source, 1000 * (t.count("#") + 1) // (101 + 50)) for _, t, lang, source in rows], "symbol_ratio")
     for i, t, lang, source in rows:
-        fails = 1000 * max(t.count("#") - 1, 0) // 101 > limits[lang, source]
+        fails = 1000 * (t.count("#") + 1) // (101 + 50) > limits[lang, source]
         assert ("symbol_ratio" in got[i][4]) == fails and not got[i][2] and (got[i][3] or fails or got[i][4]), i
     assert got[9000][3] and not got[9001][3] and limits["en", "code"] > limits["en", "prose"]
     assert got[9001][4] == "symbol_ratio"
 
 
+def test_quality_thresholds_never_fall_to_nothing(spark):
+    """Where next to no document has symbols or repeated lines, a few of them still pass and many do not."""
+    text = lambda k, symbols, again: "\n".join(f"w{k}x{j} v{k}x{j} u{k}x{j} t{k}x{j}" for j in range(20 + k % 97)) + " #" * symbols + f"\nsame{k}" * (again + 1)
+    rows = [(k, text(k, 0, 0), "en", "prose") for k in range(300)]
+    rows += [(1000, text(1000, 2, 0), "en", "prose"), (1001, text(1001, 60, 0), "en", "prose"), (1002, text(1002, 0, 1), "en", "prose"), (1003, text(1003, 0, 90), "en", "prose")]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "kept", "failed")
+    assert all(got[k] == (True, "") for k in (*range(300), 1000, 1002))
+    assert "symbol_ratio" in got[1001][1] and "dup_line_ratio" in got[1003][1]
+
+
 def test_quality_buckets_are_tight(spark):
     from pyspark.sql import functions as F
 
