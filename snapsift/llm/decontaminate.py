@@ -8,8 +8,9 @@ occurrences on one diagonal give the longest matches.
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. A window is ``width`` consecutive words of an item; an
 item with fewer words, but at least one, is one window. A Spark job deals the benchmark into blocks of bounded size and builds each one's vocabulary and
-windows in a task; blocks travel to the shards one by one, ``HELD_BLOCKS`` of them in one pass over the documents, whose findings are written before the
-next blocks come. So neither the driver nor a task ever holds more than these, and no set of documents is collected.
+windows in a task; blocks travel to the shards one by one, ``HELD_BLOCKS`` of them in one pass over the documents. What a pass finds is written by
+the digest of the text, for texts with hits alone, before the next blocks come; the last pass carries the documents and joins the findings of
+the others. So neither the driver nor a task ever holds more than these, documents are written once at most, and no set of them is collected.
 
 Defined results: null or empty texts, and texts without words, have 0 words and 0 hits; items without words never match; items with
 null ids match words but are left out of the item list; texts of any length are searched whole; repeated documents are judged one by one, repeated items once;
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import partial, reduce
+from itertools import islice
 from types import SimpleNamespace
 
 import numpy as np
@@ -135,28 +138,53 @@ _FOUND = "struct<n_words:long,n_hit:long,hit:binary,items:array<long>,matches:ar
 def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
            width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``row`` (the document) and ``found``: n_words, n_hit, hit (a bit for each word), items and longest verbatim matches."""
-    spark = docs.sparkSession
-    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), utf8(text_col).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
-    held = []
-    for body in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
-        if len(held) == HELD_BLOCKS:  # what these blocks found is written, so that they can go
-            carried = cut(carried)
-            for old in held:
-                old.destroy()
-            held = []
-        held.append(spark.sparkContext.broadcast(body))
-
-        def run(batches, body=held[-1]):
-            block = SimpleNamespace(**pickle.loads(body.value))
-            for whole in batches:
-                for batch in slices(whole, 1):
-                    yield _judge(batch, block)
-
-        carried = carried.mapInArrow(run, carried.schema)
-    if not held:
-        none = TestBlock([], width)
-        carried = carried.mapInArrow(lambda batches: (_judge(b, none) for whole in batches for b in slices(whole, 1)), carried.schema)
-    return carried.select("row", "found")
+    bodies = _blocks(benchmark, item_col, item_text_col, width, block_bytes)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), utf8(text_col).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
+    texts = rows.select(F.sha2("text", 256).alias("row"), "text", "found")
+    held, following = list(islice(bodies, HELD_BLOCKS)), next(bodies, None)
+    before = []
+    while following is not None:
+        sent = [docs.sparkSession.sparkContext.broadcast(body) for body in held]
+        before.append(cut(_pass(texts, sent, width).where("found.n_hit > 0").select("row", "found").dropDuplicates(["row"])))
+        for old in sent:
+            old.destroy()
+        held, following = [following, *islice(bodies, HELD_BLOCKS - 1)], next(bodies, None)
+    last = _pass(rows, [docs.sparkSession.sparkContext.broadcast(body) for body in held], width)
+    if not before:
+        return last.select("row", "found")
+    earlier = reduce(DataFrame.unionAll, before).groupBy(F.col("row").alias("digest")).agg(F.collect_list("found").alias("earlier"))  # one of each pass at most
+    joined = last.withColumn("digest", F.sha2("text", 256)).join(earlier, "digest", "left").select("row", "found", "earlier")
+    merged = joined.mapInArrow(lambda batches: map(_merge, batches), joined.schema)
+    return merged.select("row", "found")
+
+
+def _pass(rows: DataFrame, sent: list, width: int) -> DataFrame:
+    """Fills ``found`` by the blocks that were sent."""
+
+    def run(batches, sent=None):
+        block = SimpleNamespace(**pickle.loads(sent.value)) if sent else TestBlock([], width)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                yield _judge(batch, block)
+
+    for one in sent or [None]:
+        rows = rows.mapInArrow(partial(run, sent=one), rows.schema)
+    return rows
+
+
+def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds what earlier passes found in the same text: hits of any pass are hits."""
+    out = []
+    for found, earlier in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        every = [found, *(earlier or [])]
+        bits = [np.frombuffer(f["hit"], dtype=np.uint8) for f in every if f["hit"]]
+        hit = np.bitwise_or.reduce(bits) if bits else None
+        found["hit"] = None if hit is None else hit.tobytes()
+        found["n_hit"] = 0 if hit is None else int(np.unpackbits(hit).sum())
+        found["items"] = sorted({item for f in every for item in f["items"]})
+        found["matches"] = [m for f in every for m in f["matches"]]
+        out.append(found)
+    return batch.set_column(1, batch.schema.field(1), pa.array(out, type=batch.schema.field(1).type))
 
 
 def _judge(batch: pa.RecordBatch, block: TestBlock | SimpleNamespace) -> pa.RecordBatch:

@@ -100,6 +100,7 @@ def _decide(asked: DataFrame, listed: DataFrame, shape) -> DataFrame:
     suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)))
     starts = F.array_compact(F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in sorted(lengths)]))
     asked = asked.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts))
+    keys = asked.select("suffix", "start").distinct()  # each key meets the filter once, however many hosts ask for it
     blocks = max(1, -(-count * BITS // (64 * WORDS)))
     own = F.xxhash64("suffix", "start")
     passes = F.lit(True)
@@ -107,8 +108,9 @@ def _decide(asked: DataFrame, listed: DataFrame, shape) -> DataFrame:
         passes = passes & (F.col(f"w{k}").bitwiseAND(bit) != 0)
     filters = bloom_blocks(listed, blocks)
     filters = F.broadcast(filters) if blocks * WORDS * 8 <= FILTER_BYTES else filters.hint("merge")
-    asked = asked.withColumn("block", F.pmod(own, F.lit(blocks))).join(filters, "block").where(passes)
-    hits = asked.join(listed.withColumnsRenamed({"host": "suffix", "path": "start"}), ["suffix", "start"])
+    possible = keys.withColumn("block", F.pmod(own, F.lit(blocks))).join(filters, "block").where(passes).select("suffix", "start")
+    exact = possible.join(listed.withColumnsRenamed({"host": "suffix", "path": "start"}), ["suffix", "start"])
+    hits = asked.join(exact, ["suffix", "start"])
     entry = F.struct(F.concat("suffix", "start").alias("entry"), "listed", "is_rule")
     order = F.struct("is_rule", F.length(F.concat("suffix", "start")), F.length("suffix"))
     return hits.groupBy("host", "head").agg(F.max_by(entry, order).alias("best"))

@@ -169,6 +169,18 @@ def test_quality_buckets_are_tight(spark):
     assert all(r.low <= r.id < r.high and r.high - r.low <= max(1, r.id / 16) for r in rows)
 
 
+def test_url_keys_meet_a_large_filter(spark, monkeypatch):
+    """A filter too large to broadcast, and hosts that all ask for the same endings: the longest entry wins for each."""
+    monkeypatch.setattr(url_filter, "FILTER_BYTES", 0)
+    rows = [(k, f"https://h{k}.example.com/en/{k % 5}") for k in range(400)]
+    pages, listed = spark.createDataFrame(rows, "page_id long, url string"), url_filter.entries(spark, hosts=["h7.example.com", "example.com"])
+    got = {r.page_id: (r.verdict, r.entry) for r in url_filter.judge_urls(pages, listed).collect()}
+    assert all(v == ("block", "com/en/") for k, v in got.items()) and len(got) == 400
+    plain = url_filter.entries(spark, rules=[], hosts=["h7.example.com", "example.com"])
+    best = {r.page_id: r.entry for r in url_filter.judge_urls(pages, plain).collect()}
+    assert best == {k: "h7.example.com" if k == 7 else "example.com" for k in range(400)}
+
+
 def test_url_rules(spark):
     urls = [
         "https://a.Example.com/en/1", "http://example.com/en/71?x", "https://example.net/de/8", "http://x.net/de/1#f", "http://org/es/", "http://x.org/es", "no url", None,
@@ -294,6 +306,28 @@ def test_decontamination(spark, docs, none, corpus):
     assert any(m.item == 1 and m.words == 25 and m.item_at == 0 for m in longest[85])
 
 
+def test_decontamination_in_several_passes(spark, docs, corpus, monkeypatch):
+    """Passes write the texts with hits alone, and give what a single pass gives."""
+    words = " ".join(re.findall("[^ ]+", corpus[85][1])).split()
+    bench = spark.createDataFrame([(k, " ".join(words[3 * k : 3 * k + 14])) for k in range(9)] + [(90 + k, f"never{k} seen") for k in range(3)], "item_id long, text string")
+    columns = ("n_words", "n_hit", "items", "contaminated")
+    once = by_id(decontaminate.contamination(docs, bench), *columns)
+    written, real = [], decontaminate.cut
+
+    def counting(rows):
+        rows = real(rows)
+        written.append((rows.columns, rows.count()))
+        return rows
+
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(decontaminate, "cut", counting)
+    again = decontaminate.contamination(docs, bench, block_bytes=1)
+    assert by_id(again, *columns) == once
+    passes = [n for c, n in written if c == ["row", "found"]]
+    assert len(passes) >= 3 and max(passes) <= sum(g[3] for g in once.values()) < len(once)
+    assert {r.row.doc_id for r in decontaminate.search(docs, bench, block_bytes=1).where("found.n_hit > 0").collect()} == {i for i, g in once.items() if g[3]}
+
+
 def test_line_dedup(docs, none, corpus):
     sites, first = defaultdict(set), {}
     rows = sorted({(r[0], r[1], r[3]) for r in corpus}, key=lambda r: r[0])
