@@ -1,7 +1,7 @@
 """What plans must not do: make a value again for each of its uses, or run a step once for each of its readers."""
 
 from snapsift import fixtures
-from snapsift.operators import match, selectors
+from snapsift.operators import filters, match, selectors
 from snapsift.plans import catalog, catalog_pages, catalog_reports  # noqa: F401  the others register their queries with the first
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,3 +28,14 @@ def test_alignment_streams_its_pairs(spark):
         assert sorted(map(str, match.align(b, c).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_both_sides_of_a_pair_meet(spark):
+    """Sides that are dealt by pair already, in adaptive plans that merge their partitions differently."""
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    try:
+        b, c = (filters.first_elements(side(spark, "/root/testdata/sf0.01"), 100) for side in (catalog.base, catalog.comp))
+        pairs, both = match.align(b, c).where("event = 'pair'").count(), match.cascade(b, c, [("absolute-hpid", 1.0)])[0].count()
+        assert pairs > 50_000 and both == b.join(c, ["pair_id", "hpid"]).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
