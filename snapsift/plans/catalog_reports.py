@@ -110,10 +110,9 @@ def mutation_classes(spark, sf_dir):
 
 @query(f"""WITH {SIDES} SELECT report_id AS pair_id, NOT bool_or((k % 40 = 0) OR (k % 9 = 1 AND s % 2 = 0 AND y <= 100 AND x <= 200)) AS ready FROM b GROUP BY 1""")
 def page_ready(spark, sf_dir):
-    k = F.regexp_extract("text_content", r"(\d+)", 1).cast("long")
-    rows = base(spark, sf_dir).withColumns({"class_name": F.when(k % 40 == 0, "img-skeleton").otherwise(F.col("class_name")), "tag_name": F.when(k % 9 == 1, "img").otherwise(F.col("tag_name"))})
-    supp = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
-    rows = rows.withColumn("k", k).join(supp, ["pair_id", "k"]).withColumn("complete", F.col("s") % 2 != 0)
+    k, facts = F.col("k"), fixtures.raw(spark, sf_dir, "base").select(F.col("report_id").alias("pair_id"), "ord", "k", (F.col("s") % 2 != 0).alias("complete"))
+    rows = base(spark, sf_dir).select("pair_id", "ord", "tag_name", "class_name", "rect").join(facts, ["pair_id", "ord"])  # by place: a report can have a part twice
+    rows = rows.withColumns({"class_name": F.when(k % 40 == 0, "img-skeleton").otherwise(F.col("class_name")), "tag_name": F.when(k % 9 == 1, "img").otherwise(F.col("tag_name"))})
     return enrich.document_ready(rows, 200, 100)
 
 

@@ -39,3 +39,15 @@ def test_both_sides_of_a_pair_meet(spark):
         assert pairs > 50_000 and both == b.join(c, ["pair_id", "hpid"]).count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_page_with_a_part_twice(spark, tmp_path):
+    """Two lines of one part by different suppliers are each an image of their own."""
+    import duckdb
+
+    con = duckdb.connect()
+    line = "2.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, 'A' AS l_returnflag, TIMESTAMP '2000-01-01' AS l_shipdate"
+    con.execute(f"CREATE TABLE lineitem AS SELECT 1::BIGINT AS l_orderkey, 10::BIGINT AS l_partkey, k % 2::BIGINT AS l_suppkey, CASE WHEN k = 0 THEN 7 ELSE 1 END::INT AS l_linenumber, {line} FROM range(2) r(k) UNION ALL SELECT 1, 11, 1, 2 + k::INT, {line} FROM range(3) r(k)")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = [(r.pair_id, r.ready) for r in catalog.QUERIES["page_ready"](spark, str(tmp_path)).collect()]
+    assert got == con.sql(catalog.SQL["page_ready"]).fetchall() == [(1, True)]
