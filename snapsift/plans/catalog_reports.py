@@ -236,13 +236,14 @@ t AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o u WHERE u.pair_id = o.pa
 SELECT pair_id, count(*) FILTER (overall = 'critical') AS critical, count(*) FILTER (overall = 'high') AS high, count(*) FILTER (overall = 'medium') AS medium, count(*) FILTER (overall = 'low') AS low FROM t GROUP BY 1""")
 def root_severities(spark, sf_dir):
     paths = base(spark, sf_dir).select("pair_id", F.col("ord").alias("b_ord"), "hpid")
-    return grouped.root_breakdown(diff.per_element(static_diffs(spark, sf_dir)), paths)
+    return grouped.root_breakdown(written(diff.per_element(static_diffs(spark, sf_dir)).select("pair_id", "b_ord", "overall")), paths)
 
 
 @query(f"""WITH {STATIC_SQL}, {_ITEMS}, e AS (SELECT pair_id, count(DISTINCT b_ord) AS n FROM d GROUP BY 1), m AS (SELECT pair_id, count(*) AS matched FROM p GROUP BY 1), r AS (SELECT pair_id, count(*) AS roots FROM g GROUP BY 1)
 SELECT pair_id, matched, matched - coalesce(n, 0) AS unchanged, coalesce(n, 0) AS modified_before, coalesce(roots, 0) AS modified, coalesce(n, 0) - coalesce(roots, 0) AS suppressed_children FROM m LEFT JOIN e USING (pair_id) LEFT JOIN r USING (pair_id)""")
 def report_reconciled(spark, sf_dir):
-    return grouped.reconciled(diff.summary(by_path(spark, sf_dir), static_diffs(spark, sf_dir)), merged_items(spark, sf_dir))
+    diffs = written(static_diffs(spark, sf_dir))
+    return grouped.reconciled(diff.summary(by_path(spark, sf_dir), diffs), merged_items(spark, sf_dir, diffs))
 
 
 @query(f"""WITH {SIDES} SELECT report_id AS pair_id, ord, {_LABEL} AS element_key, hpid, words AS text_content, 'removed' AS status FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.report_id = b.report_id AND c.hpid = b.hpid)
@@ -278,7 +279,7 @@ def diff_descendants(spark, sf_dir):
 @query(f"""WITH {_CHANGED} SELECT n.pair_id, n.hpid, CASE WHEN c.hpid IS NULL THEN 'DOM_DELETION' WHEN ch.severity = 'critical' THEN 'DIFF_APEX' WHEN ch.severity IS NOT NULL THEN 'DIFF_DETAIL' ELSE 'STRUCTURAL' END AS type
 FROM nodes n LEFT JOIN ch ON ch.pair_id = n.pair_id AND ch.hpid = n.hpid LEFT JOIN c ON c.report_id = n.pair_id AND c.hpid = n.hpid UNION ALL SELECT c.report_id, c.hpid, 'DOM_INSERTION' FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE c.report_id = b.report_id AND c.hpid = b.hpid)""")
 def node_classes(spark, sf_dir):
-    b, c, changed = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid"), _changed(spark, sf_dir)
+    b, c, changed = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid"), written(_changed(spark, sf_dir))
     added, removed = c.join(b, ["pair_id", "hpid"], "left_anti"), b.join(c, ["pair_id", "hpid"], "left_anti")
     return grouped.node_classes(b.unionByName(added), changed, added, removed, changed.where("severity = 'critical'"))
 
