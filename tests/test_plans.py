@@ -1,7 +1,8 @@
 """What plans must not do: make a value again for each of its uses, or run a step once for each of its readers."""
 
 from snapsift import fixtures
-from snapsift.operators import filters, match, selectors
+from snapsift.config import STATIC
+from snapsift.operators import diff, filters, match, selectors
 from snapsift.plans import catalog, catalog_pages, catalog_reports  # noqa: F401  the others register their queries with the first
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -51,3 +52,15 @@ def test_page_with_a_part_twice(spark, tmp_path):
     con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     got = [(r.pair_id, r.ready) for r in catalog.QUERIES["page_ready"](spark, str(tmp_path)).collect()]
     assert got == con.sql(catalog.SQL["page_ready"]).fetchall() == [(1, True)]
+
+
+def test_border_colours_that_follow_the_text(spark):
+    """They are left out on the pair's own row, without a window over all diffs."""
+    side = "pair_id long, ord long, styles map<string,string>, attributes map<string,string>, text_content string"
+    of = lambda color, top, left: {"color": color, "border-top-color": top, "border-left-color": left}
+    b = spark.createDataFrame([(1, 1, of("red", "rgb(255,0,0)", "red"), {}, "x"), (1, 2, of("red", "red", None), {}, "x"), (1, 3, {"border-top-color": "red"}, {}, None)], side)
+    c = spark.createDataFrame([(1, 1, of("blue", "#00f", "green"), {}, "x"), (1, 2, of("red", "blue", "blue"), {}, "x"), (1, 3, {"border-top-color": "blue"}, {"color": "red"}, "y")], side)
+    got = diff.compare_pairs(diff.paired(b, c, ["pair_id", "ord"]).selectExpr("pair_id", "b_ord", "c_ord", "b", "c"), STATIC)
+    assert "Window" not in plan(got)
+    kept = {(r.b_ord, r.property) for r in got.collect()}
+    assert {k for k in kept if k[1].endswith("color")} >= {(1, "color"), (1, "border-left-color"), (2, "border-top-color"), (2, "border-left-color"), (3, "border-top-color")} and (1, "border-top-color") not in kept
