@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import css
-from ..sources.tables import written
+from ..sources.tables import kept, parts_of
 from .diff import DERIVED
 
 # Properties that children inherit in the two passes, and boxes whose change moves their children.
@@ -82,9 +82,10 @@ def apex_suppression(diffs: DataFrame, paths: DataFrame) -> DataFrame:
     """
     delta = css.leading_number(F.col("compare_value")) - css.leading_number(F.col("base_value"))
     d = diffs.join(paths.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"])
-    d = written(d.select("pair_id", "b_ord", "hpid", F.struct("property", F.col("base_value").alias("a"), F.col("compare_value").alias("b"), delta.alias("delta")).alias("change")))
+    parts = parts_of(paths)
+    d = kept(d.select("pair_id", "b_ord", "hpid", F.struct("property", F.col("base_value").alias("a"), F.col("compare_value").alias("b"), delta.alias("delta")).alias("change")), parts)
     firsts = d.groupBy("pair_id", "hpid", "change.property").agg(F.min_by("change", "b_ord").alias("change"))
-    nodes = written(firsts.groupBy("pair_id", "hpid").agg(F.sort_array(F.collect_list("change")).alias("changes")))
+    nodes = kept(firsts.groupBy("pair_id", "hpid").agg(F.sort_array(F.collect_list("change")).alias("changes")), parts)
     above = nodes.select("pair_id", "hpid", F.posexplode(ancestors(F.col("hpid"))).alias("level", "up")).join(nodes.select("pair_id", F.col("hpid").alias("up"), "changes"), ["pair_id", "up"])
     chains = above.groupBy("pair_id", "hpid").agg(F.sort_array(F.collect_list(F.struct("level", "up", "changes"))).alias("chain"))
     inherits = lambda x, apex: F.forall(x["changes"], lambda c: _repeated(c, apex["changes"]))

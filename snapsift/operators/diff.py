@@ -121,24 +121,24 @@ def entries(pairs: DataFrame, mode: Mode) -> DataFrame:
     names = [f"{side}_{part}" for part in ("styles", "attributes", "text") for side in ("b", "c")]
     parts = [F.col(f"{s}.{part}") if part != "text" else _text(s) for part in ("styles", "attributes", "text") for s in ("b", "c")]
 
-    def wanted(e: Column) -> Column:
-        keep = ~e["a"].eqNullSafe(e["b"])
-        for kind, listed in (("style", mode.properties), ("attribute", mode.attributes)):
-            if listed is not None:
-                keep = keep & ((e["kind"] != kind) | css.lookup(dict.fromkeys(listed, ""), e["property"]).isNotNull())
-        return keep
+    def wanted(kind: str, p: Column, v: Column, w: Column) -> Column:
+        listed = {"style": mode.properties, "attribute": mode.attributes}.get(kind)
+        keep = ~v.eqNullSafe(w)
+        return keep if listed is None else keep & css.lookup(dict.fromkeys(listed, ""), p).isNotNull()
 
     def found(x: Column) -> Column:
         colors = F.struct(x["b_styles"]["color"].alias("a"), x["c_styles"]["color"].alias("b"))
         own = lambda kind, p: F.when(p.isin(*DERIVED), colors) if kind == "style" and (mode.properties is None or "color" in mode.properties) else F.lit(None).cast("struct<a:string,b:string>")
         one = lambda kind, p, v, w: F.struct(F.lit(kind).alias("kind"), p.alias("property"), v.alias("a"), w.alias("b"), own(kind, p).alias("own"))
-        of = lambda kind, m: F.transform(F.map_entries(m), lambda e: one(kind, e["key"], e["value"]["a"], e["value"]["b"]))
+        # what is alike on both sides goes before rows are made of the rest
+        of = lambda kind, m: F.transform(F.filter(F.map_entries(m), lambda e: wanted(kind, e["key"], e["value"]["a"], e["value"]["b"])), lambda e: one(kind, e["key"], e["value"]["a"], e["value"]["b"]))
         rows = [of("style", _zipped(x["b_styles"], x["c_styles"])), of("attribute", _zipped(x["b_attributes"], x["c_attributes"]))]
-        return F.concat(*rows, *([F.array(one("text", F.lit("textContent"), x["b_text"], x["c_text"]))] if mode.text else []))
+        text = F.filter(F.array(one("text", F.lit("textContent"), x["b_text"], x["c_text"])), lambda e: ~e["a"].eqNullSafe(e["b"]))
+        return F.concat(*rows, *([text] if mode.text else []))
 
     # shorthands are expanded once for a side: what a lambda is given is not made anew where it is read
     sides = F.struct(*[(css.expand_shorthands(c) if n.endswith("styles") else c).alias(n) for n, c in zip(names, parts, strict=True)])
-    return pairs.select("pair_id", "b_ord", "c_ord", F.inline(F.flatten(F.transform(F.array(sides), lambda x: F.filter(found(x), wanted)))))
+    return pairs.select("pair_id", "b_ord", "c_ord", F.inline(F.flatten(F.transform(F.array(sides), found))))
 
 
 def compare_pairs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> DataFrame:

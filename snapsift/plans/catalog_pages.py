@@ -113,7 +113,7 @@ UNION ALL SELECT pair_id, 1, CASE WHEN i > 1 THEN ',' ELSE '' END || line FROM r
 @query(_json_sql())
 def comparison_json_lines(spark, sf_dir):
     b, c = base(spark, sf_dir), comp(spark, sf_dir)
-    matches, diffs = by_path(spark, sf_dir), written(static_diffs(spark, sf_dir))
+    matches, diffs = by_path(spark, sf_dir), fixtures.kept_pairs(static_diffs(spark, sf_dir), sf_dir)
     matched = matches.join(b.select("pair_id", F.col("ord").alias("b_ord"), "hpid", "tag_name"), ["pair_id", "b_ord"]).withColumns({"strategy": F.lit("absolute-hpid"), "confidence": F.lit(0.95)})
     alone = b.join(c.select("pair_id", "hpid").distinct(), ["pair_id", "hpid"], "left_anti").withColumn("status", F.lit("removed"))
     status = read(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("pair_id")).agg(F.min("o_orderstatus").alias("url"))
@@ -140,7 +140,7 @@ def executive_report(spark, sf_dir):
     items, judged = _items_and_judged(spark, sf_dir)
     b, c = base(spark, sf_dir).select("pair_id", "hpid"), comp(spark, sf_dir).select("pair_id", "hpid")
     alone = b.join(c, ["pair_id", "hpid"], "left_anti").unionByName(c.join(b, ["pair_id", "hpid"], "left_anti"))
-    kinds = written(report.distribution(grouped.rebucketed(items, judged), alone))
+    kinds = fixtures.kept_pairs(report.distribution(grouped.rebucketed(items, judged), alone), sf_dir)
     score = F.coalesce("impact_score", F.lit(100))
     joined = kinds.join(report.score(items).select("pair_id", "impact_score"), "pair_id", "left")
     return joined.select("pair_id", score.alias("score"), grouped.score_class(score).alias("class"), F.inline(F.array(grouped.shares(F.col("layout"), F.col("style"), F.col("content"), F.col("dom")))))
@@ -150,7 +150,7 @@ def executive_report(spark, sf_dir):
 had AS (SELECT *, bool_or(is_apex) OVER (PARTITION BY pair_id) AS any_apex FROM own), ranked AS (SELECT pair_id, b_ord, total, is_apex, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN any_apex THEN suppressed ELSE total END DESC, b_ord) AS rank FROM had WHERE is_apex OR NOT any_apex) SELECT * FROM ranked WHERE rank <= 3""")
 def top_apexes_of_reports(spark, sf_dir):
     """The apexes that took over most diffs of the elements below them, by the suppression of the same report."""
-    diffs, elements = written(static_diffs(spark, sf_dir)), base(spark, sf_dir)
+    diffs, elements = fixtures.kept_pairs(static_diffs(spark, sf_dir), sf_dir), base(spark, sf_dir)
     paths = elements.select("pair_id", F.col("ord").alias("b_ord"), "hpid")
     apexes = cascade.apex_report(cascade.apex_suppression(diffs, paths)).select("pair_id", F.col("apex").alias("hpid"), F.col("suppressed_diffs").alias("suppressed"))
     items = merged_items(spark, sf_dir, diffs).join(paths, ["pair_id", "b_ord"]).join(apexes, ["pair_id", "hpid"], "left").withColumn("is_apex", F.col("suppressed").isNotNull())
@@ -182,7 +182,7 @@ UNION ALL SELECT d.pair_id, 4, {level} * 4 + 2, {cells('b.hpid', 'b.tag', 'd.pro
 @query(_workbook_sql())
 def workbook_rows(spark, sf_dir):
     b, c = base(spark, sf_dir), comp(spark, sf_dir)
-    matches, diffs = by_path(spark, sf_dir), written(static_diffs(spark, sf_dir))
+    matches, diffs = by_path(spark, sf_dir), fixtures.kept_pairs(static_diffs(spark, sf_dir), sf_dir)
     named = b.withColumnRenamed("ord", "b_ord")
     per = diff.per_element(diffs).select("pair_id", "b_ord", "total", "overall")
     alone = lambda x, y, status: x.join(y.select("pair_id", "hpid").distinct(), ["pair_id", "hpid"], "left_anti").withColumn("status", F.lit(status))
@@ -192,5 +192,5 @@ def workbook_rows(spark, sf_dir):
     summary = diff.summary(matches, diffs).join(match.rate(matches, removed, added).select("pair_id", "removed", "added", "rate"), "pair_id", "left").join(roots, "pair_id", "left").na.fill(0)
     matched = matches.join(named, ["pair_id", "b_ord"]).join(per, ["pair_id", "b_ord"], "left").na.fill(0, ["total"]).withColumns({"strategy": F.lit("absolute-hpid"), "confidence": F.lit(0.95)})
     unmatched = removed.unionByName(added).join(summary.select("pair_id"), "pair_id", "left_semi")
-    rows = exports.workbook(written(summary), diffs.join(named, ["pair_id", "b_ord"]), matched, unmatched)
+    rows = exports.workbook(fixtures.kept_pairs(summary, sf_dir), diffs.join(named, ["pair_id", "b_ord"]), matched, unmatched)
     return rows.select("pair_id", "sheet", "part", F.array_join("cells", "|").alias("cells"))
