@@ -6,7 +6,7 @@ recursive query holds (word, position, symbol) rows, joins adjacent rows to the
 leftmost pair of minimum rank until no pair is left; an ordered aggregation renders the ids and decodes them to bytes.
 Results are remembered by chunk as long as the Python worker lives, so a frequent chunk is merged once for each worker, and every document is
 assembled from its own chunks. Pre-tokens of more than ``LONG_BYTES`` bytes are merged by a heap to the same result, so that a text without spaces takes
-n log n steps.
+n log n steps. A pre-token that is a token itself is looked up.
 
 Defined results: null or empty text has no ids (hash of the empty string for both digests); special-token strings inside a text are
 ordinary text; of equal ranks the leftmost pair is merged; texts and pre-tokens of any length are encoded whole; repeated rows are encoded like any row; other columns are ignored; an empty table gives an empty table.
@@ -114,9 +114,11 @@ class Encoder:
         out = {}
         raw = [(w, w.encode("utf-8")) for w in words]
         for w, text in raw:
-            if len(text) > LONG_BYTES:
+            if (rank := self.ranks.get(text)) is not None:  # a whole token is looked up, as the library does
+                out[w] = str(rank).encode(), text
+            elif len(text) > LONG_BYTES:
                 out[w] = self._merge_long(text)
-        raw = [x for x in raw if len(x[1]) <= LONG_BYTES]
+        raw = [x for x in raw if x[0] not in out]
         batch = np.cumsum([len(x) * min(len(x), ROUNDS) for _, x in raw], dtype=np.int64) // QUERY_ROWS
         bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(raw)] if raw else []
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):

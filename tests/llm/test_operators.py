@@ -221,6 +221,13 @@ def test_url_rules_of_the_contract(spark):
 ODD = ["", " ", "x ", "a  b\nc", "don't  we'll", "<|endoftext|>", "日本語 テスト 👍🏽", "x" * 300, "ab" * 200 + "aaaa", "Zm9vYmFyLXRlc3Q" * 900, "日本" * 300, "é" * 400 + " end", " " * 40, "a\x00b \x1c x\x85 y", "<s> hi</s>", "▁▁a", "١٢ ½ é́"]
 
 
+def test_byte_bpe_looks_up_whole_tokens():
+    encoder = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words = [t.decode() for t in encoder.ranks if t.isascii() and t.isalpha() and len(t) > 4][:50]
+    encoder.db = None  # no query is needed
+    assert words and encoder.merge(words) == {w: (str(encoder.ranks[w.encode()]).encode(), w.encode()) for w in words}
+
+
 def test_byte_bpe_is_the_library(spark, docs, none, corpus):
     import tiktoken
 
