@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, EngineConfig
 from ..operators import cascade, diff, filters, match, report
+from ..sources.tables import kept, parts_of
 
 
 def compare(base: DataFrame, comp: DataFrame, mode: str = "static", config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    """matches, ambiguous, removed, added, diffs (with inherited), summary, items and score; all lazy."""
-    base, comp = (filters.first_elements(side, config.max_elements) for side in (base, comp))
+    """matches, ambiguous, removed, added, diffs (with inherited), summary, items and score. The elements and the steps of matching are made here and kept; the rest is lazy."""
+    parts = parts_of(base)
+    base, comp = (kept(filters.first_elements(side, config.max_elements), parts) for side in (base, comp))
     found = match.match(base, comp, config)
     raw = diff.compare(found["matches"], base, comp, config.mode(mode))
     paths = base.selectExpr("pair_id", "ord as b_ord", "hpid")

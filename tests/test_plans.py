@@ -1,7 +1,7 @@
 """What plans must not do: make a value again for each of its uses, or run a step once for each of its readers."""
 
 from snapsift import fixtures
-from snapsift.config import STATIC
+from snapsift.config import DEFAULT, STATIC
 from snapsift.operators import diff, filters, match, selectors
 from snapsift.plans import catalog, catalog_pages, catalog_reports  # noqa: F401  the others register their queries with the first
 
@@ -31,6 +31,13 @@ def test_alignment_streams_its_pairs(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_steps_of_matching_are_made_once(spark):
+    """What a step finds is kept: neither elements nor document order are made again for the steps and results that read them."""
+    found = match.match(catalog.base(spark, SF_DIR), catalog.comp(spark, SF_DIR), DEFAULT.merge(drop_alignment_orphans=False))
+    for name, rows in found.items():
+        assert not any(step in plan(rows) for step in ("map_filter", "MapInArrow", "Window")), name
+
+
 def test_both_sides_of_a_pair_meet(spark):
     """Sides that are dealt by pair already, in adaptive plans that merge their partitions differently."""
     spark.conf.set("spark.sql.shuffle.partitions", 24)
