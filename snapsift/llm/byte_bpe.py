@@ -15,6 +15,7 @@ ordinary text; of equal ranks the leftmost pair is merged; texts and pre-tokens
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from itertools import chain
@@ -37,45 +38,43 @@ QUERY_ROWS = 2_000_000
 ROUNDS = 64
 
 #: A word's number and a symbol's position are one key (position in the lower 16 bits, which ``LONG_BYTES`` leaves room for), so that one sort serves the window.
+#: A pair that can be merged is one number too (rank, position, position of the symbol that goes), so that a word's next merge is a plain minimum; the rank is the merged symbol.
+#: A word that has no pair left is said once more, with n = -1, and goes.
 _MERGE = """
 WITH RECURSIVE step(k, sym, n) AS (
     SELECT word * 65536 + pos, sym, 0 FROM symbols
   UNION ALL
-    SELECT s.k, CASE WHEN s.k = b.hit THEN b.merged ELSE s.sym END, s.n + 1
-    FROM step s JOIN (
-        SELECT word, min_by(k, ord) AS hit, min_by(gone, ord) AS gone, min_by(merged, ord) AS merged
-        FROM (
-            SELECT p.word, p.k, p.gone, m.merged, m.rank * 65536 + (p.k & 65535) AS ord
-            FROM (SELECT k >> 16 AS word, k, sym, lead(sym) OVER w AS nxt, lead(k) OVER w AS gone FROM step WINDOW w AS (ORDER BY k)) p
-            JOIN merges m ON m.a = p.sym AND m.b = p.nxt
-            WHERE p.gone >> 16 = p.word
-        ) GROUP BY word
-    ) b ON b.word = s.k >> 16 AND s.k <> b.gone
-    WHERE s.n < {rounds}
-), last AS (SELECT k >> 16 AS word, max(n) AS n FROM step GROUP BY 1)
-SELECT s.k >> 16 AS word, s.k & 65535 AS pos, s.sym, s.n FROM step s JOIN last ON last.word = s.k >> 16 AND last.n = s.n
+    SELECT s.k, CASE WHEN (s.k & 65535) = ((b.best >> 16) & 65535) THEN b.best >> 32 ELSE s.sym END, CASE WHEN b.best IS NULL THEN -1 ELSE s.n + 1 END
+    FROM step s LEFT JOIN (
+        SELECT p.k >> 16 AS word, min((m.rank << 32) | ((p.k & 65535) << 16) | (p.gone & 65535)) AS best
+        FROM (SELECT k, gone, (sym << 32) | nxt AS pair FROM (SELECT k, sym, lead(sym) OVER w AS nxt, lead(k) OVER w AS gone FROM step WHERE n >= 0 WINDOW w AS (ORDER BY k)) WHERE (gone >> 16) = (k >> 16)) p
+        JOIN merges m ON m.pair = p.pair
+        GROUP BY 1
+    ) b ON b.word = (s.k >> 16)
+    WHERE s.n >= 0 AND s.n < {rounds} AND (b.best IS NULL OR (s.k & 65535) <> (b.best & 65535))
+)
+SELECT k >> 16 AS word, k & 65535 AS pos, sym, n FROM step WHERE n = -1 OR n = {rounds}
 """
 _RENDER = """
-SELECT word, encode(string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY pos)) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS text
+SELECT word, encode(string_agg(t.name, ' ' ORDER BY pos)) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS text
 FROM done JOIN tokens t ON t.id = done.sym GROUP BY word
 """
 
 
 class Remembered:
-    """Values of ``width`` kinds by key. At ``CACHE_CHUNKS`` keys a new generation begins, and takes over what is asked for of the one before."""
+    """Values by key. At ``CACHE_CHUNKS`` keys a new generation begins, and takes over what is asked for of the one before."""
 
-    def __init__(self, width: int):
-        self.new: list[dict[str, bytes]] = [{} for _ in range(width)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(width)]
+    def __init__(self):
+        self.new: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def missing(self, keys: set[str]) -> set[str]:
         """The keys that have no values; those that have are in ``new`` then."""
-        if len(self.new[0]) > CACHE_CHUNKS:
-            self.old, self.new = self.new, [{} for _ in self.new]
-        keys = keys.difference(self.new[0])
-        again = keys.intersection(self.old[0])
-        for new, old in zip(self.new, self.old, strict=True):
-            new.update((k, old[k]) for k in again)
+        if len(self.new) > CACHE_CHUNKS:
+            self.old, self.new = self.new, {}
+        keys = keys.difference(self.new)
+        again = keys.intersection(self.old)
+        self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
         return keys - again
 
 
@@ -92,17 +91,16 @@ class Encoder:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.merges = np.array([(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks], dtype=np.int64)
         self.pairs: dict[int, tuple[int, int]] = {}
-        a, b, r = (pa.array(self.merges[:, k]) for k in range(3))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self._load("merges", pa.table({"a": a, "b": b, "rank": r, "merged": r}))
-        self._load("tokens", pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]}))
+        self._load("merges", pa.table({"pair": (self.merges[:, 0] << 32) | self.merges[:, 1], "rank": self.merges[:, 2]}))
+        self._load("tokens", pa.table({"id": pa.array(ranks.values(), pa.int64()), "name": [str(r) for r in ranks.values()], "hex": [t.hex() for t in ranks]}))
         self.pattern = regex.compile(pattern)
         self.space = regex.compile(r" (?=\S)")
         self.uneven = re.compile(r" (?:\s|$)")  # re's \s holds all of regex's: a needless slow path at worst
         #: Of each chunk, the ids as text and the decoded bytes. The space that every chunk but a text's first begins with is left out of the key.
-        self.chunks = Remembered(2)
+        self.chunks = Remembered()
         #: The same of each pre-token, which may stand in many chunks.
-        self.words = Remembered(2)
+        self.words = Remembered()
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -121,22 +119,23 @@ class Encoder:
         raw = [x for x in raw if x[0] not in out]
         batch = np.cumsum([len(x) * min(len(x), ROUNDS) for _, x in raw], dtype=np.int64) // QUERY_ROWS
         bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(raw)] if raw else []
+        done = []
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             part = raw[start:end]
             sizes = np.fromiter((len(x) for _, x in part), dtype=np.int64, count=len(part))
-            word = np.repeat(np.arange(len(part)), sizes)
+            word = np.repeat(np.arange(start, end), sizes)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows = pa.table({"word": word, "pos": pos, "sym": self.byte_ids[np.frombuffer(b"".join([x for _, x in part]), dtype=np.uint8)]})
-            done = []
             while rows.num_rows:
                 self._load("symbols", rows)
                 rows = self.db.sql(_MERGE.format(rounds=ROUNDS)).to_arrow_table()
                 going_on = pc.equal(rows["n"], ROUNDS)
                 done.append(rows.filter(pc.invert(going_on)))
                 rows = rows.filter(going_on).select(["word", "pos", "sym"])
+        if done:  # rendered together: the join with the tokens has a price of its own
             self._load("done", pa.concat_tables(done))
             found = self.db.sql(_RENDER).to_arrow_table()
-            keys = (part[w][0] for w in found["word"].to_pylist())
+            keys = (raw[w][0] for w in found["word"].to_pylist())
             out.update(zip(keys, zip(found["ids"].to_pylist(), found["text"].to_pylist(), strict=True), strict=True))
         return out
 
@@ -151,31 +150,32 @@ class Encoder:
         """Cut before each space that a non-space follows; such a cut is always a boundary of the pattern. The spaces at the cuts go."""
         return self.space.split(text) if self.uneven.search(text) else text.split(" ")
 
-    def _learn(self, chunks: set[str], before: str, ids: dict[str, bytes], decoded: dict[str, bytes]) -> None:
+    def _learn(self, chunks: set[str], before: str, known: dict[str, tuple[bytes, bytes]]) -> None:
         cut = {c: self.pattern.findall(before + c) for c in chunks}
         missing = self.words.missing(set(chain.from_iterable(cut.values())))
-        id_of, bytes_of = self.words.new
-        for w, (i, t) in self.merge(list(missing)).items():
-            id_of[w], bytes_of[w] = i, t
+        of = self.words.new
+        of.update(self.merge(list(missing)))
         for c, x in cut.items():
             if len(x) == 1:
-                ids[c], decoded[c] = id_of[x[0]], bytes_of[x[0]]
+                known[c] = of[x[0]]
             else:
-                ids[c], decoded[c] = b" ".join([id_of[w] for w in x]), b"".join([bytes_of[w] for w in x])
+                ids, decoded = zip(*[of[w] for w in x], strict=True)
+                known[c] = b" ".join(ids), b"".join(decoded)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(tokens, digest of the ids, digest of the decoded bytes) of each text."""
         split = [self.split(t) for t in texts]
-        head_ids, head_decoded = {}, {}
-        self._learn({x[0] for x in split if x[0]}, "", head_ids, head_decoded)
+        heads = {}
+        self._learn({x[0] for x in split if x[0]}, "", heads)
         missing = self.chunks.missing(set(chain.from_iterable(x[1:] for x in split)))
-        id_of, bytes_of = self.chunks.new
-        self._learn(missing, " ", id_of, bytes_of)
+        of = self.chunks.new
+        self._learn(missing, " ", of)
         out = []
         for first, *rest in split:
-            ids = b" ".join([*([head_ids[first]] if first else []), *map(id_of.__getitem__, rest)])
-            text = (head_decoded[first] if first else b"") + b"".join(map(bytes_of.__getitem__, rest))
-            out.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+            found = [*([heads[first]] if first else []), *map(of.__getitem__, rest)]
+            ids, decoded = map(list, zip(*found, strict=True)) if found else ([], [])
+            ids = b" ".join(ids)
+            out.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
         return out
 
 
@@ -186,7 +186,11 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
         encoder = held(("byte_bpe", ranks_file, pattern), lambda: Encoder(ranks_file, pattern))
         for whole in batches:
             for batch in slices(whole, 1):
-                got = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+                gc.disable()  # hundreds of thousands of small lists and no cycles: the collector would go through them again and again
+                try:
+                    got = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+                finally:
+                    gc.enable()
                 n, ids, back = zip(*got, strict=True) if got else ((), (), ())
                 columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])

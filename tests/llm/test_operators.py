@@ -228,6 +228,27 @@ def test_byte_bpe_looks_up_whole_tokens():
     assert words and encoder.merge(words) == {w: (str(encoder.ranks[w.encode()]).encode(), w.encode()) for w in words}
 
 
+def test_byte_bpe_renders_a_call_once(monkeypatch):
+    """However many recursions the pre-tokens take, their tokens are joined once."""
+    encoder = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "QUERY_ROWS", 200)
+    asked, db = [], encoder.db
+
+    class Asked:
+        def __getattr__(self, name):
+            return getattr(db, name)
+
+        def sql(self, text):
+            asked.append("RECURSIVE" in text)
+            return db.sql(text)
+
+    encoder.db = Asked()
+    words = [f" zq{k}xqj{'wv' * (k % 5)}" for k in range(30)]
+    got = encoder.merge(words)
+    assert sum(asked) > 3 and asked.count(False) == 1
+    assert {w: text for w, (_, text) in got.items()} == {w: w.encode() for w in words} and all(got[w] == encoder.merge([w])[w] for w in words)
+
+
 def test_byte_bpe_is_the_library(spark, docs, none, corpus):
     import tiktoken
 
