@@ -52,6 +52,9 @@ SHORTHANDS = (
     "margin", "padding", "border-width", "border-style", "border-color", "border-radius", "border", "border-top", "border-right", "border-bottom",
     "border-left", "background", "font"
 )
+#: Plain values, whose normal form needs no arithmetic: whole numbers without leading zeros.
+PLAIN_RGB = r"^rgb\((?:0|[1-9]\d{0,2}), (?:0|[1-9]\d{0,2}), (?:0|[1-9]\d{0,2})\)\z"
+PLAIN_PX = r"^[1-9]\d{0,8}px\z"
 # End of fixed values.
 
 
@@ -116,7 +119,8 @@ def named_color(v: Column) -> Column:
 def normalize_color(value: Column) -> Column:
     v = F.lower(F.trim(value))
     return (
-        F.when(v == "transparent", F.lit("rgba(0, 0, 0, 0)"))
+        F.when(value.rlike(PLAIN_RGB), F.concat(F.lit("rgba"), F.substring(value, F.lit(4), F.length(value) - 4), F.lit(", 1)")))
+        .when(v == "transparent", F.lit("rgba(0, 0, 0, 0)"))
         .when(v.isin(*COLOR_KEYWORDS), v)
         .when(v.startswith("#"), F.coalesce(hex_color(v), value))
         .when(v.startswith("rgb"), F.coalesce(rgb_color(v), value))
@@ -143,7 +147,8 @@ def normalize_unit(value: Column, prop: Column, context: dict[str, Column] | Non
         ref = ref.when(has("font") | (prop == "line-height"), context["parent_font_size"])
         percent = F.when(ref.isNotNull(), F.concat(two_places(amount / 100 * ref), F.lit("px"))).otherwise(percent)
     return (
-        F.when(v.isin(*LENGTH_KEYWORDS), v)
+        F.when(value.rlike(PLAIN_PX), F.concat(F.substring(value, F.lit(1), F.length(value) - 2), F.lit(".00px")))
+        .when(v.isin(*LENGTH_KEYWORDS), v)
         .when(v.isin("0", "0px"), F.lit("0px"))
         .when(unit == "%", percent)
         .when(factor.isNotNull() & amount.isNotNull(), F.concat(two_places(amount * factor), F.lit("px")))
@@ -251,14 +256,24 @@ def expand_shorthands(styles: Column) -> Column:
     news = F.map_filter(offered, lambda k, _: F.coalesce(styles[k], F.lit("")) == "")
     kept = F.map_filter(styles, lambda k, _: ~k.isin(*SHORTHANDS))
     expanded = F.map_zip_with(kept, news, lambda _, old, new: F.coalesce(new, old))
-    return F.when(F.exists(F.map_keys(styles), lambda k: k.isin(*SHORTHANDS)), expanded).otherwise(styles)
+    return F.when(F.arrays_overlap(F.map_keys(styles), texts(SHORTHANDS)), expanded).otherwise(styles)
+
+
+def channels(value: Column) -> Column:
+    """[r, g, b, a] of the first rgb() in a value, without a where none is given; null where there is no rgb()."""
+    found = F.regexp_extract(value, r"rgba?\((\d+,\s*\d+,\s*\d+(?:,\s*[\d.]+)?)\)", 1)
+    return F.split(F.nullif(found, F.lit("")), r",\s*").try_cast("array<double>")
+
+
+def rgb(parts: Column) -> dict[str, Column]:
+    """r, g, b and a of ``channels``."""
+    return {n: F.get(parts, F.lit(k)) for k, n in enumerate("rgba")}
 
 
 def parse_rgba(value: Column) -> Column:
     """struct(r, g, b, a) of the first rgb() in a value; null where there is none."""
-    pattern = r"rgba?\((\d+),\s*(\d+),\s*(\d+)(?:,\s*([\d.]+))?\)"
-    part = lambda k: F.regexp_extract(value, pattern, k)
-    return F.when(value.rlike(pattern), F.struct(*[part(k).cast("int").alias(n) for k, n in ((1, "r"), (2, "g"), (3, "b"))], part(4).try_cast("double").alias("a")))
+    c = rgb(channels(value))
+    return F.when(c["r"].isNotNull(), F.struct(*[c[n].cast("int").alias(n) for n in "rgb"], c["a"].alias("a")))
 
 
 def parse_px(value: Column) -> Column:
@@ -270,7 +285,8 @@ def leading_number(value: Column) -> Column:
     return F.regexp_extract(value, r"^\s*([-+]?\d*\.?\d+)", 1).try_cast("double")
 
 
-def luminance(color: Column) -> Column:
-    """Relative luminance of a struct(r, g, b, a)."""
+def luminance(color: Column | dict[str, Column]) -> Column:
+    """Relative luminance of r, g and b."""
     linear = lambda c: F.when(c / 255 <= 0.03928, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4)))
-    return 0.2126 * linear(color["r"]) + 0.7152 * linear(color["g"]) + 0.0722 * linear(color["b"])
+    shares = F.zip_with(F.array(*[color[n].cast("double") for n in "rgb"]), F.array(F.lit(0.2126), F.lit(0.7152), F.lit(0.0722)), lambda c, weight: weight * linear(c))
+    return F.aggregate(shares, F.lit(0.0), lambda x, y: x + y)

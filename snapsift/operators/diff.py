@@ -1,6 +1,6 @@
 """Diffs of matched elements: properties, text and attributes in one long table, with severities.
 
-A pair's style maps are zipped key by key on their own row, so the full outer join of properties needs no shuffle.
+A pair's style maps are read name by name on their own row, so the full outer join of properties needs no shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, CRITICAL, HIGH, MEDIUM, Mode
 from ..functions import css
+from ..functions.once import made_once
 
 RANKS = ["critical", "high", "medium", "low"]
 #: Border colours that follow the text colour where none is given.
@@ -41,35 +42,34 @@ def _is_size() -> Column:
 
 
 def with_parsed(rows: DataFrame) -> DataFrame:
-    """Adds what the rules read many times, of both values in a row (x and y), as far as the property asks for it: colours, px amounts and numbers.
-
-    A generator makes columns of them, which projections above cannot fold back into their own expressions.
-    """
-    one = lambda v: F.struct(F.when(_is_color(), css.parse_rgba(v)).alias("color"), F.when(_is_size(), css.parse_px(v)).alias("px"), F.when(F.col("property") == "opacity", css.leading_number(v)).alias("num"))
-    return rows.select("*", F.inline(F.array(F.struct(F.transform(F.array("base_value", "compare_value"), one).alias("parsed")))))
+    """Adds the rule that a property's tolerance follows, and what the rules read many times of both values in a row (x and y), as far as the property asks for it: colours, px amounts and numbers."""
+    rule = F.when(_is_color(), "color").when(_is_size(), "px").when(F.col("property") == "opacity", "num")
+    one = lambda v: {"color": F.when(_is_color(), css.channels(v)), "px": F.when(_is_size(), css.parse_px(v)), "num": F.when(F.col("property") == "opacity", css.leading_number(v))}
+    return made_once(rows, rule=rule, **{f"{n}_{part}": c for n, v in (("x", "base_value"), ("y", "compare_value")) for part, c in one(F.col(v)).items()})
 
 
-PARSED = ["parsed", "kind_of", "group", "listed"]
+PARSED = ["rule", *[f"{n}_{part}" for n in "xy" for part in ("color", "px", "num")]]
 
 
 def _both(part: str) -> tuple[Column, Column]:
-    return F.col("parsed")[0][part], F.col("parsed")[1][part]
+    return F.col(f"x_{part}"), F.col(f"y_{part}")
 
 
-def within_tolerance(prop: Column, mode: Mode) -> Column:
-    """Whether two different values (with facts and parsed) count as equal; the first rule that fits the property decides."""
-    x, y = _both("color")
+def within_tolerance(mode: Mode) -> Column:
+    """Whether two different values (parsed) count as equal; the first rule that fits the property decides."""
+    x, y = map(css.rgb, _both("color"))
     channels = (F.abs(x["r"] - y["r"]) <= mode.color) & (F.abs(x["g"] - y["g"]) <= mode.color) & (F.abs(x["b"] - y["b"]) <= mode.color)
     alpha = F.coalesce(F.abs(x["a"] - y["a"]) <= 0.01, F.lit(False))
     apart = lambda part: F.abs(_both(part)[0] - _both(part)[1])
-    within = F.when(_is_color(), channels & alpha).when(_is_size(), apart("px") <= mode.size).when(prop == "opacity", apart("num") <= mode.opacity)
+    rule = F.col("rule")
+    within = F.when(rule == "color", channels & alpha).when(rule == "px", apart("px") <= mode.size).when(rule == "num", apart("num") <= mode.opacity)
     return F.coalesce(within, F.lit(False))
 
 
 def severity(prop: Column, a: Column, b: Column, cat: Column) -> Column:
     """Severity of a diff with facts and parsed values. The first rule that fits: listed as critical, breaking the layout, listed as high, of high visual impact, listed as medium, layout, low."""
     blocky = lambda v: v.isin("block", "flex", "grid", "inline-block")
-    (pa, pb), (na, nb), (ca, cb) = _both("px"), _both("num"), _both("color")
+    (pa, pb), (na, nb), (ca, cb) = _both("px"), _both("num"), map(css.rgb, _both("color"))
     share = F.when((pa != 0) & (pb != 0), F.abs(pb - pa) / pa)
     breaks = (
         F.when(prop == "display", (a == "none") | (b == "none") | (blocky(a) != blocky(b)))
@@ -98,11 +98,6 @@ def pair_up(matches: DataFrame, base: DataFrame, comp: DataFrame) -> DataFrame:
     return matches.join(side(base, "b_ord", "b"), ["pair_id", "b_ord"]).join(side(comp, "c_ord", "c"), ["pair_id", "c_ord"])
 
 
-def _zipped(a: Column, b: Column) -> Column:
-    empty = F.create_map().cast("map<string,string>")
-    return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.struct(x.alias("a"), y.alias("b")))
-
-
 def paired(base: DataFrame, comp: DataFrame, on: list[str]) -> DataFrame:
     """Pairs (b_ord, c_ord, b, c) of elements with equal keys: a match and its elements in one join."""
     side = lambda d, o, n: d.select(*on, F.col("ord").alias(o), F.struct(*d.columns).alias(n))
@@ -116,29 +111,25 @@ def _text(side: str) -> Column:
 def entries(pairs: DataFrame, mode: Mode) -> DataFrame:
     """pair_id, b_ord, c_ord, kind, property, a, b, own: the raw values of a pair that differ, of all kinds, out of one generator.
 
+    The generator gives the names of both sides, and values are looked up and held against each other in the rows that it makes: Spark compiles that, and interprets lambdas over maps.
     ``own`` has the pair's text colours (a, b) where a border colour could only repeat them.
     """
-    names = [f"{side}_{part}" for part in ("styles", "attributes", "text") for side in ("b", "c")]
-    parts = [F.col(f"{s}.{part}") if part != "text" else _text(s) for part in ("styles", "attributes", "text") for s in ("b", "c")]
-
-    def wanted(kind: str, p: Column, v: Column, w: Column) -> Column:
-        listed = {"style": mode.properties, "attribute": mode.attributes}.get(kind)
-        keep = ~v.eqNullSafe(w)
-        return keep if listed is None else keep & css.lookup(dict.fromkeys(listed, ""), p).isNotNull()
-
-    def found(x: Column) -> Column:
-        colors = F.struct(x["b_styles"]["color"].alias("a"), x["c_styles"]["color"].alias("b"))
-        own = lambda kind, p: F.when(p.isin(*DERIVED), colors) if kind == "style" and (mode.properties is None or "color" in mode.properties) else F.lit(None).cast("struct<a:string,b:string>")
-        one = lambda kind, p, v, w: F.struct(F.lit(kind).alias("kind"), p.alias("property"), v.alias("a"), w.alias("b"), own(kind, p).alias("own"))
-        # what is alike on both sides goes before rows are made of the rest
-        of = lambda kind, m: F.transform(F.filter(F.map_entries(m), lambda e: wanted(kind, e["key"], e["value"]["a"], e["value"]["b"])), lambda e: one(kind, e["key"], e["value"]["a"], e["value"]["b"]))
-        rows = [of("style", _zipped(x["b_styles"], x["c_styles"])), of("attribute", _zipped(x["b_attributes"], x["c_attributes"]))]
-        text = F.filter(F.array(one("text", F.lit("textContent"), x["b_text"], x["c_text"])), lambda e: ~e["a"].eqNullSafe(e["b"]))
-        return F.concat(*rows, *([text] if mode.text else []))
-
-    # shorthands are expanded once for a side: what a lambda is given is not made anew where it is read
-    sides = F.struct(*[(css.expand_shorthands(c) if n.endswith("styles") else c).alias(n) for n, c in zip(names, parts, strict=True)])
-    return pairs.select("pair_id", "b_ord", "c_ord", F.inline(F.flatten(F.transform(F.array(sides), found))))
+    empty = F.array().cast("array<string>")
+    sides = [(css.expand_shorthands(F.col(f"{s}.styles")).alias(f"{s}_styles"), F.col(f"{s}.attributes").alias(f"{s}_attributes"), _text(s).alias(f"{s}_text")) for s in "bc"]
+    names = lambda part: F.array_union(*[F.coalesce(F.map_keys(f"{s}_{part}"), empty) for s in "bc"])
+    rows = pairs.select("pair_id", "b_ord", "c_ord", *[c for side in sides for c in side]).withColumns({"style_names": names("styles"), "attribute_names": names("attributes")})
+    rows = rows.withColumns({"styles_end": F.size("style_names"), "attributes_end": F.size("style_names") + F.size("attribute_names")})
+    listed = F.concat("style_names", "attribute_names", F.array(F.lit("textContent")) if mode.text else empty)
+    rows = rows.select(*[c for c in rows.columns if not c.endswith("_names")], F.posexplode(listed).alias("at", "property"))
+    p, style, attribute = F.col("property"), F.col("at") < F.col("styles_end"), F.col("at") < F.col("attributes_end")
+    value = lambda s: F.when(style, F.col(f"{s}_styles")[p]).when(attribute, F.col(f"{s}_attributes")[p]).otherwise(F.col(f"{s}_text"))
+    known = lambda these: F.lit(True) if these is None else p.isin(*these)
+    wanted = F.when(style, known(mode.properties)).when(attribute, known(mode.attributes)).otherwise(True)
+    colors = F.struct(F.col("b_styles")["color"].alias("a"), F.col("c_styles")["color"].alias("b"))
+    own = F.when(style & p.isin(*DERIVED), colors) if mode.properties is None or "color" in mode.properties else F.lit(None).cast("struct<a:string,b:string>")
+    kind = F.when(style, "style").when(attribute, "attribute").otherwise("text")
+    found = rows.select("pair_id", "b_ord", "c_ord", kind.alias("kind"), p, value("b").alias("a"), value("c").alias("b"), own.alias("own"), wanted.alias("wanted"))
+    return found.where(F.col("wanted") & ~F.col("a").eqNullSafe(F.col("b"))).drop("wanted")
 
 
 def compare_pairs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> DataFrame:
@@ -148,18 +139,17 @@ def compare_pairs(pairs: DataFrame, mode: Mode, three_state: bool = False) -> Da
     """
     kind, p, a, b = F.col("kind"), F.col("property"), F.col("base_value"), F.col("compare_value")
     style = kind == "style"
-    # generators make columns of long expressions, which projections above cannot fold back into their own
-    plain = F.transform(F.array("a", "b"), lambda v: F.when(style, css.normalize(p, v, kind=F.col("kind_of"))).otherwise(v))
+    plain = lambda v: F.when(style, css.normalize(p, v, kind=F.col("kind_of"))).otherwise(v)
     facts = ["kind", "property", "kind_of", "group", "listed"]
-    rows = with_facts(entries(pairs, mode)).select("pair_id", "b_ord", "c_ord", *facts, "own", F.inline(F.array(F.struct(plain.alias("v")))))
-    rows = rows.select("pair_id", "b_ord", "c_ord", *facts, "own", F.col("v")[0].alias("base_value"), F.col("v")[1].alias("compare_value"))
+    rows = with_facts(entries(pairs, mode)).select("pair_id", "b_ord", "c_ord", *facts, "own", "a", "b")
+    rows = made_once(rows, base_value=plain(F.col("a")), compare_value=plain(F.col("b"))).drop("a", "b")
     state = F.when(a.isNull(), "added").when(b.isNull(), "removed").otherwise("modified")
     repeats = F.when(F.col("own").isNotNull(), css.normalize_color(F.col("own.a")).eqNullSafe(a) & css.normalize_color(F.col("own.b")).eqNullSafe(b)).otherwise(False)
     rows = with_parsed(rows.where(~a.eqNullSafe(b)).where(~repeats).drop("own"))
-    rows = rows.where(~(style & a.isNotNull() & b.isNotNull() & within_tolerance(p, mode)))
+    rows = rows.where(~(style & a.isNotNull() & b.isNotNull() & within_tolerance(mode)))
     cat = F.when(style, F.col("group")).when(kind == "attribute", "attribute").otherwise("content")
     rows = rows.withColumns({"type": F.when(style | (F.lit(three_state) & (kind == "attribute")), state).otherwise("modified"), "category": cat, "property": F.when(kind == "attribute", F.concat(F.lit("attr:"), p)).otherwise(p), "listed": F.when(style, F.col("listed"))})
-    return rows.withColumn("severity", severity(p, a, b, F.col("category"))).drop("kind", *PARSED)
+    return rows.withColumn("severity", severity(p, a, b, F.col("category"))).drop("kind", "kind_of", "group", "listed", *PARSED)
 
 
 def drop_current_color(diffs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from snapsift import fixtures
 from snapsift.operators import selectors
+from snapsift.plans import catalog
 from snapsift.sources.tables import kept
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,10 @@ def test_sides_of_a_pair_and_ladders_are_dealt_once(spark):
         assert exchanges(selectors.tiers(fixtures.selector_elements(spark, SF), "xpath")) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_generators_of_the_diffs_are_given_made_columns(spark):
+    """Spark interprets what a generator makes with a lambda in it; columns and names it compiles."""
+    plan = catalog.static_diffs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line.split("Generate ", 1)[1] for line in plan.splitlines() if "Generate " in line]
+    assert len(generators) >= 5 and not [g for g in generators if "lambda" in g]

@@ -87,3 +87,14 @@ def test_config():
     with pytest.raises(ValueError):
         DEFAULT.merge(look_ahead=0)
     assert DEFAULT.mode("unknown") is DEFAULT.modes["static"]
+
+
+def test_plain_values_have_the_form_of_others(spark):
+    colors = ["rgb(1, 20, 255)", "rgb(01, 20, 255)", "rgb(1,20,255)", "rgb(1, 20, 255)\n", " RGB(1, 20, 255)", "rgb(1, 2)", "rgb(0, 0, 1000)", None]
+    sizes = ["20px", "020px", "20px\n", "20PX", " 20px ", "0px", "1.5px", "123456789012px", None]
+    rows = spark.createDataFrame([(c, s) for c, s in zip(colors + [None], sizes, strict=True)], "c string, s string")
+    got = rows.select(css.normalize_color(F.col("c")).alias("c"), css.normalize_unit(F.col("s"), F.lit("width")).alias("s"), css.channels(css.normalize_color(F.col("c"))).alias("n")).collect()
+    assert [r.c for r in got][:-1] == ["rgba(1, 20, 255, 1)"] * 5 + ["rgba(1, 2, 1)", "rgba(0, 0, 1000, 1)", None]
+    assert [r.s for r in got] == ["20.00px", "20.00px", "20.00px", "20.00px", "20.00px", "0px", "1.50px", "123456789012.00px", None]
+    assert [r.n for r in got][:-1] == [[1, 20, 255, 1]] * 5 + [[1, 2, 1], [0, 0, 1000, 1], None]
+    assert rows.limit(1).select(css.channels(F.lit("url(x) rgb(1, 2, 3)")).alias("a"), css.channels(F.lit("rgba(1, 2, 3, 1.2.3)")).alias("b"), css.channels(F.lit("red")).alias("c")).first() == ([1, 2, 3], [1, 2, 3, None], None)
