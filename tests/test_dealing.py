@@ -43,6 +43,14 @@ def test_sides_of_a_pair_and_ladders_are_dealt_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_ladders_send_nothing_through_the_driver(spark):
+    """Files of kept rows are small, and what they unpack to is not: a broadcast of them took the driver's memory."""
+    for made in (selectors.ladder, selectors.tiers):
+        for kind in ("css", "xpath"):
+            plan = made(fixtures.selector_elements(spark, SF), kind)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan, (made.__name__, kind)
+
+
 def test_generators_of_the_diffs_are_given_made_columns(spark):
     """Spark interprets what a generator makes with a lambda in it; columns and names it compiles."""
     plan = catalog.static_diffs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
