@@ -90,8 +90,8 @@ def top_apexes(items: DataFrame, n: int = 3) -> DataFrame:
 
 
 def text_divergence(a: Column, b: Column) -> Column:
-    """0 for equal texts to 1; numbers and very short texts weigh less."""
-    x, y = (F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, 500) for c in (a, b))
+    """0 for equal texts to 1; numbers and very short texts weigh less. The whole texts count, where the reference reads their first 500 characters."""
+    x, y = (F.trim(F.coalesce(c, F.lit(""))) for c in (a, b))
     size = F.greatest(F.length(x), F.length(y))
     numeric = r"^[\d,.$%\s()\-+]+$"
     ratio = F.levenshtein(x, y) / size

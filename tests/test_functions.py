@@ -30,6 +30,13 @@ def test_goldens(spark, expression, pairs):
     assert values(spark, pairs, expression) == pairs
 
 
+def test_text_divergence_reads_whole_texts(spark):
+    """Texts that differ behind their 500th character only."""
+    rows = spark.createDataFrame([("x" * 600 + "a" * 600, "x" * 600 + "b" * 600), ("x" * 900, "x" * 900)], "a string, b string")
+    assert [r.d for r in rows.select(report.text_divergence(F.col("a"), F.col("b")).alias("d")).collect()] == [0.5, 0.0]
+
+
+
 def test_shorthands(spark):
     row = spark.createDataFrame([({"margin": "1px 2px 3px", "margin-left": "9px", "border": "1px solid red"},)], "s map<string,string>").select(css.expand_shorthands(F.col("s")).alias("e")).first()
     assert row.e["margin-top"] == "1px" and row.e["margin-right"] == "2px" and row.e["margin-left"] == "9px" and row.e["border-top-style"] == "solid" and "margin" not in row.e
