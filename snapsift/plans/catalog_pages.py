@@ -9,7 +9,7 @@ from ..operators import cascade, diff, filters, grouped, match, pseudo, report,
 from ..sources import exports, html
 from ..sources.tables import written
 from .catalog import _APEX, _ITEMS, _OVERALL, _PER_ELEMENT, SIDES, SQL, STATIC_SQL, base, by_path, comp, merged_items, query, read, static_diffs
-from .catalog_reports import _CHANGED, _changed, _items_and_judged
+from .catalog_reports import _CHANGED, _changed, _items_and_judged, compared_once
 
 
 @query(f"""WITH {SIDES}, m AS (SELECT * FROM b WHERE list_contains(string_split(class_name, ' '), 'c1') OR tag = 'p'), t AS (SELECT report_id, hpid, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.report_id = m.report_id AND starts_with(m.hpid, o.hpid || '.')))
@@ -181,16 +181,14 @@ UNION ALL SELECT d.pair_id, 4, {level} * 4 + 2, {cells('b.hpid', 'b.tag', 'd.pro
 
 @query(_workbook_sql())
 def workbook_rows(spark, sf_dir):
-    b, c = base(spark, sf_dir), comp(spark, sf_dir)
-    matches, diffs = by_path(spark, sf_dir), fixtures.kept_pairs(static_diffs(spark, sf_dir), sf_dir)
+    b, c, matches, named_diffs, per = compared_once(spark, sf_dir)
     named = b.withColumnRenamed("ord", "b_ord")
-    per = diff.per_element(diffs).select("pair_id", "b_ord", "total", "overall")
     alone = lambda x, y, status: x.join(y.select("pair_id", "hpid").distinct(), ["pair_id", "hpid"], "left_anti").withColumn("status", F.lit(status))
     removed, added = alone(b, c, "removed"), alone(c, b, "added")
     changed = per.join(named.select("pair_id", "b_ord", "hpid"), ["pair_id", "b_ord"]).select("pair_id", "hpid")
     roots = filters.top_roots(changed).distinct().groupBy("pair_id").agg(F.count("*").alias("roots"))
-    summary = diff.summary(matches, diffs).join(match.rate(matches, removed, added).select("pair_id", "removed", "added", "rate"), "pair_id", "left").join(roots, "pair_id", "left").na.fill(0)
+    summary = diff.summary(matches, named_diffs).join(match.rate(matches, removed, added).select("pair_id", "removed", "added", "rate"), "pair_id", "left").join(roots, "pair_id", "left").na.fill(0)
     matched = matches.join(named, ["pair_id", "b_ord"]).join(per, ["pair_id", "b_ord"], "left").na.fill(0, ["total"]).withColumns({"strategy": F.lit("absolute-hpid"), "confidence": F.lit(0.95)})
     unmatched = removed.unionByName(added).join(summary.select("pair_id"), "pair_id", "left_semi")
-    rows = exports.workbook(fixtures.kept_pairs(summary, sf_dir), diffs.join(named, ["pair_id", "b_ord"]), matched, unmatched)
+    rows = exports.workbook(fixtures.kept_pairs(summary, sf_dir), named_diffs, matched, unmatched)
     return rows.select("pair_id", "sheet", "part", F.array_join("cells", "|").alias("cells"))

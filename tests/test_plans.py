@@ -1,5 +1,8 @@
 """What plans must not do: make a value again for each of its uses, or run a step once for each of its readers."""
 
+import json
+from collections import Counter
+
 from snapsift import fixtures
 from snapsift.config import DEFAULT, STATIC
 from snapsift.operators import diff, filters, match, selectors
@@ -71,3 +74,35 @@ def test_border_colours_that_follow_the_text(spark):
     assert "Window" not in plan(got)
     kept = {(r.b_ord, r.property) for r in got.collect()}
     assert {k for k in kept if k[1].endswith("color")} >= {(1, "color"), (1, "border-left-color"), (2, "border-top-color"), (2, "border-left-color"), (3, "border-top-color")} and (1, "border-top-color") not in kept
+
+
+def test_readers_of_the_diffs_share_them(spark):
+    """``l_quantity`` is read by whatever makes elements anew: a tree, an export or labels made them for every reader."""
+    made = lambda df: sum("Relation [" in line and "l_quantity" in line for line in plan(df).splitlines())
+    assert made(catalog_pages.tree_expanded(spark, SF_DIR)) == 0
+    assert made(catalog_pages.workbook_rows(spark, SF_DIR)) == 0
+    assert made(catalog_reports.csv_sections(spark, SF_DIR)) == 0
+    assert made(catalog_reports.label_map(spark, SF_DIR)) <= 4  # two sides of the diffs, labels of items, labels of all; it was seven
+
+
+def test_page_payload_has_the_steps_of_the_report(spark):
+    """Nodes as apexes, insertions and deletions make them, items without what repeats its apex and with the severities that texts leave them."""
+    of = lambda rows, *names: {tuple(r[n] for n in names) for r in rows}
+    b, c = (side(spark, SF_DIR).select("pair_id", "ord", "hpid").collect() for side in (catalog.base, catalog.comp))
+    suppression = catalog.apex_suppression(spark, SF_DIR).collect()
+    found = catalog_reports.page_payload(spark, SF_DIR).collect()
+    nodes = {(r.pair_id, n["hpid"]): n["type"] for r in found for n in json.loads(r.nodes)}
+    items = {(r.pair_id, i["b_ord"]): i for r in found if r["items"] for i in json.loads(r["items"])}
+    here, there = of(b, "pair_id", "hpid"), of(c, "pair_id", "hpid")
+    assert set(nodes) == here | there
+    assert {k for k, t in nodes.items() if t == "DOM_DELETION"} == here - there and {k for k, t in nodes.items() if t == "DOM_INSERTION"} == there - here
+    left, tops = of([r for r in suppression if not r.suppressed], "pair_id", "hpid"), of([r for r in suppression if r.suppressed], "pair_id", "apex")
+    shown = {k for k, t in nodes.items() if t in ("DIFF_APEX", "DIFF_DETAIL")}
+    assert shown == left and of(suppression, "pair_id", "hpid") - left
+    path = {(r.pair_id, r.ord): r.hpid for r in b}
+    for (pair, ord), item in items.items():
+        kind = "DIFF_APEX" if (pair, path[pair, ord]) in tops else "DIFF_DETAIL"
+        assert {nodes[pair, p] for p in item["hpids"].split(",")} == {kind}
+    counts = Counter((r.pair_id, r.hpid) for r in suppression if not r.suppressed)
+    assert all(item["total"] == counts[pair, path[pair, ord]] for (pair, ord), item in items.items())
+    assert sum(len(i["hpids"].split(",")) for i in items.values()) == len(left)
